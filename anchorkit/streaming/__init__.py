@@ -1,0 +1,5 @@
+"""The covered surface is batch only: no watermark, stream window or stateful rule exists in it.
+
+Daily partial means (:func:`anchorkit.operators.windows.partial_means`) merge exactly, so an
+incremental load re-aggregates new days instead of running a stateful stream.
+"""
