@@ -84,7 +84,7 @@ def _prepared_sql(scaling: str, strategy: str = "median") -> str:
                       + [f"(SELECT {c} FROM train WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS f_{c}"
                          for c in CATEGORICAL])
     low, width = {"standard": ("avg({x})", "stddev_pop({x})"), "minmax": ("min({x})", "max({x}) - min({x})"),
-                  "none": ("0", "1")}[scaling]
+                  "none": ("min(0 * {x})", "max(0 * {x} + 1)")}[scaling]
     stats = ", ".join(f"{low.format(x=f'coalesce({c}, f_{c})')} AS m_{c}, coalesce(nullif({width.format(x=f'coalesce({c}, f_{c})')}, 0), 1) AS s_{c}"
                       for c in CONTINUOUS)
     out = ", ".join([f"round((coalesce({c}, f_{c}) - m_{c}) / s_{c}, 6) AS \"{c}\"" for c in CONTINUOUS]
@@ -152,7 +152,7 @@ def oversampled_classes(spark, sf):
 
 @REGISTER("nearest_same_label", """
 SELECT vec_id, arg_min(other, (dist, other)) AS neighbour FROM (
-  SELECT a.vec_id, b.vec_id AS other, list_sum(list_transform(list_zip(a.embedding, b.embedding), p -> (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) AS dist
+  SELECT a.vec_id, b.vec_id AS other, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) AS dist
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) GROUP BY vec_id""")
 def nearest_same_label(spark, sf):
     from anchorkit.operators.oversample import nearest_in_class

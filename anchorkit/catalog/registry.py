@@ -48,7 +48,7 @@ def _readings(name: str, rows: list[tuple], step: int) -> str:
     return f"""{name} AS (
   SELECT o_custkey AS subject_id, l_orderkey AS hadm_id, l_orderkey AS stay_id, itemid,
          o_orderdate + to_minutes((l_suppkey * 37 + l_partkey * 11 + i * {step}) % 2160) AS charttime,
-         round(low::DOUBLE + (((l_partkey * (i + 3) + l_quantity::BIGINT) % 51) / 50.0::DOUBLE) * span::DOUBLE, 3) AS valuenum
+         floor((low::DOUBLE + (((l_partkey * (i + 3) + l_quantity::BIGINT) % 51) / 50.0::DOUBLE) * span::DOUBLE) * 1000 + 0.5) / 1000.0::DOUBLE AS valuenum
   FROM keyed, (VALUES {_values(indexed)}) AS v(i, itemid, low, span))"""
 
 
@@ -79,7 +79,7 @@ diagnoses AS (
 inputevents AS (
   SELECT l_orderkey AS stay_id, {_pick(DRUGS, f'l_partkey % {len(DRUGS)} + 1')} AS itemid,
          o_orderdate + to_minutes((l_suppkey * 53 + l_partkey) % 2160) AS starttime,
-         CASE WHEN l_tax > 0.01 THEN round(l_discount * l_quantity, 3) END AS rate
+         CASE WHEN l_tax > 0.01 THEN l_discount * l_quantity / 10 END AS rate
   FROM keyed),
 outputevents AS (
   SELECT l_orderkey AS stay_id, {_pick(URINE, f'l_suppkey % {len(URINE)} + 1')} AS itemid,

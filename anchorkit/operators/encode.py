@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from anchorkit.checks import require_columns, to_number
 from anchorkit.functions import codes as C
 from anchorkit.operators.cohort import dedup, top_k
-from anchorkit.operators.joins import balanced_join
+from anchorkit.session import staged
 
 
 def top_categories(df: DataFrame, column: str, n: int) -> list[str]:
@@ -73,7 +73,7 @@ def with_admissions(cohort: DataFrame, admissions: DataFrame | None, *, admissio
     found = [c for c in wanted if c in admissions.columns]
     base = cohort.drop(*wanted)
     if found:
-        base = balanced_join(base, dedup(admissions.select(admission, *found), [admission]), [admission], "left")
+        base = base.join(dedup(admissions.select(admission, *found), [admission]), admission, "left")
     return base.select("*", *[F.lit("Unknown").alias(c) for c in wanted if c not in found])
 
 
@@ -88,15 +88,16 @@ def administrative(cohort: DataFrame, diagnoses: DataFrame, admissions: DataFram
     require_columns(cohort, [stay, admission, unit], "cohort")
     carried = [c for c in ["admission_type", "admission_location"] if c in cohort.columns]
     work = with_admissions(cohort.select(stay, admission, unit, *carried), admissions, admission=admission)
-    work = balanced_join(work, top_chapters(diagnoses, admission=admission), [admission], "left")
-    labelled = work.select(
+    work = work.join(top_chapters(diagnoses, admission=admission), admission, "left")
+    # Stored once: the frequent units and the label sets are read from it before the columns are.
+    labelled = staged(work.select(
         stay,
         C.unit_label(unit, unit_labels).alias("first_careunit"),
         C.admission_type("admission_type").alias("admission_type"),
         C.admission_location("admission_location").alias("admission_location"),
         F.coalesce("diag1_chapter", F.lit(0)).alias("diag1_chapter"),
         F.coalesce("diag2_chapter", F.lit(0)).alias("diag2_chapter"),
-    )
+    ), "labels")
     units = top_categories(labelled, "first_careunit", top_units)
     grouped = labelled.withColumn(
         "first_careunit", F.when(F.col("first_careunit").isin(units), F.col("first_careunit")).otherwise("Other"))

@@ -29,14 +29,15 @@ def nearest_in_class(points: DataFrame, *, key: str, label: str, vector: str) ->
         ranked.select(key, F.pmod(F.col("_rank"), blocks.cast("long")).cast("int").alias("_own"), blocks.alias("_blocks")), key)
     every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     left = tagged.select(key, label, "_x", F.col("_own").alias("_a"), every.alias("_b"))
-    right = tagged.select(F.col(key).alias("_k"), label, "_x", every.alias("_a"), F.col("_own").alias("_b"))
+    right = tagged.select(F.col(key).alias("_k"), F.col(label).alias("_l"), F.col("_x").alias("_y"), every.alias("_c"),
+                          F.col("_own").alias("_d"))
 
     def best(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"k": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
         if l.empty or r.empty:
             return empty
         r = r.sort_values("_k")
-        a, b = np.stack(l["_x"].to_numpy()), np.stack(r["_x"].to_numpy())
+        a, b = np.stack(l["_x"].to_numpy()), np.stack(r["_y"].to_numpy())
         lk, rk = l[key].to_numpy(), r["_k"].to_numpy()
         slack = 1e-9 * float((a * a).sum(1).max() + (b * b).sum(1).max())
         at, dist = np.empty(len(a), dtype=np.int64), np.empty(len(a))
@@ -56,7 +57,7 @@ def nearest_in_class(points: DataFrame, *, key: str, label: str, vector: str) ->
         out = pd.DataFrame({"k": lk, "neighbour": at, "dist": dist})
         return out[np.isfinite(out["dist"])]
 
-    found = left.groupBy(label, "_a", "_b").cogroup(right.groupBy(label, "_a", "_b")).applyInPandas(
+    found = left.groupBy(label, "_a", "_b").cogroup(right.groupBy("_l", "_c", "_d")).applyInPandas(
         best, "k long, neighbour long, dist double")
     nearest = found.groupBy("k").agg(F.min(F.struct("dist", "neighbour")).alias("_m"))
     return nearest.select(F.col("k").alias(key), F.col("_m.neighbour").alias("neighbour"))

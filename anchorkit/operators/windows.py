@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,9 +89,10 @@ def window_means(events: DataFrame, anchors: DataFrame, items: list[Item], schem
     """
     long = events_in_window(events, anchors, [it.item for it in items], schema, entity=entity, anchor=anchor,
                             hours=hours, max_bytes=max_bytes)
-    valid = reduce(lambda a, b: a | b, [
-        (F.col("item") == it.item) & F.col("value").between(it.low, it.high) for it in items])
-    return long.where(valid).groupBy(entity).agg(*mean_columns(items))
+    means = mean_columns(items)
+    # An entity whose readings are all out of range has no mean at all.
+    return long.groupBy(entity).agg(*means).where(
+        F.coalesce(*[F.col(name + "_mean") for name in _by_feature(items)]).isNotNull())
 
 
 def partial_means(long: DataFrame, by: list[str], value: str = "value") -> DataFrame:

@@ -11,7 +11,7 @@ from anchorkit.checks import require_columns
 from anchorkit.functions import scores as S
 from anchorkit.operators import cohort as co
 from anchorkit.operators.align import band_aligned_min
-from anchorkit.operators.encode import administrative, with_admissions
+from anchorkit.operators.encode import administrative
 from anchorkit.operators.joins import BROADCAST_MAX_BYTES
 from anchorkit.operators.occupancy import occupancy
 from anchorkit.operators.quality import check_signals
@@ -148,7 +148,7 @@ def base_features(tables: dict[str, DataFrame], *, cohort: DataFrame | None = No
         vitals(people, tables["chartevents"]),
         labs(people, tables["labevents"]),
     ]
-    base = co.base_frame(with_admissions(people, tables["admissions"]))
+    base = co.base_frame(people)
     joined = reduce(lambda df, g: df.join(g, "stay_id", "left"), groups, base)
     return co.add_outcomes(joined, "los_days", short, long)
 

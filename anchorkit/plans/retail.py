@@ -45,7 +45,7 @@ def _readings(lines: DataFrame, readings: list[tuple], step: int) -> DataFrame:
         F.col("o_custkey").alias("subject_id"), F.col("l_orderkey").alias("hadm_id"),
         F.col("l_orderkey").alias("stay_id"), "itemid",
         (F.col("o_orderdate") + F.make_dt_interval(mins=minutes.cast("int"))).alias("charttime"),
-        F.round(F.col("low") + share * F.col("span"), 3).alias("valuenum"))
+        (F.floor((F.col("low") + share * F.col("span")) * 1000 + 0.5) / 1000.0).alias("valuenum"))
 
 
 def clinical_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -78,7 +78,7 @@ def clinical_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     inputs = keyed.select(
         F.col("l_orderkey").alias("stay_id"), pick(DRUGS, F.col("l_partkey")).alias("itemid"),
         started.alias("starttime"),
-        F.when(F.col("l_tax") > 0.01, F.round(F.col("l_discount") * F.col("l_quantity"), 3)).alias("rate"))
+        F.when(F.col("l_tax") > 0.01, F.col("l_discount") * F.col("l_quantity") / 10).alias("rate"))
     outputs = keyed.select(
         F.col("l_orderkey").alias("stay_id"), pick(URINE, F.col("l_suppkey")).alias("itemid"),
         started.alias("charttime"), (F.col("l_quantity") * 12).alias("value"))
