@@ -76,13 +76,13 @@ def cached_table(spark, sf):
 
 
 @REGISTER("prediction_pairs", """
-SELECT 'line_mean' AS model, l_orderkey AS stay_id, round(sum(l_quantity), 6) AS y_true, round(avg(l_extendedprice) / 1000, 6) AS baseline,
-  round(max(l_extendedprice) / 1000, 6) AS candidate FROM lineitem GROUP BY l_orderkey""")
+SELECT 'line_mean' AS model, l_orderkey AS stay_id, round(sum(l_quantity), 6) AS y_true, round(avg(l_extendedprice), 6) AS baseline,
+  round(max(l_extendedprice), 6) AS candidate FROM lineitem GROUP BY l_orderkey""")
 def prediction_pairs(spark, sf):
     """Both runs of a model side by side, joined by key instead of row position."""
     path = scratch_path(spark, "predictions")
     by_order = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("stay_id")).agg(
-        F.sum("l_quantity").alias("y_true"), (F.avg("l_extendedprice") / 1000).alias("b"), (F.max("l_extendedprice") / 1000).alias("c"))
+        F.sum("l_quantity").alias("y_true"), F.avg("l_extendedprice").alias("b"), F.max("l_extendedprice").alias("c"))
     for run, col in (("baseline", "b"), ("extended", "c"), ("extended", "c")):
         sinks.save_predictions(by_order.select("stay_id", "y_true", F.col(col).alias("y_pred")), path, run, "line_mean", "stage2")
     return round_doubles(sinks.prediction_pair(spark.read.parquet(path)))

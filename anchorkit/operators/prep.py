@@ -12,6 +12,7 @@ from anchorkit.checks import align_columns, coerce_numeric, to_number
 from anchorkit.functions.values import hash_text
 from anchorkit.operators.joins import balanced_join
 from anchorkit.operators.running import exact_medians, hash_ranks
+from anchorkit.session import staged
 
 # Columns that are never features, and the features that are scaled.
 NON_FEATURES = [
@@ -220,6 +221,7 @@ def prepare_splits(df: DataFrame, splits: DataFrame, prep: Preparation, *, key:
     y = label if target == "classification" else value
     if y not in df.columns:
         raise KeyError(f"{y} is required for {target}")
-    marked = df.join(splits.select(key, "split"), key)
-    prep.fit(marked.where(F.col("split") == "train"), feature_columns(df))
+    marked = staged(df.join(splits.select(key, "split"), key), "marked")
+    features = [c for c in feature_columns(df) if c not in (key, label, value)]
+    prep.fit(marked.where(F.col("split") == "train"), features)
     return {s: prep.transform(marked.where(F.col("split") == s), [key, y]) for s in ("train", "val", "test")}
