@@ -13,6 +13,17 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def sql_literal(value: int | float | str) -> str:
+    """A number or text as SQL; doubles keep their type."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def micros(ts: str | Column) -> Column:
     """Microseconds since the epoch of a zone-less timestamp, as BIGINT (a sortable key)."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), _col(ts))
@@ -31,10 +42,6 @@ def in_window(ts: str | Column, anchor: str | Column, hours: int) -> Column:
     return _col(ts).between(_col(anchor), _col(anchor) + F.expr(f"INTERVAL '{int(hours)}' HOUR"))
 
 
-def fahrenheit_to_celsius(value: Column) -> Column:
-    return (value - 32.0) * 5.0 / 9.0
-
-
 def log_target(days: str | Column) -> Column:
     return F.log1p(_col(days))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from anchorkit.checks import require_columns, to_number
 from anchorkit.functions import codes as C
+from anchorkit.functions.values import quoted, sql_literal
 from anchorkit.operators.cohort import dedup, top_k
 from anchorkit.session import staged
 
@@ -33,9 +34,10 @@ def levels_of(df: DataFrame, column: str, max_levels: int = 1000) -> list:
 
 def one_hot(column: str, levels: list, prefix: str, drop_first: bool = True) -> list[Column]:
     """0/1 columns ``prefix_level`` for sorted levels, by default without the first."""
+    kept = levels[1:] if drop_first else levels
     return [
-        F.coalesce(F.col(column) == level, F.lit(False)).cast("int").alias(f"{prefix}_{level}")
-        for level in (levels[1:] if drop_first else levels)
+        F.expr(f"CAST(coalesce({quoted(column)} = {sql_literal(level)}, false) AS INT) AS {quoted(f'{prefix}_{level}')}")
+        for level in kept
     ]
 
 

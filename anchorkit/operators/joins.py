@@ -45,18 +45,18 @@ def _is_hot(keys: list[str], hot: list[tuple]):
 
 
 def balanced_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-                  max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+                  max_bytes: int = BROADCAST_MAX_BYTES, right_bytes: int | None = None) -> DataFrame:
     """Equi-join of a long ``left`` with a ``right`` that has few rows per key.
 
     * ``right`` measured small: broadcast, ``left`` is not shuffled.
     * otherwise keys that are hot in ``left`` are joined against a broadcast of just their
       ``right`` rows, the rest by an ordinary shuffle join; the union is the whole result.
 
-    ``how`` is ``inner`` or ``left``.
+    ``how`` is ``inner`` or ``left``; ``right_bytes`` is the size of ``right`` when already measured.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
-    if measured_bytes(right) <= max_bytes:
+    if (measured_bytes(right) if right_bytes is None else right_bytes) <= max_bytes:
         return left.join(F.broadcast(right), keys, how)
     hot = hot_keys(left.select(*keys), keys)
     if not hot:

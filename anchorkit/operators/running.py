@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from anchorkit.session import shuffle_width
 
 _MAX_BUCKETS = 4096
+#: Quantile bands expected to hold at most this many rows are ranked without further borders.
+SINGLE_BUCKET_ROWS = 1_000_000
 
 
 def order_borders(df: DataFrame, order: str, buckets: int | None = None) -> list:
@@ -129,8 +131,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
         for i, p in enumerate(probs):
             at = p * (r["n"] - 1)
             first = int(at)
-            lo = r["low"] if edges[2 * i] <= 0.0 else r["edges"][2 * i]
-            hi = r["high"] if edges[2 * i + 1] >= 1.0 else r["edges"][2 * i + 1]
+            # Few rows: the margin would be under one rank, so the band is everything.
+            few = r["n"] < 10 / margin
+            lo = r["low"] if few or edges[2 * i] <= 0.0 else r["edges"][2 * i]
+            hi = r["high"] if few or edges[2 * i + 1] >= 1.0 else r["edges"][2 * i + 1]
             bands.append((*[r[b] for b in by], r["feature"], float(p), r["n"], first,
                           min(first + 1, r["n"] - 1), at - first, lo, hi))
     names = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -145,8 +149,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
     counts = within.groupBy(*keys, "prob", "_v").agg(F.count(F.lit(1)).alias("_c"))
     # Rows below the band share one NULL key, which sorts first and so only shifts the ranks.
     expected = max((r["n"] for r in rows), default=0) * 2 * margin
-    spread = None if expected > 1_000_000 else F.lit(0)
-    if spread is None:
+    spread = F.lit(0)
+    if expected > SINGLE_BUCKET_ROWS:
         borders = order_borders(counts.where(F.col("_v").isNotNull()), "_v")
         spread = F.when(F.col("_v").isNull(), -1).otherwise(bucket_of("_v", borders))
     ranked = running_total(counts, [*keys, "prob"], "_v", "_c", "_upto", spread)

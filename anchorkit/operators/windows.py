@@ -34,16 +34,18 @@ class EventSchema:
     extra: tuple[str, ...] = field(default=())
 
 
-_CONVERSIONS = {"none": lambda v: v, "f_to_c": V.fahrenheit_to_celsius}
+# Unit conversions as SQL over the raw value.
+_CONVERSIONS = {"none": "{v}", "f_to_c": "({v} - 32.0D) * 5.0D / 9.0D"}
 
 
 def events_in_window(events: DataFrame, anchors: DataFrame, items: list, schema: EventSchema = EventSchema(), *,
                      entity: str = "stay_id", anchor: str = "intime", hours: int = 24,
-                     max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+                     max_bytes: int = BROADCAST_MAX_BYTES, anchor_bytes: int | None = None) -> DataFrame:
     """Events of the listed items within ``hours`` after the entity's anchor: (entity, item, time, value).
 
     The item list is a literal, so it reaches the file scan. ``anchors`` has one row per entity
-    and is joined on ``schema.key``, which may be another key than ``entity``.
+    and is joined on ``schema.key``, which may be another key than ``entity``. ``anchor_bytes`` is
+    their measured size when the caller has it already.
     """
     require_columns(events, [schema.key, schema.item, schema.time, schema.value], "events")
     require_columns(anchors, {schema.key, entity, anchor}, "anchors")
@@ -52,7 +54,8 @@ def events_in_window(events: DataFrame, anchors: DataFrame, items: list, schema:
         F.col(schema.value).cast("double").alias("_value"), *schema.extra,
     )
     spots = anchors.select(*dict.fromkeys([schema.key, entity]), F.col(anchor).alias("_anchor"))
-    joined = balanced_join(slim, spots.where(F.col("_anchor").isNotNull()), [schema.key], max_bytes=max_bytes)
+    joined = balanced_join(slim, spots.where(F.col("_anchor").isNotNull()), [schema.key], max_bytes=max_bytes,
+                           right_bytes=anchor_bytes)
     return joined.where(V.in_window("_time", "_anchor", hours)).select(
         entity, F.col("_item").alias("item"), F.col("_time").alias("time"), F.col("_value").alias("value"),
         *schema.extra,
@@ -61,11 +64,15 @@ def events_in_window(events: DataFrame, anchors: DataFrame, items: list, schema:
 
 def item_value(items: list[Item], item: str = "item", value: str = "value") -> Column:
     """The converted value when it is inside its item's range, else NULL."""
-    raw, out = F.col(value), F.lit(None).cast("double")
-    for it in items:
-        ok = (F.col(item) == it.item) & raw.between(it.low, it.high)
-        out = F.when(ok, _CONVERSIONS[it.convert](raw)).otherwise(out)
-    return out
+    return F.expr(_item_case(items, item, value))
+
+
+def _item_case(items: list[Item], item: str, value: str) -> str:
+    v = V.quoted(value)
+    whens = " ".join(
+        f"WHEN {V.quoted(item)} = {V.sql_literal(it.item)} AND {v} BETWEEN {V.sql_literal(it.low)} AND {V.sql_literal(it.high)} "
+        f"THEN {_CONVERSIONS[it.convert].format(v=v)}" for it in items)
+    return f"CASE {whens} END"
 
 
 def _by_feature(items: list[Item]) -> dict[str, list[Item]]:
@@ -77,7 +84,8 @@ def _by_feature(items: list[Item]) -> dict[str, list[Item]]:
 
 def mean_columns(items: list[Item], suffix: str = "_mean", item: str = "item", value: str = "value") -> list[Column]:
     """One conditional mean per feature, in dictionary order; items of one name share a feature."""
-    return [F.avg(item_value(same, item, value)).alias(name + suffix) for name, same in _by_feature(items).items()]
+    return [F.expr(f"avg({_item_case(same, item, value)}) AS {V.quoted(name + suffix)}")
+            for name, same in _by_feature(items).items()]
 
 
 def window_means(events: DataFrame, anchors: DataFrame, items: list[Item], schema: EventSchema = EventSchema(), *,

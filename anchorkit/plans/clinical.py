@@ -12,7 +12,7 @@ from anchorkit.functions import scores as S
 from anchorkit.operators import cohort as co
 from anchorkit.operators.align import band_aligned_min
 from anchorkit.operators.encode import administrative
-from anchorkit.operators.joins import BROADCAST_MAX_BYTES
+from anchorkit.operators.joins import BROADCAST_MAX_BYTES, measured_bytes
 from anchorkit.operators.occupancy import occupancy
 from anchorkit.operators.quality import check_signals
 from anchorkit.operators.windows import EventSchema, events_in_window, precomputed_means, window_means
@@ -45,28 +45,28 @@ def labs(cohort: DataFrame, labevents: DataFrame | None = None, precomputed: Dat
     return window_means(labevents, cohort, I.LABS, LAB, **options)
 
 
-def _drug_rates(inputevents: DataFrame, cohort: DataFrame, hours: int, max_bytes: int) -> DataFrame:
+def _drug_rates(inputevents: DataFrame, cohort: DataFrame, **options) -> DataFrame:
     """Drug rows that start inside the window, also those without a rate (any row counts as 'on')."""
     drugs = [*I.NOREPINEPHRINE, *I.EPINEPHRINE, *I.DOPAMINE, *I.DOBUTAMINE, *I.VASOPRESSIN]
     marked = inputevents.withColumn("_given", F.lit(1.0))
     schema = EventSchema("stay_id", "itemid", "starttime", "_given", ("rate",))
-    rows = events_in_window(marked, cohort, drugs, schema, hours=hours, max_bytes=max_bytes)
+    rows = events_in_window(marked, cohort, drugs, schema, **options)
     return rows.select("stay_id", "item", F.col("rate").cast("double").alias("value"))
 
 
 def severity_signals(cohort: DataFrame, chartevents: DataFrame, labevents: DataFrame, inputevents: DataFrame,
-                     outputevents: DataFrame, hours: int = 24, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+                     outputevents: DataFrame, **options) -> DataFrame:
     """All raw signals of the score per stay.
 
     Each event table is read once for its plain extremes; the four streams are unioned and
     aggregated together, so there is one shuffle of partial rows instead of one per signal.
     """
     window = lambda events, items, schema: events_in_window(
-        events, cohort, items, schema, hours=hours, max_bytes=max_bytes).select("stay_id", "item", "value")
+        events, cohort, items, schema, **options).select("stay_id", "item", "value")
     streams = [
         window(chartevents, [I.SPO2, I.FIO2, *I.PRESSURE], CHART),
         window(labevents, [I.PAO2, I.BILIRUBIN, I.PLATELETS, I.CREATININE], LAB),
-        _drug_rates(inputevents, cohort, hours, max_bytes),
+        _drug_rates(inputevents, cohort, **options),
         window(outputevents, I.URINE, OUTPUT),
     ]
     item, value = F.col("item"), F.col("value")
@@ -92,10 +92,9 @@ def severity_signals(cohort: DataFrame, chartevents: DataFrame, labevents: DataF
     )
 
 
-def coma_minimum(cohort: DataFrame, chartevents: DataFrame, hours: int = 24, tolerance_seconds: int = 1800,
-                 max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+def coma_minimum(cohort: DataFrame, chartevents: DataFrame, tolerance_seconds: int = 1800, **options) -> DataFrame:
     """Lowest sum of eye, verbal and motor readings taken within 30 minutes of the eye reading."""
-    rows = events_in_window(chartevents, cohort, [I.EYE, I.VERBAL, I.MOTOR], CHART, hours=hours, max_bytes=max_bytes)
+    rows = events_in_window(chartevents, cohort, [I.EYE, I.VERBAL, I.MOTOR], CHART, **options)
     return band_aligned_min(rows, entity="stay_id", item="item", time="time", value="value", base=I.EYE,
                             others=[I.VERBAL, I.MOTOR], tolerance_seconds=tolerance_seconds, out="gcs_min")
 
@@ -106,8 +105,10 @@ def severity_score(cohort: DataFrame, chartevents: DataFrame, labevents: DataFra
 
     ``urine_24h`` and ``bilirubin_max`` stay NULL when nothing was measured.
     """
-    signals = severity_signals(cohort, chartevents, labevents, inputevents, outputevents, hours, max_bytes)
-    coma = coma_minimum(cohort, chartevents, hours, max_bytes=max_bytes)
+    options = {"hours": hours, "max_bytes": max_bytes,
+               "anchor_bytes": measured_bytes(cohort.select("stay_id", "hadm_id", "intime"))}
+    signals = severity_signals(cohort, chartevents, labevents, inputevents, outputevents, **options)
+    coma = coma_minimum(cohort, chartevents, **options)
     c = F.col
     scored = cohort.select("stay_id").join(signals, "stay_id", "left").join(coma, "stay_id", "left").select(
         "stay_id",

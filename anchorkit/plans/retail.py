@@ -7,6 +7,8 @@ the feature builds (in and out of range, inside and outside the window).
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,53 +39,89 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _readings(lines: DataFrame, readings: list[tuple], step: int) -> DataFrame:
     """One row per line and reading."""
-    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(item).alias("itemid"), F.lit(low).alias("low"),
-                              F.lit(span).alias("span")) for i, (item, low, span) in enumerate(readings)])
-    minutes = (F.col("l_suppkey") * 37 + F.col("l_partkey") * 11 + F.col("i") * step) % 2160
-    share = ((F.col("l_partkey") * (F.col("i") + 3) + F.col("l_quantity").cast("long")) % 51) / 50.0
-    return lines.select("*", F.inline(rows)).select(
-        F.col("o_custkey").alias("subject_id"), F.col("l_orderkey").alias("hadm_id"),
-        F.col("l_orderkey").alias("stay_id"), "itemid",
-        (F.col("o_orderdate") + F.make_dt_interval(mins=minutes.cast("int"))).alias("charttime"),
-        (F.floor((F.col("low") + share * F.col("span")) * 1000 + 0.5) / 1000.0).alias("valuenum"))
-
-
-def clinical_views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """icustays, patients, admissions, diagnoses_icd, chartevents, labevents, inputevents, outputevents."""
-    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    ends = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("_ship"))
-    stays = orders.join(ends, "o_orderkey").select(
-        F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("hadm_id"),
-        F.col("o_orderkey").alias("stay_id"), F.col("o_orderpriority").alias("first_careunit"),
-        F.col("o_orderstatus").alias("last_careunit"), F.col("o_orderdate").alias("intime"),
+    rows = ", ".join(f"named_struct('i', {i}, 'itemid', {item}, 'low', {low}D, 'span', {span}D)"
+                     for i, (item, low, span) in enumerate(readings))
+    return lines.selectExpr("*", f"inline(array({rows}))").selectExpr(
+        "o_custkey AS subject_id", "l_orderkey AS hadm_id", "l_orderkey AS stay_id", "itemid",
+        f"o_orderdate + make_dt_interval(0, 0, CAST((l_suppkey * 37 + l_partkey * 11 + i * {step}) % 2160 AS INT)) AS charttime",
+        "floor((low + ((l_partkey * (i + 3) + CAST(l_quantity AS BIGINT)) % 51) / 50D * span) * 1000D + 0.5D) / 1000D AS valuenum")
+
+
+def _pick(values: list, index: str) -> str:
+    items = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+    return f"element_at(array({items}), CAST({index} % {len(values)} + 1 AS INT))"
+
+
+_STARTED = "o_orderdate + make_dt_interval(0, 0, CAST((l_suppkey * 53 + l_partkey) % 2160 AS INT))"
+
+
+class ClinicalViews(Mapping):
+    """Table name to DataFrame; a view is planned when it is first asked for."""
+
+    NAMES = ["icustays", "patients", "admissions", "diagnoses_icd", "chartevents", "labevents", "inputevents", "outputevents"]
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.NAMES:
+            raise KeyError(name)
+        if name not in self._built:
+            self._built[name] = getattr(self, "_" + name)()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self.NAMES)
+
+    def __len__(self) -> int:
+        return len(self.NAMES)
+
+    def _lines(self) -> DataFrame:
+        if "lines" not in self._built:
+            orders = table(self.spark, self.sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey", "o_orderdate")
+            self._built["lines"] = table(self.spark, self.sf_dir, "lineitem").join(orders, "l_orderkey")
+        return self._built["lines"]
+
+    def _icustays(self) -> DataFrame:
+        ends = table(self.spark, self.sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("_ship"))
         # Shipping delays of up to years are scaled to stays of up to about five weeks.
-        (F.col("o_orderdate") + F.make_dt_interval(
-            hours=(F.datediff("_ship", "o_orderdate") % 900).cast("int"))).alias("outtime"))
-    patients = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("subject_id"),
-        F.when(F.col("c_nationkey") % 2 == 0, "M").when(F.col("c_nationkey") % 7 == 0, F.lit(None)).otherwise("f").alias("gender"),
-        (10 + F.col("c_custkey") % 80).cast("int").alias("anchor_age"))
-    admissions = orders.select(
-        F.col("o_orderkey").alias("hadm_id"), F.col("o_orderpriority").alias("admission_type"),
-        F.element_at(F.array(*[F.lit(x) for x in LOCATIONS]), (F.col("o_orderkey") % 7 + 1).cast("int")).alias("admission_location"))
-    keyed = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"), "l_orderkey")
-    diagnoses = keyed.select(
-        F.col("o_custkey").alias("subject_id"), F.col("l_orderkey").alias("hadm_id"),
-        F.concat(F.char(65 + F.col("l_partkey") % 26), (F.col("l_suppkey") % 10).cast("string"),
-                 (F.col("l_partkey") % 10).cast("string")).alias("icd_code"),
-        F.when(F.col("l_returnflag") == "A", 9).otherwise(10).alias("icd_version"),
-        F.col("l_linenumber").alias("seq_num"))
-    started = F.col("o_orderdate") + F.make_dt_interval(mins=((F.col("l_suppkey") * 53 + F.col("l_partkey")) % 2160).cast("int"))
-    pick = lambda ids, at: F.element_at(F.array(*[F.lit(x) for x in ids]), (at % len(ids) + 1).cast("int"))
-    inputs = keyed.select(
-        F.col("l_orderkey").alias("stay_id"), pick(DRUGS, F.col("l_partkey")).alias("itemid"),
-        started.alias("starttime"),
-        F.when(F.col("l_tax") > 0.01, F.col("l_discount") * F.col("l_quantity") / 10).alias("rate"))
-    outputs = keyed.select(
-        F.col("l_orderkey").alias("stay_id"), pick(URINE, F.col("l_suppkey")).alias("itemid"),
-        started.alias("charttime"), (F.col("l_quantity") * 12).alias("value"))
-    return {
-        "icustays": stays, "patients": patients, "admissions": admissions, "diagnoses_icd": diagnoses,
-        "chartevents": _readings(keyed, CHART_READINGS, 7), "labevents": _readings(keyed, LAB_READINGS, 29),
-        "inputevents": inputs, "outputevents": outputs,
-    }
+        return table(self.spark, self.sf_dir, "orders").join(ends, "o_orderkey").selectExpr(
+            "o_custkey AS subject_id", "o_orderkey AS hadm_id", "o_orderkey AS stay_id", "o_orderpriority AS first_careunit",
+            "o_orderstatus AS last_careunit", "o_orderdate AS intime",
+            "o_orderdate + make_dt_interval(0, CAST(datediff(_ship, o_orderdate) % 900 AS INT)) AS outtime")
+
+    def _patients(self) -> DataFrame:
+        return table(self.spark, self.sf_dir, "customer").selectExpr(
+            "c_custkey AS subject_id",
+            "CASE WHEN c_nationkey % 2 = 0 THEN 'M' WHEN c_nationkey % 7 = 0 THEN NULL ELSE 'f' END AS gender",
+            "CAST(10 + c_custkey % 80 AS INT) AS anchor_age")
+
+    def _admissions(self) -> DataFrame:
+        return table(self.spark, self.sf_dir, "orders").selectExpr(
+            "o_orderkey AS hadm_id", "o_orderpriority AS admission_type", f"{_pick(LOCATIONS, 'o_orderkey')} AS admission_location")
+
+    def _diagnoses_icd(self) -> DataFrame:
+        return self._lines().selectExpr(
+            "o_custkey AS subject_id", "l_orderkey AS hadm_id",
+            "char(65 + l_partkey % 26) || CAST(l_suppkey % 10 AS STRING) || CAST(l_partkey % 10 AS STRING) AS icd_code",
+            "CASE WHEN l_returnflag = 'A' THEN 9 ELSE 10 END AS icd_version", "l_linenumber AS seq_num")
+
+    def _chartevents(self) -> DataFrame:
+        return _readings(self._lines(), CHART_READINGS, 7)
+
+    def _labevents(self) -> DataFrame:
+        return _readings(self._lines(), LAB_READINGS, 29)
+
+    def _inputevents(self) -> DataFrame:
+        return self._lines().selectExpr(
+            "l_orderkey AS stay_id", f"{_pick(DRUGS, 'l_partkey')} AS itemid", f"{_STARTED} AS starttime",
+            "CASE WHEN l_tax > 0.01D THEN l_discount * l_quantity / 10D END AS rate")
+
+    def _outputevents(self) -> DataFrame:
+        return self._lines().selectExpr(
+            "l_orderkey AS stay_id", f"{_pick(URINE, 'l_suppkey')} AS itemid", f"{_STARTED} AS charttime", "l_quantity * 12 AS value")
+
+
+def clinical_views(spark: SparkSession, sf_dir: str) -> ClinicalViews:
+    return ClinicalViews(spark, sf_dir)
