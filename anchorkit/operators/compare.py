@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from anchorkit.functions import tails
 from anchorkit.functions.values import percent_change
-from anchorkit.operators.joins import balanced_join
+from anchorkit.operators.joins import balanced_join, measured_bytes
 from anchorkit.operators.metrics import CLASS_NAMES
 from anchorkit.operators.running import exact_quantiles, value_ranks
 from anchorkit.session import staged
@@ -152,7 +152,10 @@ def spearman(df: DataFrame, features: list[str], target: str, p_values: bool = F
     pairs = staged(known.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("w")), "pairs")
     rank_of = lambda c: value_ranks(pairs, ["feature"], c, weight="w").select(
         "feature", c, F.col("avg_rank").alias(f"r{c}"))
-    ranked = balanced_join(balanced_join(pairs, rank_of("x"), ["feature", "x"]), rank_of("y"), ["feature", "y"])
+    # A rank table has the distinct values plus one number each.
+    size_of = lambda c: measured_bytes(pairs.select("feature", c, F.lit(0.0).alias("_r")).distinct())
+    with_x = balanced_join(pairs, rank_of("x"), ["feature", "x"], right_bytes=size_of("x"))
+    ranked = balanced_join(with_x, rank_of("y"), ["feature", "y"], right_bytes=size_of("y"))
     w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
     sums = ranked.groupBy("feature").agg(
         F.sum(w).alias("n"), F.sum(w * rx * rx).alias("_xx"), F.sum(w * ry * ry).alias("_yy"),

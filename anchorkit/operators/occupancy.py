@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from anchorkit.checks import require_columns
 from anchorkit.functions.values import micros
-from anchorkit.operators.joins import balanced_join
-from anchorkit.operators.running import running_total
+from anchorkit.operators.joins import balanced_join, measured_bytes
+from anchorkit.operators.running import bucket_of, order_borders, running_total
 from anchorkit.session import staged
 
 
@@ -40,7 +40,8 @@ def occupancy(stays: DataFrame, *, stay: str = "stay_id", unit: str = "first_car
         F.when(F.col("_holds") == 1, change).otherwise(F.slice(change, 1, 1))).alias("_c"))
     at_time = changes.groupBy("_unit", F.col("_c.at").alias("_t")).agg(
         F.sum("_c.delta").alias("_delta"), F.sum("_c.full").alias("_full"), F.sum("_c.empty").alias("_empty"))
-    active = running_total(at_time, ["_unit"], "_t", "_delta", "_active")
+    borders = order_borders(rows, "_t")
+    active = running_total(at_time, ["_unit"], "_t", "_delta", "_active", bucket_of("_t", borders))
     # One cell per (unit, start time, occupies): all its stays share one count.
     cells = active.select("_unit", "_t", F.explode(F.array(
         F.struct(F.lit(1).alias("holds"), (F.col("_active") - 1).alias("others"), F.col("_full").alias("n")),
@@ -57,6 +58,10 @@ def occupancy(stays: DataFrame, *, stay: str = "stay_id", unit: str = "first_car
         F.coalesce(F.try_divide(F.col("_upto") - F.col("_n"), F.col("_size") - 1), F.lit(0.0))
         .alias("occupancy_percentile"),
     )
-    scored = balanced_join(cells.drop("_n"), levels, ["_unit", "_others"])
-    joined = balanced_join(rows.select(stay, "_unit", "_t", "_holds"), scored, ["_unit", "_t", "_holds"])
+    # Sizes are taken from the stored cells: the joined tables have their keys plus two numbers.
+    two = [F.lit(0.0).alias("_r"), F.lit(0.0).alias("_p")]
+    level_bytes = measured_bytes(cells.select("_unit", "_others", *two).distinct())
+    cell_bytes = measured_bytes(cells.select("_unit", "_t", "_holds", "_others", *two))
+    scored = balanced_join(cells.drop("_n"), levels, ["_unit", "_others"], right_bytes=level_bytes)
+    joined = balanced_join(rows.select(stay, "_unit", "_t", "_holds"), scored, ["_unit", "_t", "_holds"], right_bytes=cell_bytes)
     return joined.select(stay, F.col("_others").alias("concurrent_patients"), "occupancy_rate", "occupancy_percentile")

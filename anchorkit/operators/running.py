@@ -87,8 +87,11 @@ def value_ranks(df: DataFrame, by: list[str], value: str, counts: list[Column] |
     names a column saying how many rows one row stands for.
     """
     size = F.sum(weight) if weight else F.count(F.lit(1))
-    tied = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(size.alias("n"), *(counts or []))
-    ranked = running_total(tied, by, value, "n", "_upto")
+    known = df.where(F.col(value).isNotNull())
+    # Borders come from the rows themselves: that pass needs no shuffle.
+    bucket = bucket_of(value, order_borders(known, value))
+    tied = known.groupBy(*by, value).agg(size.alias("n"), *(counts or []))
+    ranked = running_total(tied, by, value, "n", "_upto", bucket)
     return ranked.withColumn("avg_rank", F.col("_upto") - (F.col("n") - 1) / 2.0).drop("_upto")
 
 

@@ -97,10 +97,9 @@ def window_means(events: DataFrame, anchors: DataFrame, items: list[Item], schem
     """
     long = events_in_window(events, anchors, [it.item for it in items], schema, entity=entity, anchor=anchor,
                             hours=hours, max_bytes=max_bytes)
-    means = mean_columns(items)
     # An entity whose readings are all out of range has no mean at all.
-    return long.groupBy(entity).agg(*means).where(
-        F.coalesce(*[F.col(name + "_mean") for name in _by_feature(items)]).isNotNull())
+    return long.groupBy(entity).agg(*mean_columns(items), F.count(item_value(items)).alias("_valid")).where(
+        F.col("_valid") > 0).drop("_valid")
 
 
 def partial_means(long: DataFrame, by: list[str], value: str = "value") -> DataFrame:
