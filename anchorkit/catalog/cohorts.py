@@ -9,7 +9,7 @@ from anchorkit.functions import codes as C
 from anchorkit.functions import values as V
 from anchorkit.operators import cohort as co
 from anchorkit.operators import encode as en
-from anchorkit.plans.retail import clinical_views, table
+from anchorkit.plans.retail import clinical_views, spread, table
 from anchorkit.session import staged
 
 REGISTER = Register()
@@ -132,7 +132,7 @@ PLACE_SQL = """CASE WHEN contains(upper({c}), 'EMERGENCY') THEN 'Emergency Room'
 SELECT doc_id, {TYPE_SQL.format(c='text')} AS kind, {PLACE_SQL.format(c='text')} AS place FROM documents""")
 def text_labels(spark, sf):
     """The substring rules over whole document texts."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", C.admission_type("text").alias("kind"), C.admission_location("text").alias("place"))
 
 

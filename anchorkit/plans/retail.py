@@ -37,6 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan has fewer splits than cores (one small file, say).
+
+    A scan of many splits passes unchanged: nothing is shuffled for balance at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _readings(lines: DataFrame, readings: list[tuple], step: int) -> DataFrame:
     """One row per line and reading."""
     rows = ", ".join(f"named_struct('i', {i}, 'itemid', {item}, 'low', {low}D, 'span', {span}D)"
@@ -80,7 +89,7 @@ class ClinicalViews(Mapping):
     def _lines(self) -> DataFrame:
         if "lines" not in self._built:
             orders = table(self.spark, self.sf_dir, "orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey", "o_orderdate")
-            self._built["lines"] = table(self.spark, self.sf_dir, "lineitem").join(orders, "l_orderkey")
+            self._built["lines"] = spread(table(self.spark, self.sf_dir, "lineitem")).join(orders, "l_orderkey")
         return self._built["lines"]
 
     def _icustays(self) -> DataFrame:
