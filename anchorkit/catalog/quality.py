@@ -39,9 +39,11 @@ def signal_profile(spark, sf):
     return qu.signal_profile(_nulled(spark, sf), [*NULLED, "absent"])
 
 
-@REGISTER("severity_constant_check")
-def severity_constant_check(spark, sf):
-    """Dead columns by name; text differs per engine, so rows only."""
+@REGISTER("dead_signals", f"WITH t AS ({_NULLED_SQL}) " + " UNION ALL ".join(
+    [f"SELECT '{c}: all missing' AS dead FROM t HAVING count({c}) = 0" for c in "abfe"]
+    + [f"SELECT '{c}: constant' FROM t HAVING count(DISTINCT {c}) = 1" for c in "abf"] + ["SELECT 'absent: absent'"]))
+def dead_signals(spark, sf):
+    """Columns without any signal, by name and reason."""
     dead = qu.check_signals(_nulled(spark, sf), ["a", "b", "f"], ["e", "absent"], strict=False)
     return spark.createDataFrame([(d,) for d in dead], "dead string")
 

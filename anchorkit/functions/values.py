@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,10 +15,12 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def sql_literal(value: int | float | str) -> str:
+def sql_literal(value: int | float | Decimal | str) -> str:
     """A number or text as SQL; doubles keep their type."""
     if isinstance(value, str):
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, Decimal):
+        return f"{value}BD"
     return f"{value!r}D" if isinstance(value, float) else str(value)
 
 

@@ -7,10 +7,13 @@ the totals of the earlier buckets are added. Bucket borders steer balance only,
 
 from __future__ import annotations
 
+from math import isfinite
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from anchorkit.functions.values import hash_bucket, quoted, sql_literal
 from anchorkit.session import shuffle_width
 
 _MAX_BUCKETS = 4096
@@ -25,24 +28,18 @@ def order_borders(df: DataFrame, order: str, buckets: int | None = None) -> list
         return []
     probs = [i / n for i in range(1, n)]
     found = df.agg(F.percentile_approx(order, probs, max(1000, 20 * n)).alias("b")).first()["b"]
-    return sorted(set(found or []))
+    return sorted({b for b in found or [] if not isinstance(b, float) or isfinite(b)})
 
 
 def bucket_of(order: str, borders: list) -> Column:
     """Number of borders at or below the value, by binary search over a literal array."""
     if not borders:
         return F.lit(0)
-    array = F.array(*[F.lit(b) for b in borders])
-    step, steps = 1, []
-    while step <= len(borders):
-        steps.append(step)
-        step *= 2
-    value = F.col(order)
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in reversed(steps)]),
-        F.lit(0),
-        lambda low, s: F.when(F.get(array, low + s - 1) <= value, low + s).otherwise(low),
-    )
+    steps = [1 << i for i in reversed(range(len(borders).bit_length()))]
+    array = "array(" + ", ".join(sql_literal(b) for b in borders) + ")"
+    return F.expr(
+        f"aggregate(array({', '.join(map(str, steps))}), 0, (low, step) -> "
+        f"CASE WHEN get({array}, low + step - 1) <= {quoted(order)} THEN low + step ELSE low END)")
 
 
 def running_total(df: DataFrame, by: list[str], order: str, weight: str, out: str = "running",
@@ -100,8 +97,6 @@ def hash_ranks(df: DataFrame, by: list[str], hashed: str, ties: list[str], out:
 
     The leading digits of the hash are the bucket, so even one group of all rows is spread.
     """
-    from anchorkit.functions.values import hash_bucket
-
     weighted = df.withColumn("_one", F.lit(1).cast("long"))
     return running_total(weighted, by, hashed, "_one", out, hash_bucket(F.col(hashed)), ties).drop("_one")
 
