@@ -37,7 +37,8 @@ def hot_keys(df: DataFrame, keys: list[str]) -> list[tuple]:
 
 def _is_hot(keys: list[str], hot: list[tuple]):
     if len(keys) == 1:
-        return F.col(keys[0]).isin([h[0] for h in hot if h[0] is not None])
+        listed = F.col(keys[0]).isin([h[0] for h in hot if h[0] is not None])
+        return listed | F.col(keys[0]).isNull() if (None,) in hot else listed
     tests = [
         reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, h)]) for h in hot
     ]

@@ -98,7 +98,8 @@ def hash_ranks(df: DataFrame, by: list[str], hashed: str, ties: list[str], out:
     The leading digits of the hash are the bucket, so even one group of all rows is spread.
     """
     weighted = df.withColumn("_one", F.lit(1).cast("long"))
-    return running_total(weighted, by, hashed, "_one", out, hash_bucket(F.col(hashed)), ties).drop("_one")
+    digits = 3 if shuffle_width(df.sparkSession) <= 1024 else 4
+    return running_total(weighted, by, hashed, "_one", out, hash_bucket(F.col(hashed), digits), ties).drop("_one")
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,

@@ -45,6 +45,30 @@ def test_balanced_join_two_keys_and_bad_how(spark):
         joins.balanced_join(left, right, ["a"], "outer")
 
 
+def test_hot_missing_key_stays_in_a_left_join(spark):
+    left = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.col("id") % 400).alias("k"), "id")
+    right = spark.range(0, 400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    assert joins.hot_keys(left.select("k"), ["k"]) == [(None,)]
+    got = joins.balanced_join(left, right, ["k"], "left", max_bytes=0)
+    assert got.count() == 40_000 and got.where("v IS NULL").count() == 20_000
+    assert joins.balanced_join(left, right, ["k"], max_bytes=0).count() == 20_000
+
+
+def test_hot_entity_window_means(spark):
+    """A third of all events in one entity: broadcast, hybrid and plain aggregation agree."""
+    from anchorkit.operators.windows import EventSchema, Item, window_means
+
+    events = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 997).cast("long").alias("stay_id"), (F.col("id") % 3).cast("int").alias("itemid"),
+        F.expr("timestamp_ntz'2020-01-01' + make_dt_interval(0, CAST(id % 40 AS INT))").alias("charttime"),
+        (F.col("id") % 101).cast("double").alias("valuenum"))
+    anchors = spark.range(0, 900).select(F.col("id").alias("stay_id"), F.expr("timestamp_ntz'2020-01-01 05:00:00'").alias("intime"))
+    items = [Item(0, "a", 10, 90), Item(1, "b", 0, 100), Item(2, "c", 50, 60)]
+    run = lambda **o: rows(window_means(events, anchors, items, EventSchema(), **o).select(
+        "stay_id", *[F.round(f"{n}_mean", 9) for n in "abc"]))
+    assert run() == run(max_bytes=0)
+
+
 def test_measured_bytes_counts_text(spark):
     assert joins.measured_bytes(spark.createDataFrame([("x" * 1000,)], "a string")) >= 1000
     assert joins.measured_bytes(spark.createDataFrame([], "a string")) == 0
