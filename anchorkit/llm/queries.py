@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorkit.llm import licences, quality_rules, sharding
+from anchorkit.llm import html_text, licences, quality_rules, sharding
 from anchorkit.llm import sql as oracle
 from anchorkit.session import staged
 
@@ -26,6 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query()
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query(oracle.LICENCES)
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, digest of the canonical text, licence of the whole text, licences of notice lines."""
