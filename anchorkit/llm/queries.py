@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorkit.llm import html_text, licences, quality_rules, sharding
+from anchorkit.llm import html_text, licences, quality_rules, sharding, token_counts
 from anchorkit.llm import sql as oracle
 from anchorkit.session import staged
 
@@ -33,6 +34,15 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query()
+def op3_token_counts(spark: SparkSession, sf_dir: str, definition: str | None = None) -> DataFrame:
+    """Bytes and tokens of every document; documents over 1,024 tokens are marked."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts.count_tokens(docs, definition or public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
+                      (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 @query(oracle.LICENCES)
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, digest of the canonical text, licence of the whole text, licences of notice lines."""
