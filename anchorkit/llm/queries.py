@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorkit.llm import html_text, licences, quality_rules, sharding, token_counts
+from anchorkit.llm import html_text, licences, piece_spans, quality_rules, sharding, token_counts
 from anchorkit.llm import sql as oracle
 from anchorkit.session import staged
 
@@ -59,6 +59,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def piece_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """Counts and digests of the pieces of every text, from the operator's ids, spans and decoded texts."""
+    out = piece_spans.encode_decode(docs.select("doc_id", "text"), model or public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select(
+        "doc_id", F.size("pieces.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("pieces.ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("pieces.decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.coalesce(F.element_at("pieces.ends", -1), F.lit(0)).cast("long").alias("source_bytes"))
+
+
+@query()
+def op9_piece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding with the end id and decoding of every document; ``source_bytes`` is where the last span ends."""
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards whose row counts are at most one apart (law ``rows``)."""
