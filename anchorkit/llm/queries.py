@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorkit.llm import html_text, licences, piece_spans, quality_rules, sharding, token_counts
+from anchorkit.llm import html_text, licences, piece_spans, quality_rules, sharding, simhash, token_counts
 from anchorkit.llm import sql as oracle
 from anchorkit.session import staged
 
@@ -43,6 +43,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str, definition: str | None =
                       (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+@query()
+def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of 3-word shingles and the group linked at 3 or fewer differing bits."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query(oracle.LICENCES)
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, digest of the canonical text, licence of the whole text, licences of notice lines."""
