@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorkit.llm import html_text, licences, piece_spans, quality_rules, sharding, simhash, token_counts
+from anchorkit.llm import decontamination, html_text, licences, piece_spans, quality_rules, sharding, simhash, token_counts
 from anchorkit.llm import sql as oracle
 from anchorkit.session import staged
 
@@ -66,6 +66,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query()
+def op7_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and benchmark items that overlap, with the best stretch."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.overlaps(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "equal", "length", "begin", "places")
+
+
 def piece_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
     """Counts and digests of the pieces of every text, from the operator's ids, spans and decoded texts."""
     out = piece_spans.encode_decode(docs.select("doc_id", "text"), model or public_tokenizers.path("piece_bpe_32k.model"))
