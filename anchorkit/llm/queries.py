@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorkit.llm import decontamination, html_text, licences, piece_spans, quality_rules, sharding, simhash, token_counts
+from anchorkit.llm import decontamination, html_text, licences, piece_spans, quality_rules, sharding, simhash, token_counts, weak_quality
 from anchorkit.llm import sql as oracle
 from anchorkit.session import staged
 
@@ -74,6 +74,14 @@ def op7_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "equal", "length", "begin", "places")
 
 
+@query()
+def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the scorer taught by weak labels, and whether the document is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorers, _ = weak_quality.learn(docs, table(spark, sf_dir, "labels"))
+    return weak_quality.score(docs, scorers).select("doc_id", "scores.good", "scores.abusive", "scores.kept")
+
+
 def piece_digests(docs: DataFrame, model: str | None = None) -> DataFrame:
     """Counts and digests of the pieces of every text, from the operator's ids, spans and decoded texts."""
     out = piece_spans.encode_decode(docs.select("doc_id", "text"), model or public_tokenizers.path("piece_bpe_32k.model"))
