@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorkit.llm import decontamination, html_text, licences, piece_spans, quality_rules, sharding, simhash, token_counts, weak_quality
+from anchorkit.llm import decontamination, html_text, licences, ngram_trie, piece_spans, quality_rules, sharding, simhash, token_counts, weak_quality
 from anchorkit.llm import sql as oracle
 from anchorkit.session import staged
 
@@ -27,6 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@query()
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the model of those whose remainder isn't 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
+    docs = docs.withColumn("held_out", F.crc32(name) % 7 == 2)
+    model = ngram_trie.train(docs.where(~F.col("held_out")))
+    return ngram_trie.score(docs, model).select(
+        "doc_id", "held_out", "lm.n_tokens", "lm.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "lm.base_score", "lm.score")
+
+
 @query()
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
