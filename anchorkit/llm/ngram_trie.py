@@ -79,9 +79,8 @@ def _uri(path: str) -> str:
 def _blob(arrays: dict[str, np.ndarray]) -> bytes:
     """Arrays with their bytes in planes, compressed; sorted ones as differences."""
     out = io.BytesIO()
-    planes = {k: (np.diff(v, prepend=v[:1] * 0) if k == "context" else v) for k, v in arrays.items()}
-    for v in planes.values():
-        v = np.ascontiguousarray(v)
+    for k, v in arrays.items():
+        v = np.ascontiguousarray(np.diff(v, prepend=v[:1] * 0) if k == "context" else v)
         raw = v.view(np.uint8).reshape(len(v), v.itemsize).T.tobytes() if len(v) else b""
         packed = pa.compress(raw, "zstd", asbytes=True) if raw else b""
         out.write(len(raw).to_bytes(8, "little") + len(packed).to_bytes(8, "little") + packed)
@@ -227,13 +226,14 @@ def _count_triples(model: Model):
                 own = order[edges[s]:edges[s + 1]]
                 if len(own):
                     context, sizes = _by_context(key[own])
-                    yield _row(s, "triples", {"context": context, "size": sizes.astype(np.uint32), "word": word[own], "count": count[own]})
+                    yield _row(s, "triples", {"context": context, "size": sizes.astype(np.uint32), "word": word[own],
+                                                "count": count[own].astype(np.uint32)})
 
         for batch in batches:
             for part in slices(batch.column(0)):
                 number, _, bounds = _numbers(words, part)
                 a, b = number[:-1].astype(np.uint64), number[1:].astype(np.uint64)
-                last = np.append(number[2:] + 1, 0).astype(np.uint32)
+                last = np.append(number[2:] + 1, 0).astype(np.uint32)[:len(a)]
                 ends = bounds[1:] - 1
                 last[ends[ends >= 1] - 1] = 0  # nothing follows the end token
                 inside = np.ones(len(a), bool)
@@ -294,14 +294,16 @@ def _sum_triples(model: Model):
 # ---- levels
 
 def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """8-bit codes and their values: the means of 256 runs of equal number of entries."""
+    """8-bit codes and their values: 256 equal steps from least to most, each standing for the mean of what it holds.
+
+    No value is off by more than a step, and their sum isn't off at all.
+    """
     if not len(values):
         return np.zeros(0, np.uint8), np.zeros(1, np.float64)
-    edges = np.unique(np.quantile(values, np.linspace(0, 1, 257)[1:-1]))
-    codes = np.searchsorted(edges, values, side="left").astype(np.uint8)
+    low, span = values.min(), np.ptp(values)
+    codes = np.minimum((values - low) * (256 / span) if span > 0 else values * 0, 255).astype(np.uint8)
     n = np.bincount(codes, minlength=256)
-    means = np.bincount(codes, weights=values, minlength=256) / np.maximum(n, 1)
-    return codes, means
+    return codes, np.bincount(codes, weights=values, minlength=256) / np.maximum(n, 1)
 
 
 def _add_one(count: np.ndarray, model: Model) -> np.ndarray:
