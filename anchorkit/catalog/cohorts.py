@@ -61,14 +61,14 @@ def demographic_flags(spark, sf):
     return co.demographics(co.select_cohort(views["icustays"], views["patients"]))
 
 
-CHAPTER_SQL = """CASE
-  WHEN regexp_matches({c}, '^[AB]') THEN 1 WHEN regexp_matches({c}, '^C|^D[0-4]') THEN 2
-  WHEN regexp_matches({c}, '^D[5-8]') THEN 3 WHEN regexp_matches({c}, '^E') THEN 4
-  WHEN regexp_matches({c}, '^F') THEN 5 WHEN regexp_matches({c}, '^G') THEN 6
-  WHEN regexp_matches({c}, '^H[0-5]') THEN 7 WHEN regexp_matches({c}, '^H[6-9]') THEN 8
-  WHEN regexp_matches({c}, '^[I-R]') THEN ascii({c}) - 64
-  WHEN regexp_matches({c}, '^[ST]') THEN 19 WHEN regexp_matches({c}, '^[VWXY]') THEN 20
-  WHEN regexp_matches({c}, '^Z') THEN 21 WHEN regexp_matches({c}, '^U') THEN 22 ELSE 0 END"""
+# Half-open ranges of codes (their first characters) and chapters; other codes are chapter 0.
+CHAPTER_RANGES = [
+    ("A", "C", 1), ("C", "D", 2), ("D0", "D5", 2), ("D5", "D9", 3), ("E", "F", 4), ("F", "G", 5), ("G", "H", 6), ("H0", "H6", 7),
+    ("H6", "H:", 8), ("I", "J", 9), ("J", "K", 10), ("K", "L", 11), ("L", "M", 12), ("M", "N", 13), ("N", "O", 14), ("O", "P", 15),
+    ("P", "Q", 16), ("Q", "R", 17), ("R", "S", 18), ("S", "U", 19), ("U", "V", 22), ("V", "Z", 20), ("Z", "[", 21),
+]
+CHAPTER_SQL = ("coalesce((SELECT max(chapter) FROM (VALUES " + ", ".join(map(str, CHAPTER_RANGES))
+               + ") AS r(low, high, chapter) WHERE {c} >= low AND {c} < high), 0)")
 
 
 @REGISTER("code_chapters", f"""
@@ -118,14 +118,20 @@ def segment_one_hot(spark, sf):
     return customers.select("c_custkey", *en.one_hot("c_mktsegment", en.levels_of(customers, "c_mktsegment"), "seg"))
 
 
-TYPE_SQL = """CASE WHEN contains(upper({c}), 'ELECTIVE') OR contains(upper({c}), 'SURGICAL SAME DAY') THEN 'Elective'
-  WHEN contains(upper({c}), 'URGENT') THEN 'Urgent'
-  WHEN contains(upper({c}), 'EMER') OR contains(upper({c}), 'EW ') THEN 'Emergency' ELSE 'Other' END"""
-PLACE_SQL = """CASE WHEN contains(upper({c}), 'EMERGENCY') THEN 'Emergency Room'
-  WHEN contains(upper({c}), 'SNF') OR contains(upper({c}), 'SKILLED') THEN 'Transfer from SNF'
-  WHEN contains(upper({c}), 'TRANSFER') OR contains(upper({c}), 'HOSPITAL') THEN 'Transfer from Hospital'
-  WHEN contains(upper({c}), 'CLINIC') THEN 'Clinic Referral' WHEN contains(upper({c}), 'PHYSICIAN') THEN 'Physician Referral'
-  WHEN contains(upper({c}), 'WALK') OR contains(upper({c}), 'SELF') THEN 'Walk-in/Self Referral' ELSE 'Other' END"""
+# Fixed values: (place, label, text); of the texts that occur in the upper-cased input the first place names the label.
+TYPE_TEXTS = [(1, "Elective", "ELECTIVE"), (1, "Elective", "SURGICAL SAME DAY"), (2, "Urgent", "URGENT"), (3, "Emergency", "EMER"),
+              (3, "Emergency", "EW ")]
+PLACE_TEXTS = [(1, "Emergency Room", "EMERGENCY"), (2, "Transfer from SNF", "SNF"), (2, "Transfer from SNF", "SKILLED"),
+               (3, "Transfer from Hospital", "TRANSFER"), (3, "Transfer from Hospital", "HOSPITAL"), (4, "Clinic Referral", "CLINIC"),
+               (5, "Physician Referral", "PHYSICIAN"), (6, "Walk-in/Self Referral", "WALK"), (6, "Walk-in/Self Referral", "SELF")]
+
+
+def _first_text(rules):
+    return ("coalesce((SELECT arg_min(label, place) FROM (VALUES " + ", ".join(map(str, rules))
+            + ") AS r(place, label, part) WHERE contains(upper({c}), part)), 'Other')")
+
+
+TYPE_SQL, PLACE_SQL = _first_text(TYPE_TEXTS), _first_text(PLACE_TEXTS)
 
 
 @REGISTER("text_labels", f"""

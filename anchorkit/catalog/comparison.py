@@ -76,6 +76,14 @@ def regression_metrics(spark, sf):
     return round_doubles(me.regression_metrics(_preds(spark, sf), ["model"], "y", "base"))
 
 
+@REGISTER("metrics_with_missing_group", f"WITH {_P.replace('l_returnflag AS model', 'CASE WHEN l_linenumber > 2 THEN l_returnflag END AS model')} {_reg('base')}")
+def metrics_with_missing_group(spark, sf):
+    """Lines without a model are a group."""
+    preds = table(spark, sf, "lineitem").selectExpr(*[
+        f"{'CASE WHEN l_linenumber > 2 THEN l_returnflag END' if n == 'model' else e} AS {n}" for n, e in PREDS.items()])
+    return round_doubles(me.regression_metrics(preds, ["model"], "y", "base"))
+
+
 REG = ["MAE", "RMSE", "R2", "MAPE", "MedianAE"]
 
 
@@ -123,9 +131,31 @@ def paired_statistics(spark, sf):
     return round_doubles(cp.paired_statistics(errors, ["model"]))
 
 
-@REGISTER("paired_tests")
+#: Simpson's rule over 4,000 steps: ``i`` and its weight.
+_GRID = "grid AS (SELECT i, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 12000.0::DOUBLE AS s FROM generate_series(0, 4000) g(i))"
+
+
+def _normal_p(source: str, z: str) -> str:
+    """(model, p): two-sided normal tail, by integrating the density from 0 to |z|."""
+    return (f"SELECT model, greatest(0, 1 - 2 * sum(s * exp(-0.5::DOUBLE * (least(abs(z), 12) * i / 4000) ** 2)) * least(abs(z), 12) / sqrt(2 * pi())) AS p "
+            f"FROM (SELECT model, {z} AS z FROM {source}), grid GROUP BY model, z")
+
+
+def _student_p(source: str, key: str, t: str, free: str) -> str:
+    """(key, p): two-sided Student tail; with t = sqrt(v) tan(a) the density is a power of cos(a)."""
+    return (f"SELECT {key}, greatest(0, 1 - 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(pi()) * a * sum(s * cos(a * i / 4000) ** (v - 1))) AS p "
+            f"FROM (SELECT {key}, ({free})::DOUBLE AS v, atan(abs({t}) / sqrt({free})) AS a FROM {source}), grid GROUP BY {key}, v, a")
+
+
+@REGISTER("paired_tests", _PAIRED + f""", {_GRID}, pt AS ({_student_p("m", "model", "t", "n - 1")}), pd AS ({_normal_p("m", "dm")}),
+pw AS ({_normal_p("w", "(w - nn * (nn + 1) / 4.0::DOUBLE) / sqrt((nn::DOUBLE * (nn + 1) * (2 * nn + 1) - tie / 2) / 24)")})
+SELECT m.model, n, round(mean_e0, 6) AS mean_e0, round(mean_e1, 6) AS mean_e1, round(t, 6) AS paired_t_stat, round(pt.p, 6) AS paired_t_p,
+  round(w, 6) AS wilcoxon_stat, round(pw.p, 6) AS wilcoxon_p, round(dm, 6) AS dm_stat, round(pd.p, 6) AS dm_p_value,
+  round(0.05::DOUBLE / 3, 6) AS corrected_alpha,
+  CASE WHEN mean_e1 < mean_e0 AND pw.p < 0.05::DOUBLE / 3 THEN 'candidate_improved' ELSE 'not_significant' END AS conclusion
+FROM m JOIN w ON m.model = w.model JOIN pt ON pt.model = m.model JOIN pd ON pd.model = m.model JOIN pw ON pw.model = m.model""")
 def paired_tests(spark, sf):
-    """With p-values and conclusion; DuckDB has no distribution tails, so rows only."""
+    """With p-values and conclusion."""
     errors = cp.paired_errors(_preds(spark, sf), "y", "base", "cand")
     return round_doubles(cp.paired_tests(errors, ["model"], n_models=3))
 
@@ -139,7 +169,14 @@ def class_ablation(spark, sf):
     return round_doubles(cp.class_ablation(_preds(spark, sf), "y_true", "y_base", "y_cand", p_values=False))
 
 
-@REGISTER("class_sign_tests")
+@REGISTER("class_sign_tests", f"""
+WITH {_P}, r AS (SELECT y_true, avg((y_base = y_true)::INT) AS r0, avg((y_cand = y_true)::INT) AS r1,
+  count(*) FILTER (y_cand = y_true AND y_base <> y_true) AS wins, count(*) FILTER (y_base = y_true AND y_cand <> y_true) AS losses FROM p GROUP BY y_true),
+tails AS (SELECT y_true, least(1, 2 * sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) - n * ln(2)))) AS p
+          FROM (SELECT y_true, wins + losses AS n, unnest(range(0, least(wins, losses) + 1)) AS j FROM r) WHERE n > 0 GROUP BY y_true)
+SELECT CASE r.y_true WHEN 0 THEN 'Short' WHEN 1 THEN 'Medium' ELSE 'Long' END AS "class", round(2 * r0 / (1 + r0), 6) AS baseline_f1,
+  round(2 * r1 / (1 + r1), 6) AS candidate_f1, round(2 * r1 / (1 + r1) - 2 * r0 / (1 + r0), 6) AS delta_f1, wins, losses, round(p, 6) AS p_value
+FROM r LEFT JOIN tails ON tails.y_true = r.y_true""")
 def class_sign_tests(spark, sf):
     return round_doubles(cp.class_ablation(_preds(spark, sf), "y_true", "y_base", "y_cand"))
 
@@ -173,7 +210,10 @@ def spearman_table(spark, sf):
     return round_doubles(cp.spearman(lines, FEATURES, "y"))
 
 
-@REGISTER("spearman_ranked")
+@REGISTER("spearman_ranked", "WITH l AS (SELECT l_extendedprice, l_discount, l_tax, l_suppkey, l_quantity AS y FROM lineitem), c AS ("
+          + " UNION ALL ".join(_corr(c).replace("round(corr(rx, ry), 6)", "corr(rx, ry)") for c in ("l_extendedprice", "l_discount", "l_tax", "l_suppkey"))
+          + f"), {_GRID}, pt AS ({_student_p('c', 'feature', 'spearman_r * sqrt((n - 2) / (1 - spearman_r * spearman_r))', 'n - 2')}) "
+          "SELECT c.feature, round(spearman_r, 6) AS spearman_r, n, round(p, 6) AS p_value FROM c JOIN pt ON pt.feature = c.feature")
 def spearman_ranked(spark, sf):
     """With p-values, strongest first."""
     lines = table(spark, sf, "lineitem").select("l_extendedprice", "l_discount", "l_tax", "l_suppkey", F.col("l_quantity").alias("y"))

@@ -53,31 +53,33 @@ SELECT {a}::DOUBLE AS alpha, round(covar_pop(l_extendedprice, l_quantity) * coun
   round(avg(l_extendedprice) - avg(l_quantity) * covar_pop(l_extendedprice, l_quantity) * count(*) / (var_pop(l_quantity) * count(*) + {a}), 2) AS intercept
 FROM lineitem""" for a in (0.1, 100.0, 1000000.0)))
 def ridge_fits(spark, sf):
-    data = mo.assembled(table(spark, sf, "lineitem").withColumn("label", F.col("l_extendedprice")), ["l_quantity"], ["l_orderkey", "label"])
-    rows = []
+    data = staged(mo.assembled(table(spark, sf, "lineitem").withColumn("label", F.col("l_extendedprice")), ["l_quantity"],
+                               ["l_orderkey", "label"]), "lines")
+    rows, shape = [], mo.data_shape(data)
     for alpha in (0.1, 100.0, 1000000.0):
-        model, _ = mo.fit_best("ridge", "stage2", data, key="l_orderkey", grid={"alpha": [alpha]})
+        model, _ = mo.fit_best("ridge", "stage2", data, key="l_orderkey", grid={"alpha": [alpha]}, shape=shape)
         rows.append((alpha, round(float(model.coefficients[0]), 4), round(float(model.intercept), 2)))
     return spark.createDataFrame(rows, "alpha double, slope double, intercept double")
 
 
-SMALL = {
-    "logistic_regression": {"C": [1.0]}, "random_forest": {"n_estimators": [20], "max_depth": [5], "min_samples_leaf": [5]},
-    "boosting": {"n_estimators": [10], "max_depth": [3], "learning_rate": [0.1], "subsample": [0.8]},
-    "gradient_boosting": {"n_estimators": [10], "max_depth": [3], "learning_rate": [0.1]},
-    "svm": {"C": [1.0]}, "mlp": {"hidden_layer_sizes": [(16, 8)]}, "linear_regression": {}, "ridge": {"alpha": [1.0]},
-    "huber": {"epsilon": [1.35], "alpha": [0.0001]},
-}
+def _training(parts):
+    """Train and validation rows together, as the workflow trains."""
+    return staged(parts["train"].unionByName(parts["val"]), "training")
+
+
+#: The first point of each default grid.
+POINTS = {stage: {name: {k: [v[0]] for k, v in grid.items()} for name, grid in grids.items()}
+          for stage, grids in (("stage1", mo.STAGE1_GRIDS), ("stage2", mo.STAGE2_GRIDS))}
 
 
 @REGISTER("classifier_scores")
 def classifier_scores(spark, sf):
-    """Balanced classifiers on the train split, scored on the test split."""
+    """Balanced classifiers on the train and validation splits, scored on the test split."""
     parts = _matrices(spark, sf, "classification")
-    train = staged(mo.weighted(parts["train"]), "weighted")
-    preds = None
-    for name in ("logistic_regression", "random_forest", "boosting", "svm", "mlp"):
-        model, _ = mo.fit_best(name, "stage1", train, key="o_orderkey", grid=SMALL[name], weight="weight")
+    train = staged(mo.weighted(_training(parts)), "weighted")
+    preds, shape = None, mo.data_shape(train)
+    for name in mo.STAGE1_GRIDS:
+        model, _ = mo.fit_best(name, "stage1", train, key="o_orderkey", grid=POINTS["stage1"][name], weight="weight", shape=shape)
         one = mo.class_predictions(model, parts["test"], key="o_orderkey").withColumn("model", F.lit(name))
         preds = one if preds is None else preds.unionByName(one)
     preds = staged(preds, "predictions")
@@ -89,9 +91,10 @@ def classifier_scores(spark, sf):
 def regressor_scores(spark, sf):
     """Regressors of the log target, scored in days on the test split."""
     parts = _matrices(spark, sf, "regression")
-    preds = None
-    for name in ("linear_regression", "ridge", "huber", "random_forest", "gradient_boosting"):
-        model, _ = mo.fit_best(name, "stage2", parts["train"], key="o_orderkey", grid=SMALL[name])
+    train, preds = _training(parts), None
+    shape = mo.data_shape(train)
+    for name in mo.STAGE2_GRIDS:
+        model, _ = mo.fit_best(name, "stage2", train, key="o_orderkey", grid=POINTS["stage2"][name], shape=shape)
         one = mo.day_predictions(model, parts["test"], key="o_orderkey").withColumn("model", F.lit(name))
         preds = one if preds is None else preds.unionByName(one)
     return round_doubles(me.regression_metrics(staged(preds, "predictions"), ["model"], "y_true_days", "y_pred_days"))
@@ -100,31 +103,32 @@ def regressor_scores(spark, sf):
 @REGISTER("grid_search")
 def grid_search(spark, sf):
     """Macro-F1 grid over stratified folds; the chosen setting."""
-    train = _matrices(spark, sf, "classification")["train"]
-    folds = mo.stage_folds(train, "stage1", key="o_orderkey", folds=3)
-    _, best = mo.fit_best("logistic_regression", "stage1", train, key="o_orderkey", grid={"C": [0.01, 1.0]}, folds=folds)
+    train = staged(mo.weighted(_training(_matrices(spark, sf, "classification"))), "weighted")
+    folds = mo.stage_folds(train, "stage1", key="o_orderkey")
+    _, best = mo.fit_best("logistic_regression", "stage1", train, key="o_orderkey", grid=mo.STAGE1_GRIDS["logistic_regression"],
+                          folds=folds, weight="weight")
     return spark.createDataFrame([("logistic_regression", float(best["C"]))], "model string, c double")
 
 
 @REGISTER("fold_scores")
 def fold_scores(spark, sf):
-    train = _matrices(spark, sf, "regression")["train"]
-    folds = mo.stage_folds(train, "stage2", key="o_orderkey", folds=3)
+    train = _training(_matrices(spark, sf, "regression"))
+    folds = mo.stage_folds(train, "stage2", key="o_orderkey")
     return round_doubles(mo.cross_validated(["linear_regression", "ridge"], "stage2", train, folds, key="o_orderkey"))
 
 
 @REGISTER("tree_importances")
 def tree_importances(spark, sf):
-    train = _matrices(spark, sf, "regression")["train"]
-    model, _ = mo.fit_best("random_forest", "stage2", train, key="o_orderkey", grid=SMALL["random_forest"])
+    train = _training(_matrices(spark, sf, "regression"))
+    model, _ = mo.fit_best("random_forest", "stage2", train, key="o_orderkey", grid=POINTS["stage2"]["random_forest"])
     return round_doubles(mo.importances(model, FEATURES, 20))
 
 
 @REGISTER("permutation_importances")
 def permutation_importances(spark, sf):
     parts = _matrices(spark, sf, "regression")
-    model, _ = mo.fit_best("linear_regression", "stage2", parts["train"], key="o_orderkey")
-    return round_doubles(mo.permutation_importance(model, parts["test"], FEATURES, key="o_orderkey", repeats=5, focus=["price"]))
+    model, _ = mo.fit_best("linear_regression", "stage2", _training(parts), key="o_orderkey")
+    return round_doubles(mo.permutation_importance(model, parts["test"], FEATURES, key="o_orderkey", focus=["price"]))
 
 
 @REGISTER("learning_curve")
@@ -135,6 +139,5 @@ def learning_curve(spark, sf):
 
     narrow = VectorSlicer(inputCol="features", outputCol="part", indices=[0, 1]).transform(full).select(
         "o_orderkey", "label", F.col("part").alias("features"))
-    points = mo.learning_curve("linear_regression", {"baseline": narrow, "extended": full}, key="o_orderkey",
-                               shares=(0.3, 1.0), folds=3)
+    points = mo.learning_curve("linear_regression", {"baseline": narrow, "extended": full}, key="o_orderkey")
     return round_doubles(mo.curve_summary(points))

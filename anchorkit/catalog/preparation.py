@@ -40,15 +40,47 @@ def plain_folds(spark, sf):
     return pr.plain_folds(table(spark, sf, "orders"), key="o_orderkey", seed=7)
 
 
+def _seats(cap: int, src: str, label: str) -> str:
+    """(class, quota): a seat per class, the rest by largest remainder in whole numbers; NULL is a class."""
+    return f"""seats AS (SELECT class, 1 + base + (row_number() OVER (ORDER BY rest DESC, class NULLS FIRST) <= {cap} - sum(1 + base) OVER ())::INT AS quota
+  FROM (SELECT class, (n - 1) * ({cap} - count(*) OVER ()) // (sum(n) OVER () - count(*) OVER ()) AS base,
+               (n - 1) * ({cap} - count(*) OVER ()) % (sum(n) OVER () - count(*) OVER ())::BIGINT AS rest
+        FROM (SELECT {label} AS class, count(*) AS n FROM {src} GROUP BY 1)))"""
+
+
 @REGISTER("capped_training_rows", f"""
-SELECT o_orderkey, o_orderstatus FROM ({_ranked(42)})
-WHERE rank <= floor(n * (1000::DOUBLE / (SELECT count(*) FROM orders)) + 0.5)""")
+WITH {_seats(1000, "orders", "o_orderstatus")}
+SELECT o_orderkey, o_orderstatus FROM ({_ranked(42)}) JOIN seats ON class = o_orderstatus WHERE rank <= quota""")
 def capped_training_rows(spark, sf):
     """The training cap of slow models: a stratified sample of a fixed size is the feature."""
     return pr.capped_sample(table(spark, sf, "orders"), 1000, key="o_orderkey", label="o_orderstatus").select(
         "o_orderkey", "o_orderstatus")
 
 
+_GAPS = "gaps AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 301 = 1 THEN 'rare' ELSE o_orderstatus END AS label FROM orders)"
+
+
+def _gaps(spark, sf):
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    return table(spark, sf, "orders").select("o_orderkey", F.when(key % 9 == 0, None).when(key % 301 == 1, "rare").otherwise(status).alias("label"))
+
+
+@REGISTER("exact_cap", f"""
+WITH {_GAPS}, {_seats(200, "gaps", "label")}
+SELECT label, count(*) AS n, (SELECT sum(quota)::BIGINT FROM seats) AS total FROM ({_ranked(42, "gaps", "o_orderkey", "label")})
+JOIN seats ON class IS NOT DISTINCT FROM label WHERE rank <= quota GROUP BY label""")
+def exact_cap(spark, sf):
+    """The cap is met exactly and every class, a missing one too, keeps a row."""
+    kept = pr.capped_sample(_gaps(spark, sf), 200, key="o_orderkey", label="label")
+    return kept.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("total", F.lit(kept.count()).cast("long"))
+
+
+@REGISTER("split_with_missing_labels", f"WITH {_GAPS} SELECT o_orderkey, label, {_SPLIT} FROM ({_ranked(42, 'gaps', 'o_orderkey', 'label')})")
+def split_with_missing_labels(spark, sf):
+    """Rows without a label are split like a class of their own."""
+    return pr.stratified_split(_gaps(spark, sf), key="o_orderkey", label="label")
+
+
 @REGISTER("sampled_rows", "SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 2000")
 def sampled_rows(spark, sf):
     """Seeded sample of at most 2,000 rows (the sample is the feature)."""

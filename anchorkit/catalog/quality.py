@@ -114,3 +114,11 @@ SELECT l_returnflag, 'l_extendedprice' AS feature, 0.5::DOUBLE AS prob, round(qu
        count(*) AS n FROM lineitem GROUP BY l_returnflag""")
 def grouped_medians(spark, sf):
     return round_doubles(exact_quantiles(table(spark, sf, "lineitem"), ["l_extendedprice"], [0.5], ["l_returnflag"]))
+
+
+@REGISTER("medians_per_customer", """
+SELECT o_custkey, 'o_totalprice' AS feature, 0.5::DOUBLE AS prob, round(quantile_cont(o_totalprice, 0.5), 6) AS value, count(*) AS n
+FROM orders GROUP BY o_custkey""")
+def medians_per_customer(spark, sf):
+    """As many groups as customers with orders."""
+    return round_doubles(exact_quantiles(table(spark, sf, "orders"), ["o_totalprice"], [0.5], ["o_custkey"]))

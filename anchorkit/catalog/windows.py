@@ -127,60 +127,72 @@ def occupancy_counts(spark, sf):
     return round_doubles(occupancy(clinical_views(spark, sf)["icustays"]))
 
 
-SEVERITY_SQL = """
-pao2 AS (SELECT c.stay_id, min(valuenum) AS pao2 FROM cohort c JOIN labevents e ON e.hadm_id = c.hadm_id
-         WHERE itemid = 50821 AND {w} GROUP BY c.stay_id),
-oxygen AS (SELECT c.stay_id, min(CASE WHEN itemid = 220277 AND valuenum BETWEEN 50 AND 100 THEN valuenum END) AS spo2,
-                  max(CASE WHEN itemid = 223835 THEN valuenum END) AS fio2
-           FROM cohort c JOIN chartevents e ON e.stay_id = c.stay_id WHERE itemid IN (220277, 223835) AND {w} GROUP BY c.stay_id),
-drugs AS (SELECT c.stay_id, max(CASE WHEN itemid IN (221906, 30047, 30120) THEN rate END) AS nore,
-                 max(CASE WHEN itemid IN (221289, 30044) THEN rate END) AS epi,
-                 max(CASE WHEN itemid IN (221662, 30043) THEN rate END) AS dopa,
-                 max(CASE WHEN itemid = 222315 THEN 1 ELSE 0 END) AS vaso
-          FROM cohort c JOIN inputevents e ON e.stay_id = c.stay_id
-          WHERE itemid IN (221906, 30047, 30120, 221289, 30044, 221662, 30043, 221653, 30042, 222315)
-            AND starttime >= intime AND starttime <= intime + INTERVAL 24 HOUR GROUP BY c.stay_id),
-pressure AS (SELECT c.stay_id, avg(valuenum) AS map FROM cohort c JOIN chartevents e ON e.stay_id = c.stay_id
-             WHERE itemid IN (220052, 220181, 225312) AND valuenum BETWEEN 0 AND 300 AND {w} GROUP BY c.stay_id),
-bili AS (SELECT c.stay_id, max(valuenum) AS bili FROM cohort c JOIN labevents e ON e.hadm_id = c.hadm_id
-         WHERE itemid = 50885 AND {w} GROUP BY c.stay_id),
-plate AS (SELECT c.stay_id, min(valuenum) AS plate FROM cohort c JOIN labevents e ON e.hadm_id = c.hadm_id
-          WHERE itemid = 51265 AND {w} GROUP BY c.stay_id),
-creat AS (SELECT c.stay_id, max(valuenum) AS creat FROM cohort c JOIN labevents e ON e.hadm_id = c.hadm_id
-          WHERE itemid = 50912 AND valuenum BETWEEN 0.1 AND 20 AND {w} GROUP BY c.stay_id),
-urine AS (SELECT c.stay_id, sum(value) AS urine FROM cohort c JOIN outputevents e ON e.stay_id = c.stay_id
-          WHERE {w} GROUP BY c.stay_id),
-coma AS (SELECT c.stay_id, min(e.valuenum + v.valuenum + m.valuenum) AS gcs FROM cohort c
-         JOIN chartevents e ON e.stay_id = c.stay_id AND e.itemid = 220739
-           AND e.charttime BETWEEN c.intime AND c.intime + INTERVAL 24 HOUR
-         JOIN chartevents v ON v.stay_id = c.stay_id AND v.itemid = 223900
-           AND v.charttime BETWEEN c.intime AND c.intime + INTERVAL 24 HOUR
-           AND v.charttime BETWEEN e.charttime - INTERVAL 30 MINUTE AND e.charttime + INTERVAL 30 MINUTE
-         JOIN chartevents m ON m.stay_id = c.stay_id AND m.itemid = 223901
-           AND m.charttime BETWEEN c.intime AND c.intime + INTERVAL 24 HOUR
-           AND m.charttime BETWEEN e.charttime - INTERVAL 30 MINUTE AND e.charttime + INTERVAL 30 MINUTE
-         GROUP BY c.stay_id),
-ratio AS (SELECT *, CASE WHEN frac IS NULL OR frac = 0 THEN NULL WHEN pao2 IS NOT NULL THEN pao2 / frac
-                         WHEN spo2 <= 97 THEN (spo2 / frac - 64.0::DOUBLE) / 0.84::DOUBLE END AS pf
-          FROM (SELECT c.stay_id, pao2, spo2, CASE WHEN fio2 > 1 THEN fio2 / 100.0::DOUBLE ELSE fio2 END AS frac
-                FROM cohort c LEFT JOIN pao2 p ON p.stay_id = c.stay_id LEFT JOIN oxygen o ON o.stay_id = c.stay_id)),
-parts AS (SELECT c.stay_id,
-  CASE WHEN pf < 100 THEN 4 WHEN pf < 200 THEN 3 WHEN pf < 300 THEN 2 WHEN pf < 400 THEN 1 ELSE 0 END AS sofa_resp,
-  CASE WHEN dopa > 15 OR epi > 0.1 OR nore > 0.1 THEN 4 WHEN dopa > 5 OR epi <= 0.1 OR nore <= 0.1 THEN 3
-       WHEN dopa <= 5 OR vaso = 1 THEN 2 WHEN map < 70 THEN 1 ELSE 0 END AS sofa_cardio,
-  CASE WHEN bili >= 12 THEN 4 WHEN bili >= 6 THEN 3 WHEN bili >= 2 THEN 2 WHEN bili >= 1.2 THEN 1 ELSE 0 END AS sofa_hepatic,
-  CASE WHEN plate < 20 THEN 4 WHEN plate < 50 THEN 3 WHEN plate < 100 THEN 2 WHEN plate < 150 THEN 1 ELSE 0 END AS sofa_coag,
-  CASE WHEN creat >= 5 OR urine < 200 THEN 4 WHEN creat >= 3.5 OR urine < 500 THEN 3 WHEN creat >= 2 THEN 2
-       WHEN creat >= 1.2 THEN 1 ELSE 0 END AS sofa_renal,
-  CASE WHEN gcs < 6 THEN 4 WHEN gcs < 10 THEN 3 WHEN gcs < 13 THEN 2 WHEN gcs < 15 THEN 1 ELSE 0 END AS sofa_neuro,
-  urine AS urine_24h, bili AS bilirubin_max
-  FROM cohort c LEFT JOIN ratio r ON r.stay_id = c.stay_id LEFT JOIN drugs d ON d.stay_id = c.stay_id
-  LEFT JOIN pressure p ON p.stay_id = c.stay_id LEFT JOIN bili b ON b.stay_id = c.stay_id
-  LEFT JOIN plate t ON t.stay_id = c.stay_id LEFT JOIN creat k ON k.stay_id = c.stay_id
-  LEFT JOIN urine u ON u.stay_id = c.stay_id LEFT JOIN coma g ON g.stay_id = c.stay_id),
-severity AS (SELECT stay_id, sofa_resp, sofa_cardio, sofa_hepatic, sofa_coag, sofa_renal, sofa_neuro,
-  sofa_resp + sofa_cardio + sofa_hepatic + sofa_coag + sofa_renal + sofa_neuro AS sofa_total,
-  round(urine_24h, 6) AS urine_24h, round(bilirubin_max, 6) AS bilirubin_max FROM parts)""".replace("{w}", WINDOW)
+# What each signal is read from (item, lowest and highest plausible value).
+SIGNAL_ITEMS = [
+    ("pao2", 50821, None, None), ("spo2", 220277, 50, 100), ("fio2", 223835, None, None), ("map", 220052, 0, 300), ("map", 220181, 0, 300),
+    ("map", 225312, 0, 300), ("nore", 221906, None, None), ("nore", 30047, None, None), ("nore", 30120, None, None),
+    ("epi", 221289, None, None), ("epi", 30044, None, None), ("dopa", 221662, None, None), ("dopa", 30043, None, None),
+    ("vaso", 222315, None, None), ("bili", 50885, None, None), ("plate", 51265, None, None), ("creat", 50912, 0.1, 20),
+]
+# Bands of the score. A part scores the highest number among the bands that its signals meet, else 0.
+SCORE_BANDS = [
+    ("resp", "pf", "<", 100, 4), ("resp", "pf", "<", 200, 3), ("resp", "pf", "<", 300, 2), ("resp", "pf", "<", 400, 1),
+    ("cardio", "dopa", ">", 15, 4), ("cardio", "dopa", ">", 5, 3), ("cardio", "dopa", "<=", 5, 2), ("cardio", "epi", ">", 0.1, 4),
+    ("cardio", "epi", "<=", 0.1, 3), ("cardio", "nore", ">", 0.1, 4), ("cardio", "nore", "<=", 0.1, 3), ("cardio", "vaso", ">", 0, 2),
+    ("cardio", "map", "<", 70, 1), ("hepatic", "bili", ">=", 12, 4), ("hepatic", "bili", ">=", 6, 3), ("hepatic", "bili", ">=", 2, 2),
+    ("hepatic", "bili", ">=", 1.2, 1), ("coag", "plate", "<", 20, 4), ("coag", "plate", "<", 50, 3), ("coag", "plate", "<", 100, 2),
+    ("coag", "plate", "<", 150, 1), ("renal", "creat", ">=", 5, 4), ("renal", "creat", ">=", 3.5, 3), ("renal", "creat", ">=", 2, 2),
+    ("renal", "creat", ">=", 1.2, 1), ("renal", "urine", "<", 200, 4), ("renal", "urine", "<", 500, 3), ("neuro", "gcs", "<", 6, 4),
+    ("neuro", "gcs", "<", 10, 3), ("neuro", "gcs", "<", 13, 2), ("neuro", "gcs", "<", 15, 1),
+]
+PARTS = ["resp", "cardio", "hepatic", "coag", "renal", "neuro"]
+
+
+def _rows(rows):
+    return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{float(v)!r}::DOUBLE" if i > 1 else str(v)
+                                     for i, v in enumerate(r)) + ")" for r in rows)
+
+
+def _scores(wide: str, key: str) -> str:
+    """``points``: key and a column per part, from a table of one column per signal."""
+    signals = list(dict.fromkeys(b[1] for b in SCORE_BANDS))
+    oxygen = "nullif(fio2 / CASE WHEN fio2 > 1 THEN 100.0::DOUBLE ELSE 1.0::DOUBLE END, 0)"
+    return f"""
+oxygenated AS (SELECT *, coalesce(pao2 / {oxygen}, CASE WHEN pao2 IS NULL AND spo2 <= 97 THEN (spo2 / {oxygen} - 64.0::DOUBLE) / 0.84::DOUBLE END) AS pf FROM {wide}),
+long_signals AS (UNPIVOT (SELECT {key}, {", ".join(f"{x}::DOUBLE AS {x}" for x in signals)} FROM oxygenated)
+                 ON {", ".join(signals)} INTO NAME signal VALUE x),
+bands(part, signal, side, edge, points) AS (VALUES {_rows(SCORE_BANDS)}),
+met AS (SELECT {key}, part, max(points)::INT AS points FROM long_signals JOIN bands USING (signal)
+        WHERE (side = '<' AND x < edge) OR (side = '<=' AND x <= edge) OR (side = '>' AND x > edge) OR (side = '>=' AND x >= edge) GROUP BY ALL),
+points AS (SELECT o.{key}, {", ".join(f"coalesce(max(points) FILTER (part = '{q}'), 0) AS {q}" for q in PARTS)}
+           FROM oxygenated o LEFT JOIN met m ON m.{key} = o.{key} GROUP BY o.{key})"""
+
+
+SEVERITY_SQL = f"""
+sources(signal, item, low, high) AS (VALUES {_rows(SIGNAL_ITEMS)}),
+seen AS (
+  SELECT c.stay_id, itemid, valuenum AS v FROM cohort c JOIN chartevents e ON e.stay_id = c.stay_id WHERE {WINDOW} AND valuenum IS NOT NULL
+  UNION ALL SELECT c.stay_id, itemid, valuenum FROM cohort c JOIN labevents e ON e.hadm_id = c.hadm_id WHERE {WINDOW} AND valuenum IS NOT NULL
+  UNION ALL SELECT c.stay_id, itemid, rate FROM cohort c JOIN inputevents e ON e.stay_id = c.stay_id
+    WHERE {WINDOW.replace("charttime", "starttime")} AND (rate IS NOT NULL OR itemid = 222315)),
+met_items AS (SELECT stay_id, signal, v FROM seen JOIN sources ON item = itemid WHERE low IS NULL OR v BETWEEN low AND high),
+drained AS (SELECT c.stay_id, sum(value) AS urine FROM cohort c JOIN outputevents e ON e.stay_id = c.stay_id WHERE {WINDOW} GROUP BY c.stay_id),
+aware AS (SELECT c.stay_id, itemid, charttime, valuenum AS v FROM cohort c JOIN chartevents e ON e.stay_id = c.stay_id
+          WHERE {WINDOW} AND itemid IN (220739, 223900, 223901) AND valuenum IS NOT NULL),
+beside AS (SELECT b.stay_id, b.charttime, b.v, min(o.v) FILTER (o.itemid = 223900) AS verbal, min(o.v) FILTER (o.itemid = 223901) AS motor
+           FROM aware b JOIN aware o ON o.stay_id = b.stay_id AND o.itemid <> 220739 AND abs(epoch_us(o.charttime) - epoch_us(b.charttime)) <= 1800000000
+           WHERE b.itemid = 220739 GROUP BY ALL),
+coma AS (SELECT stay_id, min(v + verbal + motor) AS gcs FROM beside GROUP BY stay_id),
+signals AS (
+  SELECT c.stay_id, min(v) FILTER (signal = 'pao2') AS pao2, min(v) FILTER (signal = 'spo2') AS spo2, max(v) FILTER (signal = 'fio2') AS fio2,
+         avg(v) FILTER (signal = 'map') AS map, max(v) FILTER (signal = 'nore') AS nore, max(v) FILTER (signal = 'epi') AS epi,
+         max(v) FILTER (signal = 'dopa') AS dopa, nullif(count(*) FILTER (signal = 'vaso'), 0) AS vaso, max(v) FILTER (signal = 'bili') AS bili,
+         min(v) FILTER (signal = 'plate') AS plate, max(v) FILTER (signal = 'creat') AS creat, any_value(urine) AS urine, any_value(gcs) AS gcs
+  FROM cohort c LEFT JOIN met_items m ON m.stay_id = c.stay_id LEFT JOIN drained d ON d.stay_id = c.stay_id
+  LEFT JOIN coma g ON g.stay_id = c.stay_id GROUP BY c.stay_id),
+{_scores("signals", "stay_id")},
+severity AS (SELECT p.stay_id, {", ".join(f"{q} AS sofa_{q}" for q in PARTS)}, {" + ".join(PARTS)} AS sofa_total,
+  round(urine, 6) AS urine_24h, round(bili, 6) AS bilirubin_max FROM points p JOIN signals s ON s.stay_id = p.stay_id)"""
 
 
 @REGISTER("severity_score", clinical("SELECT * FROM severity", SEVERITY_SQL))
@@ -199,18 +211,9 @@ WITH s AS (
          avg(l_quantity + 50) AS map, max(l_tax * 200) AS bili, min(l_quantity * 6) AS plate, max(l_tax * 75) AS creat,
          sum(l_quantity * 5) AS urine, min(CASE WHEN l_linenumber > 1 THEN l_quantity / 3.0::DOUBLE END) AS gcs
   FROM lineitem GROUP BY l_orderkey),
-f AS (SELECT *, CASE WHEN fio2 > 1 THEN fio2 / 100.0::DOUBLE ELSE fio2 END AS frac FROM s),
-p AS (SELECT *, CASE WHEN frac IS NULL OR frac = 0 THEN NULL WHEN pao2 IS NOT NULL THEN pao2 / frac
-                     WHEN spo2 <= 97 THEN (spo2 / frac - 64.0::DOUBLE) / 0.84::DOUBLE END AS pf FROM f)
-SELECT l_orderkey, round(pf, 6) AS pf,
-  CASE WHEN pf < 100 THEN 4 WHEN pf < 200 THEN 3 WHEN pf < 300 THEN 2 WHEN pf < 400 THEN 1 ELSE 0 END AS resp,
-  CASE WHEN dopa > 15 OR epi > 0.1 OR nore > 0.1 THEN 4 WHEN dopa > 5 OR epi <= 0.1 OR nore <= 0.1 THEN 3
-       WHEN dopa <= 5 OR vaso = 1 THEN 2 WHEN map < 70 THEN 1 ELSE 0 END AS cardio,
-  CASE WHEN bili >= 12 THEN 4 WHEN bili >= 6 THEN 3 WHEN bili >= 2 THEN 2 WHEN bili >= 1.2 THEN 1 ELSE 0 END AS hepatic,
-  CASE WHEN plate < 20 THEN 4 WHEN plate < 50 THEN 3 WHEN plate < 100 THEN 2 WHEN plate < 150 THEN 1 ELSE 0 END AS coag,
-  CASE WHEN creat >= 5 OR urine < 200 THEN 4 WHEN creat >= 3.5 OR urine < 500 THEN 3 WHEN creat >= 2 THEN 2
-       WHEN creat >= 1.2 THEN 1 ELSE 0 END AS renal,
-  CASE WHEN gcs < 6 THEN 4 WHEN gcs < 10 THEN 3 WHEN gcs < 13 THEN 2 WHEN gcs < 15 THEN 1 ELSE 0 END AS neuro FROM p""")
+{scores}
+SELECT p.l_orderkey, round(pf, 6) AS pf, {parts} FROM points p JOIN oxygenated o ON o.l_orderkey = p.l_orderkey""".format(
+    scores=_scores("s", "l_orderkey"), parts=", ".join(PARTS)))
 def score_bands(spark, sf):
     """Every band over one conditional aggregation per order."""
     c = F.col

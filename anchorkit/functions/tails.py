@@ -11,8 +11,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-EXACT_SIGNED_RANK_MAX = 50
-
 
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
@@ -68,11 +66,9 @@ def signed_rank_exact(statistic: float, n: int) -> float:
 
 
 def signed_rank_two_sided(statistic: float, n: int, tie_term: float, zeros: int) -> float:
-    """Exact for at most 50 untied nonzero differences, otherwise the normal approximation."""
+    """Normal approximation with the tie term; zero differences are left out before."""
     if n == 0:
         return math.nan
-    if n <= EXACT_SIGNED_RANK_MAX and tie_term == 0 and zeros == 0:
-        return signed_rank_exact(statistic, n)
     spread = math.sqrt((n * (n + 1) * (2 * n + 1) - tie_term / 2.0) / 24.0)
     return normal_two_sided((statistic - n * (n + 1) / 4.0) / spread) if spread > 0 else math.nan
 
@@ -109,3 +105,11 @@ def sign_p(wins: pd.Series, losses: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def signed_rank_p(statistic: pd.Series, n: pd.Series, tie_term: pd.Series, zeros: pd.Series) -> pd.Series:
     return _row_wise(lambda s, k, t, z: signed_rank_two_sided(s, int(k), t, int(z)))(statistic, n, tie_term, zeros)
+
+
+@F.pandas_udf(DoubleType())
+def signed_rank_exact_p(statistic: pd.Series, n: pd.Series, tie_term: pd.Series, zeros: pd.Series) -> pd.Series:
+    """Missing where differences are tied or zero, which have no exact distribution here."""
+    def one(s, k, t, z):
+        return signed_rank_exact(s, int(k)) if k > 0 and t == 0 and z == 0 else math.nan
+    return _row_wise(one)(statistic, n, tie_term, zeros)

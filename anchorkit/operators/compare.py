@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from anchorkit.functions import tails
 from anchorkit.functions.values import percent_change
-from anchorkit.operators.joins import balanced_join, measured_bytes
+from anchorkit.operators.joins import balanced_join, measured_bytes, same_join
 from anchorkit.operators.metrics import CLASS_NAMES
 from anchorkit.operators.running import exact_quantiles, value_ranks
 from anchorkit.session import staged
@@ -72,25 +72,29 @@ def paired_statistics(errors: DataFrame, by: list[str]) -> DataFrame:
         F.sum("n").alias("n_nonzero"), F.sum(t * t * t - t).alias("tie_term"))
     signed = sums.select(*by, F.least("_wp", "_wm").alias("wilcoxon_stat"), "n_nonzero", "tie_term")
     if by:
-        return base.join(signed, by, "left")
+        return same_join(base, signed, by, "left")
     extra = ["wilcoxon_stat", "n_nonzero", "tie_term"]
     one = signed.select(F.struct(*extra).alias("s")).scalar()
     return base.select("*", one.alias("_s")).select(*base.columns, *[F.col(f"_s.{c}").alias(c) for c in extra])
 
 
-def paired_tests(errors: DataFrame, by: list[str], n_models: int = 1, alpha: float = 0.05) -> DataFrame:
+def paired_tests(errors: DataFrame, by: list[str], n_models: int = 1, alpha: float = 0.05, method: str = "normal") -> DataFrame:
     """Test statistics with two-sided p-values, the corrected level and the conclusion.
 
     The candidate improves when its mean error is lower and the Wilcoxon p is below
-    alpha / max(n_models, 1).
+    alpha / max(n_models, 1). ``method`` of the Wilcoxon p is ``normal`` (approximation with the tie
+    term, at every size) or ``exact`` (null distribution of the rank sums, for untied differences).
     """
+    if method not in ("normal", "exact"):
+        raise ValueError("method must be 'normal' or 'exact'")
+    rank_p = tails.signed_rank_p if method == "normal" else tails.signed_rank_exact_p
     corrected = alpha / max(int(n_models), 1)
     s = paired_statistics(errors, by)
     tested = s.select(
         *by, "n", "mean_e0", "mean_e1", "paired_t_stat",
         tails.student_p("paired_t_stat", (F.col("n") - 1).cast("double")).alias("paired_t_p"),
         "wilcoxon_stat",
-        tails.signed_rank_p("wilcoxon_stat", "n_nonzero", "tie_term", "zeros").alias("wilcoxon_p"),
+        rank_p("wilcoxon_stat", "n_nonzero", "tie_term", "zeros").alias("wilcoxon_p"),
         "dm_stat", tails.normal_p("dm_stat").alias("dm_p_value"), F.lit(corrected).alias("corrected_alpha"))
     improved = (F.col("mean_e1") < F.col("mean_e0")) & (F.coalesce("wilcoxon_p", F.lit(1.0)) < corrected)
     return tested.withColumn(

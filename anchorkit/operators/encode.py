@@ -24,12 +24,9 @@ def group_rare(df: DataFrame, column: str, n: int, other: str = "Other") -> Data
     return df.withColumn(column, F.when(F.col(column).isin(keep), F.col(column)).otherwise(other))
 
 
-def levels_of(df: DataFrame, column: str, max_levels: int = 1000) -> list:
-    """Sorted distinct values (eager); more than ``max_levels`` is an error, not a cut."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} levels")
-    return sorted(r[0] for r in rows)
+def levels_of(df: DataFrame, column: str) -> list:
+    """Sorted distinct values (eager): each becomes a column of the result, so there are few."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
 def one_hot(column: str, levels: list, prefix: str, drop_first: bool = True) -> list[Column]:

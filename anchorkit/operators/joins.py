@@ -14,6 +14,26 @@ BROADCAST_MAX_BYTES = 32 << 20
 _FIXED_BYTES = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
 
 
+def same_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet each other; the keys appear once, as in ``left.join(right, keys)``.
+
+    ``right`` may be marked with ``F.broadcast`` after :func:`keyed`, which gives it the key names used here.
+    """
+    if not keys:
+        return left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
+    return _on_keyed(left, keyed(right, keys), keys, how)
+
+
+def keyed(right: DataFrame, keys: list[str]) -> DataFrame:
+    """``right`` with its keys renamed, ready to be joined by :func:`same_join`."""
+    return right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+
+
+def _on_keyed(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return left.join(right, on, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Size of the rows of ``df``, from one aggregate over it."""
     row = F.lit(16)
@@ -46,26 +66,41 @@ def _is_hot(keys: list[str], hot: list[tuple]):
 
 
 def balanced_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-                  max_bytes: int = BROADCAST_MAX_BYTES, right_bytes: int | None = None) -> DataFrame:
+                  max_bytes: int = BROADCAST_MAX_BYTES, right_bytes: int | None = None,
+                  match_nulls: bool = False) -> DataFrame:
     """Equi-join of a long ``left`` with a ``right`` that has few rows per key.
 
     * ``right`` measured small: broadcast, ``left`` is not shuffled.
     * otherwise keys that are hot in ``left`` are joined against a broadcast of just their
-      ``right`` rows, the rest by an ordinary shuffle join; the union is the whole result.
+      ``right`` rows, the rest by an ordinary shuffle join; the union is the whole result. When even
+      the hot keys' ``right`` rows are too large, a hot key's ``left`` rows are dealt over salts and
+      its ``right`` rows copied once per salt.
 
     ``how`` is ``inner`` or ``left``; ``right_bytes`` is the size of ``right`` when already measured.
+    With ``match_nulls`` a NULL key is a key like any other.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
+    def plain(a: DataFrame, b: DataFrame, small: bool, on: list[str] = keys) -> DataFrame:
+        if match_nulls:
+            b = keyed(b, on)
+            return _on_keyed(a, F.broadcast(b) if small else b, on, how)
+        return a.join(F.broadcast(b) if small else b, on, how)
+
     if (measured_bytes(right) if right_bytes is None else right_bytes) <= max_bytes:
-        return left.join(F.broadcast(right), keys, how)
+        return plain(left, right, True)
     hot = hot_keys(left.select(*keys), keys)
     if not hot:
-        return left.join(right, keys, how)
+        return plain(left, right, False)
     is_hot = F.coalesce(_is_hot(keys, hot), F.lit(False))
     hot_right = right.where(is_hot)
+    hot_left = left.where(is_hot)
     if measured_bytes(hot_right) <= max(max_bytes, BROADCAST_MAX_BYTES):
-        hot_right = F.broadcast(hot_right)
-    hot_part = left.where(is_hot).join(hot_right, keys, how)
-    cold_part = left.where(~is_hot).join(right.where(~is_hot), keys, how)
+        hot_part = plain(hot_left, hot_right, True)
+    else:
+        salts = shuffle_width(left.sparkSession)
+        hot_part = plain(
+            hot_left.withColumn("_salt", F.floor(F.rand(0) * salts).cast("int")),
+            hot_right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), False, [*keys, "_salt"]).drop("_salt")
+    cold_part = plain(left.where(~is_hot), right.where(~is_hot), False)
     return hot_part.unionByName(cold_part)

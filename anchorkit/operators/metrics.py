@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from anchorkit.operators.joins import same_join
 from anchorkit.operators.running import exact_quantiles, value_ranks
 
 # Class labels and their metric names.
@@ -77,17 +78,21 @@ def macro_auc(preds: DataFrame, by: list[str], scores: dict[int, str], y: str =
 
 def regression_metrics(preds: DataFrame, by: list[str], y: str = "y_true", p: str = "y_pred",
                        median: bool = True) -> DataFrame:
-    """MAE, RMSE, R2, MAPE (truth above 0.5 only) and exact MedianAE per group."""
+    """MAE, RMSE, R2, MAPE (truth above 0.5 only) and exact MedianAE per group.
+
+    R2 of a constant truth is 1 for a perfect fit, else 0. Errors that are not a number have no median.
+    """
     err = F.col(p) - F.col(y)
     sums = preds.groupBy(*by).agg(
         F.avg(F.abs(err)).alias("MAE"), F.sqrt(F.avg(err * err)).alias("RMSE"),
         F.avg(err * err).alias("_mse"), F.var_pop(y).alias("_var"),
         (F.avg(F.when(F.col(y) > 0.5, F.abs(err) / F.abs(F.col(y)))) * 100.0).alias("MAPE"))
-    out = sums.select(*by, "MAE", "RMSE", (1 - F.try_divide(F.col("_mse"), F.col("_var"))).alias("R2"), "MAPE")
+    out = sums.select(*by, "MAE", "RMSE", F.when(F.col("_var") == 0, (F.col("_mse") == 0).cast("double")).otherwise(
+        1 - F.col("_mse") / F.col("_var")).alias("R2"), "MAPE")
     if not median:
         return out
     errors = preds.select(*by, F.abs(err).alias("_abs"))
     medians = exact_quantiles(errors, ["_abs"], [0.5], by).select(*by, F.col("value").alias("MedianAE"))
     if not by:
         return out.select("*", medians.select("MedianAE").scalar().alias("MedianAE"))
-    return out.join(medians, by)
+    return same_join(out, medians, by, "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 from pyspark.ml import Estimator, Model
@@ -12,7 +14,6 @@ from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +70,8 @@ def base_estimator(name: str, stage: str, *, label: str = "label", weight: str |
         if name == "random_forest":
             return RandomForestClassifier(labelCol=label, seed=seed, **weighted)
         if name == "boosting":
-            return OneVsRest(classifier=GBTClassifier(seed=seed), labelCol=label, parallelism=classes, **weighted)
+            # a share of the columns is drawn for every node
+            return OneVsRest(classifier=GBTClassifier(seed=seed, featureSubsetStrategy="0.8"), labelCol=label, parallelism=classes, **weighted)
         if name == "svm":
             return OneVsRest(classifier=LinearSVC(standardization=False), labelCol=label, parallelism=classes, **weighted)
         if name == "mlp":
@@ -81,7 +83,9 @@ def base_estimator(name: str, stage: str, *, label: str = "label", weight: str |
             return LinearRegression(labelCol=label, loss="huber", standardization=False, maxIter=2000)
         if name == "random_forest":
             return RandomForestRegressor(labelCol=label, featureSubsetStrategy="all", seed=seed)
-        if name in ("boosting", "gradient_boosting"):
+        if name == "boosting":
+            return GBTRegressor(labelCol=label, seed=seed, featureSubsetStrategy="0.8")
+        if name == "gradient_boosting":
             return GBTRegressor(labelCol=label, seed=seed)
     raise KeyError(f"{stage}: {name}")
 
@@ -137,51 +141,93 @@ def grid_points(grid: dict[str, list] | None) -> list[dict]:
     return [dict(zip(names, combo)) for combo in product(*[grid[n] for n in names])] if names else [{}]
 
 
+def data_shape(data: DataFrame, label: str = "label") -> tuple[int, float, int]:
+    """Rows, population sd of the label (1 when it is 0 or missing) and width of the features."""
+    row = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("s"),
+                   F.first(F.size(vector_to_array("features"))).alias("w")).first()
+    return row["n"], float(row["s"] or 1.0), row["w"] or 0
+
+
+def _mean_scores(joined: DataFrame, estimator: Estimator, maps: list[dict], judge: Evaluator, k: int, label: str,
+                 weight: str | None, parallelism: int) -> list[float]:
+    """Mean score per setting over the folds, not a number for a setting that failed in one.
+
+    Class weights are those of each fold's own training rows.
+    """
+    parts = []
+    for fold in range(k):
+        train = joined.where(F.col("fold") != fold)
+        if weight:
+            train = balanced_weights(train.drop(weight), label, weight)
+        parts.append((train, joined.where(F.col("fold") == fold)))
+
+    def one(job: tuple[int, dict]) -> float:
+        train, held = parts[job[0]]
+        try:
+            return float(judge.evaluate(estimator.fit(train, job[1]).transform(held)))
+        except Exception:  # noqa: BLE001  a setting that can't be fitted loses, the search goes on
+            return math.nan
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        found = list(pool.map(one, [(fold, m) for m in maps for fold in range(k)]))
+    return [sum(found[i * k:(i + 1) * k]) / k for i in range(len(maps))]
+
+
 def fit_best(name: str, stage: str, data: DataFrame, *, key: str = "stay_id", grid: dict[str, list] | None = None,
              folds: DataFrame | None = None, label: str = "label", weight: str | None = None, classes: int = 3,
-             parallelism: int = 4, seed: int = 42) -> tuple[Model, dict]:
+             parallelism: int = 4, seed: int = 42, shape: tuple[int, float, int] | None = None) -> tuple[Model, dict]:
     """Fit directly without folds or grid, otherwise choose by cross-validation and refit on all rows.
 
     Stage 1 maximises macro-F1, stage 2 minimises MAE. ``data`` is (key, label, features[, weight]);
-    the folds are a keyed column, so every setting is scored on the same rows.
+    the folds are a keyed column, so every setting is scored on the same rows. ``shape`` is
+    :func:`data_shape` when already known. Settings that fail are left out; all failing is an error.
     """
-    shape = data.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("s")).first()
-    width = len(data.select("features").first()["features"])
+    rows, spread, width = shape or data_shape(data, label)
     estimator = base_estimator(name, stage, label=label, weight=weight, classes=classes, seed=seed)
-    tune = lambda point, rows: param_map(estimator, settings_for(
-        name, point, rows=rows, width=width, classes=classes, spread=float(shape["s"] or 1.0)))
+    tune = lambda point, n: param_map(estimator, settings_for(
+        name, point, rows=n, width=width, classes=classes, spread=spread))
     points = grid_points(grid)
     if folds is None or len(points) == 1:
-        return estimator.fit(data, tune(points[0], shape["n"])), points[0]
+        return estimator.fit(data, tune(points[0], rows)), points[0]
     joined = staged(data.join(folds.select(key, "fold"), key), "folds")
     k = joined.agg(F.max("fold")).first()[0] + 1
     judge = MacroF1(label, classes) if stage == "stage1" else RegressionEvaluator(labelCol=label, metricName="mae")
-    search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=[tune(p, shape["n"] * (k - 1) / k) for p in points], evaluator=judge,
-        numFolds=k, foldCol="fold", parallelism=parallelism)
-    scores = search.fit(joined).avgMetrics
-    best = points[scores.index(max(scores) if judge.isLargerBetter() else min(scores))]
-    return estimator.fit(data, tune(best, shape["n"])), best
+    scores = _mean_scores(joined, estimator, [tune(p, rows * (k - 1) / k) for p in points], judge, k, label, weight, parallelism)
+    known = [x for x in scores if not math.isnan(x)]
+    if not known:
+        raise RuntimeError(f"no setting of {name} could be fitted")
+    best = points[scores.index(max(known) if judge.isLargerBetter() else min(known))]
+    return estimator.fit(data, tune(best, rows)), best
 
 
 def cross_validated(names: list[str], stage: str, data: DataFrame, folds: DataFrame, *, key: str = "stay_id",
-                    label: str = "label", classes: int = 3, seed: int = 42, points: dict[str, dict] | None = None) -> DataFrame:
-    """(model, metric, mean, sd) over folds, sd with denominator n: accuracy and macro-F1, or MAE and R2."""
+                    label: str = "label", classes: int = 3, seed: int = 42, points: dict[str, dict] | None = None,
+                    balanced: bool = True, parallelism: int = 4) -> DataFrame:
+    """(model, metric, mean, sd) over folds, sd with denominator n: accuracy and macro-F1, or MAE and R2.
+
+    Classifiers are ``balanced``: each fold's training rows carry their own class weights.
+    """
     spark = data.sparkSession
     joined = staged(data.join(folds.select(key, "fold"), key), "folds")
     k = joined.agg(F.max("fold")).first()[0] + 1
-    parts = []
-    for name in names:
-        for fold in range(k):
-            model, _ = fit_best(name, stage, joined.where(F.col("fold") != fold), key=key, label=label, classes=classes,
-                                seed=seed, grid={n: [v] for n, v in (points or {}).get(name, {}).items()})
-            scored = model.transform(joined.where(F.col("fold") == fold)).select(label, "prediction")
-            if stage == "stage1":
-                row = classification_metrics(scored, [], label, "prediction", {c: str(c) for c in range(classes)}).first()
-                parts += [(name, "accuracy", row["Accuracy"]), (name, "f1_macro", row["Macro-F1"])]
-            else:
-                row = regression_metrics(scored, [], label, "prediction", median=False).first()
-                parts += [(name, "mae", row["MAE"]), (name, "r2", row["R2"])]
+    weight = "weight" if stage == "stage1" and balanced else None
+
+    def one(job: tuple[str, int]) -> list[tuple]:
+        name, fold = job
+        train = joined.where(F.col("fold") != fold)
+        if weight:
+            train = balanced_weights(train.drop(weight), label, weight)
+        model, _ = fit_best(name, stage, train, key=key, label=label, classes=classes, seed=seed, weight=weight,
+                            grid={n: [v] for n, v in (points or {}).get(name, {}).items()})
+        scored = model.transform(joined.where(F.col("fold") == fold)).select(label, "prediction")
+        if stage == "stage1":
+            row = classification_metrics(scored, [], label, "prediction", {c: str(c) for c in range(classes)}).first()
+            return [(name, "accuracy", row["Accuracy"]), (name, "f1_macro", row["Macro-F1"])]
+        row = regression_metrics(scored, [], label, "prediction", median=False).first()
+        return [(name, "mae", row["MAE"]), (name, "r2", row["R2"])]
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        parts = [r for rows in pool.map(one, [(name, fold) for name in names for fold in range(k)]) for r in rows]
     table = spark.createDataFrame(parts, "model string, metric string, score double")
     return table.groupBy("model", "metric").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"))
 
@@ -253,26 +299,33 @@ def learning_curve(name: str, runs: dict[str, DataFrame], *, key: str = "stay_id
                    point: dict | None = None) -> DataFrame:
     """(run, share, fold, train_rows, mae) of a regressor trained on growing parts of each fold.
 
-    ``runs`` maps a run to its (key, label, features). The parts are nested hash prefixes of the
-    keys, the same for every run.
+    ``runs`` maps a run to its (key, label, features). A part is the first ``floor(share * n)`` of a
+    fold's n training keys in a random order that is the same for every run. The error of a part too
+    small to fit (under two rows) is missing.
     """
     first = next(iter(runs.values()))
     marks = plain_folds(first, key=key, folds=folds, seed=seed)
-    spark, rows = first.sparkSession, []
-    for run, data in runs.items():
-        joined = staged(data.join(marks, key).withColumn(
-            "_u", F.conv(F.substring(hash_text(seed, F.lit("size"), F.col(key)), 1, 12), 16, 10).cast("double") / 16.0 ** 12), "curve")
-        for fold in range(folds):
-            held = joined.where(F.col("fold") == fold)
-            for share in shares:
-                part = joined.where((F.col("fold") != fold) & (F.col("_u") < share))
-                n = part.count()
-                if n < 2:
-                    continue
-                model, _ = fit_best(name, "stage2", part, key=key, label=label, seed=seed,
-                                    grid={k: [v] for k, v in (point or {}).items()})
-                mae = regression_metrics(model.transform(held), [], label, "prediction", median=False).first()["MAE"]
-                rows.append((run, float(share), fold, n, mae))
+    held_out = F.explode(F.array(*[F.lit(f) for f in range(folds)]))
+    orders = marks.select(key, "fold", held_out.alias("held")).where("fold <> held").withColumn(
+        "_h", hash_text(seed, F.lit("size"), F.col(key)))
+    ranked = staged(hash_ranks(orders, ["held"], "_h", [key], "_rank").select(key, "held", "_rank"), "curve-order")
+    sizes = {r["held"]: r["n"] for r in ranked.groupBy("held").agg(F.count(F.lit(1)).alias("n")).collect()}
+    spark = first.sparkSession
+    stored = {run: staged(data.join(marks, key), "curve") for run, data in runs.items()}
+
+    def one(job: tuple[str, int, float]) -> tuple:
+        run, fold, share = job
+        n = int(math.floor(share * sizes.get(fold, 0) + 1e-9))
+        if n < 2:
+            return run, float(share), fold, n, None
+        part = stored[run].join(ranked.where((F.col("held") == fold) & (F.col("_rank") <= n)).select(key), key)
+        model, _ = fit_best(name, "stage2", part.select(key, label, "features"), key=key, label=label, seed=seed,
+                            grid={k: [v] for k, v in (point or {}).items()})
+        scored = model.transform(stored[run].where(F.col("fold") == fold))
+        return run, float(share), fold, n, regression_metrics(scored, [], label, "prediction", median=False).first()["MAE"]
+
+    with ThreadPoolExecutor(4) as pool:
+        rows = list(pool.map(one, [(run, fold, share) for run in runs for fold in range(folds) for share in shares]))
     return spark.createDataFrame(rows, "run string, share double, fold int, train_rows long, mae double")
 
 

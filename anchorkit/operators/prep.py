@@ -6,6 +6,7 @@ import json
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anchorkit.checks import align_columns, coerce_numeric, to_number
@@ -45,13 +46,13 @@ def feature_columns(df: DataFrame) -> list[str]:
 def ranked_in_class(df: DataFrame, key: str, label: str | None, seed: int, rank: str = "rank") -> DataFrame:
     """(key, label, rank, n): random but reproducible order of the keys inside each class.
 
-    Depends on key and seed only, so it survives reordering, reruns and lost executors.
+    A missing label is a class of its own. Depends on key and seed only, so it survives reordering, reruns and lost executors.
     """
     keyed = df.select(key, (F.col(label) if label else F.lit(0)).alias("_label"),
                       hash_text(seed, key).alias("_hash"))
     ranked = hash_ranks(keyed, ["_label"], "_hash", [key], rank)
     sizes = keyed.groupBy("_label").agg(F.count(F.lit(1)).alias("n"))
-    return balanced_join(ranked, sizes, ["_label"]).select(
+    return balanced_join(ranked, sizes, ["_label"], match_nulls=True).select(
         key, *([F.col("_label").alias(label)] if label else []), rank, "n")
 
 
@@ -83,9 +84,11 @@ def plain_folds(df: DataFrame, *, key: str, folds: int = 5, seed: int = 42) -> D
 
 
 def capped_sample(df: DataFrame, max_rows: int | None, *, key: str, label: str | None = None, seed: int = 42) -> DataFrame:
-    """At most ``max_rows`` rows, classes kept in proportion when ``label`` is given.
+    """``max_rows`` rows (all, when there are fewer), classes kept in proportion when ``label`` is given.
 
-    The cap is the feature (training cap of slow models); without it the table passes through.
+    Every class keeps a row while there are rows for all classes; the others are shared out by the
+    largest remainder, ties by class. The cap is the feature (training cap of slow models); without
+    it the table passes through.
     """
     if max_rows is None:
         return df
@@ -93,8 +96,19 @@ def capped_sample(df: DataFrame, max_rows: int | None, *, key: str, label: str |
     if total <= max_rows:
         return df
     ranked = ranked_in_class(df, key, label, seed)
-    quota = F.floor(F.col("n") * F.lit(max_rows / total) + 0.5)
-    return df.join(ranked.where(F.col("rank") <= quota).select(key), key, "left_semi")
+    if label is None:
+        return df.join(ranked.where(F.col("rank") <= max_rows).select(key), key, "left_semi")
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
+    classes = sizes.count()
+    sure = 1 if max_rows >= classes else 0
+    share = (F.col("_n") - sure) * F.lit((max_rows - sure * classes) / max(total - sure * classes, 1))
+    quotas = staged(sizes.select("_label", F.floor(share + 1e-9).alias("_base"), (share - F.floor(share + 1e-9)).alias("_rest")), "quotas")
+    left = max_rows - sure * classes - (quotas.agg(F.sum("_base")).first()[0] or 0)
+    # one row per class is ranked here, not the rows
+    seat = F.row_number().over(W.orderBy(F.col("_rest").desc(), F.col("_label").asc_nulls_first())) <= left
+    quotas = quotas.select(F.col("_label").alias(label), (F.col("_base") + sure + seat.cast("int")).alias("_quota"))
+    kept = balanced_join(ranked, quotas, [label], match_nulls=True).where(F.col("rank") <= F.col("_quota"))
+    return df.join(kept.select(key), key, "left_semi")
 
 
 def sample_rows(df: DataFrame, n: int, *, key: str, seed: int = 42) -> DataFrame:
@@ -103,11 +117,11 @@ def sample_rows(df: DataFrame, n: int, *, key: str, seed: int = 42) -> DataFrame
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Add n / (k * n_class) as a weight column, for k classes."""
+    """Add n / (k * n_class) as a weight column, for k classes; a missing label is a class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     n, k = counts.agg(F.sum("_c")).scalar(), counts.agg(F.count(F.lit(1))).scalar()
     weights = counts.select(label, (n / (k * F.col("_c"))).alias(out))
-    return balanced_join(df, weights, [label])
+    return balanced_join(df, weights, [label], match_nulls=True)
 
 
 # ---- imputation and scaling ----------------------------------------------------------------

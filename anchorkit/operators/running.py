@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anchorkit.functions.values import hash_bucket, quoted, sql_literal
-from anchorkit.session import shuffle_width
+from anchorkit.operators.joins import balanced_join, same_join
+from anchorkit.session import shuffle_width, staged
 
 _MAX_BUCKETS = 4096
 #: Quantile bands expected to hold at most this many rows are ranked without further borders.
@@ -46,7 +47,7 @@ def running_total(df: DataFrame, by: list[str], order: str, weight: str, out: st
                   bucket: Column | None = None, ties: list[str] | None = None) -> DataFrame:
     """Inclusive running sum of ``weight`` by ``order`` inside each ``by`` group.
 
-    ``df`` has one row per (``by``, ``order``, ``ties``) and no NULL in ``by``. ``bucket`` may give
+    ``df`` has one row per (``by``, ``order``, ``ties``); a NULL in ``by`` is a group. ``bucket`` may give
     a bucket that never falls while ``order`` rises (a hash prefix, say); otherwise borders are
     found with one aggregate over ``df``.
     """
@@ -69,7 +70,7 @@ def running_total(df: DataFrame, by: list[str], order: str, weight: str, out: st
         ).alias("_carry"),
     )
     return (
-        local.join(carry, cell)
+        same_join(local, carry, cell)
         .withColumn(out, F.col("_local") + F.col("_carry"))
         .drop("_bucket", "_local", "_carry")
     )
@@ -98,56 +99,48 @@ def hash_ranks(df: DataFrame, by: list[str], hashed: str, ties: list[str], out:
     The leading digits of the hash are the bucket, so even one group of all rows is spread.
     """
     weighted = df.withColumn("_one", F.lit(1).cast("long"))
-    digits = 3 if shuffle_width(df.sparkSession) <= 1024 else 4
+    # four buckets per shuffle partition, sixteen values a digit
+    digits = max(3, -(-(4 * shuffle_width(df.sparkSession) - 1).bit_length() // 4))
     return running_total(weighted, by, hashed, "_one", out, hash_bucket(F.col(hashed), digits), ties).drop("_one")
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,
-                    max_groups: int = 10_000) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation: rows (``by``, feature, prob, value, n).
 
     A first pass takes quantile sketches a little below and above each wanted position; the
-    second pass counts what lies below that narrow band and ranks only the rows inside it. The
-    sketch result is one row per group and column; more than ``max_groups`` of them is an error.
-    A column without any value gives no row.
+    second pass counts what lies below that narrow band and ranks only the rows inside it. Bands
+    are a written table with one row per group, column and probability, so there may be any number
+    of groups; a NULL group is a group. A column without any value gives no row.
     """
     by = list(by or [])
-    spark = df.sparkSession
     margin, accuracy = 0.002, 10_000
     items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
     long = df.select(*by, F.explode(items).alias("_i")).select(*by, "_i.feature", "_i.value")
     long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     edges = [min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)]
     sketch = long.groupBy(*by, "feature").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("value", edges, accuracy).alias("edges"),
-        F.min("value").alias("low"), F.max("value").alias("high"),
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("value", edges, accuracy).alias("_edges"),
+        F.min("value").alias("_low"), F.max("value").alias("_high"),
     )
-    rows = sketch.limit(max_groups + 1).collect()
-    if len(rows) > max_groups:
-        raise ValueError(f"more than {max_groups} groups of quantiles")
-    bands = []
-    for r in rows:
-        for i, p in enumerate(probs):
-            at = p * (r["n"] - 1)
-            first = int(at)
-            # Few rows: the margin would be under one rank, so the band is everything.
-            few = r["n"] < 10 / margin
-            lo = r["low"] if few or edges[2 * i] <= 0.0 else r["edges"][2 * i]
-            hi = r["high"] if few or edges[2 * i + 1] >= 1.0 else r["edges"][2 * i + 1]
-            bands.append((*[r[b] for b in by], r["feature"], float(p), r["n"], first,
-                          min(first + 1, r["n"] - 1), at - first, lo, hi))
-    names = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([f"`{b}` {names[b]}" for b in by] + [
-        "feature string", "prob double", "n long", "_first long", "_next long", "_part double",
-        "_lo double", "_hi double"])
-    band = spark.createDataFrame(bands, schema)
     keys = [*by, "feature"]
-    within = long.join(F.broadcast(band), keys).where(F.col("value") <= F.col("_hi")).select(
+    # Few rows: the margin would be under one rank, so the band is everything.
+    few = F.col("n") < 10 / margin
+    bands = []
+    for i, p in enumerate(probs):
+        at = (F.col("n") - 1) * F.lit(float(p))
+        first = F.floor(at)
+        side = lambda k, end, open_: F.when(few | F.lit(open_), F.col(end)).otherwise(F.get("_edges", F.lit(k)))
+        bands.append(F.struct(
+            F.lit(float(p)).alias("prob"), first.alias("_first"), F.least(first + 1, F.col("n") - 1).alias("_next"),
+            (at - first).alias("_part"), side(2 * i, "_low", edges[2 * i] <= 0.0).alias("_lo"),
+            side(2 * i + 1, "_high", edges[2 * i + 1] >= 1.0).alias("_hi")))
+    band = staged(sketch.select(*keys, "n", F.inline(F.array(*bands))), "bands")
+    within = balanced_join(long, band, keys, match_nulls=True).where(F.col("value") <= F.col("_hi")).select(
         *keys, "prob", F.when(F.col("value") >= F.col("_lo"), F.col("value")).alias("_v")
     )
     counts = within.groupBy(*keys, "prob", "_v").agg(F.count(F.lit(1)).alias("_c"))
     # Rows below the band share one NULL key, which sorts first and so only shifts the ranks.
-    expected = max((r["n"] for r in rows), default=0) * 2 * margin
+    expected = (band.agg(F.max("n")).first()[0] or 0) * 2 * margin
     spread = F.lit(0)
     if expected > SINGLE_BUCKET_ROWS:
         borders = order_borders(counts.where(F.col("_v").isNotNull()), "_v")
@@ -155,7 +148,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: l
     ranked = running_total(counts, [*keys, "prob"], "_v", "_c", "_upto", spread)
     holds = lambda at: (F.col("_upto") - F.col("_c") <= F.col(at)) & (F.col(at) < F.col("_upto"))
     picked = (
-        ranked.join(F.broadcast(band), [*keys, "prob"])
+        balanced_join(ranked, band, [*keys, "prob"], match_nulls=True)
         .groupBy(*keys, "prob", "n", "_part")
         .agg(F.max(F.when(holds("_first"), F.col("_v"))).alias("_a"),
              F.max(F.when(holds("_next"), F.col("_v"))).alias("_b"))

@@ -133,10 +133,10 @@ def test_exact_quantiles_bucketed_band(spark, monkeypatch):
     assert calls and got == np.quantile([i * 7 % 3001 for i in range(3000)], 0.5)
 
 
-def test_quantile_group_limit(spark):
-    df = spark.range(20).select("id", F.lit(1.0).alias("x"))
-    with pytest.raises(ValueError):
-        ru.exact_quantiles(df, ["x"], [0.5], ["id"], max_groups=5)
+def test_quantiles_of_many_and_missing_groups(spark):
+    df = spark.range(24_000).select(F.when(F.col("id") >= 2, F.col("id") % 12_000).alias("g"), F.col("id").cast("double").alias("x"))
+    got = {r.g: r.value for r in ru.exact_quantiles(df, ["x"], [0.5], ["g"]).collect()}
+    assert len(got) == 12_001 and got[None] == 0.5 and got[5] == 6005.0
 
 
 def test_value_ranks_average_ties(spark):

@@ -94,6 +94,11 @@ def test_folds_caps_weights(spark, thirty):
     capped = pr.capped_sample(thirty, 9, key="stay_id", label="los_class")
     assert {r["count"] for r in capped.groupBy("los_class").count().collect()} == {3}
     assert pr.capped_sample(thirty, 12, key="stay_id").count() == 12
+    even = spark.range(20).select("id", (F.col("id") % 4).alias("c"))  # four classes of 5
+    assert pr.capped_sample(even, 10, key="id", label="c").count() == 10
+    rare = spark.range(1000).select("id", F.when(F.col("id") < 4, None).otherwise("x").alias("c"))
+    found = {r.c: r["count"] for r in pr.capped_sample(rare, 100, key="id", label="c").groupBy("c").count().collect()}
+    assert sum(found.values()) == 100 and found[None] >= 1
     assert pr.capped_sample(thirty, None, key="stay_id") is thirty and pr.capped_sample(thirty, 30, key="stay_id") is thirty
     w = {r.los_class: r.weight for r in pr.balanced_weights(few, "los_class").collect()}
     assert w == {0: pytest.approx(7 / 9), 1: pytest.approx(7 / 6), 2: pytest.approx(7 / 6)}
@@ -135,7 +140,7 @@ def test_tails():
     big = tails.signed_rank_two_sided(500.0, 60, 0.0, 0)
     z = (500 - 60 * 61 / 4) / math.sqrt(60 * 61 * 121 / 24)
     assert big == pytest.approx(tails.normal_two_sided(z))
-    assert tails.signed_rank_two_sided(10.0, 10, 6.0, 0) != tails.signed_rank_exact(10, 10)
+    assert tails.signed_rank_two_sided(10.0, 10, 0.0, 0) != tails.signed_rank_exact(10, 10)  # size doesn't choose the method
 
 
 def test_paired_tests(spark):
@@ -268,3 +273,19 @@ def test_extracts(spark, sf):
     assert set(got) == {"cohort", "diagnoses", "vitals", "labs", "severity", "occupancy"}
     assert got["severity"].count() == got["cohort"].count() == got["occupancy"].count()
     assert set(cl.I.VITAL_COLUMNS) <= set(got["vitals"].columns)
+
+
+def test_missing_groups_and_labels_stay(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") % 4 > 0, (F.col("id") % 4).cast("string")).alias("g"),
+                                 F.col("id").cast("double").alias("y"), (F.col("id") * 1.5).alias("p"))
+    split = pr.stratified_split(df, key="id", label="g")
+    assert split.count() == 100 and split.where("g is null and split = 'test'").count() == 5
+    assert pr.balanced_weights(df, "g").where("g is null").count() == 25
+    assert pr.class_folds(df, key="id", label="g").count() == 100
+    found = {r.g: r.MedianAE for r in me.regression_metrics(df, ["g"], "y", "p").collect()}
+    assert set(found) == {None, "1", "2", "3"} and found[None] == 24.0
+    tested = cp.paired_statistics(cp.paired_errors(df.withColumn("c", F.col("y") + 1), "y", "p", "c"), ["g"])
+    assert tested.where("g is null and wilcoxon_stat is not null").count() == 1
+    flat = df.select("g", F.lit(2.0).alias("y"), F.lit(2.0).alias("p"), F.lit(3.0).alias("q"))
+    assert {r.R2 for r in me.regression_metrics(flat, [], "y", "p").collect()} == {1.0}
+    assert {r.R2 for r in me.regression_metrics(flat, [], "y", "q").collect()} == {0.0}

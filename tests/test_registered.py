@@ -4,8 +4,7 @@ import pytest
 from compare import compare, duck
 
 import __spark_entry__ as driver
-
-SLOW = {"classifier_scores", "learning_curve"}
+from anchorkit import catalog
 
 
 @pytest.fixture(scope="module")
@@ -13,7 +12,7 @@ def con(sf):
     return duck(sf)
 
 
-@pytest.mark.parametrize("name", [q for q in driver.queries() if q not in SLOW])
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, con, sf, name):
     assert compare(spark, con, sf, name, driver.queries()[name], driver.oracle_sql().get(name)) is None
 
