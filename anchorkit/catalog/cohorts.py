@@ -95,6 +95,16 @@ def top_two_chapters(spark, sf):
     return en.top_chapters(clinical_views(spark, sf)["diagnoses_icd"])
 
 
+@REGISTER("diagnosis_extract", clinical(f"""
+SELECT subject_id, hadm_id, any_value(chapter) FILTER (rn = 1) AS diag1_chapter, any_value(chapter) FILTER (rn = 2) AS diag2_chapter
+FROM (SELECT subject_id, hadm_id, {CHAPTER_SQL.format(c="icd_code")} AS chapter,
+             row_number() OVER (PARTITION BY subject_id, hadm_id ORDER BY seq_num, icd_code) AS rn FROM diagnoses WHERE icd_version = 10)
+GROUP BY subject_id, hadm_id"""))
+def diagnosis_extract(spark, sf):
+    """The chapters by subject and admission."""
+    return en.top_chapters(clinical_views(spark, sf)["diagnoses_icd"], subject="subject_id")
+
+
 UNIT_NAMES = {"NATION_1": "N1", "NATION_3": "N3", "NATION_7": "N1", "NATION_11": "Far"}
 
 

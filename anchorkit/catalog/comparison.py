@@ -84,6 +84,17 @@ def metrics_with_missing_group(spark, sf):
     return round_doubles(me.regression_metrics(preds, ["model"], "y", "base"))
 
 
+@REGISTER("stacked_metrics", f"WITH {_P}, f AS (SELECT model, avg((y_true = y_base)::INT) AS acc FROM p GROUP BY model) "
+          "SELECT model, round(acc, 6) AS \"Accuracy\", NULL::DOUBLE AS \"MAE\" FROM f UNION ALL "
+          "SELECT model, NULL, round(avg(abs(base - y)), 6) FROM p GROUP BY model")
+def stacked_metrics(spark, sf):
+    """Metric tables with different columns in one table; absent ones are empty."""
+    preds = _preds(spark, sf)
+    classes = me.classification_metrics(preds, ["model"], "y_true", "y_base").select("model", "Accuracy")
+    days = me.regression_metrics(preds, ["model"], "y", "base", median=False).select("model", "MAE")
+    return round_doubles(classes.unionByName(days, allowMissingColumns=True))
+
+
 REG = ["MAE", "RMSE", "R2", "MAPE", "MedianAE"]
 
 

@@ -9,7 +9,7 @@ from anchorkit.operators import metrics as me
 from anchorkit.operators import models as mo
 from anchorkit.operators import prep as pr
 from anchorkit.plans.retail import table
-from anchorkit.session import staged
+from anchorkit.session import scratch_path, staged
 
 REGISTER = Register()
 FEATURES = ["n_lines", "quantity", "price", "discount", "tax", "urgent"]
@@ -48,6 +48,22 @@ def linear_fit(spark, sf):
     return spark.createDataFrame([(round(float(model.coefficients[0]), 4), round(float(model.intercept), 2))], "slope double, intercept double")
 
 
+@REGISTER("reloaded_model", """
+SELECT l_orderkey, l_linenumber, round(i + s * l_quantity, 2) AS prediction FROM lineitem,
+  (SELECT regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i FROM lineitem)""")
+def reloaded_model(spark, sf):
+    """A stored model predicts as it did before."""
+    from pyspark.ml.regression import LinearRegressionModel
+
+    data = mo.assembled(table(spark, sf, "lineitem").withColumn("label", F.col("l_extendedprice")), ["l_quantity"],
+                        ["l_orderkey", "l_linenumber", "label"])
+    model, _ = mo.fit_best("linear_regression", "stage2", data, key="l_orderkey")
+    path = scratch_path(spark, "model")
+    mo.save_model(model, path)
+    back = LinearRegressionModel.load(path).transform(data)
+    return back.select("l_orderkey", "l_linenumber", F.round("prediction", 2).alias("prediction"))
+
+
 @REGISTER("ridge_fits", " UNION ALL ".join(f"""
 SELECT {a}::DOUBLE AS alpha, round(covar_pop(l_extendedprice, l_quantity) * count(*) / (var_pop(l_quantity) * count(*) + {a}), 4) AS slope,
   round(avg(l_extendedprice) - avg(l_quantity) * covar_pop(l_extendedprice, l_quantity) * count(*) / (var_pop(l_quantity) * count(*) + {a}), 2) AS intercept

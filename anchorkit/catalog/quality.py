@@ -31,6 +31,17 @@ def missing_rates(spark, sf):
     return round_doubles(qu.missing_rates(_nulled(spark, sf)))
 
 
+@REGISTER("validated_features", clinical("""
+SELECT feature, round(rate, 6) AS missing_rate, rate > 0.5 AS high_missing FROM (
+  UNPIVOT (SELECT avg((gender IS NULL)::INT)::DOUBLE AS gender, avg((age IS NULL)::INT)::DOUBLE AS age,
+                  avg((los_days IS NULL)::INT)::DOUBLE AS los_days FROM cohort)
+  ON gender, age, los_days INTO NAME feature VALUE rate)"""))
+def validated_features(spark, sf):
+    """Cohort size, lengths and class balance are logged; the rates of missing values come back."""
+    cohort, _ = stored_cohort(spark, sf)
+    return round_doubles(qu.validate_features(cohort.select("gender", "age", "los_days")))
+
+
 @REGISTER("signal_profile", f"WITH t AS ({_NULLED_SQL}) " + " UNION ALL ".join(
     f"""SELECT '{n}' AS feature, count(try_cast({n} AS DOUBLE)) AS n_valid, count(DISTINCT try_cast({n} AS DOUBLE)) = 1 AS is_constant,
         count(try_cast({n} AS DOUBLE)) = 0 AS is_empty FROM t""" for n in NULLED)

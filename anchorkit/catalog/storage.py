@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorkit.catalog.cohorts import stored_cohort
@@ -27,6 +30,20 @@ def csv_gz_round_trip(spark, sf):
                        V.micros("l_shipdate").alias("ship_us"))
 
 
+@REGISTER("named_tables", """
+SELECT o_orderstatus, count(*) AS n, round(sum(l_quantity), 6) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderstatus""")
+def named_tables(spark, sf):
+    """Parquet by default, one table overridden to CSV that exists only as ``.gz``; columns are chosen at the scan."""
+    folder = scratch_path(spark, "raw")
+    sinks.save_csv(table(spark, sf, "orders"), f"{folder}/orders.csv.gz", "gzip")
+    config = {"data": {"source": "parquet", "table_sources": {"orders": "csv"}, "parquet": {"base_path": sf},
+                       "csv": {"base_path": folder, "files": {"orders": "orders.csv"}}}}
+    orders = tables.load_table(spark, config, "orders", ["o_orderkey", "o_orderstatus"])
+    lines = tables.load_table(spark, config, "lineitem", ["l_orderkey", "l_quantity"])
+    joined = lines.join(orders.withColumn("l_orderkey", F.col("o_orderkey").cast("long")), "l_orderkey")
+    return round_doubles(joined.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity")))
+
+
 @REGISTER("header_driven_load", """
 SELECT o_orderkey, o_custkey, round(o_totalprice, 6) AS o_totalprice, epoch_us(o_orderdate) AS order_us, NULL::VARCHAR AS o_note, o_orderstatus FROM orders""")
 def header_driven_load(spark, sf):
@@ -102,11 +119,11 @@ def stored_split(spark, sf):
 
 
 @REGISTER("saved_extracts", clinical("""
-SELECT 'cohort' AS extract, count(*) AS n FROM cohort UNION ALL SELECT 'patients', count(*) FROM patients
-UNION ALL SELECT 'chartevents', count(*) FROM chartevents"""))
+SELECT 'cohort' AS extract, count(*) AS n FROM cohort """ + " ".join(
+    f"UNION ALL SELECT '{t}', count(*) FROM {t}" for t in ("patients", "admissions", "chartevents", "labevents", "inputevents"))))
 def saved_extracts(spark, sf):
     cohort, views = stored_cohort(spark, sf)
-    stored = sinks.save_extracts({"cohort": cohort, "patients": views["patients"], "chartevents": views["chartevents"]},
-                                 scratch_path(spark, "extracts"))
+    names = ["patients", "admissions", "chartevents", "labevents", "inputevents"]
+    stored = sinks.save_extracts({"cohort": cohort, **{t: views[t] for t in names}}, scratch_path(spark, "extracts"))
     parts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("extract"), "n") for name, df in stored.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)

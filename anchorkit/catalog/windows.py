@@ -15,6 +15,7 @@ from anchorkit.operators.occupancy import occupancy
 from anchorkit.plans import clinical as cl
 from anchorkit.plans import items as I
 from anchorkit.plans.retail import clinical_views, table
+from anchorkit.session import staged
 
 REGISTER = Register()
 ACTIONS = ["signup", "purchase", "error", "view", "click"]
@@ -89,6 +90,16 @@ def precomputed_labs(spark, sf):
     return round_doubles(cl.labs(cohort, precomputed=by_admission))
 
 
+@REGISTER("precomputed_vitals", clinical(
+    "SELECT stay_id, " + ", ".join(f"round({n}, 6) AS {n}" for n in I.VITAL_COLUMNS[:-1]) + f", NULL::DOUBLE AS {I.VITAL_COLUMNS[-1]} FROM vital_means",
+    VITALS_SQL))
+def precomputed_vitals(spark, sf):
+    """Stored vital means of which a column is missing: it comes back empty."""
+    cohort, views = stored_cohort(spark, sf)
+    stored = staged(cl.vitals(cohort, views["chartevents"]).drop(I.VITAL_COLUMNS[-1]), "vitals")
+    return round_doubles(cl.vitals(cohort, precomputed=stored))
+
+
 @REGISTER("mergeable_means", "SELECT user_id, " + ", ".join(
     f"round(avg(CASE WHEN event_type = '{a}' THEN value END), 6) AS {a}_mean" for a in ACTIONS) + " FROM events GROUP BY user_id")
 def mergeable_means(spark, sf):

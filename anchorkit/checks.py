@@ -46,3 +46,10 @@ def align_columns(df: DataFrame, columns: list[str], keep: Iterable[str] = ()) -
     return df.select(*keep, *[
         F.col(c) if c in present else F.lit(None).cast("double").alias(c) for c in columns
     ])
+
+
+def require_unique(df: DataFrame, key: str, what: str) -> None:
+    """Raise when a value of ``key`` occurs more than once (eager, one aggregate); missing keys match nothing and may repeat."""
+    twice = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{what}: {key} {twice[0][key]!r} occurs {twice[0]['_n']} times")

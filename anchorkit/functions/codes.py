@@ -19,6 +19,8 @@ CHAPTER_OF_LETTER = {
 CHAPTER_OF_D = [("0", "4", 2), ("5", "8", 3)]
 CHAPTER_OF_H = [("0", "5", 7), ("6", "9", 8)]
 N_CHAPTERS = 22
+#: All characters that are white space in Unicode text.
+WHITE = "".join(x for x in map(chr, range(0x3001)) if x.isspace())
 
 # Care-unit names -> compact labels.
 UNIT_LABELS = {
@@ -55,8 +57,8 @@ def literal_map(mapping: dict) -> Column:
 
 
 def trimmed(c: str | Column) -> Column:
-    """Strip spaces, tabs and line ends."""
-    return F.btrim(_col(c), F.lit(" \t\r\n"))
+    """Strip white space of any kind."""
+    return F.btrim(_col(c), F.lit(WHITE))
 
 
 def code_chapter(code: str | Column) -> Column:

@@ -44,21 +44,24 @@ def chapter_columns(chapter: str, prefix: str) -> list[Column]:
 
 
 def top_chapters(diagnoses: DataFrame, *, admission: str = "hadm_id", code: str = "icd_code",
-                 version: str = "icd_version", order: str = "seq_num", keep_version: int = 10) -> DataFrame:
-    """Chapters of the first two codes of an admission: (admission, diag1_chapter, diag2_chapter).
+                 version: str = "icd_version", order: str = "seq_num", keep_version: int = 10, subject: str | None = None) -> DataFrame:
+    """Chapters of the first two codes of an admission: ([subject,] admission, diag1_chapter, diag2_chapter).
+
+    With ``subject`` the rows are grouped by both keys, as the diagnosis extract is.
 
     An admission with a single code has NULL as its second chapter. A table that already holds
     both chapter columns passes through.
     """
-    ready = [admission, "diag1_chapter", "diag2_chapter"]
+    keys = [subject, admission] if subject else [admission]
+    ready = [*keys, "diag1_chapter", "diag2_chapter"]
     if set(ready) <= set(diagnoses.columns):
         return diagnoses.select(*ready)
-    require_columns(diagnoses, [admission, code, version, order], "diagnoses")
+    require_columns(diagnoses, [*keys, code, version, order], "diagnoses")
     versioned = diagnoses.where(to_number(version) == keep_version).select(
-        admission, F.col(code).alias("_code"), to_number(order).alias("_order"))
-    ranked = top_k(versioned, [admission], [F.col("_order").asc_nulls_last(), F.col("_code").asc_nulls_last()], 2, "_rank")
+        *keys, F.col(code).alias("_code"), to_number(order).alias("_order"))
+    ranked = top_k(versioned, keys, [F.col("_order").asc_nulls_last(), F.col("_code").asc_nulls_last()], 2, "_rank")
     chapter = C.code_chapter("_code")
-    return ranked.groupBy(admission).agg(
+    return ranked.groupBy(*keys).agg(
         F.max(F.when(F.col("_rank") == 1, chapter)).alias("diag1_chapter"),
         F.max(F.when(F.col("_rank") == 2, chapter)).alias("diag2_chapter"),
     )

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorkit.checks import require_columns
+from anchorkit.checks import require_columns, require_unique
 from anchorkit.functions import values as V
 from anchorkit.operators.joins import BROADCAST_MAX_BYTES, balanced_join
 
@@ -122,8 +122,12 @@ def finish_means(parts: DataFrame, entity: str, feature: str, names: list[str],
 
 def precomputed_means(df: DataFrame, names: list[str], key: str, cohort: DataFrame | None = None,
                       entity: str = "stay_id") -> DataFrame:
-    """An already aggregated wide table: checked key, completed columns, moved to the entity key."""
+    """An already aggregated wide table: checked key, completed columns, moved to the entity key.
+
+    A key that occurs twice is an error, as it would multiply the entity's rows.
+    """
     require_columns(df, [key], "precomputed table")
+    require_unique(df, key, "precomputed table")
     full = df.select(key, *[
         F.col(n).cast("double").alias(n) if n in df.columns else F.lit(None).cast("double").alias(n) for n in names])
     if cohort is None or key == entity:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anchorkit.checks import require_columns
+from anchorkit.checks import require_columns, require_unique
 from anchorkit.functions import scores as S
 from anchorkit.operators import cohort as co
 from anchorkit.operators.align import band_aligned_min
@@ -60,11 +60,14 @@ def severity_signals(cohort: DataFrame, chartevents: DataFrame, labevents: DataF
 
     Each event table is read once for its plain extremes; the four streams are unioned and
     aggregated together, so there is one shuffle of partial rows instead of one per signal.
+    ``chartevents`` may be the windowed rows of :func:`chart_window`.
     """
     window = lambda events, items, schema: events_in_window(
         events, cohort, items, schema, **options).select("stay_id", "item", "value")
+    ready = "itemid" not in chartevents.columns
     streams = [
-        window(chartevents, [I.SPO2, I.FIO2, *I.PRESSURE], CHART),
+        chartevents.where(F.col("item").isin([I.SPO2, I.FIO2, *I.PRESSURE])).select("stay_id", "item", "value") if ready
+        else window(chartevents, [I.SPO2, I.FIO2, *I.PRESSURE], CHART),
         window(labevents, [I.PAO2, I.BILIRUBIN, I.PLATELETS, I.CREATININE], LAB),
         _drug_rates(inputevents, cohort, **options),
         window(outputevents, I.URINE, OUTPUT),
@@ -92,9 +95,18 @@ def severity_signals(cohort: DataFrame, chartevents: DataFrame, labevents: DataF
     )
 
 
+def chart_window(cohort: DataFrame, chartevents: DataFrame, **options) -> DataFrame:
+    """Chart readings that the score needs, inside the window, written narrow: one scan for signals and alignment."""
+    wanted = [I.SPO2, I.FIO2, *I.PRESSURE, I.EYE, I.VERBAL, I.MOTOR]
+    return staged(events_in_window(chartevents, cohort, wanted, CHART, **options).select("stay_id", "item", "time", "value"), "chart")
+
+
 def coma_minimum(cohort: DataFrame, chartevents: DataFrame, tolerance_seconds: int = 1800, **options) -> DataFrame:
     """Lowest sum of eye, verbal and motor readings taken within 30 minutes of the eye reading."""
-    rows = events_in_window(chartevents, cohort, [I.EYE, I.VERBAL, I.MOTOR], CHART, **options)
+    if "itemid" in chartevents.columns:
+        rows = events_in_window(chartevents, cohort, [I.EYE, I.VERBAL, I.MOTOR], CHART, **options)
+    else:
+        rows = chartevents.where(F.col("item").isin([I.EYE, I.VERBAL, I.MOTOR]))
     return band_aligned_min(rows, entity="stay_id", item="item", time="time", value="value", base=I.EYE,
                             others=[I.VERBAL, I.MOTOR], tolerance_seconds=tolerance_seconds, out="gcs_min")
 
@@ -107,6 +119,7 @@ def severity_score(cohort: DataFrame, chartevents: DataFrame, labevents: DataFra
     """
     options = {"hours": hours, "max_bytes": max_bytes,
                "anchor_bytes": measured_bytes(cohort.select("stay_id", "hadm_id", "intime"))}
+    chartevents = chart_window(cohort, chartevents, **options)
     signals = severity_signals(cohort, chartevents, labevents, inputevents, outputevents, **options)
     coma = coma_minimum(cohort, chartevents, **options)
     c = F.col
@@ -157,6 +170,7 @@ def base_features(tables: dict[str, DataFrame], *, cohort: DataFrame | None = No
 def extended_features(base: DataFrame, extra: DataFrame) -> DataFrame:
     """Base table plus severity (or occupancy) columns by stay."""
     require_columns(base, ["stay_id"], "base features")
+    require_unique(extra, "stay_id", "extra features")
     return base.join(extra, "stay_id", "left")
 
 

@@ -20,6 +20,12 @@ def finished(spark: SparkSession, path: str) -> bool:
     return exists(spark, path.rstrip("/") + "/_SUCCESS")
 
 
+def partition_folder(spark: SparkSession, path: str, column: str, value) -> str:
+    """Folder of one partition value, escaped as Spark writes it."""
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(column, str(value))
+    return f"{path.rstrip('/')}/{name}"
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     fs, jpath = _fs(spark, path)
     fs.delete(jpath, True)

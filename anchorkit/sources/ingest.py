@@ -32,10 +32,11 @@ def append_items(rows: DataFrame, target: str, items: list[int], item: str = "it
     spark = rows.sparkSession
     chosen = rows.where(F.col(item).isin(items))
     present = {r[item] for r in chosen.select(item).distinct().collect()}
+    # Before the write: a call that breaks off leaves gaps, which the repeated call fills, and never old rows.
+    for gone in set(items) - present:
+        files.drop_folder(spark, files.partition_folder(spark, target, item, gone))
     # No shuffle: the item list is short, so a task writes few files, and a huge item stays spread.
     chosen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(item).parquet(target)
-    for gone in set(items) - present:
-        files.drop_folder(spark, f"{target.rstrip('/')}/{item}={gone}")
     return spark.read.option("mergeSchema", True).parquet(target)
 
 
