@@ -190,3 +190,20 @@ def nearest_same_label(spark, sf):
     from anchorkit.operators.oversample import nearest_in_class
 
     return nearest_in_class(table(spark, sf, "embeddings"), key="vec_id", label="label", vector="embedding")
+
+
+@REGISTER("oversampled_vectors", """
+WITH t AS (SELECT vec_id, CASE WHEN label % 3 = 0 THEN 0 ELSE 1 END AS grp, embedding::DOUBLE[] AS x FROM embeddings),
+sizes AS (SELECT grp, count(*) AS n, max(count(*)) OVER () AS top FROM t GROUP BY grp),
+small AS (SELECT t.*, n, top - n AS missing, row_number() OVER (PARTITION BY grp ORDER BY md5('42:' || vec_id), vec_id) AS rank FROM t JOIN sizes USING (grp) WHERE n < top),
+near AS (SELECT a.vec_id, arg_min(b.x, (list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) ** 2)), b.vec_id)) AS y
+         FROM small a JOIN small b ON a.grp = b.grp AND a.vec_id <> b.vec_id GROUP BY a.vec_id),
+turns AS (SELECT *, unnest(range(1, ((missing - rank + n) // n)::BIGINT + 1)) AS turn FROM small),
+made AS (SELECT vec_id AS source, grp, x, y, ('0x' || substr(md5('42:gap:' || vec_id || ':' || turn), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+         FROM turns JOIN near USING (vec_id))
+SELECT source, grp, round(list_sum(list_transform(list_zip(x, y), lambda p: p[1] + (p[2] - p[1]) * u)), 4) AS total FROM made""")
+def oversampled_vectors(spark, sf):
+    """Every synthetic vector, by the sum of its coordinates."""
+    points = table(spark, sf, "embeddings").select("vec_id", F.when(F.col("label") % 3 == 0, 0).otherwise(1).alias("grp"), "embedding")
+    full = oversample(points, key="vec_id", label="grp", vector="embedding").where("synthetic")
+    return full.select("source", "grp", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))

@@ -21,8 +21,10 @@ def nearest_in_class(points: DataFrame, *, key: str, label: str, vector: str) ->
     blocks is one task-sized distance matrix that emits a single best row per point, and the best
     over blocks is an aggregation. No pair of points is ever written. The work is quadratic in
     the class size, as exact search is, and it is spread evenly over block pairs; callers cap the
-    rows first where the workflow does (see ``capped_sample``).
+    rows first where the workflow does (see ``capped_sample``). Keys are whole numbers, one per row.
     """
+    if dict(points.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be a whole number")
     ranked = ranked_in_class(points, key, label, 0, "_rank").withColumnRenamed("n", "_n")
     blocks = F.ceil(F.col("_n") / F.lit(float(_BLOCK_ROWS))).cast("int")
     tagged = points.select(key, label, F.col(vector).cast("array<double>").alias("_x")).join(
@@ -47,13 +49,14 @@ def nearest_in_class(points: DataFrame, *, key: str, label: str, vector: str) ->
             d[lk[start:start + 256, None] == rk[None, :]] = np.inf
             # Re-measure the close candidates exactly: the expanded form loses digits near zero.
             low = d.min(1, keepdims=True)
-            close = d <= low + slack
-            for i, row in enumerate(close):
-                cand = np.flatnonzero(row)
-                exact = ((b[cand] - part[i]) ** 2).sum(1)
-                pick = int(np.argmin(exact))
-                at[start + i] = rk[cand[pick]]
-                dist[start + i] = exact[pick] if np.isfinite(low[i, 0]) else np.inf
+            row, cand = np.nonzero(d <= low + slack)
+            exact = np.concatenate([((b[c] - part[r]) ** 2).sum(1) for r, c in zip(
+                np.array_split(row, len(row) // 65536 + 1), np.array_split(cand, len(row) // 65536 + 1))])
+            # Best by distance, then key (``b`` is sorted by it); every point has a candidate.
+            order = np.lexsort((cand, exact, row))
+            first = order[np.searchsorted(row[order], np.arange(len(part)))]
+            at[start:start + 256] = rk[cand[first]]
+            dist[start:start + 256] = np.where(np.isfinite(low[:, 0]), exact[first], np.inf)
         out = pd.DataFrame({"k": lk, "neighbour": at, "dist": dist})
         return out[np.isfinite(out["dist"])]
 
@@ -64,13 +67,15 @@ def nearest_in_class(points: DataFrame, *, key: str, label: str, vector: str) ->
 
 
 def oversample(points: DataFrame, *, key: str, label: str, vector: str, seed: int = 42) -> DataFrame:
-    """(key, label, vector, synthetic): every class filled up to the size of the largest.
+    """(key, label, vector, synthetic, source): every class filled up to the size of the largest.
 
-    A synthetic row lies at a random place between a class member and its nearest neighbour; the
+    ``source`` is the key of the member a synthetic row starts from, missing for original rows; the
+    synthetic row's own key is a negative number made from source and turn. A synthetic row lies at a random place between a class member and its nearest neighbour; the
     members take turns in a random order. Unchanged when a class has fewer than two rows.
     """
     sizes = points.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
-    same = points.select(key, label, F.col(vector).cast("array<double>").alias(vector), F.lit(False).alias("synthetic"))
+    same = points.select(key, label, F.col(vector).cast("array<double>").alias(vector), F.lit(False).alias("synthetic"),
+                         F.lit(None).cast("long").alias("source")).withColumn(key, F.col(key).cast("long"))
     if not sizes or min(r["n"] for r in sizes) < 2:
         return same
     top = max(r["n"] for r in sizes)
@@ -86,6 +91,7 @@ def oversample(points: DataFrame, *, key: str, label: str, vector: str, seed: in
     # Copies of one point all name the same neighbour.
     made = balanced_join(pairs, vectors.select(F.col(key).alias("neighbour"), F.col("_x").alias("_y")), ["neighbour"])
     u = hash_unit(hash_text(seed, F.lit("gap"), F.col(key), F.col("_turn")))
+    own = F.xxhash64(F.lit(seed), F.col(key), F.col("_turn")).bitwiseOR(F.lit(-(1 << 63)))
     synthetic = made.withColumn("_u", u).select(
-        key, label, F.zip_with("_x", "_y", lambda a, b: a + (b - a) * F.col("_u")).alias(vector), F.lit(True).alias("synthetic"))
+        own.alias(key), label, F.zip_with("_x", "_y", lambda a, b: a + (b - a) * F.col("_u")).alias(vector), F.lit(True).alias("synthetic"), F.col(key).cast("long").alias("source"))
     return same.unionByName(synthetic)

@@ -13,6 +13,9 @@ from anchorkit.sources import files
 from anchorkit.sources.schemas import HOSPITAL_TABLES, TABLE_TYPES
 
 SOURCES = ("csv", "parquet", "postgresql")
+#: Whole-number columns over which large tables are read in ranges.
+TABLE_KEYS = {"icustays": "stay_id", "chartevents": "stay_id", "inputevents": "stay_id", "outputevents": "stay_id",
+              "labevents": "subject_id", "diagnoses_icd": "subject_id", "admissions": "hadm_id", "patients": "subject_id"}
 
 
 def source_of(config: dict[str, Any], table: str) -> str:
@@ -32,7 +35,7 @@ def load_table(spark: SparkSession, config: dict[str, Any], table: str, columns:
     elif source == "parquet":
         df = read_parquet(spark, config, table)
     else:
-        df = spark.read.format("jdbc").options(**jdbc_options(config, table, shuffle_width(spark))).load()
+        df = spark.read.format("jdbc").options(**with_bounds(spark, config, table, jdbc_options(config, table, shuffle_width(spark)))).load()
     return df.select(*columns) if columns else df
 
 
@@ -93,6 +96,24 @@ def jdbc_options(config: dict[str, Any], table: str, partitions: int = 8) -> dic
     return options
 
 
+def with_bounds(spark: SparkSession, config: dict[str, Any], table: str, options: dict[str, str]) -> dict[str, str]:
+    """Options with parallel ranges over the table's key, from its least and greatest value, unless ranges are configured."""
+    key = TABLE_KEYS.get(table)
+    if "partitionColumn" in options or key is None:
+        return options
+    plain = {k: v for k, v in options.items() if k != "dbtable"}
+    asked = f"(SELECT min({key}) AS low, max({key}) AS high FROM {options['dbtable']}) AS bounds"
+    row = spark.read.format("jdbc").options(**plain, dbtable=asked).load().first()
+    return ranged(options, key, row["low"], row["high"], shuffle_width(spark))
+
+
+def ranged(options: dict[str, str], key: str, low: int | None, high: int | None, partitions: int) -> dict[str, str]:
+    """Options that read ``partitions`` ranges of ``key``; an empty table is read as it is."""
+    if low is None:
+        return options
+    return {**options, "partitionColumn": key, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(partitions)}
+
+
 def render_schemas(text: str, names: dict[str, str]) -> str:
     """Replace schema qualifiers (``old.table`` to ``new.table``); an empty new name drops it."""
     for old, new in names.items():

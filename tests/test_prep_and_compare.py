@@ -225,6 +225,8 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.load_table(spark, cfg, "odd")
     options = tables.jdbc_options(cfg, "labevents")
+    assert tables.ranged({"dbtable": "x"}, "k", None, None, 4) == {"dbtable": "x"}
+    assert tables.ranged({"dbtable": "x"}, "k", 1, 90, 4)["numPartitions"] == "4"
     assert options["dbtable"] == "hosp.labevents" and options["partitionColumn"] == "hadm_id"
     assert tables.render_schemas("FROM a_icu.x JOIN b_a_icu.y", {"a_icu": "z"}) == "FROM z.x JOIN b_a_icu.y"
 
