@@ -42,12 +42,15 @@ _DROPPED = frozenset("nav footer aside form button select option dialog menu hea
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsbygoogle banner sponsor sponsored sponsors promo promos "
     "promoted promotion sidebar sidebars aside nav navbar navigation navi menu menus menubar breadcrumb breadcrumbs crumbs footer "
-    "foot header masthead topbar comment comments commentlist disqus replies reply respond discussion cookie cookies consent gdpr "
+    "foot masthead topbar comment comments commentlist disqus replies reply respond discussion cookie cookies consent gdpr "
     "notice notices notification alert disclaimer newsletter subscribe subscription signup popup modal overlay paywall share sharing "
     "social socials related recommended recommendations pagination pager toolbar widget widgets login search skip outbrain taboola "
     "complementary contentinfo alertdialog tooltip".split())
 _COMMENTS = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
 _HOLDS = frozenset({"article", "main"})
+#: A header with one of these beside it is the article's own.
+_OWN = frozenset("article post entry content story blog".split())
+_LAYOUT = re.compile(r"\b(?:with|has|no|without|show|hide)[-_]+[a-z0-9]+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _BASE = {"article": 10.0, "main": 10.0, "section": 3.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ol": -3.0, "ul": -3.0,
@@ -57,8 +60,11 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _LEVELS = 5
 
 
-def _named_away(tag: str, attributes: str) -> bool:
-    """Whether role, class, id or a hidden attribute say that this is not the article."""
+def _named_away(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether role, class, id or a hidden attribute say that this is not the article.
+
+    Words after "with", "has" and the like only tell how a page is laid out.
+    """
     if not attributes or tag in ("html", "body"):
         return False
     words: set[str] = set()
@@ -69,7 +75,9 @@ def _named_away(tag: str, attributes: str) -> bool:
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
         if name in ("class", "id", "role"):
-            words.update(_SPLIT.split(_CAMEL.sub(" ", value).lower()))
+            words.update(_SPLIT.split(_LAYOUT.sub(" ", _CAMEL.sub(" ", value).lower())))
+    if words & {"header", "head"} and not in_article and tag not in _HEADINGS and not words & _OWN:
+        return True
     return bool(words & (_COMMENTS if tag in _HOLDS or tag in _HEADINGS else _NAMES))
 
 
@@ -140,8 +148,9 @@ class _Page:
         self.tag.append(tag)
         self.parent.append(up)
         # a header inside an article is part of it
-        away = tag in _DROPPED or tag in _RAW or tag == "header" and not any(self._open.get(t) for t in _HOLDS)
-        self.away.append(away or _named_away(tag, attributes))
+        in_article = any(self._open.get(t) for t in _HOLDS)
+        away = tag in _DROPPED or tag in _RAW or tag == "header" and not in_article
+        self.away.append(away or _named_away(tag, attributes, in_article))
         self._stack.append(len(self.tag) - 1)
         self._open[tag] = self._open.get(tag, 0) + 1
         self._links += tag == "a"

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anchorkit.llm.rows import fresh, numbered
+from anchorkit.operators.joins import balanced_join
 
 #: Rows of a shard numbered in one task, on average.
 PIECE_ROWS = 200_000
@@ -99,8 +100,7 @@ def uniform_shards(df: DataFrame, shards: int, seed: int = 0, shard_col: str = "
     # permute locally: the place of a row among its block, in the order of a random number
     dealt = stored.withColumn(local, F.row_number().over(Window.partitionBy(block).orderBy(
         F.xxhash64(F.lit(seed), F.lit("local"), F.col(row)), F.col(row))) - 1)
-    # partitions x 12 numbers: bounded by the number of input partitions, not by rows
-    dealt = dealt.join(F.broadcast(sent.withColumnRenamed("ends", ends)), block)
+    dealt = balanced_join(dealt, sent.withColumnRenamed("ends", ends), [block])
     dealt = dealt.withColumn(shard_col, F.size(F.filter(F.col(ends), lambda e: e <= F.col(local))).cast("int"))
 
     # permute what a shard got: order by another random number, in pieces by its leading bits

@@ -54,7 +54,7 @@ def test_cutoffs_keep_the_allowed_rate(spark):
     rng = np.random.default_rng(1)
     rows = [("a", *map(float, x)) for x in rng.random((4000, 4))] + [(None, 0.0, 0.0, 0.0, 5.0)] * 3
     good = spark.createDataFrame(rows, "stratum string, symbol_ratio double, dup_line_ratio double, repeat_ratio double, word_length double")
-    grid = {s: tuple(x / 100 for x in range(100, 0, -1)) for s in quality_rules.CANDIDATES}
+    grid = {s: tuple(x / 1000 for x in range(1000, 900, -1)) for s in quality_rules.CANDIDATES}
     found = {r.stratum: r for r in quality_rules.risk_cutoffs(good, "stratum", 0.05, 0.05, grid).collect()}
     values = np.array([r[1:] for r in rows if r[0] == "a"])
     cuts = np.array([found["a"][s] for s in grid])

@@ -137,6 +137,8 @@ def test_slices_and_words():
     ("<div><div><p>One, two.</p></div><div><p>Three, four.</p></div></div>", "One, two.\n\nThree, four."),
     ("<script>var t='</p>';</script><style>p{}</style><p>x, y &amp; z</p><form><input><p>sign, up, now, please</p></form>", "x, y & z"),
     ("<header>Site, name</header><main><header><h1>Title</h1></header><p>Body</p><ul><li><a>l1</a><li><a>l2</a><li><a>l3</a></ul></main><aside>s</aside>", "Title\n\nBody"),
+    ("<div class='site-header'>Name, of, site</div><div class='content with-sidebar'><div class='post-header'><h2>Head</h2></div><p>Text, here.</p></div>"
+     "<div class=sidebarLeft>x, y, z</div><section id=comments><p>c, c, c, c, c, c</p></section>", "Head\n\nText, here."),
     ("<p><b>bold <p>next</p> tail", "bold\n\nnext\n\ntail"), ("<p hidden>a, b</p><p>c&nbsp;&nbsp;d</p><!-- x --> <p title='>'>e</p>", "c d\n\ne"),
     ("<div>" * 5000 + "deep, text" + "</div>" * 5000, "deep, text"),
 ])
