@@ -157,3 +157,88 @@ def learning_curve(spark, sf):
         "o_orderkey", "label", F.col("part").alias("features"))
     points = mo.learning_curve("linear_regression", {"baseline": narrow, "extended": full}, key="o_orderkey")
     return round_doubles(mo.curve_summary(points))
+
+
+def _part_data(spark, sf):
+    parts = table(spark, sf, "part").select("p_partkey", "p_size", (F.col("p_retailprice") + F.col("p_size") * 10).alias("label"))
+    return staged(mo.assembled(parts, ["p_size"], ["p_partkey", "label"]), "parts")
+
+
+#: Parts with their fold, and least squares with a penalty per held-out fold (``f``) and penalty (``a``).
+_PARTS_SQL = """
+t AS (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice + p_size * 10 AS y,
+             (row_number() OVER (ORDER BY md5('42:' || p_partkey), p_partkey) - 1) % 5 AS fold FROM part),
+folds(f) AS (VALUES (0), (1), (2), (3), (4)),
+fits AS (SELECT f, a, covar_pop(y, x) * count(*) / (var_pop(x) * count(*) + a) AS s, avg(y) AS my, avg(x) AS mx
+         FROM t, folds, penalties WHERE fold <> f GROUP BY f, a),
+errors AS (SELECT f, a, avg(abs(my + s * (x - mx) - y)) AS mae, 1 - avg((my + s * (x - mx) - y) ** 2) / var_pop(y) AS r2
+           FROM t JOIN fits ON fold = f GROUP BY f, a)"""
+
+
+@REGISTER("ridge_fold_scores", f"""
+WITH penalties(a) AS (VALUES (1.0::DOUBLE)), {_PARTS_SQL}
+SELECT 'ridge' AS model, metric, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS sd
+FROM (SELECT 'mae' AS metric, mae AS v FROM errors UNION ALL SELECT 'r2', r2 FROM errors) GROUP BY metric""")
+def ridge_fold_scores(spark, sf):
+    """Cross-validated scores of a one-feature ridge, which has a closed form."""
+    data = _part_data(spark, sf)
+    out = mo.cross_validated(["ridge"], "stage2", data, mo.stage_folds(data, "stage2", key="p_partkey"), key="p_partkey")
+    return out.select("model", "metric", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
+
+
+@REGISTER("ridge_grid_search", f"""
+WITH penalties(a) AS (VALUES (0.1::DOUBLE), (1e5::DOUBLE), (1e7::DOUBLE)), {_PARTS_SQL}
+SELECT 'ridge' AS model, arg_min(a, m) AS alpha FROM (SELECT a, avg(mae) AS m FROM errors GROUP BY a)""")
+def ridge_grid_search(spark, sf):
+    """The penalty with the lowest mean error over the folds."""
+    data = _part_data(spark, sf)
+    _, best = mo.fit_best("ridge", "stage2", data, key="p_partkey", grid={"alpha": [0.1, 1e5, 1e7]},
+                          folds=mo.stage_folds(data, "stage2", key="p_partkey"))
+    return spark.createDataFrame([("ridge", float(best["alpha"]))], "model string, alpha double")
+
+
+@REGISTER("least_squares_curve", f"""
+WITH penalties(a) AS (VALUES (0.0::DOUBLE)), {_PARTS_SQL},
+shares(share) AS (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)),
+ordered AS (SELECT f, x, y, row_number() OVER (PARTITION BY f ORDER BY md5('42:size:' || p_partkey), p_partkey) AS rank,
+                   count(*) OVER (PARTITION BY f) AS n FROM t, folds WHERE fold <> f),
+lines AS (SELECT share, f, regr_slope(y, x) AS s, regr_intercept(y, x) AS i, count(*) AS n FROM ordered, shares
+          WHERE rank <= floor(share * n + 1e-9) GROUP BY share, f)
+SELECT 'parts' AS run, share, round(avg(n), 4) AS train_rows, round(avg(mae), 4) AS mae_mean, round(stddev_pop(mae), 4) AS mae_sd
+FROM (SELECT share, f, any_value(n) AS n, avg(abs(i + s * x - y)) AS mae FROM t JOIN lines ON fold = f GROUP BY share, f) GROUP BY share""")
+def least_squares_curve(spark, sf):
+    """A learning curve of one-feature least squares."""
+    points = mo.learning_curve("linear_regression", {"parts": _part_data(spark, sf)}, key="p_partkey", shares=(0.1, 0.5, 1.0))
+    out = mo.curve_summary(points)
+    return out.select("run", "share", *[F.round(c, 4).alias(c) for c in ("train_rows", "mae_mean", "mae_sd")])
+
+
+@REGISTER("permuted_feature", """
+WITH t AS (SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice + p_size * 10 AS y FROM part),
+line AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM t),
+own AS (SELECT r, y, row_number() OVER (PARTITION BY r ORDER BY md5('42:own:' || r || ':' || p_partkey), p_partkey) AS rank FROM t, range(0, 30) g(r)),
+donor AS (SELECT r, x, row_number() OVER (PARTITION BY r ORDER BY md5('42:donor:' || r || ':' || p_partkey), p_partkey) AS rank FROM t, range(0, 30) g(r)),
+rises AS (SELECT r, avg(abs(i + s * x - y)) - (SELECT avg(abs(i + s * x - y)) FROM t, line) AS rise FROM own JOIN donor USING (r, rank), line GROUP BY r)
+SELECT 'p_size' AS feature, round(avg(rise), 4) AS importance_mean, round(stddev_pop(rise), 4) AS importance_std, true AS is_focus FROM rises""")
+def permuted_feature(spark, sf):
+    """Rise of the error of one-feature least squares when the feature is shuffled, thirty times."""
+    data = _part_data(spark, sf)
+    model, _ = mo.fit_best("linear_regression", "stage2", data, key="p_partkey")
+    out = mo.permutation_importance(model, data, ["p_size"], key="p_partkey", focus=["p_size"])
+    return out.select("feature", F.round("importance_mean", 4).alias("importance_mean"), F.round("importance_std", 4).alias("importance_std"), "is_focus")
+
+
+@REGISTER("binary_logistic", """
+WITH t AS (SELECT (o_orderpriority = '1-URGENT')::INT AS urgent, o_custkey % 3 AS label, o_orderkey FROM orders),
+g AS (SELECT urgent, label, count(*) / sum(count(*)) OVER (PARTITION BY urgent) AS share FROM t GROUP BY urgent, label)
+SELECT urgent, label::INT AS label, round(share, 2) AS p FROM g""")
+def binary_logistic(spark, sf):
+    """Weakly regularised, over one binary feature: the probabilities are the shares of the classes in both groups."""
+    rows = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"),
+                                             (F.col("o_custkey") % 3).cast("double").alias("label"))
+    data = staged(mo.assembled(rows, ["urgent"], ["o_orderkey", "label"]), "urgent")
+    model, _ = mo.fit_best("logistic_regression", "stage1", data, key="o_orderkey", grid={"C": [1e6]})
+    preds = mo.class_predictions(model, data, key="o_orderkey").join(rows.select("o_orderkey", "urgent"), "o_orderkey")
+    each = preds.groupBy("urgent").agg(*[F.avg(f"p{k}").alias(f"p{k}") for k in range(3)])
+    long = F.array(*[F.struct(F.lit(k).alias("label"), F.round(f"p{k}", 2).alias("p")) for k in range(3)])
+    return each.select("urgent", F.inline(long))
