@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anchorkit.llm.rows import named
-from anchorkit.llm.slices import slices
+from anchorkit.llm.slices import slices, tidy
 from anchorkit.llm.word_arrays import indices, word_arrays
 
 #: English words of abuse that the abuse labellers know.
@@ -39,11 +39,11 @@ TRAIN_ROWS = 15_000
 QUESTIONS = ("good", "abusive")
 #: Kept with this probability of good form at least, and less than this one of abuse.
 GOOD, ABUSIVE = 0.5, 0.9
-STEPS, RATE, DECAY, SEEN = 100, 0.05, 1e-4, 3
+STEPS, RATE, DECAY, SEEN, BLOCK = 100, 0.05, 1e-4, 3, 2000
 
 
-def signals(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signals (texts x SIGNALS), and the distinct (text, feature) pairs of every text in order of texts."""
+def signals(texts: pa.Array, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signals (texts x SIGNALS), and if ``hashed`` the distinct (text, feature) pairs of every text in order of texts."""
     words, bounds = word_arrays(texts, lower=False)
     texts = texts.cast(pa.string()).fill_null("")
     n, word = np.diff(bounds), indices(words)
@@ -78,6 +78,8 @@ def signals(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         share(table(SYMBOLS), chars), capitals / np.maximum(capitals + small, 1), share(table(b"!"), chars),
         kinds / np.maximum(n, 1), np.bincount(owner, weights=same, minlength=len(texts)) / np.maximum(n, 1) if len(word) else np.zeros(len(texts)),
         hits, hits / np.maximum(n, 1), high / np.maximum(capitals + small + high, 1), np.log1p(n)], axis=1)
+    if not hashed:
+        return out, np.zeros(0, np.int64), np.zeros(0, np.int64)
     feature = np.array([[xxhash.xxh32_intdigest(w) % BUCKETS, xxhash.xxh32_intdigest(w[:5], 1) % BUCKETS] for w in plain], np.int64).reshape(-1, 2)
     pairs = np.concatenate([text_of * BUCKETS + feature[word_of, 0], text_of * BUCKETS + feature[word_of, 1]])
     text_of, feature_of = np.divmod(np.unique(pairs), BUCKETS)
@@ -152,15 +154,24 @@ def fit(values: np.ndarray, text_of: np.ndarray, feature_of: np.ndarray, target:
     n = len(values)
     mean, scale = values.mean(axis=0), values.std(axis=0) + 1e-6
     dense = np.column_stack([np.clip((values - mean) / scale, -8, 8), np.ones(n)])
-    often = np.bincount(feature_of, minlength=BUCKETS)[feature_of] >= SEEN
-    text_of, feature_of = text_of[often].astype(np.int32), feature_of[often].astype(np.int32)
+    # blocks of texts, so that nothing but the numbers of texts and features is held for all of them
+    seen = np.bincount(feature_of, minlength=BUCKETS) >= SEEN
+    cuts = np.searchsorted(text_of, np.arange(0, n + BLOCK, BLOCK))
+    blocks = []
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        kept = seen[feature_of[a:b]]
+        blocks.append((slice(i * BLOCK, min(n, (i + 1) * BLOCK)), text_of[a:b][kept] - i * BLOCK, feature_of[a:b][kept]))
     weights = np.zeros(BUCKETS + dense.shape[1])
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, STEPS + 1):
-        z = np.bincount(text_of, weights=weights[feature_of], minlength=n) + dense @ weights[BUCKETS:]
-        error = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - target
-        error *= weight
-        slope = np.concatenate([np.bincount(feature_of, weights=error[text_of], minlength=BUCKETS), dense.T @ error]) / max(weight.sum(), 1)
+        slope = np.zeros_like(weights)
+        for own, t, f in blocks:
+            size = own.stop - own.start
+            z = np.bincount(t, weights=weights[f], minlength=size) + dense[own] @ weights[BUCKETS:]
+            error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - target[own]) * weight[own]
+            slope[:BUCKETS] += np.bincount(f, weights=error[t], minlength=BUCKETS)
+            slope[BUCKETS:] += dense[own].T @ error
+        slope /= max(weight.sum(), 1)
         slope[:-1] += DECAY * weights[:-1]
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         weights -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -171,7 +182,7 @@ def fit(values: np.ndarray, text_of: np.ndarray, feature_of: np.ndarray, target:
 def _voted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         for part in slices(batch):
-            yield pa.array([" ".join(map(str, v)) for v in votes(signals(part)[0]).tolist()], pa.string())
+            yield pa.array([" ".join(map(str, v)) for v in votes(signals(part, hashed=False)[0]).tolist()], pa.string())
         if not len(batch):
             yield pa.array([], pa.string())
 
@@ -229,6 +240,7 @@ def learn(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text:
             own = marks[:, [*OWN[q], HEURISTICS + at]]
             target = np.array([known[q].get(tuple(p), 0.5) for p in own.tolist()])
             s = fit(values, text_of, feature_of, target, own.any(axis=1).astype(float))
+            tidy()
             yield pa.RecordBatch.from_pydict({"question": [q], "hashed": [s.hashed.astype("<f8").tobytes()], "rest": [json.dumps(
                 [s.dense.tolist(), s.mean.tolist(), s.scale.tolist()])]})
 
