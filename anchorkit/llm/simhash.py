@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from anchorkit.llm.rows import fresh, named, numbered
 from anchorkit.operators.joins import balanced_join
-from anchorkit.session import staged
+from anchorkit.session import shuffle_width, staged
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -111,7 +111,8 @@ def links(nodes: DataFrame, fingerprint_col: str = "fp", distance: int = 3, most
     if not 0 <= distance <= 3:
         raise ValueError("two segments find distances up to 3")
     rows = nodes.select(F.col(fingerprint_col).alias("fp")).where("fp is not null").distinct()
-    rows = staged(rows, "simhash-nodes").select("fp", F.lit(0).alias("start"), F.lit("").alias("path"))
+    # written fingerprints fill few files, but each becomes 66 rows: dealt out again before that
+    rows = staged(rows, "simhash-nodes").repartition(shuffle_width(nodes.sparkSession)).select("fp", F.lit(0).alias("start"), F.lit("").alias("path"))
     return staged(reduce(DataFrame.unionByName, _pairs(rows, 64, distance, most)).distinct(), "simhash-links")
 
 
