@@ -11,6 +11,9 @@ import json
 import numpy as np
 
 _ONE = np.uint64(1)
+#: Words of the unary part between entries of its directory.
+_BLOCK = 4
+_BITS = 64 * _BLOCK
 
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
@@ -33,12 +36,12 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     width = max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1)
     high = values >> np.uint64(width)
     size = n + int(max(universe - 1, 0) >> width) + 2
-    blocks = -(-size // 512)
-    bits = np.zeros(blocks * 512, np.uint8)
+    blocks = -(-size // _BITS)
+    bits = np.zeros(blocks * _BITS, np.uint8)
     bits[(high + np.arange(n, dtype=np.uint64)).astype(np.int64)] = 1
     words = np.packbits(bits, bitorder="little").view(np.uint64)
-    ones = np.bitwise_count(words).reshape(blocks, 8).sum(axis=1, dtype=np.int64)
-    zeros = np.concatenate([[0], np.cumsum(512 - ones)])
+    ones = np.bitwise_count(words).reshape(blocks, _BLOCK).sum(axis=1, dtype=np.int64)
+    zeros = np.concatenate([[0], np.cumsum(_BITS - ones)])
     low = values & np.uint64((1 << width) - 1)
     return {"head": np.array([n, width], np.int64), "low": _packed(low, width), "high": words, "zeros": zeros}
 
@@ -63,8 +66,8 @@ class EliasFano:
         """Place of the zero number ``k`` (from 0)."""
         block = np.searchsorted(self._zeros, k, side="right") - 1
         left = (k - self._zeros[block]).astype(np.int64)
-        at = block * 8
-        for _ in range(7):
+        at = block * _BLOCK
+        for _ in range(_BLOCK - 1):
             here = 64 - np.bitwise_count(self._high[at]).astype(np.int64)
             go = left >= here
             if not go.any():
@@ -86,16 +89,27 @@ class EliasFano:
         if not self.n or not len(values):
             return out
         values = values.astype(np.uint64)
+        if len(values) > 1000 and (values[1:] < values[:-1]).any():  # sorted questions read the arrays from front to back
+            order = np.argsort(values)
+            out[order] = self.find(values[order])
+            return out
         high = (values >> np.uint64(self._width)).astype(np.int64)
         inside = np.flatnonzero(high < self._zeros[-1] - 1)
         if not len(inside):
             return out
         high = high[inside]
         low = values[inside] & np.uint64((1 << self._width) - 1)
-        end = self._select0(high) - high
-        begin = np.zeros(len(high), np.int64)
+        # a bucket begins after the zero that ends the one before, and holds as many numbers as ones follow
+        start = np.zeros(len(high), np.int64)
         later = high > 0
-        begin[later] = self._select0(high[later] - 1) - (high[later] - 1)
+        start[later] = self._select0(high[later] - 1) + 1
+        begin = start - high
+        word, shift = start >> 6, (start & 63).astype(np.uint64)
+        ones = self._high[word] >> shift
+        run = np.bitwise_count(ones & ~(ones + _ONE)).astype(np.int64)  # trailing ones
+        end = begin + run
+        cut = np.flatnonzero(run >= 64 - (start & 63))  # the run may go on in the next word
+        end[cut] = self._select0(high[cut]) - high[cut]
         stop = end.copy()
         while (open_ := begin < end).any():
             at = np.flatnonzero(open_)
@@ -113,11 +127,11 @@ class EliasFano:
         if not len(i):
             return np.zeros(0, np.uint64)
         # ones before a block: its bits less its zeros
-        ones = np.arange(len(self._zeros), dtype=np.int64) * 512 - self._zeros
+        ones = np.arange(len(self._zeros), dtype=np.int64) * _BITS - self._zeros
         block = np.searchsorted(ones, i, side="right") - 1
         left = (i - ones[block]).astype(np.int64)
-        at = block * 8
-        for _ in range(7):
+        at = block * _BLOCK
+        for _ in range(_BLOCK - 1):
             here = np.bitwise_count(self._high[at]).astype(np.int64)
             go = left >= here
             left = np.where(go, left - here, left)

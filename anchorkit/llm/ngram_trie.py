@@ -37,15 +37,19 @@ from pyspark.sql import types as T
 
 from anchorkit.llm import elias_fano as ef
 from anchorkit.llm.rows import named
-from anchorkit.llm.slices import slices
+from anchorkit.llm.slices import slices, tidy
 from anchorkit.llm.word_arrays import indices, word_arrays
 from anchorkit.session import scratch_path, staged
 
 DISCOUNT = 0.75
 #: Tokens per shard of a level, and words per shard of the first.
-SHARD_TOKENS, SHARD_WORDS = 6_000_000, 2_000_000
+SHARD_TOKENS, SHARD_WORDS = 2_000_000, 2_000_000
 #: Triples gathered before a task hands them on.
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 2_000_000
+#: Bytes of text handled at once.
+SLICE = 2 << 20
+#: Entries looked up at once while a level is built.
+BLOCK = 300_000
 #: The token at the end of every text has this hash; no word hashes to it.
 END = 0
 BLOBS = "shard int, kind string, data binary"
@@ -67,7 +71,7 @@ def _write(folder: str, name: str, data: bytes) -> None:
 def _read(folder: str, name: str) -> dict[str, np.ndarray]:
     fs, path = pa.fs.FileSystem.from_uri(folder)
     if isinstance(fs, pa.fs.LocalFileSystem):
-        return ef.from_buffer(np.memmap(f"{path}/{name}", np.uint8, "r"))
+        return ef.from_buffer(np.asarray(np.memmap(f"{path}/{name}", np.uint8, "r")))
     with fs.open_input_file(f"{path}/{name}") as f:
         return ef.from_buffer(np.frombuffer(f.read(), np.uint8))
 
@@ -149,7 +153,7 @@ class Words:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch.column(0)):
+        for part in slices(batch.column(0), SLICE):
             words, _ = word_arrays(part)
             counts = np.bincount(indices(words), minlength=len(words.dictionary))
             hashes = np.append(_hashes(words), np.uint64(END)).view(np.int64)
@@ -196,14 +200,29 @@ _TRIPLES = {"context": np.uint64, "size": np.uint32, "word": np.uint32, "count":
 _PAIRS = {"context": np.uint64, "size": np.uint32, "word": np.uint32, "count": np.uint64, "follow": np.uint64, "kinds": np.uint64}
 
 
-def _summed(key: np.ndarray, word: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Equal (key, word) as one with the sum of counts, sorted."""
-    order = np.lexsort((word, key))
-    key, word, count = key[order], word[order], count[order]
+def _ordered(key: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key, the sorted keys, and the rank of each sorted key beside its word in one number."""
+    order = np.argsort(key)
+    key = key[order]
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (word[1:] != word[:-1])
+    new[1:] = key[1:] != key[:-1]
+    return order, key[new], (np.cumsum(new).astype(np.uint64) - np.uint64(1)) << np.uint64(32) | word[order].astype(np.uint64)
+
+
+def _summed(key: np.ndarray, word: np.ndarray, count: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal (key, word) as one with the sum of counts (None: one each), sorted."""
+    order, keys, both = _ordered(key, word)
+    if count is None:
+        both.sort()
+    else:
+        inner = np.argsort(both)
+        both, count = both[inner], count[order][inner]
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
     at = np.flatnonzero(new)
-    return key[at], word[at], np.add.reduceat(count, at) if len(at) else count
+    sums = np.diff(np.append(at, len(both))) if count is None else np.add.reduceat(count, at) if len(at) else count
+    both = both[at]
+    return keys[(both >> np.uint64(32)).astype(np.int64)], (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), sums
 
 
 def _by_context(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +237,7 @@ def _count_triples(model: Model):
         words, held, size = _loaded(Words, model), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            key, word, count = _summed(*(np.concatenate(x) for x in zip(*held)))
+            key, word, count = _summed(*(np.concatenate(x) for x in zip(*held)), None)
             shard = _spread(key, model.shards)
             order = np.argsort(shard, kind="stable")
             edges = np.searchsorted(shard[order], np.arange(model.shards + 1))
@@ -230,7 +249,7 @@ def _count_triples(model: Model):
                                                 "count": count[own].astype(np.uint32)})
 
         for batch in batches:
-            for part in slices(batch.column(0)):
+            for part in slices(batch.column(0), SLICE):
                 number, _, bounds = _numbers(words, part)
                 a, b = number[:-1].astype(np.uint64), number[1:].astype(np.uint64)
                 last = np.append(number[2:] + 1, 0).astype(np.uint32)[:len(a)]
@@ -239,9 +258,8 @@ def _count_triples(model: Model):
                 inside = np.ones(len(a), bool)
                 inside[ends[ends < len(a)]] = False
                 pairs = (a << np.uint64(32) | b)[inside]
-                key, word, count = _summed(pairs, last[inside], np.ones(int(inside.sum()), np.uint32))
-                held.append((key, word, count))
-                size += len(key)
+                held.append((pairs, last[inside]))
+                size += len(pairs)
                 if size > CHUNK_TOKENS:
                     yield from flush()
                     held, size = [], 0
@@ -287,6 +305,8 @@ def _sum_triples(model: Model):
             firsts, n = _by_context(first[own])
             out.append(_row(s, "pairs", {"context": firsts, "size": n.astype(np.uint32), "word": (pairs[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32),
                                          "count": total[own], "follow": followed[own], "kinds": kinds[own]}))
+        del context, word, count, owner, follows
+        tidy()
         return pa.Table.from_batches(out)
     return run
 
@@ -387,11 +407,16 @@ class Trie:
             log_p[own[miss]] += level.log_weight(rank[miss])
         return log_p, place
 
-    def triples(self, a: np.ndarray, b: np.ndarray, place: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """log10 P(c | a b), c given by its ``place`` among b's successors and log10 P(c | b) as ``lower``."""
-        out, key = lower.copy(), a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+    def triples(self, key: np.ndarray, pair: np.ndarray, place: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """log10 P(c | a b), a and b as ``key[pair]``, c given by its ``place`` among b's successors, ``lower`` log10 P(c | b).
+
+        ``key`` (a in the high half) has every pair once, so a pair is looked up once.
+        """
+        out, ranks = lower.copy(), np.full(len(key), -1, np.int64)
         for level, own in self._each("triples", key):
-            rank = level.context.find(key[own])
+            ranks[own] = level.context.find(key[own])
+        for level, own in self._each("triples", key[pair]):
+            rank = ranks[pair[own]]
             at = level.place(rank, place[own])
             hit, miss = at >= 0, (at < 0) & (rank >= 0)
             out[own[hit]] = level.log_p(at[hit])
@@ -403,7 +428,7 @@ def _build_pairs(model: Model):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         rows = _joined(list(table["data"]), _PAIRS)
-        order = np.lexsort((rows["word"], rows["context"]))
+        order = np.argsort(rows["context"] << np.uint64(32) | rows["word"].astype(np.uint64))
         context, word, count = rows["context"][order], rows["word"][order].astype(np.int64), rows["count"][order].astype(np.float64)
         firsts, sizes = _by_context(context)
         total = np.add.reduceat(count, np.cumsum(sizes) - sizes)
@@ -411,6 +436,7 @@ def _build_pairs(model: Model):
         single = _add_one(_loaded(Singles, model).counts(word), model)
         p = np.maximum(count - DISCOUNT, 0) / np.repeat(total, sizes) + np.repeat(weight, sizes) * single
         _write(model.folder, f"pairs-{shard}", ef.to_bytes(_level(firsts, sizes, word, p, weight, model.words + 1)))
+        tidy()
         return _done(shard, len(word))
     return run
 
@@ -441,18 +467,27 @@ def _build_triples(model: Model):
         shard = key[0].as_py()
         rows = _joined(list(table["data"]), _TRIPLES)
         context, word, count = rows["context"], rows["word"].astype(np.int64), rows["count"].astype(np.float64)
-        second = (context & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        single = np.log10(_add_one(_loaded(Singles, model).counts(word), model))
-        lower, place = _loaded(Trie, model).pairs(second, word, single)
-        order = np.lexsort((place, context))
+        del rows
+        lower, place = np.empty(len(word)), np.empty(len(word), np.int64)
+        for at in range(0, len(word), BLOCK):
+            own = slice(at, at + BLOCK)
+            second = (context[own] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            single = np.log10(_add_one(_loaded(Singles, model).counts(word[own]), model))
+            lower[own], place[own] = _loaded(Trie, model).pairs(second, word[own], single)
+        order, _, both = _ordered(context, place)
+        order = order[np.argsort(both)]
         context, place, count, lower = context[order], place[order], count[order], lower[order]
         pairs, sizes = _by_context(context)
         total = np.add.reduceat(count, np.cumsum(sizes) - sizes)
         weight = DISCOUNT * sizes / total
         p = np.maximum(count - DISCOUNT, 0) / np.repeat(total, sizes) + np.repeat(weight, sizes) * 10**lower
         # the first word in the high half: the universe of pairs is words times 2^32
+        del word, count, lower, order, both
         _write(model.folder, f"triples-{shard}", ef.to_bytes(_level(pairs, sizes, place, p, weight, (model.words + 1) << 32)))
-        return _done(shard, len(word))
+        n = len(place)
+        del context, place, p, weight
+        tidy()
+        return _done(shard, n)
     return run
 
 
@@ -489,16 +524,25 @@ def _scores(model: Model, part: pa.Array) -> list[np.ndarray]:
     at = np.arange(len(number)) - np.repeat(bounds[:-1], np.diff(bounds))  # place in the text
     log_p = single.copy()
     second = np.flatnonzero(at >= 1)
+    # every distinct pair is looked up once; unknown words are number zero here
     pairs = (number[second - 1].astype(np.uint64) + np.uint64(1)) << np.uint64(32) | (number[second] + 1).astype(np.uint64)
-    _, first, back = np.unique(pairs, return_index=True, return_inverse=True)
-    a, b = number[second[first] - 1], number[second[first]]
-    lower, place = trie.pairs(a, b, single[second[first]])
+    coded = pa.array(pairs, pa.uint64()).dictionary_encode()
+    back = indices(coded)
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).astype(np.uint64)
+    a, b = (distinct >> np.uint64(32)).astype(np.int64) - 1, (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
+    of = np.zeros(len(number), np.int64)  # number of the pair that ends here
+    of[second] = back
+    alone = np.zeros(len(distinct))
+    alone[back] = single[second]
+    lower, place = trie.pairs(a, b, alone)
     log_p[second] = lower[back]
-    places = np.full(len(number), -1, np.int64)
-    places[second] = place[back]
     third = np.flatnonzero(at >= 2)
     third = third[(number[third - 1] >= 0) & (number[third - 2] >= 0)]
-    log_p[third] = trie.triples(number[third - 2], number[third - 1], places[third], log_p[third])
+    known = np.flatnonzero((a >= 0) & (b >= 0))
+    dense = np.zeros(len(distinct), np.int64)
+    dense[known] = np.arange(len(known))
+    key = a[known].astype(np.uint64) << np.uint64(32) | b[known].astype(np.uint64)
+    log_p[third] = trie.triples(key, dense[of[third - 1]], place[of[third]], log_p[third])
     total = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every text has its end token
     return [np.diff(bounds), total((count > 0).astype(np.int64)), total(single), total(log_p)]
 
@@ -510,7 +554,7 @@ def score(df: DataFrame, model: Model, text: str = "text", to: str = "lm") -> Da
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names, kinds = RESULT.fieldNames(), [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 yield pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(_scores(model, part), kinds)], names)
             if not len(batch):
                 yield pa.StructArray.from_arrays([pa.array([], k) for k in kinds], names)

@@ -142,6 +142,9 @@ def test_decontamination_odd_rows(spark, odd, none):
 def test_elias_fano(n, universe):
     rng = np.random.default_rng(n)
     values = np.sort(rng.integers(0, universe, n, dtype=np.uint64))
+    if n > 100:
+        values[n // 4:n // 2] = values[n // 4] + np.minimum(np.arange(n // 2 - n // 4), universe - 1 - int(values[n // 4])).astype(np.uint64)
+    values = np.sort(values)  # runs of neighbours beside spread ones
     coded = elias_fano.EliasFano(elias_fano.from_buffer(np.frombuffer(elias_fano.to_bytes(elias_fano.encode(values, universe)), np.uint8)))
     asked = np.concatenate([values, values + np.uint64(1), rng.integers(0, universe, 500, dtype=np.uint64)])
     at = np.searchsorted(values, asked)
