@@ -12,6 +12,7 @@ only what passes is joined; the join is by the whole hash and the comparison tok
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -157,30 +158,33 @@ def _clusters(tokens: np.ndarray, bounds: np.ndarray, places: np.ndarray, hashes
 def compare(doc: np.ndarray, item: np.ndarray, shift: int, share: float = MIN_SHARE) -> tuple[int, int, int, int]:
     """Best stretch where ``item[i]`` lies on ``doc[i + shift]``: equal tokens, tokens, and its begin in doc and item.
 
-    A stretch is the best running sum of one for an equal token and a loss for a different one. The
-    mildest loss of 2, 3 and 4 whose stretch has the wanted share of equal tokens counts; with 4, any
-    stretch has 4 of 5.
+    Of all stretches with the wanted share of equal tokens, the one with most equal tokens; of these the
+    shortest, then the first. It begins and ends with an equal token.
     """
     low, high = max(0, -shift), min(len(item), len(doc) - shift)
     if high <= low:
         return 0, 0, 0, 0
     same = doc[low + shift:high + shift] == item[low:high]
-    for loss in (2, 3, 4):
-        sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -loss))])
-        least = np.minimum.accumulate(sums)
-        end = int(np.argmax(sums - least))
-        begin = int(np.flatnonzero(sums[:end + 1] == least[end])[0])
-        equal = int(same[begin:end].sum())
-        if equal >= share * (end - begin):
-            break
-    return equal, end - begin, begin + low + shift, begin + low
-
-
-@F.arrow_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("equal", "length", "begin", "item_begin")]))
-def _compared(doc: pa.Array, item: pa.Array, shift: pa.Array) -> pa.Array:
-    found = [compare(np.asarray(d.values), np.asarray(i.values), s.as_py()) for d, i, s in zip(doc, item, shift)]
-    columns = list(zip(*found)) or [[]] * 4
-    return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], ["equal", "length", "begin", "item_begin"])
+    wanted = Fraction(share).limit_denominator(1 << 20)
+    equal = np.concatenate([[0], np.cumsum(same)])
+    sums = equal * wanted.denominator - np.arange(len(equal)) * wanted.numerator
+    # for every end, the first begin with no higher sum: none has more equal tokens
+    begin = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    found = equal - equal[begin]
+    ends = np.flatnonzero(found == found.max())
+    first, last = np.searchsorted(equal, equal[begin[ends]], side="right") - 1, np.searchsorted(equal, equal[ends])
+    best = int(np.argmin(last - first))
+    at = int(first[best])
+    return int(found.max()), max(0, int(last[best]) - at), at + low + shift, at + low
+
+
+def _comparer(share: float):
+    @F.arrow_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("equal", "length", "begin", "item_begin")]))
+    def compared(doc: pa.Array, item: pa.Array, shift: pa.Array) -> pa.Array:
+        found = [compare(np.asarray(d.values), np.asarray(i.values), s.as_py(), share) for d, i, s in zip(doc, item, shift)]
+        columns = list(zip(*found)) or [[]] * 4
+        return pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], ["equal", "length", "begin", "item_begin"])
+    return compared
 
 
 def _filter_bits(hashes: DataFrame) -> bytes:
@@ -222,10 +226,10 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
         "row", "cluster", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
     laid = laid.join(hits.select("row", "key", "cluster", "start", F.col("tokens").alias("doc_tokens")), ["row", "cluster"])
     laid = balanced_join(laid, seeds.select("item", "tokens"), ["item"])
-    found = laid.withColumn("c", _compared("doc_tokens", "tokens", "shift"))
+    found = laid.withColumn("c", _comparer(min_share)("doc_tokens", "tokens", "shift"))
     size = F.size("tokens")
     need = F.when(size < SPAN, size).otherwise(F.least(F.lit(min_equal), F.ceil(size * 0.8)))
-    good = found.where((F.col("c.equal") >= need) & (F.col("c.equal") >= F.col("c.length") * min_share))
+    good = found.where(F.col("c.equal") >= need)
     best = F.max(F.struct(F.col("c.equal").alias("equal"), (-F.col("c.begin") - F.col("start")).alias("before"), F.col("c.length").alias("length")))
     out = good.groupBy("row", "key", "item").agg(best.alias("b"), F.count_distinct(F.col("c.begin") + F.col("start")).alias("places"))
     return out.select("row", "key", "item", "b.equal", "b.length", (-F.col("b.before")).alias("begin"), "places")

@@ -1,5 +1,6 @@
 """Language model, SimHash, benchmark overlaps, weak labels and the pipeline against brute force."""
 
+import itertools
 import math
 import random
 import re
@@ -114,6 +115,38 @@ def test_overlaps_exact_and_substituted(spark):
     assert all(r.equal == len(bench[r.item]) for r in found if r.key is not None and r.key % 3 == 0)
 
 
+def best_equal(same):
+    """Most equal tokens of any stretch with 4 of 5 of them equal, and the tokens of the shortest such stretch."""
+    whole = [(sum(same[a:b]), a - b) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 5 * sum(same[a:b]) >= 4 * (b - a)]
+    equal, length = max(whole, default=(0, 0))
+    return (equal, -length) if equal else (0, 0)
+
+
+def test_diagonals_against_brute_force():
+    signs = ["EEDEEEEEEEEEEDE", "EEEEDEEEDEEEDEEE DEEEDEEEE DEEEDEEEE".replace(" ", "")]
+    same = [[x == "E" for x in w] for w in signs]
+    same += [[k not in away for k in range(15)] for n in (1, 2, 3) for away in itertools.combinations(range(15), n)]
+    rng = random.Random(8)
+    same += [[rng.random() < 0.8 for _ in range(rng.randrange(1, 40))] for _ in range(200)]
+    for eq in same:
+        item = np.arange(1, len(eq) + 1, dtype=np.int64)
+        doc = np.concatenate([[0, 0, 0], np.where(eq, item, 0)])
+        equal, length, begin, item_begin = decontamination.compare(doc, item, 3)
+        assert (equal, length) == best_equal(eq) and begin == item_begin + 3
+        assert int(np.sum(doc[begin:begin + length] == item[item_begin:item_begin + length])) == equal
+    assert decontamination.compare(np.arange(1, 16), np.where(np.isin(np.arange(15), [2, 12]), 0, np.arange(1, 16)), 0)[:2] == (13, 15)
+
+
+def test_overlaps_keep_what_meets_the_rule(spark):
+    bench = [[f"w{k}x{j}" for j in range(n)] for k, n in enumerate([15, 34])]
+    away = {0: {2, 12}, 1: {j for j, x in enumerate("EEEEDEEEDEEEDEEEDEEEDEEEEDEEEDEEEE") if x == "D"}}
+    docs = [(k, " ".join(["no"] * 20 + ["zzz" if j in away[k] else w for j, w in enumerate(bench[k])] + ["no"] * 20)) for k in away]
+    found = decontamination.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), items(
+        spark, [(k, " ".join(w)) for k, w in enumerate(bench)])).collect()
+    got = {(r.key, r.item): (r.equal, r.length) for r in found}
+    assert got == {(k, k): best_equal([j not in away[k] for j in range(len(bench[k]))]) for k in away}
+
+
 def test_overlaps_query_against_brute_force(spark, sf):
     def tokens(text):
         return [t for t in (re.sub(r"^[\W_]+|[\W_]+$", "", w.lower()) for w in re.split(r"[ \t-\r]+", text or "")) if t]
