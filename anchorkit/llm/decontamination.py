@@ -3,7 +3,8 @@
 A seed is a fixed mask over 12 neighbouring tokens; the tokens at its ones are hashed and the others
 ignored, so a changed word breaks only the windows where it stands under a one. Equal hashes of a
 document and a benchmark item give a diagonal (how the two are laid on each other); tokens around the
-hit are compared along it, and a stretch that is long and alike enough is an overlap.
+hit are compared along it, and a stretch that is long and alike enough is an overlap. Around its hits a
+document keeps as many tokens as the longest item has, so an item is always compared as a whole.
 
 Hashes of a document are tested in the task against a bit filter of the benchmark's (fixed size), and
 only what passes is joined; the join is by the whole hash and the comparison token by token.
@@ -33,8 +34,8 @@ SPAN = 12
 SHORTEST = 5
 #: An overlap has so many equal tokens (or 4 of 5 of a shorter item's) and this share of them.
 MIN_EQUAL, MIN_SHARE = 13, 0.8
-#: Tokens kept on either side of hits.
-AROUND = 48
+#: A cluster of hits spans so many tokens of a text, or as many as the longest item has if that is more.
+CLUSTER = 256
 FILTER_BITS = 1 << 24
 _PIECE = 1 << 15
 
@@ -114,8 +115,8 @@ def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kind(f.dataType)) for c, f in zip(columns, schema)], schema.fieldNames())
 
 
-def _finder(bits, masks: list[str]):
-    """Hits that pass the filter, in clusters with the tokens around them."""
+def _finder(bits, masks: list[str], reach: int):
+    """Hits that pass the filter, in clusters with ``reach`` tokens on either side."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
@@ -130,24 +131,25 @@ def _finder(bits, masks: list[str]):
                     places.append(p[passed])
                     hashes.append(h[passed])
                 if places:
-                    text, found = _clusters(tokens, bounds, np.concatenate(places), np.concatenate(hashes))
+                    text, found = _clusters(tokens, bounds, np.concatenate(places), np.concatenate(hashes), reach)
                     yield pa.RecordBatch.from_arrays([*(c.take(pa.array(text, pa.int64())) for c in own), *found.columns],
                                                      ["row", "key", *found.schema.names])
     return run
 
 
-def _clusters(tokens: np.ndarray, bounds: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> tuple[list[int], pa.RecordBatch]:
+def _clusters(tokens: np.ndarray, bounds: np.ndarray, places: np.ndarray, hashes: np.ndarray,
+              reach: int) -> tuple[list[int], pa.RecordBatch]:
     """Number of the text, and the row of _HITS, of every cluster."""
     order = np.argsort(places, kind="stable")
     places, hashes = places[order], hashes[order]
     text = np.searchsorted(bounds, places, side="right") - 1
-    # a cluster ends with its text, where hits are far apart, and every 256 tokens, so that it stays small
-    cut = (np.diff(text) != 0) | (np.diff(places) > AROUND) | (np.diff(places // 256) != 0)
+    # a cluster ends with its text, where hits are far apart, and every so many tokens of the text, so that it stays small
+    cut = (np.diff(text) != 0) | (np.diff(places) > reach) | (np.diff((places - bounds[text]) // max(CLUSTER, reach)) != 0)
     starts = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(places)]]) if len(places) else np.array([0])
     out, owner = [], []
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
         t = int(text[a])
-        low, high = max(int(bounds[t]), int(places[a]) - AROUND), min(int(bounds[t + 1]), int(places[b - 1]) + SPAN + AROUND)
+        low, high = max(int(bounds[t]), int(places[a]) - reach), min(int(bounds[t + 1]), int(places[b - 1]) + reach)
         start = low - int(bounds[t])
         owner.append(t)
         out.append((int(places[a]) - int(bounds[t]), start, _signed(tokens[low:high]),
@@ -213,21 +215,26 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     known = items.select(named(items, item).cast("long").alias("item"), F.coalesce(named(items, item_text), F.lit("")).alias("t"))
     seeds = staged(known.where("item is not null").distinct().mapInArrow(_seeds, _SEEDS), "benchmark-seeds")
-    hashes = seeds.select("item", F.explode(F.arrays_zip("hash", "at")).alias("s")).select("item", "s.hash", F.col("s.at").alias("item_at"))
-    short = [r["n"] for r in seeds.select(F.size("tokens").alias("n")).where(F.col("n").between(SHORTEST, SPAN - 1)).distinct().collect()]
+    size = F.size("tokens")
+    hashes = seeds.select("item", size.alias("n"), F.explode(F.arrays_zip("hash", "at")).alias("s")).select(
+        "item", "n", "s.hash", F.col("s.at").alias("item_at"))
+    sizes = seeds.agg(F.collect_set(F.when(size.between(SHORTEST, SPAN - 1), size)).alias("short"), F.max(size).alias("reach")).first()
     bits = spark.sparkContext.broadcast(_filter_bits(hashes))
     texts = docs.select(F.monotonically_increasing_id(), F.coalesce(named(docs, text), F.lit("")), named(docs, key).alias("key"))
     schema = T.StructType([T.StructField("row", T.LongType()), texts.schema["key"], *_HITS.fields])
-    masks = [*MASKS, *("1" * n for n in sorted(short))]
-    hits = staged(texts.mapInArrow(_finder(bits, masks), schema), "benchmark-hits")
-    each = hits.select("row", "cluster", F.explode(F.arrays_zip("hash", "at")).alias("s")).select(
-        "row", "cluster", "s.hash", F.col("s.at").alias("doc_at"))
-    laid = balanced_join(each, hashes.distinct(), ["hash"]).select(
-        "row", "cluster", "item", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
-    laid = laid.join(hits.select("row", "key", "cluster", "start", F.col("tokens").alias("doc_tokens")), ["row", "cluster"])
+    masks = [*MASKS, *("1" * n for n in sorted(sizes["short"]))]
+    hits = staged(texts.mapInArrow(_finder(bits, masks, sizes["reach"] or 0), schema), "benchmark-hits")
+    each = hits.select("row", "cluster", "start", F.explode(F.arrays_zip("hash", "at")).alias("s")).select(
+        "row", "cluster", "s.hash", (F.col("start") + F.col("s.at")).alias("doc_at"))
+    # the tokens of any one of its clusters hold a diagonal as a whole, so one is enough
+    laid = balanced_join(each, hashes.distinct(), ["hash"]).groupBy(
+        "row", "item", "n", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(F.min("cluster").alias("cluster"))
+    first = F.greatest(F.col("shift"), F.lit(0))
+    own = F.slice("tokens", (first - F.col("start") + 1).cast("int"), (F.col("shift") + F.col("n") - first).cast("int"))
+    laid = laid.join(hits.select("row", "key", "cluster", "start", "tokens"), ["row", "cluster"]).select(
+        "row", "key", "item", own.alias("doc_tokens"), first.alias("start"), F.least(F.col("shift"), F.lit(0)).cast("int").alias("shift"))
     laid = balanced_join(laid, seeds.select("item", "tokens"), ["item"])
     found = laid.withColumn("c", _comparer(min_share)("doc_tokens", "tokens", "shift"))
-    size = F.size("tokens")
     need = F.when(size < SPAN, size).otherwise(F.least(F.lit(min_equal), F.ceil(size * 0.8)))
     good = found.where(F.col("c.equal") >= need)
     best = F.max(F.struct(F.col("c.equal").alias("equal"), (-F.col("c.begin") - F.col("start")).alias("before"), F.col("c.length").alias("length")))

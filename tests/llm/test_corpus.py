@@ -147,6 +147,25 @@ def test_overlaps_keep_what_meets_the_rule(spark):
     assert got == {(k, k): best_equal([j not in away[k] for j in range(len(bench[k]))]) for k in away}
 
 
+def test_long_overlaps_are_whole_wherever_they_lie(spark):
+    long = [f"q{j}" for j in range(700)]
+    fifth = [f"s{j}" for j in range(300)]
+    bench = [(0, " ".join(long)), (1, " ".join(fifth))]
+    sparse = [w if j % 5 != 4 else "zzz" for j, w in enumerate(fifth)]
+    parts = [["no"] * k + long + ["no"] * 9 for k in (0, 100, 200, 255)] + [["no"] * 30 + sparse]
+    docs = [(k, " ".join(w)) for k, w in enumerate(parts)]
+    want = {(k, 0, 700, 700, b, 1) for k, b in enumerate((0, 100, 200, 255))}
+    same = [a == b for a, b in zip(sparse, fifth)]
+    doc, item = np.array([1] * 30 + [2 if x else 3 for x in same]), np.full(len(same), 2)
+    equal, length, begin, _ = decontamination.compare(doc, item, 30)
+    want.add((4, 1, equal, length, begin, 1))
+    assert length == 299
+    for partitions in (1, 3):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(partitions)
+        found = decontamination.overlaps(df, items(spark, bench)).collect()
+        assert {(r.key, r.item, r.equal, r.length, r.begin, r.places) for r in found} == want and len(found) == len(want)
+
+
 def test_overlaps_query_against_brute_force(spark, sf):
     def tokens(text):
         return [t for t in (re.sub(r"^[\W_]+|[\W_]+$", "", w.lower()) for w in re.split(r"[ \t-\r]+", text or "")) if t]
