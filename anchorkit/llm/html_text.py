@@ -4,7 +4,8 @@ Text blocks give points (one, one per comma, one per hundred characters up to th
 around them and, discounted, to that one's ancestors. An element's points count less the more of its
 text is links. The best element is the container of the article; brothers that score well, and plain
 paragraphs beside it, belong to it. Menus, forms, adverts, notices and comments are known by element,
-role and name and give no points.
+role and name and give no points. What holds an <article> or <main>, or by far the most text of a page, is
+not dropped by its name or for being a form; and a page of which little is left is scored again without that rule.
 
 A page is one row and is read alone; the tree is kept as flat lists, so deep nesting is no recursion.
 """
@@ -56,36 +57,45 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _BASE = {"article": 10.0, "main": 10.0, "section": 3.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ol": -3.0, "ul": -3.0,
          "dl": -3.0, "th": -5.0, "address": -3.0}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Never part of a text; other elements are away unless they hold the article; names and forms also unless they are large.
+_HARD, _FIRM, _SOFT = 3, 2, 1
+_NEVER = frozenset("head input button select option label".split())
+#: A text of fewer characters is little; an element with so many, and over half of the page's, is large.
+_LITTLE = 250
+#: Points of blocks whose ancestor's name speaks against them.
+_DOUBT = 0.2
 #: Ancestors that get points from a block.
 _LEVELS = 5
 
 
-def _named_away(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether role, class, id or a hidden attribute say that this is not the article.
+def _named_away(tag: str, attributes: str, in_article: bool) -> int:
+    """How firmly role, class, id or a hidden attribute say that this is not the article (0: not at all).
 
     Words after "with", "has" and the like only tell how a page is laid out.
     """
     if not attributes or tag in ("html", "body"):
-        return False
+        return 0
     words: set[str] = set()
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return _HARD
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return _HARD
         if name in ("class", "id", "role"):
             words.update(_SPLIT.split(_LAYOUT.sub(" ", _CAMEL.sub(" ", value).lower())))
     if words & {"header", "head"} and not in_article and tag not in _HEADINGS and not words & _OWN:
-        return True
-    return bool(words & (_COMMENTS if tag in _HOLDS or tag in _HEADINGS else _NAMES))
+        return _SOFT
+    if words & _COMMENTS:
+        return _FIRM
+    return _SOFT if tag not in _HOLDS and tag not in _HEADINGS and words & _NAMES else 0
 
 
 class _Page:
     """Elements in page order (flat lists) and the pieces of text with the block run they belong to."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.away = ["html"], [-1], [False]
+        self.tag, self.parent, self.away = ["html"], [-1], [0]
         self.texts: list[tuple[int, int, bool, str]] = []  # element, block run, inside a link, text
         self._stack, self._open, self._run, self._links = [0], {"html": 1}, 0, 0
         at = 0
@@ -149,8 +159,9 @@ class _Page:
         self.parent.append(up)
         # a header inside an article is part of it
         in_article = any(self._open.get(t) for t in _HOLDS)
-        away = tag in _DROPPED or tag in _RAW or tag == "header" and not in_article
-        self.away.append(away or _named_away(tag, attributes, in_article))
+        away = _HARD if tag in _RAW or tag in _NEVER else _SOFT if tag == "form" else _FIRM if tag in _DROPPED else 0
+        away = away or (_SOFT if tag == "header" and not in_article else 0)
+        self.away.append(max(away, _named_away(tag, attributes, in_article)))
         self._stack.append(len(self.tag) - 1)
         self._open[tag] = self._open.get(tag, 0) + 1
         self._links += tag == "a"
@@ -173,18 +184,44 @@ class _Page:
 def main_text(source: str | None) -> str:
     """Blocks of the article in page order, joined by an empty line; white space in a block is one space.
 
-    Null, empty and pages without any text outside of menus and the like give "".
+    Null, empty and pages without any text outside of menu, form field and similar elements give "".
     """
     if not source:
         return ""
     page = _Page(source)
+    text, sure = _scored(page, False)
+    if not sure and len(text) < _LITTLE:
+        milder, _ = _scored(page, True)
+        if not text or len(milder) >= max(_LITTLE, 4 * len(text)):
+            return milder
+    return text
+
+
+def _scored(page: _Page, mild: bool) -> tuple[str, bool]:
+    """The main text, and whether it is that of an <article> or <main>; ``mild``: names and forms take only points."""
     tag, parent, n = page.tag, page.parent, len(page.tag)
-    holds = [False] * n
+    held, main, plain = [0] * n, [False] * n, [0] * n
+    gone = [False] * n
+    for i in range(1, n):
+        gone[i] = gone[parent[i]] or page.away[i] == _HARD
+    for element, _, link, text in page.texts:
+        if not link and not gone[element]:
+            plain[element] += len(" ".join(text.split()))
     for i in range(n - 1, 0, -1):
-        holds[parent[i]] |= holds[i] or tag[i] in _HOLDS
-    away = [False] * n
-    for i in range(1, n):  # parents come before their children; a form around the whole article is none
-        away[i] = away[parent[i]] or page.away[i] and not (tag[i] == "form" and holds[i])
+        own = tag[i] in _HOLDS and not page.away[i]
+        held[parent[i]] += held[i] + own
+        main[parent[i]] |= main[i] or own and tag[i] == "main"
+        if page.away[i] != _FIRM or held[i]:
+            plain[parent[i]] += plain[i]
+    away, doubt, worth_of = [False] * n, [False] * n, [1.0] * n
+    for i in range(1, n):  # parents come before their children
+        up = parent[i]
+        kind = page.away[i]
+        large = kind == _SOFT and (mild or plain[i] >= _LITTLE and 2 * plain[i] > plain[0])
+        away[i] = away[up] or kind == _HARD or kind > 0 and not held[i] and not large
+        # what holds the page's main part is a wrapper, whatever its name; so is a form around the page
+        doubt[i] = kind > 0 and tag[i] != "form" and not (main[i] or held[i] and held[i] == held[0])
+        worth_of[i] = _DOUBT if doubt[i] else worth_of[up]
     block = [0] * n
     for i in range(1, n):
         block[i] = i if tag[i] in _BLOCK else block[parent[i]]
@@ -201,7 +238,7 @@ def main_text(source: str | None) -> str:
         blocks[-1][2] += len(text) * link
     blocks = [[e, t, k] for e, parts, k in blocks if (t := " ".join("".join(parts).split()))]
     if not blocks:
-        return ""
+        return "", False
 
     size, linked, links, points = [0.0] * n, [0.0] * n, [0] * n, [0.0] * n
     for e, t, k in blocks:
@@ -210,7 +247,7 @@ def main_text(source: str | None) -> str:
         links[e] += k > 0
         if tag[e] in _HEADINGS:
             continue
-        worth = (1 + t.count(",") + t.count("，") + t.count("、") + min(len(t) // 100, 3)) * (1 - min(1.0, k / len(t)))
+        worth = (1 + t.count(",") + t.count("，") + t.count("、") + min(len(t) // 100, 3)) * (1 - min(1.0, k / len(t))) * worth_of[e]
         up = e if tag[e] in ("div", "section", "article", "main", "body", "html", "td") else parent[e]
         for level in range(_LEVELS):
             if up < 0:
@@ -232,20 +269,23 @@ def main_text(source: str | None) -> str:
             best = up
             break
         up = parent[up]
+    sure = tag[best] in _HOLDS
     inside = [False] * n
     least = max(1e-9, 0.2 * score(best))
     own_text = [False] * n
     for e, t, k in blocks:
         own_text[e] |= tag[e] in ("p", "pre", "blockquote") and k < 0.25 * len(t)
     for i in range(n):
-        brother = parent[i] == parent[best] and i != best and not away[i]
-        inside[i] = (i == best or i > 0 and inside[parent[i]] or brother and (
+        brother = parent[i] == parent[best] and i != best and not away[i] and (mild or not doubt[i])
+        # a part with a name that speaks against it stays when most of the text is in it
+        part = i > 0 and inside[parent[i]] and (not doubt[i] or 2 * size[i] > size[best])
+        inside[i] = (i == best or part or brother and (
             score(i) >= least or own_text[i] or tag[i] in _HEADINGS and i < best))
     # inside the container, lists that are mostly links are menus
     menu = [False] * n
     for i in range(1, n):
         menu[i] = menu[parent[i]] or tag[i] in ("ul", "ol", "dl", "table") and links[i] >= 3 and linked[i] > 0.6 * size[i]
-    return "\n\n".join(t for e, t, _ in blocks if inside[e] and not menu[e])
+    return "\n\n".join(t for e, t, _ in blocks if inside[e] and not menu[e]), sure
 
 
 @F.arrow_udf(T.StringType())

@@ -146,6 +146,24 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+PARAGRAPHS = [f"Paragraph {k}, with a few words, and some more of them, that tell what happened." for k in range(6)]
+BODY, STORY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS), "\n\n".join(PARAGRAPHS)
+MENU = "<div class=menu><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></div>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body>{MENU}<div class='content-sidebar-wrap'><main><article>{BODY}</article></main><aside>Side, a, b</aside></div></body>",
+    f"<body>{MENU}<div class='widget'><article>{BODY}</article></div><div class=footer>Imprint, phone, mail</div></body>",
+    f"<body><form id=aspnetForm>{MENU}<div>{BODY}</div></form><div class=footer>Imprint, phone</div></body>",
+    f"<body><form id=aspnetForm>{MENU}<div>{BODY}</div></form><div><p>Imprint, phone, mail.</p></div></body>",
+    f"<body>{MENU}<div class='notice search'>{BODY}<div class=share>Share, like</div></div><div class=footer>Imprint.</div></body>",
+    f"<article>{BODY}</article><div class=related><article><p>Another, story, to read.</p></article></div>",
+    f"<div>{BODY}</div><div class=comments>{BODY * 5}</div><div class=sidebar><p>Side, a, b</p></div>",
+])
+def test_names_and_forms_drop_no_article(page):
+    assert html_text.main_text(page) == STORY
+
+
 def test_extract_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, "<p>a</p>", "y"), (None, "", "z")], "page_id long, html string, text_own string")
     rows = html_text.extract(df).collect()
