@@ -17,10 +17,21 @@ from anchorkit.operators.joins import balanced_join
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Typographic signs read as punctuation beside the ASCII ones.
 SIGNS = "‘’“”–—•… «»"
-#: A line that only states who holds the rights.
+#: A line that may state who holds the rights; the check SQL cuts by it. The scan cuts by :data:`HOLDER_LINE`.
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: Letters and digits: ASCII ones in lower case, and the blocks of other scripts.
 LETTERS = "a-z0-9\u00c0-\u1fff\u2c00-\U0010ffff"
+#: Words after "copyright" or "(c)" in the body of a licence, where no holder is named.
+_BODY = ("notices? holders? owners? ownership laws? licen[cs]e[sd]? licensors? statements? acts? treat(?:y|ies) interests? protections? "
+         "infringements? information claims? disclaimers? rights? patents? trademarks? materials? works? software programs? and or in to on "
+         "as for that which this shall may must will but").split()
+_ITEM = "the you your any all an? if it its each every no not when where use uses".split()
+_NEXT = f"[^{LETTERS}\n]*(?:{'|'.join(_BODY)})(?![{LETTERS}])"
+#: A line that states a holder: a line of a licence's body may begin with "copyright" too, depending on where it is wrapped.
+HOLDER_LINE = (
+    rf"(^|\n)[^a-z0-9\n]*(copyright(s|ed)?(?![a-z0-9])(?=[^\n]*[©{LETTERS}])(?!{_NEXT})"
+    rf"|\(c\)((?=[^\n]*(19|20)[0-9]{{2}}(?![0-9]))|(?=[^\n]*[{LETTERS}])(?!{_NEXT}|[^{LETTERS}\n]*(?:{'|'.join(_ITEM)})(?![{LETTERS}])))"
+    r"|©|all rights reserved)[^\n]*")
 #: Spellings treated as equal, whole words of canonical text, in this order.
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"),
@@ -99,8 +110,8 @@ KNOWN = [
 
 
 def _plain(text: Column) -> Column:
-    """Lower case without copyright lines; in a line, two spaces stand for each run of other signs than letters and digits."""
-    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
+    """Lower case without lines that state a holder; in a line, two spaces stand for each run of other signs than letters and digits."""
+    low = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), HOLDER_LINE, "\n")
     return F.regexp_replace(low, f"[^{LETTERS}\n]+", "  ")
 
 

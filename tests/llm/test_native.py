@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -92,6 +93,24 @@ def test_licences(spark, odd, none):
     assert [(r.licence, r.digest) for r in two.collect()] == [("A", hashlib.sha256(b"same  text").hexdigest())]
 
 
+def test_known_licences_wrapped_at_any_width(spark):
+    holders = ["", "Copyright (c) 2020 A. Author\n\n", "Copyright 2019-2021 The Authors. All rights reserved.\n\n", " * (c) Acme Corp.\n",
+               "© 2020 Some One\nCopyright Some One\nCOPYRIGHT BY SOME ONE\n\n"]
+    rows = []
+    for licence, text in licences.KNOWN:
+        for width in (18, 24, 37, 50, 60, 66, 70, 72, 75, 79, 80, 100):
+            wrapped = "\n".join(textwrap.fill(line, width, break_long_words=False) for line in text.split("\n"))
+            rows += [(len(rows) + k, licence, h + t) for k, (h, t) in enumerate([(holders[len(rows) % 5], wrapped), ("", wrapped.upper())])]
+    df = spark.createDataFrame(rows, "doc_id long, want string, text string")
+    out = licences.scan_licences(df, licences.known_digests(spark)).collect()
+    assert [(r.doc_id, r.want, r.licence) for r in out if r.licence != r.want] == [] and len(out) == len(rows)
+    usual = ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\n"
+             "copyright notice and this permission notice appear in all copies.\n\n")
+    isc = next(t for n, t in licences.KNOWN if n == "ISC" and t.startswith("Permission"))
+    df = spark.createDataFrame([(0, "ISC License\n\nCopyright (c) 2020, A. Author\n\n" + usual + isc.split("\n\n")[1])], "doc_id long, text string")
+    assert licences.scan_licences(df, licences.known_digests(spark)).first().licence == "ISC"
+
+
 @pytest.mark.parametrize("piece_rows", [200_000, 20])
 def test_shards_are_exact_and_gapless(spark, odd, none, piece_rows):
     df = spark.range(0, 1003, 1, 7).selectExpr("id div 3 as doc_id", "id as own")
