@@ -40,6 +40,12 @@ def test_counts_against_python(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_lines, r.n_dup_lines, r.n_repeat_words) == want, r.text
 
 
+def test_windows_are_compared_by_whole_hashes(spark):
+    # the first two differ in their lowest bit only
+    df = spark.createDataFrame([([1 << 40, (1 << 40) + 1, 5, 77 << 30, 5],), ([-8, -7, -6, -5, 3, 3],)], "w array<long>")
+    assert [r[0] for r in df.select(quality_rules._covered_words(F.col("w"))).collect()] == [5, 4]
+
+
 def test_binomial_tail(spark):
     def exact(n, k, p):
         return sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p))
