@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorkit.llm import decontamination, html_text, licences, ngram_trie, piece_spans, quality_rules, sharding, simhash, token_counts, weak_quality
+from anchorkit.llm import conversation_trie, decontamination, html_text, licences, ngram_trie, piece_spans, quality_rules, sharding, simhash, token_counts, weak_quality
 from anchorkit.llm import sql as oracle
 from anchorkit.session import staged
 
@@ -119,3 +119,16 @@ def op10_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.uniform_shards(rows, 16, seed=20)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(oracle.CONVERSATION_TRIE)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the conversations, rebuilt on the first turns of each hundred's first."""
+    turns = staged(conversation_trie.turn_rows(table(spark, sf_dir, "conversations")), "trie-turns")
+    conv = F.col("conv_id")
+    rebuilt = conversation_trie.shared_starts(
+        turns, conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6, most=5)
+    nodes, ends = conversation_trie.prefix_trie(rebuilt)
+    out = nodes.join(conversation_trie.end_digests(ends), conversation_trie.PATH, "left")
+    return out.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves",
+                      F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))

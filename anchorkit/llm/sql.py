@@ -77,3 +77,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND NOT over AS kept
 FROM counts JOIN over USING (doc_id)
 """
+
+_STEP = "list_reduce(list_prepend(x, [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))"
+_CRC32 = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda d: ord(d)::BIGINT)), " \
+         "lambda c, d: " + _STEP.replace("x, [", "xor(c, d), [") + "), 4294967295)"
+
+CONVERSATION_TRIE = f"""
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, {_CRC32.format("c::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT c FROM own)),
+parts AS (
+  SELECT x.c, 0 AS k, p, r, t FROM convs x JOIN own o ON o.c = x.c - x.c % 100 AND p <= h
+  UNION ALL SELECT x.c, 1, p, r, t FROM convs x JOIN own o ON o.c = x.c AND p > h),
+paths AS (
+  SELECT c, row_number() OVER w AS d, t, string_agg(sha256(length(r) || ':' || r || t), '') OVER w AS path
+  FROM parts WINDOW w AS (PARTITION BY c ORDER BY k, p ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT c, 0, '', '' FROM convs),
+ends AS (SELECT c, max(path) AS path FROM (SELECT c, path, d = max(d) OVER (PARTITION BY c) AS last FROM paths) WHERE last GROUP BY c),
+nodes AS (SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, max(length(t)) AS size FROM paths GROUP BY path, d),
+kids AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+full_nodes AS (SELECT a.*, coalesce(n, 0) AS n_children FROM nodes a LEFT JOIN kids k ON a.path = k.path),
+below AS (
+  SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.size) AS saved
+  FROM full_nodes a JOIN full_nodes b ON starts_with(b.path, a.path) GROUP BY a.path),
+lists AS (SELECT path, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM ends GROUP BY path)
+SELECT a.conv_id, a.d::BIGINT AS depth, u.conv_id AS parent_conv_id, a.n_convs, a.n_children, n_leaves, saved::BIGINT AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_nodes a JOIN below b ON a.path = b.path LEFT JOIN lists l ON a.path = l.path
+LEFT JOIN nodes u ON a.d > 0 AND u.path = left(a.path, length(a.path) - 64)
+"""
