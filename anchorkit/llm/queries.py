@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorkit.llm import conversation_trie, decontamination, html_text, licences, ngram_trie, piece_spans, quality_rules, sharding, simhash, token_counts, weak_quality
+from anchorkit.llm import conversation_trie, decontamination, html_text, licences, ngram_trie, piece_spans, quality_rules, repeated_windows, sharding, simhash, token_counts, vector_codes, weak_quality
 from anchorkit.llm import sql as oracle
 from anchorkit.session import staged
 
@@ -121,6 +121,16 @@ def op10_exact_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query(oracle.VECTOR_CODES)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors in 16 parts of 64 entries after two rounds, their errors, and a digest of the codebooks."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    out, books = vector_codes.product_codes(vectors)
+    out = staged(out.select("vec_id", "label", F.lower(F.hex("coded.code")).alias("code"), "coded.error"), "vector-errors")
+    return vector_codes.group_error(out, "label", "error", "label_error").select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
 @query(oracle.CONVERSATION_TRIE)
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the prefix trie of the conversations, rebuilt on the first turns of each hundred's first."""
@@ -132,3 +142,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = nodes.join(conversation_trie.end_digests(ends), conversation_trie.PATH, "left")
     return out.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves",
                       F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
+
+
+@query(oracle.REPEATED_WINDOWS)
+def op13_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 20-word windows that start earlier."""
+    out = repeated_windows.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2(F.col("dedup.kept").cast("binary"), 256).alias("kept_sha256"))

@@ -108,3 +108,49 @@ SELECT a.conv_id, a.d::BIGINT AS depth, u.conv_id AS parent_conv_id, a.n_convs,
 FROM full_nodes a JOIN below b ON a.path = b.path LEFT JOIN lists l ON a.path = l.path
 LEFT JOIN nodes u ON a.d > 0 AND u.path = left(a.path, length(a.path) - 64)
 """
+
+REPEATED_WINDOWS = """
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS n, w, unnest(range(1, len(w) + 1)) AS p FROM docs),
+windows AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS x FROM words WHERE p + 19 <= n),
+firsts AS (SELECT doc_id, p, (doc_id, p) > min((doc_id, p)) OVER (PARTITION BY x) AS later FROM windows),
+marked AS (
+  SELECT a.doc_id, a.p, w[a.p] AS word,
+         bool_or(coalesce(later, false)) OVER (PARTITION BY a.doc_id ORDER BY a.p ROWS 19 PRECEDING) AS gone
+  FROM words a LEFT JOIN firsts f ON a.doc_id = f.doc_id AND a.p = f.p),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS t FROM marked GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+def _vector_codes() -> str:
+    dist = "(" + " + ".join(f"(x.c[{i}] - b.c[{i}]) * (x.c[{i}] - b.c[{i}])" for i in range(1, 5)) + ")"
+
+    def near(number: int, book: str) -> str:
+        return f"""
+near{number} AS (
+  SELECT v, vec_id, label, p, any_value(c) AS c, arg_min(e, (dist, e)) AS e, min(dist) AS dist
+  FROM (SELECT x.*, b.e, {dist} AS dist FROM cut x JOIN {book} b ON x.p = b.p) GROUP BY v, vec_id, label, p)"""
+
+    def moved(number: int, book: str) -> str:
+        middle = ", ".join(f"sum(c[{i}]) // count(*) - (sum(c[{i}]) % count(*) < 0)::INT" for i in range(1, 5))
+        return f"""
+book{number} AS (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c
+  FROM {book} b LEFT JOIN (SELECT p, e, [{middle}] AS c FROM near{number} GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)"""
+
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS v, vec_id, label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS (SELECT v, vec_id, label, p, w[4 * p + 1:4 * p + 4] AS c FROM kept, range(16) AS g(p)),
+book0 AS (SELECT p, v - 1 AS e, c FROM cut WHERE v <= 64),{near(1, "book0")},{moved(1, "book0")},{near(2, "book1")},{moved(2, "book1")},{near(3, "book2")},
+codes AS (SELECT v, vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(dist)::BIGINT AS error FROM near3 GROUP BY v, vec_id, label),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS d FROM book2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, d AS codebooks_sha256 FROM codes, digest
+"""
+
+
+VECTOR_CODES = _vector_codes()
