@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +104,7 @@ def walk(ids: list[int], turns: list[list[int]], keys: list[bytes], sizes: list[
     return nodes
 
 
-def _block_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_tries(most_convs: int, most_turns: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tries of blocks of conversations that come in order of (conv_id, position)."""
     ids: list[int] = []
     turns: list[list[int]] = []
@@ -120,7 +121,7 @@ def _block_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for conv, key, size in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "key", "size"))):
             if not ids or conv != ids[-1]:
-                if len(ids) >= BLOCK_CONVERSATIONS or held >= BLOCK_TURNS:
+                if len(ids) >= most_convs or held >= most_turns:
                     yield block()
                     ids, turns, number, sizes, held = [], [], {}, [], 0
                 ids.append(conv)
@@ -147,7 +148,7 @@ def _subtree_sums(block: pa.Table) -> pa.Table:
     return pa.table(out)
 
 
-def prefix_trie(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def prefix_trie(turns: DataFrame, block_conversations: int = BLOCK_CONVERSATIONS, block_turns: int = BLOCK_TURNS) -> tuple[DataFrame, DataFrame]:
     """Nodes of the trie of ``turns`` (conv_id, position, key, size) and the conversations that end in them.
 
     ``turns`` has every conversation's turns at positions 1, 2, ... and one row at position 0
@@ -158,7 +159,7 @@ def prefix_trie(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     turns of one conversation are held by one task.
     """
     dealt = turns.select("conv_id", "position", "key", "size").repartitionByRange("conv_id").sortWithinPartitions("conv_id", "position")
-    local = staged(dealt.mapInArrow(_block_tries, _LOCAL), "trie-blocks")
+    local = staged(dealt.mapInArrow(partial(_block_tries, block_conversations, block_turns), _LOCAL), "trie-blocks")
     merged = local.groupBy(*PATH).agg(
         F.min("owner").alias("conv_id"), F.max("depth").alias("depth"), F.sum("members").alias("n_convs"),
         F.max("size").alias("size"), F.max("up_a").alias("up_a"), F.max("up_b").alias("up_b"))
@@ -182,12 +183,13 @@ def prefix_trie(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.select(*PATH, "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved"), ends
 
 
-def conversation_trie(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def conversation_trie(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+                      **blocks: int) -> tuple[DataFrame, DataFrame]:
     """:func:`prefix_trie` of a table of turns; see :func:`turn_rows` for nulls, ties and repeated rows.
 
     Other columns are ignored, whatever their names. An empty table has no node.
     """
-    return prefix_trie(with_roots(staged(turn_rows(df, conv, turn, role, text), "trie-turns")))
+    return prefix_trie(with_roots(staged(turn_rows(df, conv, turn, role, text), "trie-turns")), **blocks)
 
 
 def _list_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,7 +94,7 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.int64)
 
 
-def _sketch(bits: int, size: int) -> Callable:
+def _sketch(bits: int, size: int, group: int, most: int) -> Callable:
     """Per task: cells met once and cells met more often, by ranges of cells."""
     def ranges(held: list[np.ndarray]) -> pa.RecordBatch:
         cells = np.sort(np.concatenate(held))
@@ -112,7 +112,7 @@ def _sketch(bits: int, size: int) -> Callable:
             often.append(_packed(low[a:b][here]))
         part = part[firsts].astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(part >> (_GROUP - _RANGE)), pa.array(part), pa.array(once, pa.binary()), pa.array(often, pa.binary())],
+            [pa.array(part >> (group - _RANGE)), pa.array(part), pa.array(once, pa.binary()), pa.array(often, pa.binary())],
             names=["group", "part", "once", "often"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,7 @@ def _sketch(bits: int, size: int) -> Callable:
                 if len(h1):
                     held += _cells(h1, h2, bits)
                     n += len(h1)
-                if n >= 2 * HELD:
+                if n >= 2 * most:
                     yield ranges(held)
                     held, n = [], 0
         if held:
@@ -131,39 +131,44 @@ def _sketch(bits: int, size: int) -> Callable:
     return run
 
 
-def _merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bits "two or more" of a group of cell ranges; tasks' counts are added up as they come."""
-    counts = np.zeros(1 << _GROUP, np.uint8)
-    mask = (1 << (_GROUP - _RANGE)) - 1
-    for batch in batches:
-        for part, once, often in zip(*(batch.column(c).to_pylist() for c in ("part", "once", "often"))):
-            base = (part & mask) << _RANGE
-            at = _unpacked(once) + base
-            counts[at] = np.minimum(counts[at] + 1, 2)
-            counts[_unpacked(often) + base] = 2
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(counts > 1).tobytes()], pa.binary())],
-                                     names=["group", "bits"])
+def _merged(group: int) -> Callable:
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Bits "two or more" of a group of cell ranges; tasks' counts are added up as they come."""
+        counts = np.zeros(1 << group, np.uint8)
+        mask = (1 << (group - _RANGE)) - 1
+        for batch in batches:
+            for part, once, often in zip(*(batch.column(c).to_pylist() for c in ("part", "once", "often"))):
+                base = (part & mask) << _RANGE
+                at = _unpacked(once) + base
+                counts[at] = np.minimum(counts[at] + 1, 2)
+                counts[_unpacked(often) + base] = 2
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(counts > 1).tobytes()], pa.binary())],
+                                         names=["group", "bits"])
+    return run
 
 
-def repeated_cells(texts: DataFrame, size: int = WINDOW, most_bits: int = MOST_BITS) -> tuple[np.ndarray, int]:
+def repeated_cells(texts: DataFrame, size: int = WINDOW, most_bits: int = MOST_BITS, held: int = HELD) -> tuple[np.ndarray, int]:
     """Bits of the merged sketch of a one-column table of texts, and the power of two of a row's cells.
 
-    A row has a cell for every two bytes of text at least (some three for a window), up to the largest size.
+    A row has a cell for every two bytes of text at least (some three for a window), up to the largest size (2^16 at least).
     """
+    if not _RANGE <= most_bits <= 30:
+        raise ValueError("a row has 2^16 to 2^30 cells")
     text = texts.columns[0]
     total = texts.agg(F.sum(F.octet_length(named(texts, text)).cast("long")).alias("n")).first()["n"] or 0
     bits = min(max(_GROUP, int(total // 2).bit_length()), most_bits)
-    met = texts.mapInArrow(_sketch(bits, size), "group int, part int, once binary, often binary")
-    groups = met.groupBy("group").applyInArrow(_merged, "group int, bits binary")
+    group = min(_GROUP, bits)
+    met = texts.mapInArrow(_sketch(bits, size, group, held), "group int, part int, once binary, often binary")
+    groups = met.groupBy("group").applyInArrow(_merged(group), "group int, bits binary")
     out = np.zeros(ROWS << bits >> 3, np.uint8)
-    width = 1 << _GROUP >> 3
+    width = 1 << group >> 3
     # bounded by the sketch's largest size
     for row in groups.toLocalIterator():
         out[row["group"] * width:(row["group"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
     return out, bits
 
 
-def _candidates(sketch, bits: int, size: int) -> Callable:
+def _candidates(sketch, bits: int, size: int, most: int) -> Callable:
     """Windows that the sketch takes for repeated; a task settles its own repetitions and sends one of each on."""
     def chunk(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h1, h2, doc, tag, start = (np.concatenate(x) for x in zip(*held))
@@ -212,7 +217,7 @@ def _candidates(sketch, bits: int, size: int) -> Callable:
                     held.append((h1[at], h2[at], doc[of], tag[of], start[at]))
                     n += len(at)
                 base += len(texts)
-                if n >= HELD:
+                if n >= most:
                     yield chunk(held)
                     held, n = [], 0
         if held:
@@ -233,11 +238,11 @@ def _ranges(begins: pa.Array, ends: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int32()))
 
 
-def repeated_ranges(rows: DataFrame, size: int = WINDOW, most_bits: int = MOST_BITS) -> DataFrame:
+def repeated_ranges(rows: DataFrame, size: int = WINDOW, most_bits: int = MOST_BITS, held: int = HELD) -> DataFrame:
     """Ranges of words to remove: (doc, tag, ranges) for documents of ``rows`` (text, doc long, tag long) that have any."""
-    bits_held, bits = repeated_cells(rows.select(rows.columns[0]), size, most_bits)
+    bits_held, bits = repeated_cells(rows.select(rows.columns[0]), size, most_bits, held)
     sketch = rows.sparkSession.sparkContext.broadcast(bits_held)
-    found = rows.mapInArrow(_candidates(sketch, bits, size), _FOUND)
+    found = rows.mapInArrow(_candidates(sketch, bits, size, held), _FOUND)
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "begin")
     group = W.partitionBy("k1", "k2").orderBy("settled", F.col("doc").asc_nulls_last(), "begin").rowsBetween(W.unboundedPreceding, W.currentRow)
     found = found.withColumns({"place": place, "least": F.first(place).over(group)})
@@ -270,7 +275,7 @@ def _without(texts: pa.Array, ranges: pa.Array) -> pa.Array:
 
 
 def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", to: str = "dedup", size: int = WINDOW,
-                    most_bits: int = MOST_BITS) -> DataFrame:
+                    most_bits: int = MOST_BITS, held: int = HELD) -> DataFrame:
     """``df`` plus the struct ``to`` (n_words, n_removed, kept): the text without words that some earlier equal window covers.
 
     A window is ``size`` consecutive words ``[^\\x20\\x09-\\x0D]+`` of one text. It is removed if the same words
@@ -281,8 +286,8 @@ def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", to:
     """
     doc, tag, ranges = (fresh(df, x) for x in ("doc_key", "doc_tag", "doc_ranges"))
     df = df.withColumns({doc: named(df, key).cast("long"), tag: F.xxhash64(named(df, text))})
-    found = staged(repeated_ranges(df.select(named(df, text), doc, tag), size, most_bits), "repeated-ranges")
+    found = staged(repeated_ranges(df.select(named(df, text), doc, tag), size, most_bits, held), "repeated-ranges")
     found = found.select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("ranges").alias(ranges))
-    held = found.agg(F.sum(24 + 4 * F.size(ranges)).alias("n")).first()["n"] or 0
-    out = balanced_join(df, found, [doc, tag], "left", right_bytes=int(held), match_nulls=True)
+    size_held = found.agg(F.sum(24 + 4 * F.size(ranges)).alias("n")).first()["n"] or 0
+    out = balanced_join(df, found, [doc, tag], "left", right_bytes=int(size_held), match_nulls=True)
     return out.withColumn(to, _without(named(out, text), F.col(ranges))).drop(doc, tag, ranges)
