@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorkit.session import shuffle_width
+from anchorkit.session import shuffle_width, staged
 
 #: A side is broadcast only when it was measured to be at most this large.
 BROADCAST_MAX_BYTES = 32 << 20
@@ -99,8 +99,9 @@ def balanced_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
         hot_part = plain(hot_left, hot_right, True)
     else:
         salts = shuffle_width(left.sparkSession)
+        # salts are written beside their rows: a row that is computed again must not change its salt
         hot_part = plain(
-            hot_left.withColumn("_salt", F.floor(F.rand(0) * salts).cast("int")),
+            staged(hot_left.withColumn("_salt", F.floor(F.rand(0) * salts).cast("int")), "salted"),
             hot_right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), False, [*keys, "_salt"]).drop("_salt")
     cold_part = plain(left.where(~is_hot), right.where(~is_hot), False)
     return hot_part.unionByName(cold_part)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorkit.functions.values import hash_text, hash_unit
 from anchorkit.operators.joins import balanced_join
+from anchorkit.operators.neighbours import nearest_neighbours
 from anchorkit.operators.prep import ranked_in_class
 
 _BLOCK_ROWS = 4096
@@ -17,60 +16,17 @@ _BLOCK_ROWS = 4096
 def nearest_in_class(points: DataFrame, *, key: str, label: str, vector: str) -> DataFrame:
     """(key, neighbour): exact Euclidean nearest other point of the class, ties by key.
 
-    Points of a class are cut into hash blocks of a few thousand rows; every ordered pair of
-    blocks is one task-sized distance matrix that emits a single best row per point, and the best
-    over blocks is an aggregation. No pair of points is ever written. The work is quadratic in
-    the class size, as exact search is, and it is spread evenly over block pairs; callers cap the
-    rows first where the workflow does (see ``capped_sample``). Keys are whole numbers, one per row.
+    See :mod:`anchorkit.operators.neighbours`: blocks that the triangle inequality rules out are not
+    compared, and no pair of points is ever written. A missing label is a class.
     """
-    if dict(points.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
-        raise TypeError(f"{key} must be a whole number")
-    ranked = ranked_in_class(points, key, label, 0, "_rank").withColumnRenamed("n", "_n")
-    blocks = F.ceil(F.col("_n") / F.lit(float(_BLOCK_ROWS))).cast("int")
-    tagged = points.select(key, label, F.col(vector).cast("array<double>").alias("_x")).join(
-        ranked.select(key, F.pmod(F.col("_rank"), blocks.cast("long")).cast("int").alias("_own"), blocks.alias("_blocks")), key)
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    left = tagged.select(key, label, "_x", F.col("_own").alias("_a"), every.alias("_b"))
-    right = tagged.select(F.col(key).alias("_k"), F.col(label).alias("_l"), F.col("_x").alias("_y"), every.alias("_c"),
-                          F.col("_own").alias("_d"))
-
-    def best(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"k": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
-        if l.empty or r.empty:
-            return empty
-        r = r.sort_values("_k")
-        a, b = np.stack(l["_x"].to_numpy()), np.stack(r["_y"].to_numpy())
-        lk, rk = l[key].to_numpy(), r["_k"].to_numpy()
-        slack = 1e-9 * float((a * a).sum(1).max() + (b * b).sum(1).max())
-        at, dist = np.empty(len(a), dtype=np.int64), np.empty(len(a))
-        for start in range(0, len(a), 256):
-            part = a[start:start + 256]
-            d = ((part * part).sum(1)[:, None] - 2.0 * part @ b.T + (b * b).sum(1)[None, :])
-            d[lk[start:start + 256, None] == rk[None, :]] = np.inf
-            # Re-measure the close candidates exactly: the expanded form loses digits near zero.
-            low = d.min(1, keepdims=True)
-            row, cand = np.nonzero(d <= low + slack)
-            exact = np.concatenate([((b[c] - part[r]) ** 2).sum(1) for r, c in zip(
-                np.array_split(row, len(row) // 65536 + 1), np.array_split(cand, len(row) // 65536 + 1))])
-            # Best by distance, then key (``b`` is sorted by it); every point has a candidate.
-            order = np.lexsort((cand, exact, row))
-            first = order[np.searchsorted(row[order], np.arange(len(part)))]
-            at[start:start + 256] = rk[cand[first]]
-            dist[start:start + 256] = np.where(np.isfinite(low[:, 0]), exact[first], np.inf)
-        out = pd.DataFrame({"k": lk, "neighbour": at, "dist": dist})
-        return out[np.isfinite(out["dist"])]
-
-    found = left.groupBy(label, "_a", "_b").cogroup(right.groupBy("_l", "_c", "_d")).applyInPandas(
-        best, "k long, neighbour long, dist double")
-    nearest = found.groupBy("k").agg(F.min(F.struct("dist", "neighbour")).alias("_m"))
-    return nearest.select(F.col("k").alias(key), F.col("_m.neighbour").alias("neighbour"))
+    return nearest_neighbours(points, key=key, label=label, vector=vector, block_rows=_BLOCK_ROWS)[0]
 
 
 def oversample(points: DataFrame, *, key: str, label: str, vector: str, seed: int = 42) -> DataFrame:
     """(key, label, vector, synthetic, source): every class filled up to the size of the largest.
 
     ``source`` is the key of the member a synthetic row starts from, missing for original rows; the
-    synthetic row's own key is a negative number made from source and turn. A synthetic row lies at a random place between a class member and its nearest neighbour; the
+    synthetic row's own key is a negative number made from source and turn. A missing label is a class. A synthetic row lies at a random place between a class member and its nearest neighbour; the
     members take turns in a random order. Unchanged when a class has fewer than two rows.
     """
     sizes = points.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -79,7 +35,9 @@ def oversample(points: DataFrame, *, key: str, label: str, vector: str, seed: in
     if not sizes or min(r["n"] for r in sizes) < 2:
         return same
     top = max(r["n"] for r in sizes)
-    small = points.where(F.col(label).isin([r[label] for r in sizes if r["n"] < top]))
+    filled = [r[label] for r in sizes if r["n"] < top]
+    is_small = F.col(label).isin([v for v in filled if v is not None])
+    small = points.where(F.coalesce(is_small, F.lit(None in filled)))
     near = nearest_in_class(small, key=key, label=label, vector=vector)
     order = ranked_in_class(small, key, label, seed, "_rank")
     missing = F.lit(top) - F.col("n")
