@@ -1,17 +1,19 @@
 """Removal of word windows that occur before, found by a count-min sketch and settled by exact grouping.
 
 First pass: each task counts its windows in a sketch of two rows of cells, each count held at two. Only
-cells that were met are sent, cut by cell ranges; the ranges of all tasks are added up. What is left of
-the merged sketch is one bit per cell, "two or more". A window counts at most what its smallest cell
-counts, so a window that occurs twice always has both bits set. Second pass: windows whose bits are set,
-and no others, are grouped by their whole 128-bit hash; the first place of a group stays. The sketch
-has a largest size; beyond it more single windows pass its test and the second pass groups them too,
-so the result never depends on it.
+cells that were met are sent, cut into ranges of cells; a range's counts of all tasks are added up, and
+what is left of it is one bit per cell, "two or more", in a file of its own below the shared folder. A
+window counts at most what its smallest cell counts, so a window that occurs twice always has both bits
+set. Second pass: windows whose bits (read from the mapped files) are set, and no others, are grouped by
+96 bits of their hash; the first place of a group stays. The sketch grows with the text up to a largest
+size; beyond it more single windows pass its test and the second pass groups them too, so the
+result never depends on it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +25,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anchorkit.llm.rows import fresh, named
-from anchorkit.llm.slices import slices
+from anchorkit.llm.shared_files import folder_uri, mapped, write_whole
+from anchorkit.llm.slices import slices, tidy
 from anchorkit.llm.word_arrays import indices, word_arrays
 from anchorkit.operators.joins import balanced_join
-from anchorkit.session import staged
+from anchorkit.session import scratch_path, shuffle_width, staged
 
 #: Words of a window.
 WINDOW = 20
-#: Cells of a row of the sketch are at most 2 to this power: 32 MB of bits a row.
-MOST_BITS = 28
+#: Cells of a row of the sketch are at most 2 to this power (8 GB of bits); the least is 2^16.
+MOST_BITS = 36
+LEAST_BITS = 16
+#: A row of the sketch is cut into at most this many ranges.
+RANGES = 1024
 ROWS = 2
-_RANGE, _GROUP = 16, 20
 #: Windows a task holds before it sends them on.
-HELD = 1 << 21
+HELD = 1 << 19
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_FOUND = "k1 long, k2 long, doc long, tag long, begin int, end int, settled boolean"
+_FOUND = "k1 long, spot long, doc long, tag long"
 _NO_DOC = np.iinfo(np.int64).max
+_SETTLED = 1 << 31
 
 
 def _rolled(values: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
@@ -78,109 +84,141 @@ def window_hashes(texts: pa.Array, size: int = WINDOW) -> tuple[np.ndarray, np.n
     return h1, h2, text[inside], inside - bounds[:-1][text[inside]], words, bounds
 
 
-def _cells(h1: np.ndarray, h2: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Cell of each window in each row of the sketch; rows follow one another."""
-    for row, h in enumerate((h1, h2)):
-        yield (h >> np.uint64(64 - bits)).astype(np.uint32) + np.uint32(row << bits)
+@dataclass(frozen=True)
+class Sketch:
+    """Cells of a row, power of two of a range's cells, and (once merged) where the ranges' bits lie and which there are."""
+
+    cells: int
+    power: int
+    folder: str = ""
+    ranges: frozenset = frozenset()
+
+    @staticmethod
+    def of(cells: int) -> Sketch:
+        return Sketch(cells, max(LEAST_BITS, (-(-cells // RANGES) - 1).bit_length()))
+
+    def row(self, row: int, h: np.ndarray) -> np.ndarray:
+        """Cells of hashes in a row; the rows' ranges follow one another."""
+        return h % np.uint64(self.cells) + np.uint64(row * (-(-self.cells >> self.power) << self.power))
+
+    def hits(self, cells: np.ndarray, files: dict[int, np.ndarray]) -> np.ndarray:
+        """Whether each cell's bit is set; ``files`` keeps the mapped ranges."""
+        order = np.argsort(cells)
+        part = (cells[order] >> np.uint64(self.power)).astype(np.int64)
+        firsts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+        out = np.zeros(len(cells), bool)
+        for a, b in zip(firsts, np.append(firsts[1:], len(part))):
+            number = int(part[a])
+            if number not in self.ranges:
+                continue
+            if number not in files:
+                files[number] = mapped(self.folder, f"{number:05d}")
+            low = cells[order[a:b]] & np.uint64((1 << self.power) - 1)
+            out[order[a:b]] = files[number][low >> np.uint64(3)] >> (np.uint64(7) - (low & np.uint64(7))).astype(np.uint8) & 1
+        return out
 
 
 def _packed(cells: np.ndarray) -> bytes:
-    """Ascending 16-bit numbers as differences, low bytes first, then high bytes (nearly all zero)."""
-    return np.diff(cells, prepend=np.uint16(0)).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+    """Ascending 32-bit numbers as differences, byte by byte: all but the low bytes are nearly all zero."""
+    return np.diff(cells, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(2, -1).T).view("<u2").reshape(-1)
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
     return np.cumsum(steps, dtype=np.int64)
 
 
-def _sketch(bits: int, size: int, group: int, most: int) -> Callable:
+def _met(sketch: Sketch, size: int, most: int) -> Callable:
     """Per task: cells met once and cells met more often, by ranges of cells."""
-    def ranges(held: list[np.ndarray]) -> pa.RecordBatch:
-        cells = np.sort(np.concatenate(held))
-        new = np.append(True, cells[1:] != cells[:-1])
-        at = np.flatnonzero(new)
+    def ranges(cells: np.ndarray) -> pa.RecordBatch:
+        cells = np.sort(cells)
+        at = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
         many = np.diff(np.append(at, len(cells))) > 1
         cells = cells[at]
-        part = cells >> np.uint32(_RANGE)
+        part = (cells >> np.uint64(sketch.power)).astype(np.int32)
         firsts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        low = (cells & np.uint32((1 << _RANGE) - 1)).astype(np.uint16)
+        low = (cells & np.uint64((1 << sketch.power) - 1)).astype(np.uint32)
         once, often = [], []
         for a, b in zip(firsts, np.append(firsts[1:], len(cells))):
             here = many[a:b]
             once.append(_packed(low[a:b][~here]))
             often.append(_packed(low[a:b][here]))
-        part = part[firsts].astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(part >> (group - _RANGE)), pa.array(part), pa.array(once, pa.binary()), pa.array(often, pa.binary())],
-            names=["group", "part", "once", "often"])
+        return pa.RecordBatch.from_arrays([pa.array(part[firsts]), pa.array(once, pa.binary()), pa.array(often, pa.binary())],
+                                          names=["part", "once", "often"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for row in range(ROWS):
+                yield ranges(np.concatenate([sketch.row(row, h[row]) for h in held]))
+
         for batch in batches:
             for texts in slices(batch.column(0)):
                 h1, h2, *_ = window_hashes(texts, size)
                 if len(h1):
-                    held += _cells(h1, h2, bits)
+                    held.append((h1, h2))
                     n += len(h1)
-                if n >= 2 * most:
-                    yield ranges(held)
+                if n >= 4 * most:
+                    yield from sent()
                     held, n = [], 0
         if held:
-            yield ranges(held)
+            yield from sent()
+        del held
+        tidy()
     return run
 
 
-def _merged(group: int) -> Callable:
+def _merged(sketch: Sketch, folder: str) -> Callable:
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bits "two or more" of a group of cell ranges; tasks' counts are added up as they come."""
-        counts = np.zeros(1 << group, np.uint8)
-        mask = (1 << (group - _RANGE)) - 1
+        """Writes the bits "two or more" of a range; tasks' counts are added up as they come."""
+        counts = np.zeros(1 << sketch.power, np.uint8)
         for batch in batches:
-            for part, once, often in zip(*(batch.column(c).to_pylist() for c in ("part", "once", "often"))):
-                base = (part & mask) << _RANGE
-                at = _unpacked(once) + base
+            for once, often in zip(*(batch.column(c).to_pylist() for c in ("once", "often"))):
+                at = _unpacked(once)
                 counts[at] = np.minimum(counts[at] + 1, 2)
-                counts[_unpacked(often) + base] = 2
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(counts > 1).tobytes()], pa.binary())],
-                                         names=["group", "bits"])
+                counts[_unpacked(often)] = 2
+        part = key[0].as_py()
+        bits = np.packbits(counts > 1)
+        any_ = bool(bits.any())
+        if any_:
+            write_whole(folder, f"{part:05d}", bits.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([part] * any_, pa.int32())], names=["part"])
     return run
 
 
-def repeated_cells(texts: DataFrame, size: int = WINDOW, most_bits: int = MOST_BITS, held: int = HELD) -> tuple[np.ndarray, int]:
-    """Bits of the merged sketch of a one-column table of texts, and the power of two of a row's cells.
+def repeated_cells(texts: DataFrame, size: int = WINDOW, most_bits: int = MOST_BITS, held: int = HELD) -> Sketch:
+    """The merged sketch of a one-column table of texts.
 
-    A row has a cell for every two bytes of text at least (some three for a window), up to the largest size (2^16 at least).
+    A row has a cell for every two bytes of text (some three for a window), up to the largest size.
     """
-    if not _RANGE <= most_bits <= 30:
-        raise ValueError("a row has 2^16 to 2^30 cells")
+    if not LEAST_BITS <= most_bits <= MOST_BITS:
+        raise ValueError(f"a row has 2^{LEAST_BITS} to 2^{MOST_BITS} cells")
     text = texts.columns[0]
     total = texts.agg(F.sum(F.octet_length(named(texts, text)).cast("long")).alias("n")).first()["n"] or 0
-    bits = min(max(_GROUP, int(total // 2).bit_length()), most_bits)
-    group = min(_GROUP, bits)
-    met = texts.mapInArrow(_sketch(bits, size, group, held), "group int, part int, once binary, often binary")
-    groups = met.groupBy("group").applyInArrow(_merged(group), "group int, bits binary")
-    out = np.zeros(ROWS << bits >> 3, np.uint8)
-    width = 1 << group >> 3
-    # bounded by the sketch's largest size
-    for row in groups.toLocalIterator():
-        out[row["group"] * width:(row["group"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
-    return out, bits
-
-
-def _candidates(sketch, bits: int, size: int, most: int) -> Callable:
+    sketch = Sketch.of(min(max(1 << LEAST_BITS, int(total) // 2), 1 << most_bits))
+    folder = folder_uri(scratch_path(texts.sparkSession, "window-sketch"))
+    met = texts.mapInArrow(_met(sketch, size, held), "part int, once binary, often binary")
+    # one number per range that has a bit set
+    found = met.groupBy("part").applyInArrow(_merged(sketch, folder), "part int").collect()
+    return replace(sketch, folder=folder, ranges=frozenset(r["part"] for r in found))
+
+
+def _candidates(sketch: Sketch, size: int, most: int) -> Callable:
     """Windows that the sketch takes for repeated; a task settles its own repetitions and sends one of each on."""
     def chunk(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h1, h2, doc, tag, start = (np.concatenate(x) for x in zip(*held))
+        h2 = (h2 >> np.uint64(32)).astype(np.uint32)
         order = np.lexsort((tag, start, doc, h2, h1))
-        h1, h2, doc, tag, start = (x[order] for x in (h1, h2, doc, tag, start))
-        same = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-        new = np.append(True, ~same)
-        first = np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0))
-        later = (doc != doc[first]) | (start != start[first])
+        same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+        first = order[np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(order)), 0))]
+        d, t, s = doc[order], tag[order], start[order]
+        later = (d != doc[first]) | (s != start[first])
         # a row that occurs again has nothing to add
-        again = np.append(False, same & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]) & (tag[1:] == tag[:-1]))
-        lead, rest = np.flatnonzero(~later & ~again), np.flatnonzero(later & ~again)
+        again = np.append(False, same & (d[1:] == d[:-1]) & (s[1:] == s[:-1]) & (t[1:] == t[:-1]))
+        # in the order of the texts, where neighbours have much in common and shuffle files stay small
+        lead, rest = np.sort(order[~later & ~again]), order[later & ~again]
         rest = rest[np.lexsort((start[rest], tag[rest], doc[rest]))]
         d, t, s = doc[rest], tag[rest], start[rest]
         breaks = np.ones(len(rest), bool)
@@ -190,28 +228,23 @@ def _candidates(sketch, bits: int, size: int, most: int) -> Callable:
         # runs that are settled go by keys of their own: they need no group, only a way to their document
         spread = (d[at].astype(np.uint64) * _BASES[0] ^ s[at].astype(np.uint64)) * _MIX
         ids = np.concatenate([doc[lead], d[at]])
+        # a spot is 32 bits of hash and the first word's place; of a settled run its number of words, a flag and the place
+        high = np.concatenate([h2[lead], (s[last] + size - s[at]).astype(np.uint32)]).astype(np.uint64) << np.uint64(32)
+        low = np.concatenate([start[lead], s[at] | _SETTLED]).astype(np.uint64)
         return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([h1[lead], spread]).view(np.int64)),
-            pa.array(np.concatenate([h2[lead], t[at].view(np.uint64)]).view(np.int64)),
-            pa.array(ids, mask=ids == _NO_DOC), pa.array(np.concatenate([tag[lead], t[at]])),
-            pa.array(np.concatenate([start[lead], s[at]]).astype(np.int32)),
-            pa.array((np.concatenate([start[lead], s[last]]) + size).astype(np.int32)),
-            pa.array(np.arange(len(lead) + len(at)) >= len(lead))], names=[x.split()[0] for x in _FOUND.split(", ")])
-
-    def hit(cells: np.ndarray, table: np.ndarray) -> np.ndarray:
-        return (table[cells >> np.uint32(3)] >> (np.uint32(7) - (cells & np.uint32(7))).astype(np.uint8) & 1).astype(bool)
+            pa.array(np.concatenate([h1[lead], spread]).view(np.int64)), pa.array((high | low).view(np.int64)),
+            pa.array(ids, mask=ids == _NO_DOC), pa.array(np.concatenate([tag[lead], t[at]]))], names=[x.split()[0] for x in _FOUND.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sketch.value
+        files: dict[int, np.ndarray] = {}
         held, n = [], 0
         for batch in batches:
             doc, tag = (batch.column(i).fill_null(_NO_DOC).to_numpy() for i in (1, 2))
             base = 0
             for texts in slices(batch.column(0)):
                 h1, h2, text, start, *_ = window_hashes(texts, size)
-                rows = _cells(h1, h2, bits)
-                at = np.flatnonzero(hit(next(rows), table))
-                at = at[hit(np.fromiter(next(rows)[at], np.uint32, len(at)), table)]
+                at = np.flatnonzero(sketch.hits(sketch.row(0, h1), files))
+                at = at[sketch.hits(sketch.row(1, h2[at]), files)]
                 if len(at):
                     of = text[at] + base
                     held.append((h1[at], h2[at], doc[of], tag[of], start[at]))
@@ -222,17 +255,19 @@ def _candidates(sketch, bits: int, size: int, most: int) -> Callable:
                     held, n = [], 0
         if held:
             yield chunk(held)
+        del held
+        tidy()
     return run
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _ranges(begins: pa.Array, ends: pa.Array) -> pa.Array:
+def _ranges(begins: pa.Array, lengths: pa.Array) -> pa.Array:
     """Begins and ends (one after the other) of the unions of overlapping or touching ranges, per row."""
     out = []
-    for a, b in zip(begins, ends):
-        a, b = a.values.to_numpy(), b.values.to_numpy()
+    for a, n in zip(begins, lengths):
+        a, n = a.values.to_numpy().astype(np.int64), n.values.to_numpy()
         order = np.argsort(a, kind="stable")
-        a, reach = a[order], np.maximum.accumulate(b[order])
+        a, reach = a[order], np.maximum.accumulate((a + n)[order])
         cut = np.flatnonzero(np.append(True, a[1:] > reach[:-1]))
         out.append(np.stack([a[cut], reach[np.append(cut[1:], len(a)) - 1]], 1).reshape(-1).astype(np.int32))
     return pa.array(out, pa.list_(pa.int32()))
@@ -240,15 +275,23 @@ def _ranges(begins: pa.Array, ends: pa.Array) -> pa.Array:
 
 def repeated_ranges(rows: DataFrame, size: int = WINDOW, most_bits: int = MOST_BITS, held: int = HELD) -> DataFrame:
     """Ranges of words to remove: (doc, tag, ranges) for documents of ``rows`` (text, doc long, tag long) that have any."""
-    bits_held, bits = repeated_cells(rows.select(rows.columns[0]), size, most_bits, held)
-    sketch = rows.sparkSession.sparkContext.broadcast(bits_held)
-    found = rows.mapInArrow(_candidates(sketch, bits, size, held), _FOUND)
+    sketch = repeated_cells(rows.select(rows.columns[0]), size, most_bits, held)
+    found = rows.mapInArrow(_candidates(sketch, size, held), _FOUND)
+    # dealt by the first hash alone, as packed as it comes: 16 bytes of a window don't compress
+    found = found.repartition(shuffle_width(rows.sparkSession), "k1")
+    low = F.col("spot").bitwiseAND(F.lit((1 << 32) - 1))
+    found = found.select("k1", F.shiftright("spot", 32).cast("int").alias("high"), (low >= _SETTLED).alias("settled"),
+                         low.bitwiseAND(F.lit(_SETTLED - 1)).cast("int").alias("begin"), "doc", "tag")
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "begin")
-    group = W.partitionBy("k1", "k2").orderBy("settled", F.col("doc").asc_nulls_last(), "begin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    group = W.partitionBy("k1", "high").orderBy("settled", F.col("doc").asc_nulls_last(), "begin").rowsBetween(W.unboundedPreceding, W.currentRow)
     found = found.withColumns({"place": place, "least": F.first(place).over(group)})
     removed = found.where(F.col("settled") | (F.col("place") > F.col("least")))
-    lists = removed.groupBy("doc", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("r"))
-    return lists.select("doc", "tag", _ranges(F.col("r.begin"), F.col("r.end")).alias("ranges"))
+    length = F.when(F.col("settled"), F.col("high")).otherwise(size).cast("long")
+    spot = F.shiftleft(F.col("begin").cast("long"), 32).bitwiseOR(length)
+    lists = removed.groupBy("doc", "tag").agg(F.collect_list(spot).alias("spots"))
+    begins = F.transform("spots", lambda x: F.shiftright(x, 32).cast("int"))
+    lengths = F.transform("spots", lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    return lists.select("doc", "tag", _ranges(begins, lengths).alias("ranges"))
 
 
 @F.arrow_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]))
@@ -286,6 +329,12 @@ def remove_repeated(df: DataFrame, key: str = "doc_id", text: str = "text", to:
     """
     doc, tag, ranges = (fresh(df, x) for x in ("doc_key", "doc_tag", "doc_ranges"))
     df = df.withColumns({doc: named(df, key).cast("long"), tag: F.xxhash64(named(df, text))})
+    # a key with several texts, as all rows without a key are, needs the texts' hashes to tell its rows apart
+    shared = df.groupBy(doc).agg(F.min(tag).alias("low"), F.max(tag).alias("high")).where(F.col(doc).isNull() | (F.col("low") != F.col("high")))
+    shared = staged(shared.select(doc, F.lit(True).alias("shared")), "shared-keys")
+    several = fresh(df, "shared")
+    df = balanced_join(df, shared.withColumnRenamed("shared", several), [doc], "left", match_nulls=True)
+    df = df.withColumn(tag, F.when(F.col(several), F.col(tag)).otherwise(F.lit(0))).drop(several)
     found = staged(repeated_ranges(df.select(named(df, text), doc, tag), size, most_bits, held), "repeated-ranges")
     found = found.select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("ranges").alias(ranges))
     size_held = found.agg(F.sum(24 + 4 * F.size(ranges)).alias("n")).first()["n"] or 0

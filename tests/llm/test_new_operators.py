@@ -160,12 +160,13 @@ def test_repeats_don_t_depend_on_sketch_tasks_or_chunks(spark):
 
 def test_sketch_overestimates_and_is_smaller_than_the_windows(spark):
     df = spark.createDataFrame([(t,) for _, t in repeating_documents()], "text string")
-    bits, power = repeated_windows.repeated_cells(df)
+    sketch = repeated_windows.repeated_cells(df)
     h1, h2, *_ = repeated_windows.window_hashes(pa.array([r[0] for r in df.collect()]))
     keys, counts = np.unique(np.stack([h1, h2]), axis=1, return_counts=True)
-    held = np.unpackbits(bits).reshape(2, -1)
-    seen = np.logical_and.reduce([held[i][cells - (i << power)] for i, cells in enumerate(repeated_windows._cells(*keys, power))])
-    assert seen[counts > 1].all() and seen[counts == 1].mean() < 0.05
+    seen = sketch.hits(sketch.row(0, keys[0]), {}) & sketch.hits(sketch.row(1, keys[1]), {})
+    assert seen[counts > 1].all() and seen[counts == 1].mean() < 0.2
+    full = repeated_windows.repeated_cells(df, most_bits=16)
+    assert full.cells == 1 << 16 and full.hits(full.row(0, keys[0]), {})[counts > 1].all()
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 20, 33])
