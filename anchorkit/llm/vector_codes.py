@@ -73,9 +73,9 @@ def ball_search(parts: np.ndarray, book: np.ndarray, code: np.ndarray) -> tuple[
         others = np.flatnonzero((apart[entry] <= reach.max()) & (np.arange(len(book)) != entry))
         others = others[np.argsort(apart[entry][others], kind="stable")]
         rings = np.searchsorted(apart[entry][others], reach, side="right")
-        for ring in np.unique(rings):
-            if ring == 0:
-                continue
+        # rings are as wide as makes their number of candidates a power of two: few, and still no wider than twice the need
+        rings = np.where(rings > 0, np.minimum(1 << np.ceil(np.log2(np.maximum(rings, 1))).astype(np.int64), len(others)), 0)
+        for ring in np.unique(rings[rings > 0]):
             some = members[rings == ring]
             near = np.sort(np.append(others[:ring], entry))
             nearest, distance = full_search(parts[some], book[near])
