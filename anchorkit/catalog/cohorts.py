@@ -192,3 +192,14 @@ administrative AS (SELECT stay_id, {one_hot_sql()} FROM labelled)"""
 def administrative_columns(spark, sf):
     cohort, views = stored_cohort(spark, sf)
     return en.administrative(cohort, views["diagnoses_icd"], views["admissions"])
+
+
+@REGISTER("sparse_levels", """
+SELECT l_orderkey, l_linenumber, dense_rank() OVER (ORDER BY l_partkey) - 1 AS level, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS n_levels FROM lineitem""")
+def sparse_levels(spark, sf):
+    """Every part is a level: numbers and sparse vectors instead of a column per part."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    hot = en.sparse_one_hot(lines, "l_partkey", drop_first=False)
+    # the vector's own fields: the place of its one and its width
+    parts = F.from_json(F.to_json(F.struct("hot")), "hot struct<size: bigint, indices: array<bigint>>")["hot"]
+    return hot.select("l_orderkey", "l_linenumber", parts["indices"][0].alias("level"), parts["size"].alias("n_levels"))

@@ -95,7 +95,8 @@ def classifier_scores(spark, sf):
     train = staged(mo.weighted(_training(parts)), "weighted")
     preds, shape = None, mo.data_shape(train)
     for name in mo.STAGE1_GRIDS:
-        model, _ = mo.fit_best(name, "stage1", train, key="o_orderkey", grid=POINTS["stage1"][name], weight="weight", shape=shape)
+        model, point = mo.fit_best(name, "stage1", train, key="o_orderkey", grid=POINTS["stage1"][name], weight="weight", shape=shape)
+        model = mo.with_probabilities(name, model, train, point, key="o_orderkey", weight="weight")
         one = mo.class_predictions(model, parts["test"], key="o_orderkey").withColumn("model", F.lit(name))
         preds = one if preds is None else preds.unionByName(one)
     preds = staged(preds, "predictions")
@@ -242,3 +243,161 @@ def binary_logistic(spark, sf):
     each = preds.groupBy("urgent").agg(*[F.avg(f"p{k}").alias(f"p{k}") for k in range(3)])
     long = F.array(*[F.struct(F.lit(k).alias("label"), F.round(f"p{k}", 2).alias("p")) for k in range(3)])
     return each.select("urgent", F.inline(long))
+
+
+_TWO_SQL = """
+t AS (SELECT p_size::DOUBLE AS x1, (p_partkey % 17)::DOUBLE AS x2, p_retailprice + p_size * 10 AS y,
+             (row_number() OVER (ORDER BY md5('42:' || p_partkey), p_partkey) - 1) % 5 AS fold FROM part),
+folds(f) AS (VALUES (0), (1), (2), (3), (4)),
+sums AS (SELECT f, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) * count(*) AS s11, var_pop(x2) * count(*) AS s22,
+                covar_pop(x1, x2) * count(*) AS s12, covar_pop(x1, y) * count(*) AS s1, covar_pop(x2, y) * count(*) AS s2
+         FROM t, folds WHERE fold <> f GROUP BY f),
+fits AS (SELECT f, a, m1, m2, my, ((s22 + a) * s1 - s12 * s2) / ((s11 + a) * (s22 + a) - s12 * s12) AS b1,
+                ((s11 + a) * s2 - s12 * s1) / ((s11 + a) * (s22 + a) - s12 * s12) AS b2 FROM sums, penalties),
+misses AS (SELECT f, a, y, my + b1 * (x1 - m1) + b2 * (x2 - m2) - y AS miss FROM t JOIN fits ON fold = f)"""
+
+
+@REGISTER("two_feature_folds", f"""
+WITH penalties(a) AS (VALUES (0.0::DOUBLE), (10.0::DOUBLE), (1e5::DOUBLE)), {_TWO_SQL}
+SELECT a AS alpha, f AS fold, round(avg(abs(miss)), 6) AS mae, round(1 - avg(miss * miss) / var_pop(y), 6) AS r2 FROM misses GROUP BY a, f""")
+def two_feature_folds(spark, sf):
+    """Every penalty on every fold from the folds' moments: the rows are read once for these and once for the errors."""
+    from anchorkit.operators import least_squares as ls
+
+    parts = table(spark, sf, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 17).alias("rest"),
+                                            (F.col("p_retailprice") + F.col("p_size") * 10).alias("label"))
+    data = mo.assembled(parts, ["p_size", "rest"], ["p_partkey", "label"])
+    alphas = [0.0, 10.0, 1e5]
+    folded = staged(data.join(mo.stage_folds(data, "stage2", key="p_partkey"), "p_partkey"), "folds")
+    rows = [(a, fold, float(s["mae"]), float(s["r2"])) for a, folds in zip(alphas, ls.fold_scores(folded, alphas)) for fold, s in enumerate(folds)]
+    return round_doubles(spark.createDataFrame(rows, "alpha double, fold int, mae double, r2 double"))
+
+
+def _cells(spark, sf):
+    """Orders with two flags that decide class and target: every sound classifier or tree must find them again."""
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"), (F.col("o_orderstatus") == "F").cast("int").alias("filled"))
+    kind = F.when(F.col("urgent") == 1, 1.0).when(F.col("filled") == 1, 2.0).otherwise(0.0)
+    target = 1 + 2 * F.col("urgent") + 4 * F.col("filled") + F.col("urgent") * F.col("filled")
+    return orders.withColumns({"kind": kind, "target": target.cast("double")})
+
+
+def _cell_data(spark, sf, label):
+    rows = _cells(spark, sf).withColumn("label", F.col(label))
+    return staged(mo.assembled(rows, ["urgent", "filled"], ["o_orderkey", "label"]), "cells")
+
+
+def _cell_predictions(spark, sf, scored, *columns):
+    flags = _cells(spark, sf).select("o_orderkey", "urgent", "filled")
+    return scored.join(flags, "o_orderkey").groupBy("urgent", "filled").agg(F.count(F.lit(1)).alias("n"), *columns)
+
+
+_CELLS_SQL = """
+cells AS (SELECT urgent, filled, count(*) AS n FROM (
+  SELECT (o_orderpriority = '1-URGENT')::INT AS urgent, (o_orderstatus = 'F')::INT AS filled FROM orders) GROUP BY urgent, filled)"""
+_KIND_SQL = "CASE WHEN urgent = 1 THEN 1 WHEN filled = 1 THEN 2 ELSE 0 END"
+_SMALL_GRIDS = {"logistic_regression": {"C": [100.0]}, "random_forest": {"n_estimators": [5], "max_depth": [3], "min_samples_leaf": [1]},
+                "boosting": {"n_estimators": [1], "max_depth": [2], "learning_rate": [0.1], "subsample": [1.0]}, "svm": {"C": [0.01]},
+                "mlp": {"hidden_layer_sizes": [(6,)]}}
+
+
+@REGISTER("classifiers_of_cells", f"""
+WITH {_CELLS_SQL} SELECT model, urgent, filled, n, {_KIND_SQL} AS lowest, {_KIND_SQL} AS highest, true AS sums_to_one, 1.0::DOUBLE AS auc
+FROM cells, (VALUES {", ".join(f"('{m}')" for m in _SMALL_GRIDS)}) AS m(model)""")
+def classifiers_of_cells(spark, sf):
+    """All five classifiers on classes that two flags decide: right predictions, probabilities and an AUC of one each."""
+    data, out, preds = _cell_data(spark, sf, "kind"), None, None
+    for name, grid in _SMALL_GRIDS.items():
+        model, point = mo.fit_best(name, "stage1", data, key="o_orderkey", grid=grid)
+        model = mo.with_probabilities(name, model, data, point, key="o_orderkey")
+        scored = staged(mo.class_predictions(model, data, key="o_orderkey").withColumn("model", F.lit(name)), "cell-scores")
+        one = _cell_predictions(spark, sf, scored, F.min("y_pred").alias("lowest"), F.max("y_pred").alias("highest"),
+                                F.bool_and(F.abs(F.col("p0") + F.col("p1") + F.col("p2") - 1) < 1e-9).alias("sums_to_one")).withColumn("model", F.lit(name))
+        out, preds = (one, scored) if out is None else (out.unionByName(one), preds.unionByName(scored))
+    auc = me.macro_auc(preds, ["model"], {k: f"p{k}" for k in range(3)}).select("model", F.round("AUC", 6).alias("auc"))
+    return out.join(auc, "model")
+
+
+@REGISTER("trees_of_cells", f"""
+WITH {_CELLS_SQL} SELECT model, urgent, filled, n, (1 + 2 * urgent + 4 * filled + urgent * filled)::DOUBLE AS lowest,
+  (1 + 2 * urgent + 4 * filled + urgent * filled)::DOUBLE AS highest
+FROM cells, (VALUES ('random_forest'), ('boosting'), ('gradient_boosting')) AS m(model)""")
+def trees_of_cells(spark, sf):
+    """Forest and boosted regressors on a target that two flags decide."""
+    data, out = _cell_data(spark, sf, "target"), None
+    for name in ("random_forest", "boosting", "gradient_boosting"):
+        grid = {**_SMALL_GRIDS, "gradient_boosting": {"n_estimators": [1], "max_depth": [2], "learning_rate": [0.1]}}[name]
+        model, _ = mo.fit_best(name, "stage2", data, key="o_orderkey", grid=grid)
+        scored = model.transform(data).select("o_orderkey", F.round("prediction", 6).alias("p"))
+        one = _cell_predictions(spark, sf, scored, F.min("p").alias("lowest"), F.max("p").alias("highest")).withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@REGISTER("boosted_probabilities", f"""
+WITH {_CELLS_SQL}, s AS (SELECT 1 / (1 + exp(-2.0::DOUBLE)) AS up, 1 / (1 + exp(2.0::DOUBLE)) AS down)
+SELECT urgent, filled, k::INT AS label, round(CASE WHEN k = {_KIND_SQL} THEN up ELSE down END / (up + 2 * down), 6) AS p FROM cells, s, range(3) AS g(k)""")
+def boosted_probabilities(spark, sf):
+    """One boosting round gives margins of one or minus one; their sigmoids are divided by their sum."""
+    data = _cell_data(spark, sf, "kind")
+    model, point = mo.fit_best("boosting", "stage1", data, key="o_orderkey", grid=_SMALL_GRIDS["boosting"])
+    model = mo.with_probabilities("boosting", model, data, point, key="o_orderkey")
+    each = _cell_predictions(spark, sf, mo.class_predictions(model, data, key="o_orderkey"), *[F.avg(f"p{k}").alias(f"p{k}") for k in range(3)])
+    return each.select("urgent", "filled", F.inline(F.array(*[F.struct(F.lit(k).alias("label"), F.round(f"p{k}", 6).alias("p")) for k in range(3)])))
+
+
+@REGISTER("fitted_sigmoids", """
+WITH t AS (SELECT (o_orderpriority = '1-URGENT')::INT AS urgent, o_custkey % 3 AS label FROM orders),
+sizes AS (SELECT k, count(*) FILTER (label = k) AS hits, count(*) FILTER (label <> k) AS others FROM t, range(3) AS g(k) GROUP BY k)
+SELECT urgent, k::INT AS label, round(avg(CASE WHEN t.label = k THEN (hits + 1.0::DOUBLE) / (hits + 2) ELSE 1 / (others + 2.0::DOUBLE) END), 6) AS p
+FROM t, sizes GROUP BY urgent, k""")
+def fitted_sigmoids(spark, sf):
+    """Sigmoids over a margin of two values: the fitted probability of each value is the mean of what is wanted there."""
+    from anchorkit.operators.calibrate import fit_sigmoids
+
+    u = (F.col("o_orderpriority") == "1-URGENT").cast("int")
+    margin = F.array(u.cast("double"), 2.0 - u, 3.0 * u - 1.0)
+    rows = staged(table(spark, sf, "orders").select(u.alias("urgent"), (F.col("o_custkey") % 3).cast("int").alias("label"), margin.alias("margins")), "margins")
+    found = fit_sigmoids(rows, 3)
+    each = F.array(*[F.struct(F.lit(k).alias("label"), F.round(1 / (1 + F.exp(-(F.lit(a) * F.col("margins")[k] + F.lit(b)))), 6).alias("p"))
+                     for k, (a, b) in enumerate(found)])
+    return rows.select("urgent", F.inline(each)).distinct()
+
+
+@REGISTER("leading_importances", """
+WITH t AS (SELECT (o_orderpriority = '1-URGENT')::INT AS urgent, (o_orderstatus = 'F')::INT AS filled, (o_custkey % 2)::INT AS even FROM orders),
+shares AS (
+  SELECT 'urgent' AS feature, var_pop(m) / (SELECT var_pop(urgent) FROM t) AS share FROM (SELECT avg(urgent) OVER (PARTITION BY urgent) AS m FROM t)
+  UNION ALL SELECT 'filled', var_pop(m) / (SELECT var_pop(urgent) FROM t) FROM (SELECT avg(urgent) OVER (PARTITION BY filled) AS m FROM t)
+  UNION ALL SELECT 'even', var_pop(m) / (SELECT var_pop(urgent) FROM t) FROM (SELECT avg(urgent) OVER (PARTITION BY even) AS m FROM t))
+SELECT feature, CASE WHEN share > 0.999999 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS importance FROM shares ORDER BY importance DESC, feature LIMIT 2""")
+def leading_importances(spark, sf):
+    """The two leading of three features, of which one decides the target."""
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"), (F.col("o_orderstatus") == "F").cast("int").alias("filled"),
+        (F.col("o_custkey") % 2).cast("int").alias("even"), (F.col("o_orderpriority") == "1-URGENT").cast("double").alias("label"))
+    names = ["urgent", "filled", "even"]
+    model, _ = mo.fit_best("random_forest", "stage2", staged(mo.assembled(orders, names, ["o_orderkey", "label"]), "flags"), key="o_orderkey",
+                           grid={"n_estimators": [3], "max_depth": [3], "min_samples_leaf": [1]})
+    return round_doubles(mo.importances(model, names, 2))
+
+
+@REGISTER("huber_conditions", """
+SELECT name, 0.0::DOUBLE AS residual FROM (VALUES ('intercept'), ('slope'), ('scale')) AS c(name) WHERE (SELECT count(*) FROM part) > 2""")
+def huber_conditions(spark, sf):
+    """At the Huber fit the derivatives of its loss vanish: by intercept, by slope (with the penalty), by scale."""
+    wave = (F.col("p_partkey") * 37 % 101).cast("double") / 10 + F.when(F.col("p_partkey") % 11 == 0, 400.0).otherwise(0.0)
+    parts = table(spark, sf, "part").select("p_partkey", "p_size", (F.col("p_size") * 3.0 + wave).alias("label"))
+    data = staged(mo.assembled(parts, ["p_size"], ["p_partkey", "label"]), "huber")
+    rows, spread, width = mo.data_shape(data)
+    model, _ = mo.fit_best("huber", "stage2", data, key="p_partkey", grid={"epsilon": [1.35], "alpha": [0.0001]}, shape=(rows, spread, width))
+    b, e, s = float(model.coefficients[0]), 1.35, float(model.scale)
+    from pyspark.ml.functions import vector_to_array
+
+    x = vector_to_array("features")[0]
+    z = (F.col("label") - x * F.lit(b) - F.lit(float(model.intercept))) / F.lit(s)
+    pull = F.greatest(F.least(z, F.lit(e)), F.lit(-e))
+    found = data.agg(F.avg(pull).alias("intercept"), (F.avg(pull * x) / F.avg(F.abs(x)) - F.lit(0.0001 / rows * b)).alias("slope"),
+                     (F.lit(1.0) - F.avg(pull * pull)).alias("scale"))
+    long = F.array(*[F.struct(F.lit(c).alias("name"), (F.round(c, 2) + F.lit(0.0)).alias("residual")) for c in ("intercept", "slope", "scale")])
+    return found.select(F.inline(long))

@@ -92,6 +92,23 @@ def cached_table(spark, sf):
     return sinks.cached(spark, path, lambda: (_ for _ in ()).throw(RuntimeError("must not build twice")))
 
 
+@REGISTER("cached_by_settings", """
+SELECT 2 AS builds, l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity >= 30 GROUP BY l_returnflag""")
+def cached_by_settings(spark, sf):
+    """The same settings and files read the stored table, another setting builds it again."""
+    path, lines, built = scratch_path(spark, "cached"), table(spark, sf, "lineitem"), []
+
+    def counts(least):
+        def build():
+            built.append(least)
+            return lines.where(F.col("l_quantity") >= least).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+        return sinks.cached(spark, path, build, {"least": least}, [lines])
+
+    for least in (10, 10, 30):
+        counts(least)
+    return counts(30).select(F.lit(len(built)).alias("builds"), "l_returnflag", "n")
+
+
 @REGISTER("prediction_pairs", """
 SELECT 'line_mean' AS model, l_orderkey AS stay_id, round(sum(l_quantity), 6) AS y_true, round(avg(l_extendedprice), 6) AS baseline,
   round(max(l_extendedprice), 6) AS candidate FROM lineitem GROUP BY l_orderkey""")

@@ -269,6 +269,6 @@ def base_feature_table(spark, sf):
     more=", s.* EXCLUDE (stay_id)", join="LEFT JOIN severity s ON s.stay_id = c.stay_id"), f"{FEATURES_SQL}, {SEVERITY_SQL}"))
 def extended_feature_table(spark, sf):
     cohort, views = stored_cohort(spark, sf)
-    score = cl.severity_score(cohort, views["chartevents"], views["labevents"], views["inputevents"], views["outputevents"])
-    wide = cl.extended_features(cl.base_features(views, cohort=cohort), score)
+    store = cl.event_store(cohort, views)
+    wide = cl.extended_features(cl.base_features(views, cohort=cohort, store=store), cl.severity_from(cohort, store))
     return round_doubles(wide.withColumn("in_us", V.micros("intime")).drop("intime", "outtime"))

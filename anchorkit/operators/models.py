@@ -6,9 +6,10 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
+    GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -18,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorkit.functions.values import days_from_log, hash_text
+from anchorkit.operators import least_squares as ls
+from anchorkit.operators.calibrate import BOOSTED, MarginModel, fit_sigmoids, out_of_fold_margins
 from anchorkit.operators.metrics import classification_metrics, regression_metrics
 from anchorkit.operators.prep import balanced_weights, class_folds, plain_folds
 from anchorkit.operators.running import hash_ranks
 from anchorkit.session import staged
 
 MAX_DEPTH = 30  # MLlib's deepest tree stands for "no limit"
+#: Regressors with a closed form: folds, penalties and growing parts come from moments.
+CLOSED_FORM = ("linear_regression", "ridge")
 
 # Default grids.
 STAGE1_GRIDS = {
@@ -73,7 +78,8 @@ def base_estimator(name: str, stage: str, *, label: str = "label", weight: str |
             # a share of the columns is drawn for every node
             return OneVsRest(classifier=GBTClassifier(seed=seed, featureSubsetStrategy="0.8"), labelCol=label, parallelism=classes, **weighted)
         if name == "svm":
-            return OneVsRest(classifier=LinearSVC(standardization=False), labelCol=label, parallelism=classes, **weighted)
+            # a finer tolerance makes the line search of the hinge loss, which has no slope at its kink, try in vain
+            return OneVsRest(classifier=LinearSVC(standardization=False, tol=1e-3), labelCol=label, parallelism=classes, **weighted)
         if name == "mlp":
             return MultilayerPerceptronClassifier(labelCol=label, maxIter=200, seed=seed)
     elif stage == "stage2":
@@ -150,9 +156,10 @@ def data_shape(data: DataFrame, label: str = "label") -> tuple[int, float, int]:
 
 def _mean_scores(joined: DataFrame, estimator: Estimator, maps: list[dict], judge: Evaluator, k: int, label: str,
                  weight: str | None, parallelism: int) -> list[float]:
-    """Mean score per setting over the folds, not a number for a setting that failed in one.
+    """Mean score per setting over the folds, not a number for a setting that can't be fitted in one.
 
-    Class weights are those of each fold's own training rows.
+    Only a setting that the estimator refuses counts as that; a failed job ends the search. Class
+    weights are those of each fold's own training rows.
     """
     parts = []
     for fold in range(k):
@@ -164,23 +171,31 @@ def _mean_scores(joined: DataFrame, estimator: Estimator, maps: list[dict], judg
     def one(job: tuple[int, dict]) -> float:
         train, held = parts[job[0]]
         try:
-            return float(judge.evaluate(estimator.fit(train, job[1]).transform(held)))
-        except Exception:  # noqa: BLE001  a setting that can't be fitted loses, the search goes on
+            model = estimator.fit(train, job[1])
+        except (IllegalArgumentException, ValueError):
             return math.nan
+        return float(judge.evaluate(model.transform(held)))
 
     with ThreadPoolExecutor(parallelism) as pool:
         found = list(pool.map(one, [(fold, m) for m in maps for fold in range(k)]))
     return [sum(found[i * k:(i + 1) * k]) / k for i in range(len(maps))]
 
 
+def _penalty(name: str, point: dict) -> float:
+    return float({**DEFAULTS[name], **point}["alpha"]) if name == "ridge" else 0.0
+
+
 def fit_best(name: str, stage: str, data: DataFrame, *, key: str = "stay_id", grid: dict[str, list] | None = None,
              folds: DataFrame | None = None, label: str = "label", weight: str | None = None, classes: int = 3,
-             parallelism: int = 4, seed: int = 42, shape: tuple[int, float, int] | None = None) -> tuple[Model, dict]:
+             parallelism: int = 4, seed: int = 42, shape: tuple[int, float, int] | None = None,
+             left_out: list[dict] | None = None) -> tuple[Model, dict]:
     """Fit directly without folds or grid, otherwise choose by cross-validation and refit on all rows.
 
     Stage 1 maximises macro-F1, stage 2 minimises MAE. ``data`` is (key, label, features[, weight]);
     the folds are a keyed column, so every setting is scored on the same rows. ``shape`` is
-    :func:`data_shape` when already known. Settings that fail are left out; all failing is an error.
+    :func:`data_shape` when already known. Settings that an estimator refuses are left out and appended to
+    ``left_out``; all refused is an error, and so is any failed job. Ridge penalties are scored from
+    moments in two passes over the rows, however many there are.
     """
     rows, spread, width = shape or data_shape(data, label)
     estimator = base_estimator(name, stage, label=label, weight=weight, classes=classes, seed=seed)
@@ -192,7 +207,13 @@ def fit_best(name: str, stage: str, data: DataFrame, *, key: str = "stay_id", gr
     joined = staged(data.join(folds.select(key, "fold"), key), "folds")
     k = joined.agg(F.max("fold")).first()[0] + 1
     judge = MacroF1(label, classes) if stage == "stage1" else RegressionEvaluator(labelCol=label, metricName="mae")
-    scores = _mean_scores(joined, estimator, [tune(p, rows * (k - 1) / k) for p in points], judge, k, label, weight, parallelism)
+    if stage == "stage2" and name in CLOSED_FORM:
+        by_fold = ls.fold_scores(joined, [_penalty(name, p) for p in points], label=label)
+        scores = [sum(f["mae"] for f in folds_) / len(folds_) for folds_ in by_fold]
+    else:
+        scores = _mean_scores(joined, estimator, [tune(p, rows * (k - 1) / k) for p in points], judge, k, label, weight, parallelism)
+    if left_out is not None:
+        left_out += [p for p, x in zip(points, scores) if math.isnan(x)]
     known = [x for x in scores if not math.isnan(x)]
     if not known:
         raise RuntimeError(f"no setting of {name} could be fitted")
@@ -226,13 +247,18 @@ def cross_validated(names: list[str], stage: str, data: DataFrame, folds: DataFr
         row = regression_metrics(scored, [], label, "prediction", median=False).first()
         return [(name, "mae", row["MAE"]), (name, "r2", row["R2"])]
 
+    closed = [n for n in names if stage == "stage2" and n in CLOSED_FORM]
+    # one gathering and one scoring pass for all closed forms together
+    scored = ls.fold_scores(joined, [_penalty(n, (points or {}).get(n, {})) for n in closed], label=label) if closed else []
+    parts = [(n, metric, f[metric]) for n, by_fold in zip(closed, scored) for f in by_fold for metric in ("mae", "r2")]
     with ThreadPoolExecutor(parallelism) as pool:
-        parts = [r for rows in pool.map(one, [(name, fold) for name in names for fold in range(k)]) for r in rows]
+        jobs = [(name, fold) for name in names if name not in closed for fold in range(k)]
+        parts += [r for rows in pool.map(one, jobs) for r in rows]
     table = spark.createDataFrame(parts, "model string, metric string, score double")
     return table.groupBy("model", "metric").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd"))
 
 
-def class_predictions(model: Model, data: DataFrame, *, key: str = "stay_id", label: str = "label", classes: int = 3) -> DataFrame:
+def class_predictions(model: Model | MarginModel, data: DataFrame, *, key: str = "stay_id", label: str = "label", classes: int = 3) -> DataFrame:
     """(key, y_true, y_pred, p0, p1, ...); the probabilities are NULL for a model without them."""
     out = model.transform(data)
     if "probability" in out.columns:
@@ -250,8 +276,38 @@ def day_predictions(model: Model, data: DataFrame, *, key: str = "stay_id", labe
         F.col(label).alias("y_true_log"), F.col("prediction").alias("y_pred_log"))
 
 
-def save_model(model: Model, path: str) -> None:
-    model.write().overwrite().save(path)
+def with_probabilities(name: str, model: Model, data: DataFrame, point: dict, *, key: str = "stay_id", label: str = "label",
+                       weight: str | None = None, classes: int = 3, folds: int = 2, seed: int = 42,
+                       calibrate: bool | None = None) -> Model | MarginModel:
+    """A one-vs-rest classifier with class probabilities; other models as they are.
+
+    Boosted trees use the sigmoid of their own loss, unless ``calibrate``; the SVM's sigmoids are fitted on
+    margins out of ``folds`` stratified folds of its training rows ``data`` with the setting ``point``. Too few rows
+    for two folds leave its sigmoids at one.
+    """
+    if not isinstance(model, OneVsRestModel):
+        return model
+    if calibrate is None:
+        calibrate = name != "boosting"
+    marks = class_folds(data, key=key, label=label, folds=folds, seed=seed) if calibrate else None
+    if marks is None:
+        return MarginModel(model, [BOOSTED if name == "boosting" else (1.0, 0.0)] * classes)
+
+    def fit(train: DataFrame) -> OneVsRestModel:
+        if weight:
+            train = balanced_weights(train.drop(weight), label, weight)
+        return fit_best(name, "stage1", train, key=key, label=label, weight=weight, classes=classes, seed=seed,
+                        grid={k: [v] for k, v in point.items()})[0]
+
+    seen = out_of_fold_margins(data, marks, fit, key, label)
+    return MarginModel(model, fit_sigmoids(seen, classes, label))
+
+
+def save_model(model: Model | MarginModel, path: str) -> None:
+    if isinstance(model, MarginModel):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
 
 def importances(model: Model, features: list[str], top: int | None = None) -> DataFrame:
@@ -264,33 +320,58 @@ def importances(model: Model, features: list[str], top: int | None = None) -> Da
     return ordered.limit(top) if top else ordered
 
 
+def used_features(model: Model, width: int) -> list[int]:
+    """Positions of the features that can change a prediction: coefficients or importances other than zero, all if unknown."""
+    for name in ("coefficients", "featureImportances"):
+        if hasattr(model, name):
+            weights = getattr(model, name).toArray()
+            return [j for j in range(width) if weights[j] != 0]
+    return list(range(width))
+
+
 def permutation_importance(model: Model, data: DataFrame, features: list[str], *, key: str = "stay_id", label: str = "label",
                            repeats: int = 30, seed: int = 42, focus: list[str] | None = None) -> DataFrame:
     """(feature, importance_mean, importance_std, is_focus): rise of the MAE when a column is shuffled.
 
     A repeat pairs every row with a donor row through two independent random orders of the keys;
     column by column the donor's value replaces the own one. So a repeat costs one join for all
-    features, all repeats run in one job, and the ranks come from bucketed running totals.
+    features, all repeats run in one job, and the ranks come from bucketed running totals. Every row is
+    scored once. A linear model's other predictions are the first one plus coefficient * (donor - own),
+    taken side by side in one aggregation: no row is copied. Other models score a copy of a row per
+    repeat and feature that the model uses; features it doesn't use have exactly zero.
     """
-    base = data.select(key, label, vector_to_array("features").alias("_x"))
+    scored = model.transform(data.select(key, label, "features")).select(
+        key, F.col(label).alias("_y"), F.col("prediction").alias("_p"), vector_to_array("features").alias("_x"))
+    scored = staged(scored, "scored")
     repeat = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
     order = lambda tag: hash_ranks(
-        base.select(key, repeat.alias("repeat")).withColumn(
+        scored.select(key, repeat.alias("repeat")).withColumn(
             "_h", hash_text(seed, F.lit(tag), F.col("repeat"), F.col(key))),
         ["repeat"], "_h", [key], "_rank").drop("_h")
-    own = order("own").join(base, key)
-    donors = order("donor").join(base.select(key, F.col("_x").alias("_d")), key).drop(key)
+    own = order("own").join(scored, key)
+    donors = order("donor").join(scored.select(key, F.col("_x").alias("_d")), key).drop(key)
     paired = own.join(donors, ["repeat", "_rank"])
-    swapped = paired.select(
-        "repeat", label, "_x", "_d", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("j"),
-    ).select("repeat", label, "j", array_to_vector(
-        F.transform("_x", lambda v, i: F.when(i == F.col("j"), F.get("_d", F.col("j"))).otherwise(v))).alias("features"))
-    miss = F.avg(F.abs(F.col("prediction") - F.col(label)))
-    plain = model.transform(data).agg(miss).first()[0]
-    per_repeat = model.transform(swapped).groupBy("j", "repeat").agg((miss - F.lit(plain)).alias("rise"))
-    names = F.array(*[F.lit(f) for f in features])
-    table = per_repeat.groupBy("j").agg(F.avg("rise").alias("importance_mean"), F.stddev_pop("rise").alias("importance_std"))
-    named = table.select(F.get(names, F.col("j")).alias("feature"), "importance_mean", "importance_std")
+    plain = scored.agg(F.avg(F.abs(F.col("_p") - F.col("_y")))).first()[0]
+    used = used_features(model, len(features))
+    spark = data.sparkSession
+    rises = None
+    if used and hasattr(model, "coefficients"):
+        step = lambda j: F.lit(float(model.coefficients[j])) * (F.col("_d")[j] - F.col("_x")[j])
+        wide = paired.groupBy("repeat").agg(*[F.avg(F.abs(F.col("_p") + step(j) - F.col("_y"))).alias(f"m{j}") for j in used])
+        rises = wide.select(F.inline(F.array(*[F.struct(F.lit(j).alias("j"), (F.col(f"m{j}") - F.lit(plain)).alias("rise")) for j in used])))
+    elif used:
+        swapped = paired.select("repeat", "_y", "_x", "_d", F.explode(F.array(*[F.lit(j) for j in used])).alias("j")).select(
+            "repeat", "_y", "j", array_to_vector(
+                F.transform("_x", lambda v, i: F.when(i == F.col("j"), F.get("_d", F.col("j"))).otherwise(v))).alias("features"))
+        miss = F.avg(F.abs(F.col("prediction") - F.col("_y")))
+        rises = model.transform(swapped).groupBy("j", "repeat").agg((miss - F.lit(plain)).alias("rise"))
+    names = spark.createDataFrame(list(enumerate(features)), "j int, feature string")
+    if rises is None:
+        table = names.select("j", F.lit(0.0).alias("importance_mean"), F.lit(0.0).alias("importance_std"))
+    else:
+        table = rises.groupBy("j").agg(F.avg("rise").alias("importance_mean"), F.stddev_pop("rise").alias("importance_std"))
+    zero = lambda c: F.when(F.col("j").isin(used), F.col(c)).otherwise(F.lit(0.0)).alias(c)
+    named = names.join(table, "j", "left").select("feature", zero("importance_mean"), zero("importance_std"))
     return named.withColumn("is_focus", F.col("feature").isin(list(focus or []))) if focus is not None else named
 
 
@@ -311,11 +392,15 @@ def learning_curve(name: str, runs: dict[str, DataFrame], *, key: str = "stay_id
     ranked = staged(hash_ranks(orders, ["held"], "_h", [key], "_rank").select(key, "held", "_rank"), "curve-order")
     sizes = {r["held"]: r["n"] for r in ranked.groupBy("held").agg(F.count(F.lit(1)).alias("n")).collect()}
     spark = first.sparkSession
+    rows_of = lambda fold, share: int(math.floor(share * sizes.get(fold, 0) + 1e-9))
+    if name in CLOSED_FORM:
+        rows = _closed_curve(_penalty(name, point or {}), runs, marks, ranked, rows_of, key, label, shares, folds)
+        return spark.createDataFrame(rows, "run string, share double, fold int, train_rows long, mae double")
     stored = {run: staged(data.join(marks, key), "curve") for run, data in runs.items()}
 
     def one(job: tuple[str, int, float]) -> tuple:
         run, fold, share = job
-        n = int(math.floor(share * sizes.get(fold, 0) + 1e-9))
+        n = rows_of(fold, share)
         if n < 2:
             return run, float(share), fold, n, None
         part = stored[run].join(ranked.where((F.col("held") == fold) & (F.col("_rank") <= n)).select(key), key)
@@ -329,6 +414,27 @@ def learning_curve(name: str, runs: dict[str, DataFrame], *, key: str = "stay_id
     return spark.createDataFrame(rows, "run string, share double, fold int, train_rows long, mae double")
 
 
+def _closed_curve(alpha: float, runs: dict[str, DataFrame], marks: DataFrame, ranked: DataFrame, rows_of, key: str, label: str,
+                  shares: tuple[float, ...], folds: int) -> list[tuple]:
+    """Points of the learning curve of a closed form: a row's place in each fold's order gives the part it first belongs to."""
+    ordered = sorted(shares)
+    part = F.lit(None).cast("int")
+    for fold in range(folds):
+        ends = [rows_of(fold, s) for s in ordered]
+        first = F.aggregate(F.array(*[F.lit(e) for e in ends]), F.lit(0), lambda n, e: n + (e < F.col("_rank")).cast("int"))
+        part = F.when((F.col("held") == fold) & (F.col("_rank") <= ends[-1]), first).otherwise(part)
+    parts = ranked.withColumn("_part", part).groupBy(key).agg(
+        F.array(*[F.max(F.when(F.col("held") == f, F.col("_part"))) for f in range(folds)]).alias("parts"))
+    places = staged(marks.join(parts, key, "left"), "curve-parts")
+    rows = []
+    for run, data in runs.items():
+        stored = staged(data.select(key, label, "features").join(places, key), "curve")
+        found = ls.growing_errors(stored, folds, len(ordered), alpha, label=label)
+        rows += [(run, float(share), fold, rows_of(fold, share), found[fold, ordered.index(share)] if rows_of(fold, share) >= 2 else None)
+                 for fold in range(folds) for share in shares]
+    return rows
+
+
 def curve_summary(points: DataFrame) -> DataFrame:
     """Mean and spread over folds per run and share."""
     return points.groupBy("run", "share").agg(

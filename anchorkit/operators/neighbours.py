@@ -25,7 +25,7 @@ from anchorkit.operators.joins import balanced_join
 from anchorkit.session import staged
 
 #: Pivots of a class, and of all classes together; shells of a pivot.
-PIVOTS, ALL_PIVOTS, SHELLS = 256, 8192, 1024
+PIVOTS, ALL_PIVOTS, SHELLS = 512, 8192, 1024
 #: Relative slack of computed distances; it may add visits, never lose one.
 _SLACK = 1e-9
 _BLOCK = ["cls", "cell", "shell", "sub"]
@@ -190,7 +190,8 @@ def _layout(points: DataFrame, block_rows: int) -> tuple[Layout, DataFrame]:
     most = min(PIVOTS, ALL_PIVOTS // large) if large else 0
     layout = Layout({})
     if most:
-        wanted = F.least(F.lit(most), F.ceil(F.sqrt("size"))) / F.col("size")
+        # two pivots a block, so that blocks are small in space as long as there are pivots; then come shells
+        wanted = F.least(F.lit(most), F.ceil(2 * F.col("size") / block_rows)) / F.col("size")
         drawn = balanced_join(points, sizes, ["cls"]).where(hash_unit(hash_text(0, F.lit("pivot"), F.col("k"))) < wanted)
         found: dict[str, list] = {}
         for row in drawn.select("cls", "x").collect():  # a few hundred a class, ALL_PIVOTS or so together

@@ -56,18 +56,34 @@ def extract_all(views: dict[str, DataFrame], config: dict[str, Any], folder: str
 
 
 def feature_tables(views: dict[str, DataFrame], config: dict[str, Any], folder: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(baseline, extended) feature tables, each built once and then read from ``folder``."""
+    """(baseline, extended) feature tables, each built once and then read from ``folder``.
+
+    A table is built again when the settings it depends on or the source tables' files have changed.
+    One store of windowed events serves both.
+    """
     spark = views["icustays"].sparkSession
     bins = config["los_bins"]
-    cohort = sinks.cached(spark, f"{folder}/cohort", lambda: cohort_of(views, config))
+    sources = [views[t] for t in SOURCE_TABLES]
+    asked = {"cohort": config["cohort"]}
+    cohort = sinks.cached(spark, f"{folder}/cohort", lambda: cohort_of(views, config), asked, [views["icustays"], views["patients"]])
+    store: list[DataFrame] = []
+
+    def events() -> DataFrame:
+        if not store:
+            store.append(cl.event_store(cohort, views))
+        return store[0]
+
+    asked |= {"bins": bins, "top_units": config["top_units"]}
     base = sinks.cached(spark, f"{folder}/baseline_features", lambda: cl.base_features(
-        views, cohort=cohort, short=bins["short_threshold_days"], long=bins["long_threshold_days"], top_units=config["top_units"]))
+        views, cohort=cohort, short=bins["short_threshold_days"], long=bins["long_threshold_days"], top_units=config["top_units"],
+        store=events()), asked, sources)
 
     def extend() -> DataFrame:
-        score = staged(cl.severity_score(cohort, *[views[t] for t in ("chartevents", "labevents", "inputevents", "outputevents")]), "score")
+        score = staged(cl.severity_from(cohort, events()), "score")
         return cl.extended_features(base, cl.checked_severity(score, strict))
 
-    extended = sinks.cached(spark, f"{folder}/extended_features", extend)
+    extended = sinks.cached(spark, f"{folder}/extended_features", extend, asked | {"strict": strict},
+                            [*sources, *[views[t] for t in SCORE_TABLES]])
     sinks.save_parquet(validate_features(base), f"{folder}/feature_missingness")
     return base, extended
 
@@ -118,9 +134,10 @@ def run_stages(features: DataFrame, splits: DataFrame, folder: str, run: str, co
         for name in names[stage]:
             network = name == "mlp"
             data = _oversampled(train, cfg["caps"].get(name), cfg["seed"]) if network else train
-            model, _ = mo.fit_best(
-                name, stage, data, grid=grids[stage].get(name), folds=folds, seed=cfg["seed"],
-                weight="weight" if stage == "stage1" and not network else None)
+            weight = "weight" if stage == "stage1" and not network else None
+            model, point = mo.fit_best(name, stage, data, grid=grids[stage].get(name), folds=folds, seed=cfg["seed"], weight=weight)
+            if stage == "stage1":
+                model = mo.with_probabilities(name, model, data, point, weight=weight, seed=cfg["seed"])
             mo.save_model(model, f"{folder}/models/{name}_{stage}")
             if stage == "stage1":
                 out = mo.class_predictions(model, matrix["test"])

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import json
+from collections.abc import Callable, Sequence
+from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +32,41 @@ def save_extracts(extracts: dict[str, DataFrame], folder: str) -> dict[str, Data
     return {name: save_parquet(df, f"{folder.rstrip('/')}/{name}") for name, df in extracts.items()}
 
 
-def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The finished table at ``path``, built and stored when it is not there."""
-    if files.finished(spark, path):
+_FINGERPRINT = "_FINGERPRINT"
+
+
+def fingerprint(spark: SparkSession, settings: Any = None, inputs: Sequence[DataFrame] = ()) -> str:
+    """A digest of settings (anything JSON can write), of the inputs' plans and of the files they read.
+
+    Plans are taken without the numbers that differ from session to session; a file counts with path,
+    length and time of change, which are listed folder by folder.
+    """
+    plans, found = [], set()
+    for df in inputs:
+        plans.append(df._jdf.queryExecution().analyzed().canonicalized().toString())
+        names = df.inputFiles()
+        for folder in sorted({n.rpartition("/")[0] for n in names}):
+            inside = files.children(spark, folder)
+            found |= {(n, *inside.get(unquote(n.rpartition("/")[2]), inside.get(n.rpartition("/")[2], (0, 0)))[:2])
+                      for n in names if n.rpartition("/")[0] == folder}
+    text = json.dumps([settings, plans, sorted(found)], sort_keys=True, default=str)
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], settings: Any = None,
+           inputs: Sequence[DataFrame] = ()) -> DataFrame:
+    """The finished table at ``path``, built and stored when it is not there or was built from something else.
+
+    The :func:`fingerprint` of ``settings`` and ``inputs`` is stored beside the table, after it: other settings,
+    another plan or a changed input file rebuild it, and so does a table whose write broke off.
+    """
+    print_ = fingerprint(spark, settings, inputs)
+    mark = f"{path.rstrip('/')}/{_FINGERPRINT}"
+    if files.finished(spark, path) and files.exists(spark, mark) and files.read_text(spark, mark) == print_:
         return spark.read.parquet(path)
-    return save_parquet(build(), path)
+    stored = save_parquet(build(), path)
+    files.write_text(spark, mark, print_)
+    return stored
 
 
 def save_splits(splits: DataFrame, path: str, key: str = "stay_id") -> DataFrame:

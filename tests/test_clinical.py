@@ -14,6 +14,7 @@ from anchorkit.operators.occupancy import occupancy
 from anchorkit.operators.quality import check_signals
 from anchorkit.operators.windows import EventSchema, Item, window_means
 from anchorkit.plans import clinical as cl
+from anchorkit.session import bucketed
 
 DAY = dt(2020, 1, 1)
 
@@ -237,3 +238,21 @@ def test_base_and_extended_features(spark, people):
     with pytest.raises(KeyError):
         cl.extended_features(base.drop("stay_id"), extra)
     assert "occupancy_rate" in cl.with_occupancy(base, full).columns
+
+
+def test_features_above_the_store_need_no_exchange(spark):
+    """Events, labels and cohort lie in buckets of the stay: vitals, labs, score, alignment and joins stay where they are."""
+    cohort, chart, lab, inputs, outputs = severity_inputs(spark)
+    tables = {"chartevents": chart, "labevents": lab, "inputevents": inputs, "outputevents": outputs}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store = cl.event_store(cohort, tables)
+        people = bucketed(cohort, "stay_id", "people")
+        wide = people.join(cl.feature_means(store), "stay_id", "left").join(cl.severity_from(people, store), "stay_id", "left")
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Bucketed: true") >= 3
+        rows = {r.stay_id: r for r in wide.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows[1].sofa_total == 12 and rows[1].spo2_mean == 90.0 and rows[1].platelets_mean == 120.0 and rows[3].creatinine_mean is None

@@ -1,8 +1,10 @@
 """Preparation, oversampling, tests of significance, sources and one whole comparison run."""
 
 import math
+import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from anchorkit.operators.quality import check_prepared
 from anchorkit.plans import clinical as cl
 from anchorkit.plans import runs
 from anchorkit.plans.retail import clinical_views
-from anchorkit.session import scratch_path, shared_dir
+from anchorkit.session import scratch_path, shared_dir, staged
 from anchorkit.sources import ingest, sinks, tables
 
 
@@ -291,3 +293,176 @@ def test_missing_groups_and_labels_stay(spark):
     flat = df.select("g", F.lit(2.0).alias("y"), F.lit(2.0).alias("p"), F.lit(3.0).alias("q"))
     assert {r.R2 for r in me.regression_metrics(flat, [], "y", "p").collect()} == {1.0}
     assert {r.R2 for r in me.regression_metrics(flat, [], "y", "q").collect()} == {0.0}
+
+
+def test_pruned_neighbours(spark):
+    """Exact in every layout: many pivots, crowded shells, copies, a null class, a null vector, visits in chunks."""
+    from anchorkit.operators.neighbours import nearest_neighbours
+
+    rnd = random.Random(5)
+    points = []
+    for i in range(1200):
+        centre = rnd.randrange(6) * 10.0
+        x = [centre + rnd.random(), centre - rnd.random(), float(rnd.randrange(3))]
+        points.append((i, rnd.choice(["a", "a", "a", "b", None]), [7.0, 7.0, 7.0] if i % 10 == 0 else x))
+    points += [(5000 + i, "grid", [float(i % 8), float(i // 8 % 8), float(i // 64)]) for i in range(512)]
+    points += [(7000, "alone", [1.0, 1.0, 1.0]), (7001, "a", None)]
+    df = spark.createDataFrame(points, "id long, k string, x array<double>")
+    for block_rows in (8, 64, 4096):
+        found, stats = nearest_neighbours(df, key="id", label="k", vector="x", block_rows=block_rows)
+        got = {r.id: r.neighbour for r in found.collect()}
+        for i, k, x in points:
+            others = [(sum((b - a) ** 2 for a, b in zip(x, y)), j) for j, c, y in points if c == k and j != i and y is not None and x is not None]
+            assert got.get(i) == (min(others)[1] if others else None)
+        assert stats["visits"] <= stats["all_visits"]
+    assert nearest_neighbours(df.limit(0), key="id", label="k", vector="x")[0].count() == 0
+
+
+def test_pruning_on_clustered_points_grows_slowly(spark):
+    """Pairs compared in visits grow far slower than the square of the points on clustered data."""
+    from anchorkit.operators.neighbours import nearest_neighbours
+
+    def pairs(n):
+        rng = np.random.default_rng(n)
+        centres = rng.normal(0, 50, (12, 2))
+        x = centres[rng.integers(0, 12, n)] + rng.normal(0, 1, (n, 2))
+        df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "id long, k int, x array<double>")
+        stats = nearest_neighbours(df, key="id", label="k", vector="x", block_rows=128)[1]
+        print(n, stats)
+        return stats["visits"] * stats["points"] / stats["blocks"]
+
+    assert pairs(24_000) < 0.5 * 9 * pairs(8000)
+
+
+def test_oversample_fills_a_missing_class(spark):
+    pts = [(i, "a", [float(i), 0.0]) for i in range(20)] + [(100 + i, "b", [float(i), 1.0]) for i in range(5)]
+    pts += [(200 + i, None, [float(i), 2.0]) for i in range(6)]
+    df = spark.createDataFrame(pts, "id long, k string, x array<double>")
+    made = {r.k: r["count"] for r in oversample(df, key="id", label="k", vector="x").where("synthetic").groupBy("k").count().collect()}
+    assert made == {"b": 15, None: 14}
+
+
+def test_moments_merge_and_fit(spark):
+    from anchorkit.operators import least_squares as ls
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(1e4, 3, (400, 3))
+    x[:, 2] = x[:, 0] - x[:, 1]  # dependent columns have a least-norm fit
+    y = x[:, 0] * 2 - x[:, 1] + rng.normal(0, 0.1, 400)
+    one, rest = ls.Moments.of(np.column_stack([x, y])[:150]), ls.Moments.of(np.column_stack([x, y])[150:])
+    whole = one.plus(rest)
+    centred = x - x.mean(axis=0)
+    assert np.allclose(whole.co[:-1, :-1], centred.T @ centred, rtol=1e-9)
+    b = whole.fit()
+    assert np.abs(x @ b[:-1] + b[-1] - y).mean() < 0.1
+    ridge = whole.fit(50.0)
+    assert np.allclose(ridge[:-1], np.linalg.solve(centred.T @ centred + 50 * np.eye(3), centred.T @ (y - y.mean())))
+    rows = [(int(i % 4), float(t), *map(float, v)) for i, (v, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame([*rows, (1, None, 0.0, 0.0, 0.0)], "fold int, label double, a double, b double, c double").repartition(7)
+    data = mo.assembled(df, ["a", "b", "c"], ["label", "fold"])
+    scores = ls.fold_scores(data, [50.0])[0]
+    fold = np.arange(400) % 4
+    for f, found in enumerate(scores):
+        train, held = fold != f, fold == f
+        m, my = x[train].mean(axis=0), y[train].mean()
+        c = x[train] - m
+        b = np.linalg.solve(c.T @ c + 50 * np.eye(3), c.T @ (y[train] - my))
+        miss = my + (x[held] - m) @ b - y[held]
+        assert found["mae"] == pytest.approx(np.abs(miss).mean()) and found["r2"] == pytest.approx(1 - (miss ** 2).mean() / y[held].var())
+
+
+def test_refused_settings_are_told_and_failures_are_not_hidden(spark):
+    rows = spark.createDataFrame([(i, float(i % 2), float(i % 2 + i % 3)) for i in range(40)], "stay_id long, label double, x double")
+    data = mo.assembled(rows, ["x"], ["stay_id", "label"])
+    folds = mo.stage_folds(data, "stage1", folds=2)
+    refused = []
+    _, best = mo.fit_best("random_forest", "stage1", data, folds=folds, left_out=refused,
+                          grid={"n_estimators": [2], "max_depth": [2, 99], "min_samples_leaf": [1]})
+    assert best["max_depth"] == 2 and [p["max_depth"] for p in refused] == [99]
+    broken = data.withColumn("label", F.when(F.col("stay_id") == 7, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("label")))
+    with pytest.raises(Exception, match="lost"):
+        mo.fit_best("random_forest", "stage1", broken, folds=folds, shape=(40, 1.0, 1),
+                    grid={"n_estimators": [2, 3], "max_depth": [2], "min_samples_leaf": [1]})
+
+
+def test_margin_model_survives_saving(spark):
+    from anchorkit.operators.calibrate import MarginModel
+
+    rows = spark.createDataFrame([(i, float(i % 3), float(i % 3 == 1), float(i % 3 == 2)) for i in range(60)], "stay_id long, label double, a double, b double")
+    data = staged(mo.assembled(rows.coalesce(1), ["a", "b"], ["stay_id", "label"]))
+    model, point = mo.fit_best("svm", "stage1", data, grid={"C": [0.1]})
+    model = mo.with_probabilities("svm", model, data, point, calibrate=False)
+    path = scratch_path(spark, "margin-model")
+    mo.save_model(model, path)
+    both = [mo.class_predictions(m, data).orderBy("stay_id").collect() for m in (model, MarginModel.load(path))]
+    assert both[0] == both[1] and all(r.y_true == r.y_pred and r[f"p{r.y_true}"] > 0.4 for r in both[0])
+    forest, _ = mo.fit_best("random_forest", "stage1", data, grid={"n_estimators": [1], "max_depth": [2], "min_samples_leaf": [1]})
+    assert mo.with_probabilities("random_forest", forest, data, {}) is forest
+
+
+def test_unused_features_have_no_importance(spark):
+    rows = spark.createDataFrame([(i, float(i % 5), float(i % 5), float(i * 7 % 11)) for i in range(200)], "stay_id long, label double, a double, b double")
+    data = mo.assembled(rows, ["a", "b"], ["stay_id", "label"])
+    forest, _ = mo.fit_best("random_forest", "stage2", data, grid={"n_estimators": [1], "max_depth": [4], "min_samples_leaf": [1]})
+    found = {r.feature: (r.importance_mean, r.importance_std) for r in mo.permutation_importance(forest, data, ["a", "b"], repeats=3).collect()}
+    assert found["a"][0] > 0.5 and (found["b"] == (0.0, 0.0) or 1 in mo.used_features(forest, 2))
+    assert mo.used_features(forest, 2)[0] == 0
+
+
+def test_broken_append_leaves_the_old_table(spark, monkeypatch):
+    """Readers see a whole version at every step, also after a call that broke off before its manifest."""
+    from anchorkit.sources import files
+
+    target = scratch_path(spark, "items")
+    first = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "itemid int, v double")
+    ingest.append_items(first, target, [1, 2, 3])
+    old = ingest.read_items(spark, target)
+    fresh = spark.createDataFrame([(2, 9.0, "new")], "itemid int, v double, extra string")
+    with monkeypatch.context() as patch:
+        patch.setattr(files, "publish_text", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            ingest.append_items(fresh, target, [1, 2])
+    values = lambda df: sorted((r.itemid, r.v) for r in df.collect())
+    assert values(ingest.read_items(spark, target)) == [(1, 1.0), (2, 2.0), (3, 3.0)]
+    # another call publishes first: ours builds on it
+    real, raced = files.publish_text, []
+
+    def race(spark_, path, text):
+        if not raced:
+            raced.append(path)
+            ingest.append_items(spark.createDataFrame([(3, 30.0)], "itemid int, v double"), target, [3])
+        return real(spark_, path, text)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(files, "publish_text", race)
+        out = ingest.append_items(fresh, target, [1, 2])
+    assert values(out) == [(2, 9.0), (3, 30.0)] and values(old) == [(1, 1.0), (2, 2.0), (3, 3.0)]
+    assert ingest.drop_old_items(spark, target) >= 4 and values(ingest.read_items(spark, target)) == [(2, 9.0), (3, 30.0)]
+    emptied = ingest.append_items(first.limit(0), target, [2, 3])
+    assert emptied.count() == 0 and {"itemid", "v", "extra"} <= set(emptied.columns)
+
+
+def test_cached_table_follows_settings_and_files(spark):
+    path, source, built = scratch_path(spark, "cached"), scratch_path(spark, "source"), []
+
+    def table(settings):
+        data = spark.read.parquet(source)
+        return sinks.cached(spark, path, lambda: built.append(settings) or data.withColumn("s", F.lit(settings)), settings, [data]).count()
+
+    spark.range(5).write.parquet(source)
+    assert [table("a"), table("a"), table("b"), table("b")] == [5, 5, 5, 5] and built == ["a", "b"]
+    spark.range(3).write.mode("append").parquet(source)
+    assert table("b") == 8 and built == ["a", "b", "b"]
+
+
+def test_sparse_levels(spark):
+    from anchorkit.operators.encode import MOST_LEVELS, level_table, levels_of, sparse_one_hot
+
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "c"), (5, "b")], "id int, k string")
+    out = {r.id: (r.level, r.hot.size, list(r.hot.indices)) for r in sparse_one_hot(df, "k").collect()}
+    assert out == {1: (1, 2, [0]), 2: (0, 2, []), 3: (None, 2, []), 4: (2, 2, [1]), 5: (1, 2, [0])}
+    fitted = level_table(df.where("k <> 'c'"), "k")
+    out = {r.id: (r.level, list(r.hot.indices)) for r in sparse_one_hot(df, "k", fitted, drop_first=False).collect()}
+    assert out == {1: (1, [1]), 2: (0, [0]), 3: (None, []), 4: (None, []), 5: (1, [1])}
+    with pytest.raises(ValueError, match="sparse_one_hot"):
+        levels_of(spark.range(MOST_LEVELS + 5), "id")
