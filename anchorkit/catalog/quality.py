@@ -8,7 +8,7 @@ from anchorkit.catalog.cohorts import stored_cohort
 from anchorkit.catalog.registry import Register, clinical, round_doubles
 from anchorkit.operators import cohort as co
 from anchorkit.operators import quality as qu
-from anchorkit.operators.running import exact_quantiles
+from anchorkit.operators.quantiles import exact_quantiles
 from anchorkit.plans.retail import table
 
 REGISTER = Register()

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from anchorkit.functions import tails
 from anchorkit.functions.values import percent_change
-from anchorkit.operators.joins import balanced_join, measured_bytes, same_join
+from anchorkit.operators.joins import same_join
 from anchorkit.operators.metrics import CLASS_NAMES
-from anchorkit.operators.running import exact_quantiles, value_ranks
-from anchorkit.session import staged
+from anchorkit.operators.ranges import tie_ranks
+from anchorkit.operators.quantiles import exact_quantiles
+from anchorkit.operators.running import value_ranks
 
 # Metrics for which lower is better.
 LOWER_IS_BETTER = ["MAE", "RMSE", "MAPE", "MedianAE"]
@@ -147,19 +148,15 @@ def spearman(df: DataFrame, features: list[str], target: str, p_values: bool = F
     """(feature, spearman_r, n[, p_value]) of each numeric column against ``target``.
 
     Pairwise complete; features with fewer than 3 pairs or a single value are left out. Equal
-    pairs are counted first; average ranks of both sides are looked up by value, so neither a
-    frequent value nor a long feature lands in one task.
+    pairs are counted first, then sorted by each side in turn, where ranks are running totals over
+    ranges of rows: neither a frequent value nor a long feature lands in one task.
     """
     items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])
     long = df.select(F.col(target).cast("double").alias("y"), F.explode(items).alias("_i")).select("_i.*", "y")
     known = long.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    pairs = staged(known.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("w")), "pairs")
-    rank_of = lambda c: value_ranks(pairs, ["feature"], c, weight="w").select(
-        "feature", c, F.col("avg_rank").alias(f"r{c}"))
-    # A rank table has the distinct values plus one number each.
-    size_of = lambda c: measured_bytes(pairs.select("feature", c, F.lit(0.0).alias("_r")).distinct())
-    with_x = balanced_join(pairs, rank_of("x"), ["feature", "x"], right_bytes=size_of("x"))
-    ranked = balanced_join(with_x, rank_of("y"), ["feature", "y"], right_bytes=size_of("y"))
+    pairs = known.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    with_x = tie_ranks(pairs, ["feature"], "x", ["y"], "w", "rx")
+    ranked = tie_ranks(with_x, ["feature"], "y", ["x"], "w", "ry")
     w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
     sums = ranked.groupBy("feature").agg(
         F.sum(w).alias("n"), F.sum(w * rx * rx).alias("_xx"), F.sum(w * ry * ry).alias("_yy"),

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorkit.operators.joins import same_join
-from anchorkit.operators.running import exact_quantiles, value_ranks
+from anchorkit.operators.quantiles import exact_quantiles
+from anchorkit.operators.running import value_ranks
 
 # Class labels and their metric names.
 CLASS_NAMES = {0: "Short", 1: "Medium", 2: "Long"}

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from anchorkit.checks import align_columns, coerce_numeric, to_number
 from anchorkit.functions.values import hash_text
 from anchorkit.operators.joins import balanced_join
-from anchorkit.operators.running import exact_medians, hash_ranks
+from anchorkit.operators.quantiles import exact_medians
+from anchorkit.operators.running import hash_ranks
 from anchorkit.session import staged
 
 # Columns that are never features, and the features that are scaled.

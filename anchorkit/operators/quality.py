@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorkit.checks import to_number
-from anchorkit.operators.running import exact_medians
+from anchorkit.operators.quantiles import exact_medians
 
 LOGGER = logging.getLogger(__name__)
 

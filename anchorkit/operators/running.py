@@ -1,4 +1,4 @@
-"""Running totals, ranks and exact quantiles that no single task has to sort.
+"""Running totals and ranks that no single task has to sort.
 
 A window over a whole group puts that group into one task. Here the order key is cut into
 buckets by approximate quantiles over all groups; a window runs inside each (group, bucket) and
@@ -14,12 +14,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anchorkit.functions.values import hash_bucket, quoted, sql_literal
-from anchorkit.operators.joins import balanced_join, same_join
-from anchorkit.session import shuffle_width, staged
+from anchorkit.operators.joins import same_join
+from anchorkit.operators.quantiles import exact_medians, exact_quantiles  # noqa: F401  their old place
+from anchorkit.operators.ranges import range_totals
+from anchorkit.session import shuffle_width
 
 _MAX_BUCKETS = 4096
-#: Quantile bands expected to hold at most this many rows are ranked without further borders.
-SINGLE_BUCKET_ROWS = 1_000_000
 
 
 def order_borders(df: DataFrame, order: str, buckets: int | None = None) -> list:
@@ -81,15 +81,12 @@ def value_ranks(df: DataFrame, by: list[str], value: str, counts: list[Column] |
     """One row per distinct value with its count ``n`` and average rank ``avg_rank``.
 
     Equal values are counted on the map side first, so a value holding a third of all rows
-    travels as one partial row per task. ``counts`` adds aggregates of the tied rows; ``weight``
+    travels as one partial row per task; the counts are then added up over ranges of the values. ``counts`` adds aggregates of the tied rows; ``weight``
     names a column saying how many rows one row stands for.
     """
     size = F.sum(weight) if weight else F.count(F.lit(1))
-    known = df.where(F.col(value).isNotNull())
-    # Borders come from the rows themselves: that pass needs no shuffle.
-    bucket = bucket_of(value, order_borders(known, value))
-    tied = known.groupBy(*by, value).agg(size.alias("n"), *(counts or []))
-    ranked = running_total(tied, by, value, "n", "_upto", bucket)
+    tied = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(size.alias("n"), *(counts or []))
+    ranked = range_totals(tied, by, [value], "n", "_upto")
     return ranked.withColumn("avg_rank", F.col("_upto") - (F.col("n") - 1) / 2.0).drop("_upto")
 
 
@@ -102,63 +99,3 @@ def hash_ranks(df: DataFrame, by: list[str], hashed: str, ties: list[str], out:
     # four buckets per shuffle partition, sixteen values a digit
     digits = max(3, -(-(4 * shuffle_width(df.sparkSession) - 1).bit_length() // 4))
     return running_total(weighted, by, hashed, "_one", out, hash_bucket(F.col(hashed), digits), ties).drop("_one")
-
-
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None) -> DataFrame:
-    """Exact quantiles with linear interpolation: rows (``by``, feature, prob, value, n).
-
-    A first pass takes quantile sketches a little below and above each wanted position; the
-    second pass counts what lies below that narrow band and ranks only the rows inside it. Bands
-    are a written table with one row per group, column and probability, so there may be any number
-    of groups; a NULL group is a group. A column without any value gives no row.
-    """
-    by = list(by or [])
-    margin, accuracy = 0.002, 10_000
-    items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
-    long = df.select(*by, F.explode(items).alias("_i")).select(*by, "_i.feature", "_i.value")
-    long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    edges = [min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)]
-    sketch = long.groupBy(*by, "feature").agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("value", edges, accuracy).alias("_edges"),
-        F.min("value").alias("_low"), F.max("value").alias("_high"),
-    )
-    keys = [*by, "feature"]
-    # Few rows: the margin would be under one rank, so the band is everything.
-    few = F.col("n") < 10 / margin
-    bands = []
-    for i, p in enumerate(probs):
-        at = (F.col("n") - 1) * F.lit(float(p))
-        first = F.floor(at)
-        side = lambda k, end, open_: F.when(few | F.lit(open_), F.col(end)).otherwise(F.get("_edges", F.lit(k)))
-        bands.append(F.struct(
-            F.lit(float(p)).alias("prob"), first.alias("_first"), F.least(first + 1, F.col("n") - 1).alias("_next"),
-            (at - first).alias("_part"), side(2 * i, "_low", edges[2 * i] <= 0.0).alias("_lo"),
-            side(2 * i + 1, "_high", edges[2 * i + 1] >= 1.0).alias("_hi")))
-    band = staged(sketch.select(*keys, "n", F.inline(F.array(*bands))), "bands")
-    within = balanced_join(long, band, keys, match_nulls=True).where(F.col("value") <= F.col("_hi")).select(
-        *keys, "prob", F.when(F.col("value") >= F.col("_lo"), F.col("value")).alias("_v")
-    )
-    counts = within.groupBy(*keys, "prob", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    # Rows below the band share one NULL key, which sorts first and so only shifts the ranks.
-    expected = (band.agg(F.max("n")).first()[0] or 0) * 2 * margin
-    spread = F.lit(0)
-    if expected > SINGLE_BUCKET_ROWS:
-        borders = order_borders(counts.where(F.col("_v").isNotNull()), "_v")
-        spread = F.when(F.col("_v").isNull(), -1).otherwise(bucket_of("_v", borders))
-    ranked = running_total(counts, [*keys, "prob"], "_v", "_c", "_upto", spread)
-    holds = lambda at: (F.col("_upto") - F.col("_c") <= F.col(at)) & (F.col(at) < F.col("_upto"))
-    picked = (
-        balanced_join(ranked, band, [*keys, "prob"], match_nulls=True)
-        .groupBy(*keys, "prob", "n", "_part")
-        .agg(F.max(F.when(holds("_first"), F.col("_v"))).alias("_a"),
-             F.max(F.when(holds("_next"), F.col("_v"))).alias("_b"))
-    )
-    return picked.select(
-        *keys, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias("value"), "n"
-    )
-
-
-def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """Median of each column as a Python dict, one entry per column (None when all missing)."""
-    found = {r["feature"]: r["value"] for r in exact_quantiles(df, columns, [0.5]).collect()}
-    return {c: found.get(c) for c in columns}

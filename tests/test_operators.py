@@ -122,15 +122,54 @@ def test_exact_quantiles_narrow_band_and_hot_value(spark):
     assert len(got) == 6
 
 
-def test_exact_quantiles_bucketed_band(spark, monkeypatch):
-    """The band itself is ranked in buckets when it is large."""
-    df = spark.range(3000).select((F.col("id") * 7 % 3001).cast("double").alias("x"))
-    real = ru.order_borders
-    calls = []
-    monkeypatch.setattr(ru, "order_borders", lambda *a, **k: calls.append(1) or real(*a, **k))
-    monkeypatch.setattr(ru, "SINGLE_BUCKET_ROWS", 0)
-    got = ru.exact_quantiles(df, ["x"], [0.5]).first().value
-    assert calls and got == np.quantile([i * 7 % 3001 for i in range(3000)], 0.5)
+@pytest.mark.parametrize("sent", [0, 50, 10_000])
+def test_exact_quantiles_by_bits(spark, monkeypatch, sent):
+    """Large groups are counted bit by bit; how many values a pass may send decides the number of passes, not the result."""
+    import anchorkit.operators.quantiles as qu
+
+    monkeypatch.setattr(qu, "GATHERED_ROWS", 500)
+    monkeypatch.setattr(qu, "SENT_VALUES", sent)
+    df = spark.range(9000).select(
+        F.when(F.col("id") % 9 == 0, None).when(F.col("id") % 7 == 0, "b").when(F.col("id") < 200, "few").otherwise("a").alias("g"),
+        F.when(F.col("id") % 3 == 0, -0.25).otherwise((F.col("id") * 7 % 3001 - 1500) / 7.0).alias("x"),
+        F.when(F.col("id") % 5 == 0, float("nan")).when(F.col("id") % 4 == 0, None).otherwise(F.exp(F.col("id") % 50 - 20.0)).alias("y"),
+        F.lit(None).cast("double").alias("z"), F.when(F.col("id") % 2 == 0, 0.0).otherwise(-0.0).alias("zero"))
+    data = df.toPandas()
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {(r.g, r.feature, r.prob): (r.value, r.n) for r in ru.exact_quantiles(df, ["x", "y", "z", "zero"], probs, ["g"]).collect()}
+    assert len(got) == 4 * 3 * 5
+    for (g, c, p), (v, n) in got.items():
+        known = data[c][data.g.isna() if g is None else data.g == g].dropna()
+        assert n == len(known) and v == pytest.approx(np.quantile(known, p), abs=1e-12)
+    whole = {(r.feature, r.prob): r.value for r in ru.exact_quantiles(df, ["x", "y", "z"], probs).collect()}
+    assert whole == {(c, p): pytest.approx(np.quantile(data[c].dropna(), p), abs=1e-12) for c in ("x", "y") for p in probs}
+
+
+def test_ranks_over_ranges(spark):
+    """Hot values, one hot group, null groups and NaN, over many tasks."""
+    from anchorkit.operators.ranges import range_totals, tie_ranks
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.choice([1.0, 2.0, 2.0, 2.0, 5.0, float("nan"), -0.0, 0.0]), i, rnd.randrange(1, 4)) for i in range(3000)]
+    rows += [("hot", 7.0, i, 1) for i in range(2000)] + [("one", 1.0, 0, 5)]
+    df = spark.createDataFrame(rows, "g string, v double, i long, w long").repartition(5)
+    place = lambda v: (v != v, v)
+    got = {(r.g, r.i): r.rank for r in tie_ranks(df, ["g"], "v", ["i"], "w", "rank").collect()}
+    for g in ("a", "b", None, "hot", "one"):
+        own = [r for r in rows if r[0] == g]
+        for _, v, i, _ in own:
+            less = sum(w for _, x, _, w in own if place(x) < place(v)) if v == v else sum(w for _, x, _, w in own if x == x)
+            tie = sum(w for _, x, _, w in own if x == v or (x != x and v != v))
+            assert got[g, i] == less + (tie + 1) / 2
+    got = {(r.g, r.i): r.upto for r in range_totals(df, ["g"], ["i"], "w", "upto").collect()}
+    for g in ("a", "b", None, "hot", "one"):
+        total = 0
+        for _, _, i, w in sorted((r for r in rows if r[0] == g), key=lambda r: r[2]):
+            total += w
+            assert got[g, i] == total
+    assert [r.upto for r in range_totals(df.where("g = 'one'"), [], ["i"], "w", "upto").collect()] == [5]
+    assert tie_ranks(df.limit(0), ["g"], "v", ["i"], "w", "rank").count() == 0
+    assert range_totals(df.limit(0), [], ["i"], "w", "upto").count() == 0
 
 
 def test_quantiles_of_many_and_missing_groups(spark):
