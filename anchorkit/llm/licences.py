@@ -17,8 +17,6 @@ from anchorkit.operators.joins import balanced_join
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Typographic signs read as punctuation beside the ASCII ones.
 SIGNS = "‘’“”–—•… «»"
-#: A line that may state who holds the rights; the check SQL cuts by it. The scan cuts by :data:`HOLDER_LINE`.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: Letters and digits: ASCII ones in lower case, and the blocks of other scripts.
 LETTERS = "a-z0-9\u00c0-\u1fff\u2c00-\U0010ffff"
 #: Words after "copyright" or "(c)" in the body of a licence, where no holder is named.

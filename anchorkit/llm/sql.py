@@ -9,10 +9,25 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _states_holder() -> str:
+    """Whether a line ``l`` in lower case states who holds the rights: the rule of the scan, told by the parts of a line."""
+    letters = licences.LETTERS
+    after = lambda mark: f"regexp_extract(l, {quoted(f'^[^a-z0-9]*{mark}(.*)$')}, 1)"
+    begins = lambda rest, words: f"regexp_matches({rest}, {quoted(f'^[^{letters}]*({words})([^{letters}]|$)')})"
+    body = "|".join(licences._BODY)
+    word, sign = after("copyright(?:s|ed)?"), after(r"\(c\)")
+    plain = quoted("^[^a-z0-9]*copyright(s|ed)?([^a-z0-9]|$)")
+    return (
+        f"(regexp_matches(l, '^[^a-z0-9]*(©|all rights reserved)')"
+        f" OR (regexp_matches(l, {plain}) AND regexp_matches({word}, {quoted(f'[©{letters}]')}) AND NOT {begins(word, body)})"
+        f" OR (regexp_matches(l, {quoted('^[^a-z0-9]*' + chr(92) + '(c' + chr(92) + ')')}) AND (regexp_matches({sign}, '(19|20)[0-9]{{2}}([^0-9]|$)')"
+        f" OR (regexp_matches({sign}, {quoted(f'[{letters}]')}) AND NOT {begins(sign, body)} AND NOT {begins(sign, '|'.join(licences._ITEM))}))))")
+
+
 def _canonical(text: str) -> str:
     low = f"lower(coalesce({text}, ''))"
-    wide = f"regexp_replace(regexp_replace({low}, {quoted(licences.COPYRIGHT_LINE)}, chr(10), 'g'), " \
-           f"{quoted(f'[^{licences.LETTERS}]+')}, '  ', 'g')"
+    lines = f"array_to_string(list_filter(string_split({low}, chr(10)), lambda l: NOT {_states_holder()}), chr(10))"
+    wide = f"regexp_replace({lines}, {quoted(f'[^{licences.LETTERS}]+')}, '  ', 'g')"
     wide = f"' ' || trim({wide}, ' ') || ' '"
     for other, word in licences.SPELLINGS:
         wide = f"replace({wide}, {quoted(' ' + '  '.join(other.split()) + ' ')}, {quoted(' ' + '  '.join(word.split()) + ' ')})"
