@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,6 +92,8 @@ class Pieces:
                 self._shown.append(bytes([int(p.piece[3:5], 16)]))
             else:
                 self._shown.append(spec.trainer_spec.unk_surface.encode() if i == self._unknown else b"")
+        self._table = pa.array(self._shown, pa.binary())
+        self._number_pairs()
         self._bytes = frozenset(self._byte.values())
         self._fallback = spec.trainer_spec.byte_fallback
         # a word mark after another character ends a segment if no piece holds such a pair
@@ -137,19 +140,61 @@ class Pieces:
             end = source.pop()
         return "".join(out), np.array([*source, end], np.int64)
 
-    def _merge_short(self, parts: list[str]) -> list[str]:
-        """Merges over a plain list of scores; linear in the length for every merge."""
-        get, low = self._score.get, float("-inf")
-        scores = [get(a + b, low) for a, b in zip(parts, parts[1:])]
-        while scores and (best := max(scores)) != low:
-            i = scores.index(best)
-            joined = parts[i] = parts[i] + parts.pop(i + 1)
-            del scores[i]
-            if i < len(scores):
-                scores[i] = get(joined + parts[i + 1], low)
+    def _number_pairs(self) -> None:
+        """Numbers for pieces and their characters, and for every pair that makes a piece: its place by score and its number.
+
+        Merging numbers needs no strings. Of pieces with one score the leftmost comes first, which numbers
+        don't say: a segment that comes to one of them is merged as strings.
+        """
+        self._pair: dict[int, int] = {}
+        self._number: dict[str, int] = {}
+        self._packed: list[bytes] = []
+        merged = [p for p in self._score if len(p) > 1]
+        times = Counter(self._score[p] for p in merged)
+        self._shared: set[int] = set()
+        for piece in [*self._id, *{c for p in self._id for c in p if c not in self._id}]:
+            self._number[piece] = len(self._packed)
+            self._packed.append(struct.pack("2i", self._id[piece], len(piece)) if piece in self._id else self._unpieced(piece))
+        self._base = len(self._packed) + 1
+        number = self._number.get
+        for place, piece in enumerate(sorted(merged, key=self._score.get, reverse=True)):
+            value = place << 32 | self._number[piece]
+            if times[self._score[piece]] > 1:
+                self._shared.add(value)
+            for cut in range(1, len(piece)):
+                a, b = number(piece[:cut]), number(piece[cut:])
+                if a is not None and b is not None:
+                    self._pair[a * self._base + b] = value
+
+    def _unpieced(self, part: str) -> bytes:
+        """(id, number of characters) of a character that is no piece: its bytes, the last of which holds it, or the unknown id."""
+        if not self._fallback:
+            return struct.pack("2i", self._unknown, len(part))
+        pairs = [x for b in part.encode("utf-8", "surrogatepass") for x in (self._byte[b], 0)]
+        pairs[-1] = len(part)
+        return struct.pack(f"{len(pairs)}i", *pairs)
+
+    def _encode_short(self, segment: str) -> bytes | None:
+        """As :meth:`_encode`, over a plain list of numbers, linear in the length for every merge; None if numbers don't decide."""
+        get, base, none, shared = self._pair.get, self._base, 1 << 62, self._shared
+        number = self._number
+        try:
+            at = [number[c] for c in segment]
+        except KeyError:  # a character of no piece
+            return None
+        values = [get(a * base + b, none) for a, b in zip(at, at[1:])]
+        while values and (best := min(values)) != none:
+            if best in shared:
+                return None
+            i = values.index(best)
+            joined = at[i] = best & 0xFFFFFFFF
+            del at[i + 1], values[i]
+            if i < len(values):
+                values[i] = get(joined * base + at[i + 1], none)
             if i:
-                scores[i - 1] = get(parts[i - 1] + joined, low)
-        return parts
+                values[i - 1] = get(at[i - 1] * base + joined, none)
+        packed = self._packed
+        return b"".join([packed[x] for x in at])
 
     def _merge(self, parts: list[str]) -> list[str]:
         """The same over a heap, for long segments."""
@@ -179,19 +224,14 @@ class Pieces:
 
         A character that is no piece stands for its bytes; the last of them holds the character.
         """
-        parts = self._merge_short(list(segment)) if len(segment) <= 64 else self._merge(list(segment))
-        pairs: list[int] = []
-        for part in parts:
-            if not part:
-                continue
-            number = self._id.get(part)
-            if number is None and self._fallback:
-                for b in part.encode("utf-8", "surrogatepass"):
-                    pairs += (self._byte[b], 0)
-                pairs[-1] = len(part)
-            else:
-                pairs += (self._unknown if number is None else number, len(part))
-        return struct.pack(f"{len(pairs)}i", *pairs)
+        if len(segment) <= 64 and (short := self._encode_short(segment)) is not None:
+            return short
+        found = []
+        for part in self._merge(list(segment)):
+            if part:
+                number = self._id.get(part)
+                found.append(self._unpieced(part) if number is None else struct.pack("2i", number, len(part)))
+        return b"".join(found)
 
     def _segment(self, segment: str) -> bytes:
         found = self._young.get(segment)
@@ -226,16 +266,24 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``: control ids show nothing, marks are spaces, the first piece loses its leading one."""
-        shown = self._shown
-        parts = [shown[i] for i in ids.tolist()]
-        data = b"".join(parts)
-        try:
-            text = data.decode("utf-8")
-        except UnicodeDecodeError:  # byte pieces that are no UTF-8: each wrong byte shows the replacement sign
-            text = "".join(self._runs(ids.tolist()))
-        first = next((i for i in ids.tolist() if shown[i] or i in self._bytes), None)
-        lead = (self._prefix or self._squeeze) and first is not None and first not in self._bytes and first != self._unknown
-        return text[1:] if lead and text.startswith(" ") else text
+        return self.decode_all(ids, np.array([0, len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """:meth:`decode` of the runs of ``ids`` between ``bounds``: what all ids show is put together at once."""
+        shown = self._table.take(pa.array(ids, pa.int32()))
+        offsets = np.frombuffer(shown.buffers()[1], np.int32)[:len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+        data = memoryview(shown.buffers()[2]) if len(ids) and shown.buffers()[2] is not None else memoryview(b"")
+        out = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            try:
+                text = str(data[offsets[a]:offsets[b]], "utf-8")
+            except UnicodeDecodeError:  # byte pieces that are no UTF-8: each wrong byte shows the replacement sign
+                text = "".join(self._runs(ids[a:b].tolist()))
+            if (self._prefix or self._squeeze) and text.startswith(" "):
+                first = next((i for i in ids[a:b].tolist() if self._shown[i] or i in self._bytes), None)
+                text = text[1:] if first is not None and first not in self._bytes and first != self._unknown else text
+            out.append(text)
+        return out
 
     def _runs(self, ids: list[int]) -> Iterator[str]:
         run = b""
@@ -286,14 +334,15 @@ def encode_decode(df: DataFrame, model: str, text: str = "text", to: str = "piec
             if not len(batch):
                 yield pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("decoded", pa.string())]))
             for part in slices(batch):
-                ids, ends, shown = [], [], []
+                ids, ends = [], []
                 for x in part.to_pylist():
                     found, at = pieces.encode(x or "")
                     if end_id:
                         found, at = np.append(found, pieces.end_id), np.append(at, at[-1] if len(at) else 0)
                     ids.append(found)
                     ends.append(at)
-                    shown.append(pieces.decode(found))
-                yield pa.StructArray.from_arrays([_lists(ids), _lists(ends), pa.array(shown, pa.string())], ["ids", "ends", "decoded"])
+                lists = _lists(ids)
+                shown = pieces.decode_all(lists.values.to_numpy(), np.frombuffer(lists.buffers()[1], np.int32))
+                yield pa.StructArray.from_arrays([lists, _lists(ends), pa.array(shown, pa.string())], ["ids", "ends", "decoded"])
 
     return df.withColumn(to, run(named(df, text)))
