@@ -1,7 +1,9 @@
 """Benchmark passages in training texts, found by spaced seeds and verified with substitutions allowed.
 
-A seed is a fixed mask over 12 neighbouring tokens; the tokens at its ones are hashed and the others
-ignored, so a changed word breaks only the windows where it stands under a one. Equal hashes of a
+A seed is a fixed mask over 8 or 9 neighbouring tokens; the tokens at its ones are hashed and the others
+ignored, so a changed word breaks only the windows where it stands under a one. The masks were chosen
+together so that whatever tokens of an acceptable stretch are changed, one of them still fits (all
+patterns were tried up to the length from which a part of the stretch is itself acceptable). Equal hashes of a
 document and a benchmark item give a diagonal (how the two are laid on each other); tokens around the
 hit are compared along it, and a stretch that is long and alike enough is an overlap. Around its hits a
 document keeps as many tokens as the longest item has, so an item is always compared as a whole.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +31,9 @@ from anchorkit.llm.word_arrays import indices, word_arrays
 from anchorkit.operators.joins import balanced_join
 from anchorkit.session import staged
 
-MASKS = ("110100110101", "101101001011", "111000101011", "110110010011")
+MASKS = ("111001101", "10111101", "100011111", "111100101", "101100111")
 SPAN = 12
-#: Items of fewer tokens than SPAN are looked up as a whole; under this number they say too little.
+#: Items of fewer tokens than SPAN are looked up as a whole, without a change; under this number they say too little.
 SHORTEST = 5
 #: An overlap has so many equal tokens (or 4 of 5 of a shorter item's) and this share of them.
 MIN_EQUAL, MIN_SHARE = 13, 0.8
@@ -48,16 +51,23 @@ _SEEDS = T.StructType([
     T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("hash", T.ArrayType(T.LongType()))])
 
 
+@lru_cache(1 << 17)
+def _token_hash(word: bytes) -> int:
+    """Hash of a word in lower case without the signs around it, 0 for signs only."""
+    token = word.decode("utf-8", "replace").lower()
+    if not (token[0].isalnum() and token[-1].isalnum()):
+        first = next((i for i, x in enumerate(token) if x.isalnum()), len(token))
+        token = token[first:len(token) - next((j for j, x in enumerate(reversed(token)) if x.isalnum()), 0)]
+    return xxhash.xxh64_intdigest(token.encode()) | 1 if token else 0
+
+
 def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (uint64) of the tokens of all texts, and the bounds of each text.
 
     A token is a word in lower case without the signs around it; a word of signs only is no token.
     """
     words, bounds = word_arrays(texts, lower=False)
-    plain = [w.decode("utf-8", "replace").lower() for w in words.dictionary.to_pylist()]
-    ends = [(next((i for i, x in enumerate(w) if x.isalnum()), len(w)), w) for w in plain]
-    ends = [w[i:len(w) - next((j for j, x in enumerate(reversed(w)) if x.isalnum()), 0)] for i, w in ends]
-    known = np.array([xxhash.xxh64_intdigest(w.encode()) | 1 if w else 0 for w in ends], np.uint64)
+    known = np.array([_token_hash(w) for w in words.dictionary.to_pylist()], np.uint64)
     found = known[indices(words)] if len(words) else np.zeros(0, np.uint64)
     kept = found != 0
     return found[kept], np.concatenate([[0], np.cumsum(kept)])[bounds]
