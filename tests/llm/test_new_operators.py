@@ -266,3 +266,98 @@ def test_codes_of_few_rows_and_clashes(spark):
     assert vector_codes.product_codes(only_null)[0].count() == 0
     with pytest.raises(Exception, match="too large"):
         vector_codes.product_codes(df.withColumn("embedding", F.array_repeat(F.lit(1e30), 16)))[0].collect()
+
+
+# ---- spaced seeds
+
+def test_masks_miss_no_acceptable_pattern_of_changes():
+    """Every pattern of changed tokens that the rule accepts leaves a window of some mask untouched; all are tried."""
+    from itertools import combinations
+
+    from anchorkit.llm.decontamination import MASKS, MIN_EQUAL, SPAN
+
+    for n in range(SPAN, 24):
+        windows = [sum(1 << (at + i) for i, sign in enumerate(m) if sign == "1") for m in MASKS for at in range(n - len(m) + 1)]
+        for changed in range(1, n // 5 + 1):
+            if n - changed < min(MIN_EQUAL, -(-4 * n // 5)):
+                continue
+            for places in combinations(range(n), changed):
+                gone = sum(1 << p for p in places)
+                assert any(not w & gone for w in windows), (n, places)
+    # a longer stretch with a fifth changed has a part of 12 tokens with 2, or of 15 with 3 changes at most
+    for n in range(24, 200):
+        changed = n // 5
+        parts = [n // k for k in range(2, n // 12 + 1) if n // k >= 12]
+        assert any(changed // (n // size) <= (2 if size < 15 else 3) for size in parts)
+
+
+# ---- earlier queries, through their own columns
+
+@pytest.fixture(scope="module")
+def small_documents(spark, tmp_path_factory):
+    rng = np.random.default_rng(6)
+    words = ["alpha", "Été", "日本語", "😀", "don't", "x" * 40, "can", "<|endoftext|>", "▁", "  ", "\n\n", "12345"]
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(0, 60))))) for i in range(40)]
+    rows += [(40, None), (41, ""), (42, " \n"), (42, " \n"), (None, "no key"), (43, "word " * 3000), (44, "é" * 70 + " tail")]
+    folder = tmp_path_factory.mktemp("docs")
+    return written(spark, folder, "documents", rows, "doc_id long, text string"), rows
+
+
+def test_token_query_against_the_library(spark, small_documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    at, rows = small_documents
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [(k, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for k, t in rows]
+    got = [tuple(r) for r in queries.op3_token_counts(spark, at).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()]
+    assert sorted(got, key=key) == sorted(((*w, w[2] > 1024) for w in want), key=key)
+
+
+def test_piece_query_against_the_library(spark, small_documents):
+    import public_tokenizers
+    import sentencepiece
+
+    at, rows = small_documents
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for k, t in rows:
+        ids = library.encode(t or "", add_bos=False, add_eos=True)
+        want.append((k, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids))))
+    got = [tuple(r) for r in queries.op9_piece_spans(spark, at).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_shard_query_columns(spark, small_documents):
+    at, rows = small_documents
+    out = queries.op10_exact_shards(spark, at).collect()
+    own = lambda t: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in out), key=key) == sorted(((k, *own(t)) for k, t in rows), key=key)
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes = [len(slots[s]) for s in range(16)]
+    assert max(sizes) - min(sizes) <= 1 and {r["law"] for r in out} == {"rows"} and {r["grown_shard"] for r in out} == {None}
+
+
+def test_short_merges_equal_the_library_on_rare_segments(spark):
+    """Segments of strange characters, long runs of marks and pieces of one score leave the numbers' way."""
+    import public_tokenizers
+    import sentencepiece
+
+    from anchorkit.llm.piece_spans import Pieces
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        own = Pieces(f.read())
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyzéèçü") + ["▁", "ก", "中", "\n", "-", "1"]
+    texts = ["".join(rng.choice(letters, int(rng.integers(1, 90)))) for _ in range(2000)]
+    texts += ["▁" * n for n in range(1, 40)] + [" " * n + "x" for n in range(40)] + ["a" * n for n in range(1, 130)]
+    for t in texts:
+        ids, _ = own.encode(t)
+        assert ids.tolist() == library.encode(t)
+        assert own.decode(ids) == library.decode(ids.tolist())
