@@ -43,9 +43,9 @@ from anchorkit.session import scratch_path, staged
 
 DISCOUNT = 0.75
 #: Tokens per shard of a level, and words per shard of the first.
-SHARD_TOKENS, SHARD_WORDS = 2_000_000, 2_000_000
+SHARD_TOKENS, SHARD_WORDS = 1_000_000, 2_000_000
 #: Triples gathered before a task hands them on.
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 #: Bytes of text handled at once.
 SLICE = 2 << 20
 #: Entries looked up at once while a level is built.
@@ -91,16 +91,17 @@ def _blob(arrays: dict[str, np.ndarray]) -> bytes:
     return out.getvalue()
 
 
-def _arrays(data: bytes, kinds: dict[str, type]) -> dict[str, np.ndarray]:
-    out, at = {}, 0
+def _array(data: pa.Buffer, kinds: dict[str, type], name: str) -> np.ndarray:
+    """One array of a blob; the others stay packed."""
+    at = 0
     for k, kind in kinds.items():
-        size, packed = (int.from_bytes(data[at + i:at + i + 8], "little") for i in (0, 8))
-        raw = pa.decompress(data[at + 16:at + 16 + packed], size, "zstd", asbytes=True) if size else b""
-        width = np.dtype(kind).itemsize
-        v = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
-        out[k] = np.cumsum(v, dtype=kind) if k == "context" else v
+        size, packed = np.frombuffer(data, np.int64, 2, at).tolist()
+        if k == name:
+            raw = pa.decompress(data.slice(at + 16, packed), size, "zstd", asbytes=True) if size else b""
+            v = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+            return np.cumsum(v, dtype=kind) if k == "context" else v
         at += 16 + packed
-    return out
+    raise KeyError(name)
 
 
 # ---- words
@@ -206,17 +207,29 @@ def _ordered(key: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     key = key[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
-    return order, key[new], (np.cumsum(new).astype(np.uint64) - np.uint64(1)) << np.uint64(32) | word[order].astype(np.uint64)
+    keys = key[new]
+    del key
+    both = np.cumsum(new, dtype=np.uint64)
+    both -= np.uint64(1)
+    both <<= np.uint64(32)
+    both |= word[order]
+    return order, keys, both
 
 
 def _summed(key: np.ndarray, word: np.ndarray, count: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Equal (key, word) as one with the sum of counts (None: one each), sorted."""
     order, keys, both = _ordered(key, word)
+    del key, word
     if count is None:
+        del order
         both.sort()
     else:
         inner = np.argsort(both)
-        both, count = both[inner], count[order][inner]
+        both = both[inner]
+        order = order[inner]
+        del inner
+        count = count[order]
+        del order
     new = np.ones(len(both), bool)
     new[1:] = both[1:] != both[:-1]
     at = np.flatnonzero(new)
@@ -274,9 +287,9 @@ def _row(shard: int, kind: str, arrays: dict[str, np.ndarray]) -> pa.RecordBatch
 
 def _joined(blobs: list, kinds: dict[str, type]) -> dict[str, np.ndarray]:
     """Rows of all blobs: contexts repeated for their entries."""
-    parts = [_arrays(b.as_py(), kinds) for b in blobs]
-    out = {k: np.concatenate([p[k] for p in parts]) for k in kinds if k not in ("context", "size")}
-    out["context"] = np.concatenate([np.repeat(p["context"], p["size"]) for p in parts])
+    held = [b.as_buffer() for b in blobs]
+    out = {k: np.concatenate([_array(b, kinds, k) for b in held]) for k in kinds if k not in ("context", "size")}
+    out["context"] = np.concatenate([np.repeat(_array(b, kinds, "context"), _array(b, kinds, "size")) for b in held])
     return out
 
 
@@ -285,27 +298,27 @@ def _sum_triples(model: Model):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         rows = _joined(list(table["data"]), _TRIPLES)
-        context, word, count = _summed(rows["context"], rows["word"], rows["count"].astype(np.uint64))
-        del rows
+        context, word, count = _summed(*(rows.pop(k) for k in ("context", "word")), rows.pop("count").astype(np.uint64))
         pairs, sizes = _by_context(context)
+        del context
         at = np.cumsum(sizes) - sizes
         follows = word > 0
         total = np.add.reduceat(count, at) if len(at) else count
         followed = np.add.reduceat(np.where(follows, count, 0), at) if len(at) else count
-        kinds = np.add.reduceat(follows.astype(np.uint64), at) if len(at) else count
-        out = []
-        owner, sizes = np.repeat(np.arange(len(pairs)), sizes)[follows], None
-        kept, n = _by_context(owner)
-        out.append(_row(shard, "triples", {"context": pairs[kept], "size": n.astype(np.uint32), "word": word[follows] - 1,
-                                           "count": np.minimum(count[follows], 2**32 - 1).astype(np.uint32)}))
-        first = pairs >> np.uint64(32)
-        target = _spread(first, model.shards)
+        kinds = np.add.reduceat(follows, at, dtype=np.uint64) if len(at) else count
+        del at, sizes
+        word, count = word[follows] - 1, np.minimum(count[follows], 2**32 - 1).astype(np.uint32)
+        del follows
+        kept = np.flatnonzero(kinds)
+        out = [_row(shard, "triples", {"context": pairs[kept], "size": kinds[kept].astype(np.uint32), "word": word, "count": count})]
+        del word, count, kept
+        target = _spread(pairs >> np.uint64(32), model.shards)
         for s in np.unique(target).tolist():
             own = np.flatnonzero(target == s)
-            firsts, n = _by_context(first[own])
+            firsts, n = _by_context(pairs[own] >> np.uint64(32))
             out.append(_row(s, "pairs", {"context": firsts, "size": n.astype(np.uint32), "word": (pairs[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32),
                                          "count": total[own], "follow": followed[own], "kinds": kinds[own]}))
-        del context, word, count, owner, follows
+        del pairs, total, followed, kinds, target
         tidy()
         return pa.Table.from_batches(out)
     return run
@@ -462,32 +475,51 @@ class Singles:
         return out
 
 
+def _blocks(context: np.ndarray) -> Iterator[slice]:
+    """Runs of sorted contexts of about BLOCK entries; no context is cut."""
+    at = 0
+    while at < len(context):
+        to = int(np.searchsorted(context, context[min(at + BLOCK, len(context)) - 1], side="right"))
+        yield slice(at, to)
+        at = to
+
+
 def _build_triples(model: Model):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        rows = _joined(list(table["data"]), _TRIPLES)
-        context, word, count = rows["context"], rows["word"].astype(np.int64), rows["count"].astype(np.float64)
-        del rows
+    """Levels of the shards given as rows: one row has all triples of a shard, sorted by context."""
+    def build(shard: int, data: pa.Scalar) -> int:
+        rows = _joined([data], _TRIPLES)
+        context, word, count = rows.pop("context"), rows.pop("word"), rows.pop("count")
         lower, place = np.empty(len(word)), np.empty(len(word), np.int64)
-        for at in range(0, len(word), BLOCK):
-            own = slice(at, at + BLOCK)
+        for own in _blocks(context):
+            last = word[own].astype(np.int64)
             second = (context[own] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            single = np.log10(_add_one(_loaded(Singles, model).counts(word[own]), model))
-            lower[own], place[own] = _loaded(Trie, model).pairs(second, word[own], single)
-        order, _, both = _ordered(context, place)
-        order = order[np.argsort(both)]
-        context, place, count, lower = context[order], place[order], count[order], lower[order]
+            single = np.log10(_add_one(_loaded(Singles, model).counts(last), model))
+            low, at = _loaded(Trie, model).pairs(second, last, single)
+            order = np.lexsort((at, context[own]))
+            lower[own], place[own], count[own] = low[order], at[order], count[own][order]
+        del word
         pairs, sizes = _by_context(context)
-        total = np.add.reduceat(count, np.cumsum(sizes) - sizes)
+        del context
+        p = count.astype(np.float64)
+        total = np.add.reduceat(p, np.cumsum(sizes) - sizes)
         weight = DISCOUNT * sizes / total
-        p = np.maximum(count - DISCOUNT, 0) / np.repeat(total, sizes) + np.repeat(weight, sizes) * 10**lower
+        p -= DISCOUNT
+        np.maximum(p, 0, out=p)
+        p /= np.repeat(total, sizes)
+        np.power(10, lower, out=lower)
+        lower *= np.repeat(weight, sizes)
+        p += lower
+        del count, lower, total
         # the first word in the high half: the universe of pairs is words times 2^32
-        del word, count, lower, order, both
         _write(model.folder, f"triples-{shard}", ef.to_bytes(_level(pairs, sizes, place, p, weight, (model.words + 1) << 32)))
-        n = len(place)
-        del context, place, p, weight
-        tidy()
-        return _done(shard, n)
+        return len(place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, data in zip(batch["shard"].to_pylist(), batch["data"]):
+                n = build(shard, data)
+                tidy()
+                yield from _done(shard, n).to_batches()
     return run
 
 
@@ -508,8 +540,9 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD_TOKENS,
     model = Model(folder, tuple(int(x) for x in starts), sums["v"], sums["n"], max(1, -(-sums["n"] // shard_tokens)))
     blobs = texts.mapInArrow(_count_triples(model), BLOBS)
     summed = staged(blobs.groupBy("shard").applyInArrow(_sum_triples(model), BLOBS), "ngram-counts")
-    for kind, build in (("pairs", _build_pairs), ("triples", _build_triples)):
-        summed.where(F.col("kind") == kind).groupBy("shard").applyInArrow(build(model), "shard int, n long").agg(F.sum("n")).collect()
+    summed.where(F.col("kind") == "pairs").groupBy("shard").applyInArrow(_build_pairs(model), "shard int, n long").agg(F.sum("n")).collect()
+    # a shard's triples are one row already
+    summed.where(F.col("kind") == "triples").select("shard", "data").mapInArrow(_build_triples(model), "shard int, n long").agg(F.sum("n")).collect()
     return model
 
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -303,3 +304,28 @@ def test_pipeline_against_its_operators(spark, sf):
         kept = out
     rows = corpus_pipeline.run(spark, sf).collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in kept.collect())
+
+
+def test_summing_and_building_a_shard_of_triples_stays_small(tmp_path):
+    """Two tasks of an executor sum or build a shard each beside the JVM: a whole shard may take 100 MB."""
+    import tracemalloc
+
+    n, rng = 200_000, np.random.default_rng(3)
+    words = rng.integers(0, 2000, n + 2).astype(np.uint64)
+    model = ngram_trie.Model(f"file://{tmp_path}", (0,), 2000, n, 1)
+    key, last, count = ngram_trie._summed(words[:-2] << np.uint64(32) | words[1:-1], words[2:].astype(np.uint32) + np.uint32(1), None)
+    context, sizes = ngram_trie._by_context(key)
+    row = ngram_trie._row(0, "triples", {"context": context, "size": sizes.astype(np.uint32), "word": last, "count": count.astype(np.uint32)})
+    tracemalloc.start()
+    out = ngram_trie._sum_triples(model)((pa.scalar(0),), pa.table({"data": row["data"]}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak / len(last) * ngram_trie.SHARD_TOKENS < 100e6
+    held = ngram_trie._joined([d for d, k in zip(out["data"], out["kind"].to_pylist()) if k == "triples"], ngram_trie._TRIPLES)
+    assert (held["context"] == key).all() and (held["word"] == last - 1).all() and (held["count"] == count).all()
+
+
+def test_blocks_of_contexts_cut_none():
+    context = np.repeat(np.array([1, 4, 9], np.uint64), [3, ngram_trie.BLOCK + 5, 2])
+    assert [(s.start, s.stop) for s in ngram_trie._blocks(context)] == [(0, ngram_trie.BLOCK + 8), (ngram_trie.BLOCK + 8, ngram_trie.BLOCK + 10)]
+    assert not list(ngram_trie._blocks(context[:0]))
