@@ -466,3 +466,25 @@ def test_sparse_levels(spark):
     assert out == {1: (1, [1]), 2: (0, [0]), 3: (None, []), 4: (None, []), 5: (1, [1])}
     with pytest.raises(ValueError, match="sparse_one_hot"):
         levels_of(spark.range(MOST_LEVELS + 5), "id")
+
+
+@pytest.mark.parametrize("cell_rows", [100_000, 12])
+def test_permuted_pairs_match_ranks_and_shuffle_rows_once(spark, monkeypatch, cell_rows):
+    """Rows of equal rank in two orders by hash, whatever the cells; a repeated key stands for all its rows, a null key is left out."""
+    import hashlib
+    from collections import Counter
+
+    from anchorkit.operators import pairing
+
+    monkeypatch.setattr(pairing, "CELL_ROWS", cell_rows)
+    rows = [(i, float(i), [float(i), 2.0]) for i in range(60)] + [(7, 100.0, [100.0, 3.0]), (None, 200.0, [200.0, 4.0])]
+    scored = spark.createDataFrame(rows, "k long, y double, x array<double>")
+    out = pairing.permuted_pairs(scored, "k", ["y", "x"], "x", 3, 42, len(rows))
+    expected = Counter()
+    for r in range(3):
+        order = [sorted(rows, key=lambda v: hashlib.md5(":".join(map(str, [42, tag, r, *([v[0]] if v[0] is not None else [])])).encode()).hexdigest())
+                 for tag in ("own", "donor")]
+        for a, b in zip(*order):
+            expected.update((r, own[1], don[2][0]) for own in rows for don in rows if own[0] == a[0] and don[0] == b[0] and None not in (a[0], b[0]))
+    assert Counter((r.repeat, r.y, r._d[0]) for r in out.collect()) == expected
+    assert out.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
