@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from anchorkit.sources import files
 
 
-def save_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
+def save_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """Overwrite ``path`` and return the stored table."""
     writer = df.write.mode("overwrite")
+    if compression:
+        writer = writer.option("compression", compression)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -28,8 +30,8 @@ def save_csv(df: DataFrame, path: str, compression: str | None = None) -> None:
 
 
 def save_extracts(extracts: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
-    """Interim parquet per extract."""
-    return {name: save_parquet(df, f"{folder.rstrip('/')}/{name}") for name, df in extracts.items()}
+    """Interim parquet per extract, packed tightly: extracts are the largest tables that are written."""
+    return {name: save_parquet(df, f"{folder.rstrip('/')}/{name}", compression="zstd") for name, df in extracts.items()}
 
 
 _FINGERPRINT = "_FINGERPRINT"
