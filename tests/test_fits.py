@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from anchorkit.operators import calibrate as ca
-from anchorkit.operators import prep as pr
 
 
 @pytest.mark.parametrize("spread, centre", [(1.0, 0.0), (1e-6, -1.0), (1e6, 3e6)])
@@ -42,3 +41,24 @@ def test_fits_run_two_at_a_time(spark):
     assert sorted(r.model for r in _side_by_side(reversed({"a": 1, "b": 2, "c": 3, "d": 4}), one).collect()) == ["a", "b", "c", "d"]
 
 
+def test_an_svm_goes_over_each_kind_of_row_once_a_pass(spark, monkeypatch):
+    """Flags repeat: a fit over the kinds with their sizes finds what the fit over all rows finds."""
+    from pyspark.ml.functions import vector_to_array
+
+    from anchorkit.operators import models as mo
+
+    rows = [(i, float(i % 2), float(i // 2 % 2), 1.0 if i % 2 else 2.0 if i // 2 % 2 else 0.0) for i in range(800)]
+    df = mo.assembled(spark.createDataFrame(rows, "key long, a double, b double, label double"), ["a", "b"], ["key", "label"])
+    merged, size = mo.merged_rows(df, "label", None, 800)
+    assert size == "_size" and {(r.label, *r.x, r["_size"]) for r in merged.withColumn("x", vector_to_array("features")).collect()} == {
+        (0.0, 0.0, 0.0, 200.0), (1.0, 1.0, 0.0, 200.0), (2.0, 0.0, 1.0, 200.0), (1.0, 1.0, 1.0, 200.0)}
+    halves, size = mo.merged_rows(df.withColumn("w", F.lit(0.5)), "label", "w", 800)
+    assert {r[size] for r in halves.collect()} == {100.0}
+    assert mo.merged_rows(df, "label", "w", 30) == (df, "w")  # too few rows of a kind: nothing is merged
+
+    seen = []
+    real = mo.OneVsRest.fit
+    monkeypatch.setattr(mo.OneVsRest, "fit", lambda self, data, params=None: seen.append(data.count()) or real(self, data, params))
+    model, _ = mo.fit_best("svm", "stage1", df, key="key", grid={"C": [0.01]})
+    assert seen == [4]
+    assert model.transform(df).where("prediction <> label").count() == 0
