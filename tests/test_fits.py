@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from anchorkit.operators import calibrate as ca
+from anchorkit.operators import prep as pr
 
 
 @pytest.mark.parametrize("spread, centre", [(1.0, 0.0), (1e-6, -1.0), (1e6, 3e6)])
@@ -62,3 +63,15 @@ def test_an_svm_goes_over_each_kind_of_row_once_a_pass(spark, monkeypatch):
     model, _ = mo.fit_best("svm", "stage1", df, key="key", grid={"C": [0.01]})
     assert seen == [4]
     assert model.transform(df).where("prediction <> label").count() == 0
+
+
+def test_fold_weights_are_the_balanced_ones_without_a_join(spark):
+    rows = [(i, None if i % 11 == 0 else float("nan") if i % 13 == 0 else float(i % 3 % 2), i % 7 % 3) for i in range(200)]
+    df = spark.createDataFrame([*rows, (500, 7.0, 1), (501, 1.0, None)], "key long, label double, fold int").withColumn("weight", F.lit(9.0))
+    parts = pr.fold_weights(df, 3, "label")
+    assert len(parts) == 3
+    for held, part in enumerate(parts):
+        wanted = pr.balanced_weights(df.drop("weight").where(F.col("fold") != held), "label")
+        assert {(r.key, r.weight) for r in part.collect()} == {(r.key, r.weight) for r in wanted.collect()}
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
