@@ -30,7 +30,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +37,7 @@ from pyspark.sql import types as T
 from anchorkit.llm import elias_fano as ef
 from anchorkit.llm.rows import named
 from anchorkit.llm.slices import slices, tidy
-from anchorkit.llm.word_arrays import indices, word_arrays
+from anchorkit.llm.word_arrays import indices, word_arrays, xxh64
 from anchorkit.session import scratch_path, staged
 
 DISCOUNT = 0.75
@@ -47,7 +46,7 @@ SHARD_TOKENS, SHARD_WORDS = 1_000_000, 2_000_000
 #: Triples gathered before a task hands them on.
 CHUNK_TOKENS = 1_000_000
 #: Bytes of text handled at once.
-SLICE = 2 << 20
+SLICE = 8 << 20
 #: Entries looked up at once while a level is built.
 BLOCK = 300_000
 #: The token at the end of every text has this hash; no word hashes to it.
@@ -108,7 +107,20 @@ def _array(data: pa.Buffer, kinds: dict[str, type], name: str) -> np.ndarray:
 
 def _hashes(words: pa.DictionaryArray) -> np.ndarray:
     """64-bit hashes of the distinct words; two words share one with a chance of 2^-64 a pair."""
-    return np.array([xxhash.xxh64_intdigest(w) or 1 for w in words.dictionary.to_pylist()], np.uint64)
+    return np.maximum(xxh64(words.dictionary), np.uint64(1))
+
+
+def _halves(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of pairs kept as numbers plus one in one 64-bit number."""
+    return (key >> np.uint64(32)).astype(np.int64) - 1, (key & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
+
+
+def _dealt(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys by shard, in order within one, and where each shard's begin."""
+    shard = _spread(keys, shards)
+    if shards <= 1 << 16:  # sorted by counting
+        shard = shard.astype(np.uint16)
+    return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
 
 
 def _spread(values: np.ndarray, shards: int) -> np.ndarray:
@@ -153,12 +165,25 @@ class Words:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of a task's texts by their hashes, summed in chunks."""
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        hashes, back = _distinct(np.concatenate([h for h, _ in held]))
+        n = np.bincount(back, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["hash", "n"])
+
     for batch in batches:
         for part in slices(batch.column(0), SLICE):
             words, _ = word_arrays(part)
             counts = np.bincount(indices(words), minlength=len(words.dictionary))
-            hashes = np.append(_hashes(words), np.uint64(END)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.append(counts, len(part)))], ["hash", "n"])
+            held.append((np.append(_hashes(words), np.uint64(END)), np.append(counts, len(part))))
+            size += len(counts)
+            if size > CHUNK_TOKENS:
+                yield flush()
+                held, size = [], 0
+    if held:
+        yield flush()
 
 
 def _word_shard(folder: str):
@@ -238,6 +263,17 @@ def _summed(key: np.ndarray, word: np.ndarray, count: np.ndarray | None) -> tupl
     return keys[(both >> np.uint64(32)).astype(np.int64)], (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), sums
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, sorted, and the place of each value among them."""
+    order = np.argsort(values)
+    values = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    back = np.empty(len(values), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return values[new], back
+
+
 def _by_context(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sorted keys and how many rows each has."""
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -251,15 +287,12 @@ def _count_triples(model: Model):
 
         def flush() -> Iterator[pa.RecordBatch]:
             key, word, count = _summed(*(np.concatenate(x) for x in zip(*held)), None)
-            shard = _spread(key, model.shards)
-            order = np.argsort(shard, kind="stable")
-            edges = np.searchsorted(shard[order], np.arange(model.shards + 1))
-            for s in range(model.shards):
+            order, edges = _dealt(key, model.shards)
+            for s in np.flatnonzero(np.diff(edges)).tolist():
                 own = order[edges[s]:edges[s + 1]]
-                if len(own):
-                    context, sizes = _by_context(key[own])
-                    yield _row(s, "triples", {"context": context, "size": sizes.astype(np.uint32), "word": word[own],
-                                                "count": count[own].astype(np.uint32)})
+                context, sizes = _by_context(key[own])
+                yield _row(s, "triples", {"context": context, "size": sizes.astype(np.uint32), "word": word[own],
+                                            "count": count[own].astype(np.uint32)})
 
         for batch in batches:
             for part in slices(batch.column(0), SLICE):
@@ -326,6 +359,11 @@ def _sum_triples(model: Model):
 
 # ---- levels
 
+def _runs(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs of entries, one run after the other."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """8-bit codes and their values: 256 equal steps from least to most, each standing for the mean of what it holds.
 
@@ -396,25 +434,29 @@ class Trie:
         return self._open[kind, i]
 
     def _each(self, kind: str, keys: np.ndarray) -> Iterator[tuple[Level, np.ndarray]]:
-        shard = _spread(keys, self._model.shards)
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self._model.shards + 1))
-        for s in range(self._model.shards):
-            if edges[s] < edges[s + 1] and (level := self._shard(kind, s)) is not None:
+        """Shards that exist, each with the places of its keys, in order."""
+        order, edges = _dealt(keys, self._model.shards)
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            if (level := self._shard(kind, s)) is not None:
                 yield level, order[edges[s]:edges[s + 1]]
 
-    def pairs(self, a: np.ndarray, b: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 P(b | a) with the add-one log ``single`` of b below it, and b's place among a's successors (-1: none)."""
+    def pairs(self, key: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 P(b | a) with the add-one log ``single`` of b below it, and b's place among a's successors (-1: none).
+
+        ``key`` is sorted: a + 1 in the high half, b + 1 in the low one, zero for unknown words.
+        """
+        a, b = _halves(key)
         log_p, place = single.copy(), np.full(len(a), -1, np.int64)
-        for level, own in self._each("pairs", a):
-            distinct, back = np.unique(a[own], return_inverse=True)
-            rank = level.context.find(distinct)
-            known = rank >= 0
-            begin = np.zeros(len(distinct), np.int64)
-            begin[known] = level.begins(rank[known])
-            rank, begin = rank[back], begin[back]
+        firsts, sizes = _by_context(a)
+        begins = np.cumsum(sizes) - sizes
+        for level, own in self._each("pairs", firsts):
+            rank = level.context.find(firsts[own])
+            own, rank = own[rank >= 0], rank[rank >= 0]
+            size, begin = sizes[own], level.begins(rank)
+            own = _runs(begins[own], size)
+            rank, begin = np.repeat(rank, size), np.repeat(begin, size)
             at = level.place(rank, b[own])
-            hit, miss = at >= 0, (at < 0) & (rank >= 0)
+            hit, miss = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
             place[own[hit]] = at[hit] - begin[hit]
             log_p[own[hit]] = level.log_p(at[hit])
             log_p[own[miss]] += level.log_weight(rank[miss])
@@ -423,18 +465,24 @@ class Trie:
     def triples(self, key: np.ndarray, pair: np.ndarray, place: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """log10 P(c | a b), a and b as ``key[pair]``, c given by its ``place`` among b's successors, ``lower`` log10 P(c | b).
 
-        ``key`` (a in the high half) has every pair once, so a pair is looked up once.
+        ``key`` (a in the high half) is sorted and has every pair once. A triple is looked up once, in order.
         """
-        out, ranks = lower.copy(), np.full(len(key), -1, np.int64)
+        both, back = _distinct(pair.astype(np.uint64) << np.uint64(32) | (place + 1).astype(np.uint64))
+        place = (both & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
+        asked, sizes = _by_context(both >> np.uint64(32))
+        begins, key = np.cumsum(sizes) - sizes, key[asked.astype(np.int64)]
+        found, value = np.zeros(len(both), bool), np.zeros(len(both))
         for level, own in self._each("triples", key):
-            ranks[own] = level.context.find(key[own])
-        for level, own in self._each("triples", key[pair]):
-            rank = ranks[pair[own]]
+            rank = level.context.find(key[own])
+            own, rank = own[rank >= 0], rank[rank >= 0]
+            size = sizes[own]
+            own, rank = _runs(begins[own], size), np.repeat(rank, size)
             at = level.place(rank, place[own])
-            hit, miss = at >= 0, (at < 0) & (rank >= 0)
-            out[own[hit]] = level.log_p(at[hit])
-            out[own[miss]] += level.log_weight(rank[miss])
-        return out
+            hit, miss = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+            found[own[hit]] = True
+            value[own[hit]] = level.log_p(at[hit])
+            value[own[miss]] = level.log_weight(rank[miss])
+        return np.where(found[back], 0, lower) + value[back]
 
 
 def _build_pairs(model: Model):
@@ -491,11 +539,12 @@ def _build_triples(model: Model):
         context, word, count = rows.pop("context"), rows.pop("word"), rows.pop("count")
         lower, place = np.empty(len(word)), np.empty(len(word), np.int64)
         for own in _blocks(context):
-            last = word[own].astype(np.int64)
-            second = (context[own] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            single = np.log10(_add_one(_loaded(Singles, model).counts(last), model))
-            low, at = _loaded(Trie, model).pairs(second, last, single)
-            order = np.lexsort((at, context[own]))
+            second = (context[own] & np.uint64(0xFFFFFFFF)) + np.uint64(1)
+            pair, back = _distinct(second << np.uint64(32) | (word[own].astype(np.uint64) + np.uint64(1)))
+            single = np.log10(_add_one(_loaded(Singles, model).counts(_halves(pair)[1]), model))
+            low, at = (x[back] for x in _loaded(Trie, model).pairs(pair, single))
+            sizes = _by_context(context[own])[1]
+            order = np.argsort(np.repeat(np.arange(len(sizes), dtype=np.uint64) << np.uint64(32), sizes) | at.astype(np.uint64))
             lower[own], place[own], count[own] = low[order], at[order], count[own][order]
         del word
         pairs, sizes = _by_context(context)
@@ -555,27 +604,27 @@ def _scores(model: Model, part: pa.Array) -> list[np.ndarray]:
     number, count, bounds = _numbers(words, part)
     single = np.log10(_add_one(count, model))
     at = np.arange(len(number)) - np.repeat(bounds[:-1], np.diff(bounds))  # place in the text
-    log_p = single.copy()
-    second = np.flatnonzero(at >= 1)
-    # every distinct pair is looked up once; unknown words are number zero here
-    pairs = (number[second - 1].astype(np.uint64) + np.uint64(1)) << np.uint64(32) | (number[second] + 1).astype(np.uint64)
-    coded = pa.array(pairs, pa.uint64()).dictionary_encode()
-    back = indices(coded)
-    distinct = coded.dictionary.to_numpy(zero_copy_only=False).astype(np.uint64)
-    a, b = (distinct >> np.uint64(32)).astype(np.int64) - 1, (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
-    of = np.zeros(len(number), np.int64)  # number of the pair that ends here
-    of[second] = back
+    second, third = np.flatnonzero(at >= 1), np.flatnonzero(at >= 2)
+    del at
+    # every distinct pair is looked up once
+    distinct, back = _distinct((number[second - 1] + 1).astype(np.uint64) << np.uint64(32) | (number[second] + 1).astype(np.uint64))
+    third = third[(number[third - 1] >= 0) & (number[third - 2] >= 0)]
+    del number
     alone = np.zeros(len(distinct))
     alone[back] = single[second]
-    lower, place = trie.pairs(a, b, alone)
+    lower, place = trie.pairs(distinct, alone)
+    log_p = single.copy()
     log_p[second] = lower[back]
-    third = np.flatnonzero(at >= 2)
-    third = third[(number[third - 1] >= 0) & (number[third - 2] >= 0)]
-    known = np.flatnonzero((a >= 0) & (b >= 0))
+    of = np.zeros(len(single), np.int64)  # number of the pair that ends here
+    of[second] = back
+    del alone, lower, second, back
+    known = np.flatnonzero((distinct >> np.uint64(32) > 0) & (distinct & np.uint64(0xFFFFFFFF) > 0))
     dense = np.zeros(len(distinct), np.int64)
     dense[known] = np.arange(len(known))
-    key = a[known].astype(np.uint64) << np.uint64(32) | b[known].astype(np.uint64)
-    log_p[third] = trie.triples(key, dense[of[third - 1]], place[of[third]], log_p[third])
+    key = distinct[known] - np.uint64((1 << 32) + 1)
+    pair, place = dense[of[third - 1]], place[of[third]]
+    del of, known, dense, distinct
+    log_p[third] = trie.triples(key, pair, place, log_p[third])
     total = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  every text has its end token
     return [np.diff(bounds), total((count > 0).astype(np.int64)), total(single), total(log_p)]
 

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from anchorkit.llm import decontamination, elias_fano, ngram_trie, queries, simhash, weak_quality
+from anchorkit.llm import decontamination, elias_fano, ngram_trie, queries, simhash, weak_quality, word_arrays
 
 
 def words_of(text):
@@ -205,6 +205,53 @@ def test_elias_fano(n, universe):
     assert (coded.find(asked) == want).all() and (coded.get(np.arange(n)) == values).all()
 
 
+def test_words_are_hashed_together(monkeypatch):
+    """Only words of 32 bytes or more are hashed one by one, and all as xxhash does it."""
+    rng, digest, single = np.random.default_rng(4), xxhash.xxh64_intdigest, []
+    words = [bytes(rng.integers(0, 256, n % 80, dtype=np.uint8)) for n in range(800)]
+    want = [digest(w) for w in words]
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda w: single.append(len(w)) or digest(w))
+    for at, n in [(0, 800), (3, 700), (31, 2), (5, 0), (0, 1)]:
+        some = pa.array(words, pa.binary()).slice(at, n)
+        assert word_arrays.xxh64(some).tolist() == want[at:at + n]
+    hashes = ngram_trie._hashes(pa.array([w for w in words if len(w) < 32], pa.binary()).dictionary_encode())
+    assert min(single) == 32 and len(hashes) == len({w for w in words if len(w) < 32}) and (hashes > 0).all()
+
+
+def test_scoring_asks_for_each_pair_once_in_order(spark, odd, monkeypatch):
+    model, asked = ngram_trie.train(odd, shard_tokens=5000), []
+    find = elias_fano.EliasFano.find
+    monkeypatch.setattr(elias_fano.EliasFano, "find", lambda self, values: asked.append(values) or find(self, values))
+    texts = pa.array([f"w{i % 90} w{i % 7} unheard w{i % 90} w{i % 7}" for i in range(3000)])
+    ngram_trie._loaded(ngram_trie.Words, model), ngram_trie._loaded(ngram_trie.Trie, model)
+    one, alone = ngram_trie._scores(model, texts), [ngram_trie._scores(model, texts.slice(i, 1)) for i in (0, 1, 2999)]
+    assert [x[i] for i in (0, 1, 2999) for x in one] == pytest.approx([x[0] for rows in alone for x in rows])
+    asked.clear()
+    key = np.array([(a + 1) << 32 | (b + 1) for a in range(-1, 300) for b in (-1, 3, 8)], np.uint64)
+    ngram_trie.Trie(model).pairs(key, np.zeros(len(key)))
+    contexts = sum(len(v) for v in asked[::2])  # first words, then their successors, shard after shard
+    assert contexts <= 301 and all((np.diff(v.astype(np.int64)) > 0).all() for v in asked[1::2])
+
+
+@pytest.mark.parametrize("width", [1, 7, 31, 57, 58, 63, 64])
+def test_packed_numbers_of_every_width(width):
+    rng = np.random.default_rng(width)
+    values = np.sort(rng.integers(0, 1 << 64, 300, dtype=np.uint64) >> np.uint64(64 - width))
+    low = elias_fano._packed(values, width)
+    coded = elias_fano.EliasFano({"head": np.array([300, width]), "low": low, "high": np.zeros(1, np.uint64), "zeros": np.zeros(2, np.uint32)})
+    assert (coded._lows(np.arange(300)) == values).all()
+
+
+def test_unknown_word_is_no_context(spark):
+    """The number -1 of an unknown word lies in no level, however dense its first words are."""
+    dense = elias_fano.EliasFano(elias_fano.encode(np.arange(5, dtype=np.uint64), 6))
+    assert dense.find(np.array([-1, 0, 4], np.int64)).tolist() == [-1, 0, 4]
+    model = ngram_trie.train(spark.createDataFrame([("a b c d",), ("b c a",), ("c c d",)], "text string"))
+    for r in ngram_trie.score(spark.createDataFrame([("x",), ("x y",), ("x y x",)], "text string"), model, to="s").collect():
+        # nothing is known of what follows an unknown word: every token scores as a single word
+        assert r["s"].n_known == 1 and r["s"].score == pytest.approx(r["s"].base_score, abs=1e-9)
+
+
 def test_lm_query_against_counts(spark, sf):
     rows = {r.doc_id: r for r in queries.QUERIES["op1_lm_scores"](spark, sf).collect()}
     end = b"\n"
