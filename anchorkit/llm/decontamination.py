@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anchorkit.llm.rows import named, numbered
-from anchorkit.llm.slices import slices
+from anchorkit.llm.slices import alone, slices
 from anchorkit.llm.word_arrays import indices, word_arrays
 from anchorkit.operators.joins import balanced_join
 from anchorkit.session import staged
@@ -104,6 +104,7 @@ def _signed(values: np.ndarray) -> list[int]:
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens and seed hashes of benchmark items."""
+    alone("decontamination", _token_hash.cache_clear)
     for batch in batches:
         rows = []
         tokens, bounds = token_hashes(batch.column(1))
@@ -128,6 +129,7 @@ def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
 def _finder(bits, masks: list[str], reach: int):
     """Hits that pass the filter, in clusters with ``reach`` tokens on either side."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("decontamination", _token_hash.cache_clear)
         held = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             at = 0
@@ -144,6 +146,7 @@ def _finder(bits, masks: list[str], reach: int):
                     text, found = _clusters(tokens, bounds, np.concatenate(places), np.concatenate(hashes), reach)
                     yield pa.RecordBatch.from_arrays([*(c.take(pa.array(text, pa.int64())) for c in own), *found.columns],
                                                      ["row", "key", *found.schema.names])
+            batch = part = own = None  # else it is held until the next one is read
     return run
 
 

@@ -25,11 +25,11 @@ from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2
 
 from anchorkit.llm.rows import named
-from anchorkit.llm.slices import slices
+from anchorkit.llm.slices import alone, slices
 
 MARK = "▁"
-#: Segments remembered by a worker, in two generations of this size.
-REMEMBERED = 250_000
+#: Segments remembered by a worker, in two generations of this size: some 190 bytes each, and an executor has a worker per core.
+REMEMBERED = 125_000
 RESULT = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())),
                        T.StructField("decoded", T.StringType())])
 
@@ -306,7 +306,17 @@ class Pieces:
                 yield self._shown[i].decode("utf-8")
 
 
-_LOADED: dict[int, Pieces] = {}
+_LOADED: dict[bytes, Pieces] = {}
+
+
+def loaded(model: bytes) -> Pieces:
+    """The model's pieces, kept by the worker for its next task. A function of the module: what a task's own function names
+    comes with it as a copy, and a copy of ``_LOADED`` would be empty in every task."""
+    alone("piece_spans", _LOADED.clear)
+    if model not in _LOADED:
+        _LOADED.clear()
+        _LOADED[model] = Pieces(model)
+    return _LOADED[model]
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -325,11 +335,7 @@ def encode_decode(df: DataFrame, model: str, text: str = "text", to: str = "piec
 
     @F.arrow_udf(RESULT)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        key = hash(shared.value)
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = Pieces(shared.value)
-        pieces = _LOADED[key]
+        pieces = loaded(shared.value)
         for batch in batches:
             if not len(batch):
                 yield pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("decoded", pa.string())]))
@@ -344,5 +350,6 @@ def encode_decode(df: DataFrame, model: str, text: str = "text", to: str = "piec
                 lists = _lists(ids)
                 shown = pieces.decode_all(lists.values.to_numpy(), np.frombuffer(lists.buffers()[1], np.int32))
                 yield pa.StructArray.from_arrays([lists, _lists(ends), pa.array(shown, pa.string())], ["ids", "ends", "decoded"])
+            batch = part = None  # else it is held until the next one is read
 
     return df.withColumn(to, run(named(df, text)))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anchorkit.llm.rows import fresh, named, numbered
+from anchorkit.llm.slices import alone
 from anchorkit.operators.joins import balanced_join
 from anchorkit.session import shuffle_width, staged
 
@@ -49,6 +50,7 @@ def fingerprints(shingle: int):
     """Column function from texts to fingerprints (long, never null)."""
     @F.arrow_udf(T.LongType())
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        alone("simhash")
         for batch in batches:
             yield pa.array([fingerprint(x.as_py(), shingle) for x in batch], pa.int64())
     return run

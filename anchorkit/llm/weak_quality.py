@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from anchorkit.llm.rows import named
-from anchorkit.llm.slices import slices, tidy
+from anchorkit.llm.slices import alone, slices, tidy
 from anchorkit.llm.word_arrays import indices, word_arrays
 
 #: English words of abuse that the abuse labellers know.
@@ -180,11 +180,13 @@ def fit(values: np.ndarray, text_of: np.ndarray, feature_of: np.ndarray, target:
 
 @F.arrow_udf(T.StringType())
 def _voted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    alone("weak_quality")
     for batch in batches:
         for part in slices(batch):
             yield pa.array([" ".join(map(str, v)) for v in votes(signals(part, hashed=False)[0]).tolist()], pa.string())
         if not len(batch):
             yield pa.array([], pa.string())
+        batch = part = None  # else it is held until the next one is read
 
 
 def _annotated(docs: DataFrame, labels: DataFrame | None, key: str, held_out: Column | None) -> DataFrame:
@@ -221,6 +223,7 @@ def learn(docs: DataFrame, labels: DataFrame | None, key: str = "doc_id", text:
         known[q] = {tuple(p): float(x) for p, x in zip(distinct.tolist(), post)}
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("weak_quality")
         values, text_of, feature_of, marks, base = [np.zeros((0, len(SIGNALS)))], [], [], [], 0
         for batch in batches:
             at = 0
@@ -264,6 +267,7 @@ def score(df: DataFrame, scorers: dict[str, Scorer], text: str = "text", to: str
 
     @F.arrow_udf(result)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        alone("weak_quality")
         names = [*QUESTIONS, "kept"]
         for batch in batches:
             for part in slices(batch):
@@ -272,5 +276,6 @@ def score(df: DataFrame, scorers: dict[str, Scorer], text: str = "text", to: str
                 yield pa.StructArray.from_arrays([pa.array(good), pa.array(bad), pa.array((good >= GOOD) & (bad < ABUSIVE))], names)
             if not len(batch):
                 yield pa.StructArray.from_arrays([pa.array([], pa.float64())] * 2 + [pa.array([], pa.bool_())], names)
+            batch = part = None  # else it is held until the next one is read
 
     return df.withColumn(to, run(named(df, text)))

@@ -1,6 +1,7 @@
 """Token counts, pieces and page texts against the public libraries or hand-made cases."""
 
 import random
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from anchorkit.llm import html_text, piece_spans, slices, token_counts, word_arrays
+from anchorkit.llm import decontamination, html_text, piece_spans, slices, token_counts, word_arrays
 
 ODD = ["", " ", "   x", "'s'S 's''re 'rx we'll 'lx", "don't  we \n\n x\n y  ", "\t'tis\x0b\x0c", "<|endoftext|>a<|endoftext|> <|endoftext|>",
        "日本語 テスト　全角", "😀😀 é à ²³½ a1b2 3c'd", "''s", "\x00\x01 \x1c\x1f \x85", "a" * 3000, " " * 700 + "x", "'s" * 300, "▁ ▁▁ a▁b", "x " * 2000]
@@ -72,6 +73,50 @@ def test_pieces_spans_and_decoding(pieces):
         assert own.decode(np.array(ids, np.int32)) == library.decode(ids), ids
 
 
+def model_bytes():
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+def test_remembered_segments_stay_small():
+    """Texts of ever new words fill no more than some 50 MB of a worker."""
+    own = piece_spans.Pieces(model_bytes())
+    own._encode = lambda segment: b"\0" * 32  # four pieces; how they are found is of no matter here
+    for begin in range(0, 400_000, 1000):
+        own.encode(" ".join(f"word{i}" for i in range(begin, begin + 1000)))
+    kept = [own._young, own._old]
+    assert sum(map(sys.getsizeof, kept)) + sum(sys.getsizeof(x) for held in kept for pair in held.items() for x in pair) < 60e6
+
+
+def test_operators_let_go_what_others_keep_in_a_worker():
+    model = model_bytes()
+    decontamination.token_hashes(pa.array(["one two three"]))
+    list(decontamination._seeds(iter([])))
+    assert decontamination._token_hash.cache_info().currsize
+    own = piece_spans.loaded(model)
+    assert not decontamination._token_hash.cache_info().currsize
+    assert piece_spans.loaded(model) is own
+    list(decontamination._seeds(iter([])))
+    assert not piece_spans._LOADED
+    assert piece_spans.loaded(model) is not own
+    slices.alone("another")
+    assert not piece_spans._LOADED
+
+
+def test_pieces_are_kept_from_task_to_task(spark):
+    """A worker reads the model once, not for every task."""
+    docs = spark.range(0, 64, 1, 64).selectExpr("id as doc_id", "concat('a text of number ', id) as text")
+    piece_spans.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")).write.format("noop").mode("overwrite").save()
+
+    def held(batches):
+        from anchorkit.llm import piece_spans as module
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"held": pa.array([len(module._LOADED)], pa.int64())})
+
+    assert any(r["held"] for r in spark.range(0, 64, 1, 64).mapInArrow(held, "held long").collect())
+
+
 def test_general_normaliser_agrees_with_the_short_way(pieces):
     own, _ = pieces
     for text in ODD:
