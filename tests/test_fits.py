@@ -75,3 +75,88 @@ def test_fold_weights_are_the_balanced_ones_without_a_join(spark):
         assert {(r.key, r.weight) for r in part.collect()} == {(r.key, r.weight) for r in wanted.collect()}
         plan = part._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Exchange" not in plan
+
+
+def _numbers(text):
+    import re
+
+    found = re.compile(r"-?\d+\.\d+(?:E-?\d+)?")
+    return found.sub("#", text), [float(x) for x in found.findall(text)]
+
+
+def _wide_rows(spark, n):
+    """Ties, zeros, a constant, few and many values, weights."""
+    rows = [(i, float(i * 37 % 101 - 50) / 7, float(i % 3), 0.0, float(i * i % 997), [0.5, 1.0, 2.5][i % 3], math.sin(i) + (i * 37 % 101 > 60)) for i in range(n)]
+    from anchorkit.operators import models as mo
+
+    df = spark.createDataFrame(rows, "key long, a double, b double, c double, d double, weight double, label double").repartition(3, "key")
+    return mo.assembled(df.withColumn("hit", (F.col("label") > 0.7).cast("double")), ["a", "b", "c", "d"], ["key", "label", "hit", "weight"])
+
+
+@pytest.mark.parametrize("rows, settings", [(10_500, {"featureSubsetStrategy": "0.8", "subsamplingRate": 0.8}), (700, {"subsamplingRate": 1.0})])
+def test_boosted_trees_from_blocks_are_those_of_mllib(spark, monkeypatch, rows, settings):
+    """More rows than the bins are made of, rows and columns drawn: the same splits and leaves, whatever the loss."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+
+    from anchorkit.operators import boosted as bo
+    from anchorkit.session import staged
+
+    monkeypatch.setattr(bo._Boosted, "least_rows", 0)
+    monkeypatch.setattr(bo, "KEPT_TREES", 2)
+    df = staged(_wide_rows(spark, rows))
+    same = {"maxIter": 3, "maxDepth": 3, "seed": 42, "stepSize": 0.3, **settings}
+    passes = []
+    real = bo.summed
+    monkeypatch.setattr(bo, "summed", lambda *a: passes.append(1) or real(*a))
+    for ours, theirs, own in ((bo.BlockGBTRegressor, GBTRegressor, {}), (bo.BlockGBTClassifier, GBTClassifier, {"labelCol": "hit", "weightCol": "weight"})):
+        passes.clear()
+        found, wanted = ours(**same, **own).fit(df), theirs(**same, **own).fit(df)
+        assert 0 < len(passes) <= 3 * 3  # a pass for each level of each tree
+        (text, values), (text_wanted, values_wanted) = (_numbers(m.toDebugString.split("\n", 1)[1]) for m in (found, wanted))
+        assert text == text_wanted and values == pytest.approx(values_wanted, rel=1e-9, abs=1e-12)
+        assert found.featureImportances.toArray() == pytest.approx(wanted.featureImportances.toArray())
+        assert [found.getMaxDepth(), found.getStepSize(), found.numFeatures] == [3, 0.3, 4]
+        joined = found.transform(df).select("key", F.col("prediction").alias("p")).join(wanted.transform(df), "key")
+        assert joined.where("abs(p - prediction) > 1e-9").count() == 0
+
+
+def test_one_vs_rest_and_stored_models_hold_trees_from_blocks(spark, monkeypatch, tmp_path):
+    from pyspark.ml.classification import OneVsRestModel
+
+    from anchorkit.operators import boosted as bo
+    from anchorkit.operators import models as mo
+
+    monkeypatch.setattr(bo._Boosted, "least_rows", 0)
+    df = _wide_rows(spark, 600).withColumn("label", (F.col("key") % 3).cast("double"))
+    model, point = mo.fit_best("boosting", "stage1", df, key="key", weight="weight",
+                               grid={"n_estimators": [2], "max_depth": [2], "learning_rate": [0.1], "subsample": [0.8]})
+    mo.save_model(model, f"{tmp_path}/model")
+    back = OneVsRestModel.load(f"{tmp_path}/model")
+    found, again = ({(r.key, r.prediction) for r in m.transform(df).select("key", "prediction").collect()} for m in (model, back))
+    assert found == again and len(found) == 600
+    # b is the remainder of the key by three
+    assert {(r.key, r.prediction) for r in model.transform(df).collect()} == {(k, float(k % 3)) for k in range(600)}
+
+
+def test_boosted_trees_without_a_split_or_with_bad_rows(spark, monkeypatch):
+    from anchorkit.operators import boosted as bo
+    from anchorkit.operators import models as mo
+
+    monkeypatch.setattr(bo._Boosted, "least_rows", 0)
+    flat = mo.assembled(spark.createDataFrame([(i, 1.0, 4.0) for i in range(20)], "key long, a double, label double"), ["a"], ["key", "label"])
+    assert {r.prediction for r in bo.BlockGBTRegressor(maxIter=2, seed=1).fit(flat).transform(flat).collect()} == {4.0}
+    with pytest.raises(Exception, match="finite"):
+        bo.BlockGBTRegressor(maxIter=2, seed=1).fit(flat.withColumn("label", F.when(F.col("key") != 3, F.col("label"))))
+
+
+def test_sums_of_many_tasks_are_merged_before_the_driver(spark, monkeypatch):
+    import numpy as np
+
+    from anchorkit.operators import boosted as bo
+
+    df = spark.range(0, 1000, 1, 9).select(F.col("id").cast("int").alias("n"))
+    task = lambda rows: np.array([[float(sum(r["n"] for r in rows)), 1.0]])
+    assert bo.summed(df, task).tolist() == [[499500.0, 9.0]]
+    monkeypatch.setattr(bo, "_DIRECT_TASKS", 4)
+    assert bo.summed(df, task).tolist() == [[499500.0, 9.0]]
