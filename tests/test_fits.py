@@ -160,3 +160,44 @@ def test_sums_of_many_tasks_are_merged_before_the_driver(spark, monkeypatch):
     assert bo.summed(df, task).tolist() == [[499500.0, 9.0]]
     monkeypatch.setattr(bo, "_DIRECT_TASKS", 4)
     assert bo.summed(df, task).tolist() == [[499500.0, 9.0]]
+
+
+def test_a_perceptron_from_blocks_is_that_of_mllib(spark, monkeypatch):
+    """Short stacks of each partition included; one pass a step, nearly."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    from anchorkit.operators import perceptron as pe
+    from anchorkit.session import staged
+
+    monkeypatch.setattr(pe.BlockPerceptron, "least_rows", 0)
+    monkeypatch.setattr(pe, "_STACKS", 1)
+    passes = []
+    real = pe.summed
+    monkeypatch.setattr(pe, "summed", lambda *a: passes.append(1) or real(*a))
+    df = staged(_wide_rows(spark, 700).withColumn("label", (F.col("key") % 3).cast("double")))
+    same = {"layers": [4, 5, 4, 3], "maxIter": 15, "seed": 42}
+    found, wanted = pe.BlockPerceptron(**same).fit(df), MultilayerPerceptronClassifier(**same).fit(df)
+    assert 15 < len(passes) < 25
+    assert found.weights.toArray() == pytest.approx(wanted.weights.toArray(), rel=1e-7, abs=1e-9)
+    assert found.getMaxIter() == 15
+    joined = found.transform(df).select("key", F.col("prediction").alias("p")).join(wanted.transform(df), "key")
+    assert joined.where("p <> prediction").count() == 0
+    with pytest.raises(Exception, match="whole numbers"):
+        pe.BlockPerceptron(**same).fit(df.withColumn("label", F.lit(5.0)))
+
+
+def test_descent_ends_where_values_or_slopes_settle():
+    import numpy as np
+
+    from anchorkit.operators import perceptron as pe
+
+    seen = []
+
+    def bowl(x):
+        seen.append(1)
+        return float(((x - 3.0) ** 4).sum() + 1.0), 4 * (x - 3.0) ** 3
+
+    assert np.abs(pe.minimised(bowl, np.zeros(3), 500, 1e-6) - 3.0).max() < 0.05 and len(seen) < 100
+    assert pe.minimised(bowl, np.zeros(3), 0, 1e-6).tolist() == [0.0] * 3
+    settled = np.full(3, 3.0)
+    assert pe.minimised(bowl, settled, 500, 1e-6).tolist() == settled.tolist()
